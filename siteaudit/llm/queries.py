@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteaudit.llm import bpe, secret_scan, url_filter
+from siteaudit.llm import bpe, exact_dedup, mixing, secret_scan, token_file, url_filter
+from siteaudit.llm.common import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,15 @@ def rank_file() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as Arrow files of token sequences in the shared folder, and read back from them."""
+    import public_tokenizers
+
+    folder = scratch(spark, "sequences")
+    shards = token_file.write_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_file.read_documents(shards, folder)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents. base_sha256 covers the three base kinds, spans all kinds."""
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -30,6 +40,66 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the row that stays of each group of equal texts."""
+    groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), from_files=True)
+    return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+_OP6_SQL = """
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
+"""
+
+#: The domain of a source: the remainder of its number by three.
+MIX_DOMAIN = "concat('domain', CAST(coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT), 0) % 3 AS STRING))"
+MIX_WEIGHTS = {"domain": "CASE domain WHEN 'domain0' THEN 5 WHEN 'domain1' THEN 3 ELSE 2 END", "lang": "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 3 ELSE 2 END", "source": "1"}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = (6, 10), 2, 7
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six tenths of all tokens, dealt by the weights above, in at most two epochs."""
+    weights = {k: F.expr(v) for k, v in MIX_WEIGHTS.items()}
+    return mixing.mix(table(spark, sf_dir, "documents"), F.expr(MIX_DOMAIN), weights, MIX_SHARE, MIX_EPOCHS, MIX_SEED).withColumnRenamed("id", "doc_id")
+
+
+def _deal_sql(level: int) -> str:
+    """CTEs that deal the budget of one level's parents among its nodes."""
+    keys = ["domain", "lang", "source"][: level + 1]
+    k, parent = ", ".join(keys), ", ".join(keys[:-1])
+    part = f"PARTITION BY {parent}" if parent else ""
+    up = f"JOIN b{level - 1} u USING ({parent})" if parent else "CROSS JOIN root u"
+    order = f"{part} ORDER BY cap::DOUBLE / w::DOUBLE, {keys[-1]}"
+    return f"""
+n{level} AS (SELECT {k}, sum(cap)::HUGEINT AS cap, max(w_{keys[-1]})::HUGEINT AS w FROM leaf GROUP BY {k}),
+s{level} AS (SELECT n.*, least(u.budget, sum(cap) OVER ({part})) AS up FROM n{level} n {up}),
+f{level} AS (SELECT *, cap * sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+  <= w * (up - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS ok FROM s{level}),
+g{level} AS (SELECT *, bool_and(ok) OVER ({order} ROWS UNBOUNDED PRECEDING) AS fills FROM f{level}),
+h{level} AS (SELECT *, up - sum(CASE WHEN fills THEN cap ELSE 0 END) OVER ({part}) AS rem, sum(CASE WHEN fills THEN 0 ELSE w END) OVER ({part}) AS open,
+  sum(CASE WHEN fills THEN 0 ELSE w END) OVER ({order} ROWS UNBOUNDED PRECEDING) AS upto FROM g{level}),
+b{level} AS (SELECT {k}, CASE WHEN fills THEN cap ELSE (upto * rem) // open - ((upto - w) * rem) // open END AS budget FROM h{level}),"""
+
+
+_OP8_SQL = f"""
+WITH named AS (SELECT doc_id, 'domain' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT), 0) % 3) AS domain, lang, source,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens) * {MIX_EPOCHS} AS cap,
+  {MIX_WEIGHTS["domain"]} AS w_domain, {MIX_WEIGHTS["lang"]} AS w_lang, {MIX_WEIGHTS["source"]} AS w_source
+  FROM named GROUP BY domain, lang, source HAVING sum(n_tokens) > 0),
+root AS (SELECT (sum(tokens) * {MIX_SHARE[0]})::HUGEINT // {MIX_SHARE[1]} AS budget FROM leaf),
+{_deal_sql(0)}{_deal_sql(1)}{_deal_sql(2)}
+plan AS (SELECT domain, lang, source, budget // tokens AS full_epochs, budget % tokens AS rest FROM b2 JOIN leaf USING (domain, lang, source)),
+keyed AS (SELECT n.*, full_epochs, rest, md5('{MIX_SEED}:' || full_epochs || ':' || doc_id) AS key FROM named n JOIN plan USING (domain, lang, source) WHERE n_tokens > 0),
+placed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) AS upto FROM keyed),
+copies AS (SELECT *, least(n_tokens, greatest(0, rest - (upto - n_tokens))) AS more FROM placed)
+SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, epoch::INT AS epoch,
+  (CASE WHEN epoch = full_epochs THEN more ELSE n_tokens END)::BIGINT AS take_tokens
+FROM (SELECT *, unnest(range(0, (full_epochs + CASE WHEN more > 0 THEN 1 ELSE 0 END)::BIGINT)) AS epoch FROM copies)
+"""
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded by the rank file and decoded again."""
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), *rank_file())
@@ -71,8 +141,11 @@ FROM ruled
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_file": op3_token_file,
     "op5_secret_scan": op5_secret_scan,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op8_mixing": op8_mixing,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {"op10_url_filter": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": _OP6_SQL, "op8_mixing": _OP8_SQL, "op10_url_filter": _OP10_SQL}
