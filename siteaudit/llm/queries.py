@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteaudit.llm import bpe, exact_dedup, mixing, secret_scan, token_file, url_filter
+from siteaudit.llm import bpe, exact_dedup, mixing, quality, secret_scan, simhash, token_file, toxicity, url_filter
 from siteaudit.llm.common import scratch
 
 
@@ -22,6 +22,18 @@ def rank_file() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of all documents, by a model fitted on a bounded sample of labels."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.rate(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their importance weight and whether they are in the sample, whose share is that of good labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.resample(docs, quality.train(docs, labels), quality.good_share(labels))
+
+
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as Arrow files of token sequences in the shared folder, and read back from them."""
     import public_tokenizers
@@ -31,6 +43,12 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_documents(shards, folder)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their fingerprint of 3-word shingles and component at a radius of 2 bits."""
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
+    return near.select(F.col("id").alias("doc_id"), simhash.hex_print(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents. base_sha256 covers the three base kinds, spans all kinds."""
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -141,7 +159,10 @@ FROM ruled
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op3_token_file": op3_token_file,
+    "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_mixing": op8_mixing,
