@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteaudit.llm import bpe, exact_dedup, mixing, quality, secret_scan, simhash, token_file, toxicity, url_filter
+from siteaudit.llm import ann, bpe, exact_dedup, mixing, quality, secret_scan, simhash, token_file, toxicity, url_filter
 from siteaudit.llm.common import scratch
 
 
@@ -76,6 +76,11 @@ MIX_WEIGHTS = {"domain": "CASE domain WHEN 'domain0' THEN 5 WHEN 'domain1' THEN
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = (6, 10), 2, 7
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose vec_id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six tenths of all tokens, dealt by the weights above, in at most two epochs."""
     weights = {k: F.expr(v) for k, v in MIX_WEIGHTS.items()}
@@ -165,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_ann": op7_ann,
     "op8_mixing": op8_mixing,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_url_filter": op10_url_filter,
