@@ -8,7 +8,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siteaudit.llm.common import SPACES, cut, scratch, small, text_of
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Many small stores: no space is allocated ahead, and commits write changes only.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -74,7 +79,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = spark.read.parquet(rows_path)
 
     session = spark.newSession()  # the state store is its own setting, not the caller's
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for k, v in STATE_SETTINGS.items():
+        session.conf.set(k, v)
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     stream = session.readStream.schema(rows.schema).parquet(rows_path).select("id", "file", "row", "digest")
     start_stream(stream, scratch(spark, "state"), groups_path).awaitTermination()
