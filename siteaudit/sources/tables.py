@@ -1,19 +1,18 @@
-"""Schemas, readers and writers of the library's tables."""
+"""Schemas (as DDL), readers and writers of the library's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-RESPONSES = T.StructType.fromDDL("url string, status int, headers map<string,string>, body binary, duration_ms long, fetched_at timestamp, request_error string")
-SITES = T.StructType.fromDDL(
+RESPONSES = ("url string, status int, headers map<string,string>, body binary, duration_ms long, fetched_at timestamp, request_error string")
+SITES = (
     "site string, host string, path string, recursive boolean, schemes array<string>, statuses array<int>, max_redirects int, max_age_ms long, swr_ms long, ignored_fragments array<string>, "
     "retry_count int, retry_factor double, retry_initial_ms long, retry_cap_ms long, retry_statuses array<int>, rate_supply long, rate_window_ms long, "
     "validate_html boolean, html_ignored_elements array<string>, html_ignored_attributes array<string>, validate_svg boolean, svg_ignored_elements array<string>, svg_ignored_attributes array<string>"
 )
-RESULTS = T.StructType.fromDDL("doc_url string, ord int, item int, ok boolean, error_kind string, error string, response struct<url:string,status:int,latency:long>")
-REQUEST_LOG = T.StructType.fromDDL("site string, url string, ts timestamp")
+RESULTS = ("doc_url string, ord int, item int, ok boolean, error_kind string, error string, response struct<url:string,status:int,latency:long>")
+REQUEST_LOG = ("site string, url string, ts timestamp")
 #: Options of a site that says nothing else.
 SITE_DEFAULTS = {"site": "default", "host": None, "path": "/", "recursive": False, "schemes": ["http", "https"], "statuses": [200], "max_redirects": 16, "max_age_ms": 0, "swr_ms": 0, "ignored_fragments": [], "retry_count": 0, "retry_factor": 0.0, "retry_initial_ms": 0, "retry_statuses": []}
 
@@ -26,7 +25,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sites(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Resolved site options as a dimension. What a row leaves out has its default; a row without a host is the default site."""
-    names = SITES.fieldNames()
+    names = [field.split()[0] for field in SITES.split(", ")]
     filled = [SITE_DEFAULTS | r for r in rows]
     if not any(r["host"] is None for r in filled):
         filled.append(SITE_DEFAULTS)
