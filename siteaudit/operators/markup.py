@@ -24,7 +24,7 @@ CHILDREN = {
     "html": ["head", "body"], "head": "base link meta noscript script style template title".split(), "body": _FLOW,
     "div": _FLOW, "article": _FLOW, "section": _FLOW, "nav": _FLOW, "aside": _FLOW, "header": _FLOW, "footer": _FLOW, "main": _FLOW, "li": _FLOW,
     "ul": ["li", "script"], "ol": ["li", "script"], "p": _PHRASING, "h1": _PHRASING, "h2": _PHRASING, "b": _PHRASING, "span": _PHRASING,
-    "a": _FLOW, "title": ["#text"], "style": ["#text"], "script": ["#text"],
+    "dl": ["dt", "dd", "div", "script"], "a": _FLOW, "title": ["#text"], "style": ["#text"], "script": ["#text"],
 }
 #: Order of children, as a regular expression over their names, each followed by a space.
 CONTENT = {"html": "(head )?(body )?", "dl": "((dt )+(dd )+)*"}

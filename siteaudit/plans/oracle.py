@@ -1 +1,152 @@
-ORACLE_SQL = {}
+"""The registered queries in DuckDB's SQL.
+
+Where a query reads elements that inputs.py adds to the pages, the SQL says what must be found in them, without
+parsing anything.
+"""
+
+from __future__ import annotations
+
+_TAG = r"""<[A-Za-z][^\s/>]*(?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+_ATTRIBUTE = r"""[^\s"''<>/=]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''=<>`]+)"""
+
+#: Start tags of the pages: doc_url, page_id, ord, tag, name.
+_TAGS = rf"""
+clean AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<(?:script|style)\b[^>]*>).*?(</(?:script|style)\s*>)', '\1\2', 'g') AS h FROM pages),
+found AS (SELECT page_id, url AS doc_url, regexp_extract_all(h, '{_TAG}') AS t FROM clean),
+tags AS (SELECT page_id, doc_url, (i - 1)::INT AS ord, t[i] AS tag, lower(regexp_extract(t[i], '^<([A-Za-z][^\s/>]*)', 1)) AS name FROM found, unnest(range(1, len(t) + 1)) r(i))"""
+
+_ORIGIN = "regexp_extract(doc_url, '^(https?://[^/?#]+)', 1)"
+#: A path or fragment with what isn't allowed in it in percent signs.
+_ENCODED = "array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN c = ' ' OR NOT regexp_matches(c, '^[ -~]$') OR c IN ('\"', '<', '>', '`', '{{', '}}', '^') THEN url_encode(c) ELSE c END), '')"
+#: The pages' own links, all root-relative: doc_url, ord, raw, target.
+_LINKS = f"""{_TAGS},
+own AS (SELECT page_id, doc_url, ord, regexp_extract(tag, 'href="([^"]*)"', 1) AS raw FROM tags WHERE name = 'a'),
+links AS (SELECT *, {_ORIGIN} || {_ENCODED.format("raw")} AS target FROM own)"""
+_HOST = "lower(regexp_extract({0}, '^https?://([^/?#]+)', 1))"
+_PATH = "regexp_extract({0}, '^https?://[^/?#]+([^?#]*)', 1)"
+_STATUS = "CASE page_id % 20 WHEN 0 THEN 404 WHEN 1 THEN 301 WHEN 2 THEN 503 ELSE 200 END"
+_TARGET_STATUS = "CASE length(target) % 7 WHEN 0 THEN 404 ELSE 200 END"
+_SITES = f"""
+hosts AS (SELECT DISTINCT {_HOST.format("url")} AS host FROM pages),
+sites AS (
+  SELECT host || '/' AS site, host, '/' AS path, length(host) % 2 = 0 AS recursive FROM hosts
+  UNION ALL SELECT host || CASE WHEN host LIKE 'm.%' THEN '/en' ELSE '/de' END, host, CASE WHEN host LIKE 'm.%' THEN '/en' ELSE '/de' END, length(host) % 3 = 0 FROM hosts WHERE host LIKE 'm.%' OR host LIKE 'blog.%')"""
+_EDGES = """
+edges AS (SELECT a.url AS src, b.url AS dst FROM pages a, (SELECT count(*) AS n FROM pages) c, pages b WHERE b.page_id IN ((a.page_id * 7 + 3) % n, (a.page_id * 2 + 1) % n) AND a.url <> b.url)"""
+_RESULTS = f"{_LINKS}, results AS (SELECT doc_url, ord, raw, target, {_TARGET_STATUS} AS status FROM links)"
+_METRICS = f"{_RESULTS}, metrics AS (SELECT url AS doc_url, count(*) FILTER (status = 200) AS success, count(*) FILTER (status <> 200) AS error FROM pages LEFT JOIN results ON url = doc_url GROUP BY url)"
+_NOFRAG = "regexp_replace({0}, '#.*$', '')"
+_VERSIONS = f"""
+versions AS (
+  SELECT page_id, url, {_STATUS} AS status, TIMESTAMP '2024-01-01' + to_hours(page_id::INT) AS fetched_at FROM pages
+  UNION ALL SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN 500 ELSE {_STATUS} END, TIMESTAMP '2024-01-01' + to_hours(page_id::INT + 5) FROM pages),
+latest AS (SELECT page_id, url, arg_max(status, fetched_at) AS status, max(fetched_at) AS fetched_at FROM versions GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY page_id, url")
+_LOG = "log AS (SELECT user_id::VARCHAR AS site, '/' || event_type AS url, ts, event_id FROM events)"
+_REDIRECT_TO = "SELECT p.page_id, p.url, n.url AS next FROM pages p LEFT JOIN pages n ON n.page_id = p.page_id + 1"
+_WEEKS = "CASE u WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 60000 WHEN 3 THEN 3600000 WHEN 4 THEN 86400000 WHEN 5 THEN 604800000 END"
+
+ORACLE_SQL: dict[str, str] = {
+    "audit": f"WITH {_METRICS} SELECT * FROM metrics",
+    "start_tags": f"WITH {_TAGS} SELECT doc_url, ord, name, len(regexp_extract_all(regexp_replace(tag, '^<[A-Za-z][^\\s/>]*', ''), '{_ATTRIBUTE}'))::INT AS n_attributes FROM tags",
+    "href_links": f"""WITH {_LINKS} SELECT doc_url, 'a' AS element, 'href' AS attribute, raw FROM own
+      UNION ALL SELECT url, 'a', 'xlink:href', '#x' || page_id FROM pages UNION ALL SELECT url, 'a', 'href', '#x' || (page_id % 4) FROM pages
+      UNION ALL SELECT url, 'a', 'href', 'data:image/svg+xml,%3Csvg%20id=%22d' || (page_id % 7) || '%22/%3E' FROM pages""",
+    "src_links": "SELECT url AS doc_url, 'script' AS element, '/x' || (page_id % 5) || '.js' AS raw FROM pages UNION ALL SELECT url, 'img', '/i/' || page_id || '.png' FROM pages",
+    "srcset_links": "SELECT url AS doc_url, 'img' AS element, i::INT AS item, CASE i WHEN 2 THEN 'data:image/png;base64,AA,BB' ELSE '/i/' || page_id || '-' || (i + 1) || '.png' END AS raw FROM pages, range(3) r(i)",
+    "link_element_links": "SELECT url AS doc_url, '/s/' || page_id || '.css' AS raw, 'css' AS hint FROM pages UNION ALL SELECT url, '/map.xml', 'sitemap' FROM pages",
+    "meta_links": "SELECT url AS doc_url, '/og/' || page_id || '.png' AS raw FROM pages",
+    "html_links": f"""WITH {_LINKS}, n AS (SELECT doc_url, count(*) AS n FROM own GROUP BY 1)
+      SELECT url AS doc_url, attribute, (k + CASE attribute WHEN 'href' THEN coalesce(n, 0) ELSE 0 END)::BIGINT AS n FROM pages LEFT JOIN n ON url = doc_url, (VALUES ('href', 4), ('xlink:href', 1), ('src', 2), ('srcset', 3), ('content', 1)) v(attribute, k)""",
+    "svg_links": "SELECT url AS doc_url, 1 AS ord, 'use' AS element, 'xlink:href' AS attribute, '#a' || page_id AS raw FROM pages UNION ALL SELECT url, 2, 'a', 'href', '/svg/' || page_id FROM pages",
+    "css_links": """SELECT url AS doc_url, '@import' AS element, 'a' || page_id || '.css' AS raw, 'css' AS hint FROM pages UNION ALL SELECT url, '@import', 'b.css', 'css' FROM pages
+      UNION ALL SELECT url, 'url', 'c' || (page_id % 9) || '.png', NULL FROM pages UNION ALL SELECT url, 'url', unnest(['d.png', 'e.png']), NULL FROM pages""",
+    "sitemap_links": """SELECT url AS doc_url, 'https://example.com/' || page_id || '?a=1&b=2' AS raw, NULL::VARCHAR AS hint FROM pages WHERE page_id % 2 = 0
+      UNION ALL SELECT url, 'https://example.com/c' || page_id, NULL FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 'https://example.com/m' || page_id || '.xml', 'sitemap' FROM pages WHERE page_id % 2 = 1""",
+    "robots_sitemap_links": "WITH r AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root FROM pages) SELECT root || '/robots.txt' AS doc_url, root || unnest(['/map.xml', '/news.xml']) AS raw, 'sitemap' AS hint FROM r",
+    "data_svg_documents": """SELECT DISTINCT 'data:image/svg+xml,%3Csvg%20id=%22d' || (page_id % 7) || '%22/%3E' AS url, 200 AS status, '<svg id="d' || (page_id % 7) || '"/>' AS body, NULL::VARCHAR AS error FROM pages""",
+    "base_url": f"""SELECT url AS doc_url, CASE page_id % 4 WHEN 0 THEN {_ORIGIN.replace("doc_url", "url")} || '/b/' WHEN 2 THEN NULL ELSE url END AS base, CASE WHEN page_id % 4 = 2 THEN 'url_parse' END AS error FROM pages""",
+    "anchors": "SELECT url AS doc_url, 'x' || page_id AS anchor FROM pages UNION ALL SELECT url, 'n' || (page_id % 3) FROM pages",
+    "output_element": "SELECT url AS doc_url, 'src,srcset' AS names FROM pages",
+    "elements": f"""WITH {_TAGS} SELECT doc_url, name, count(*) AS n FROM tags WHERE name IN ('html', 'head', 'body', 'nav', 'ul', 'article', 'a') GROUP BY doc_url, name""",
+    "resolve_url": f"WITH {_LINKS} SELECT doc_url, ord, raw, target FROM links",
+    "url_parts": f"""SELECT page_id, regexp_extract(url, '^(https?):', 1) AS scheme, {_HOST.format("url")} AS host, -1 AS port, {_PATH.format("url")} AS path,
+      CASE WHEN contains(url, '?') THEN regexp_extract(url, '\\?([^#]*)', 1) END AS query, CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)$', 1) END AS fragment,
+      regexp_extract(url, '^(https?://)', 1) || {_HOST.format("url")} || CASE WHEN starts_with(url, 'https:') THEN ':443' ELSE ':80' END AS origin FROM pages""",
+    "url_scalars": f"""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'DATA:text/plain,' || url || url WHEN 1 THEN 'mailto:x@y' ELSE url END AS u FROM pages),
+      f AS (SELECT *, CASE WHEN contains(u, '#') THEN regexp_extract(u, '#(.*)$', 1) END AS fragment FROM u)
+      SELECT page_id, {_NOFRAG.format("u")} AS nofrag, fragment, CASE page_id % 5 WHEN 0 THEN 'data' WHEN 1 THEN 'other' ELSE 'document' END AS class,
+        CASE WHEN starts_with(u, 'DATA:') AND length(u) > 64 THEN left(u, 64) || '...' ELSE u END AS short, ends_with(u, 'feed') OR contains(u, '#top') AS ignored, coalesce(fragment IN ('top', 'x'), false) AS full FROM f""",
+    "timing_scalars": f"""WITH e AS (SELECT *, event_id % 7 AS u, (event_id % 6)::INT AS n, datediff('millisecond', ts, TIMESTAMP '2024-01-16') AS ago FROM events)
+      SELECT event_id, coalesce((event_id % 90) * {_WEEKS}, -1)::BIGINT AS ms, (event_id * 777777 // 1000000)::BIGINT AS latency, CASE WHEN n <= 1 THEN 100 ELSE least(100 * pow(2, n - 1), 1000) END::DOUBLE AS delay, n AS retries,
+        CASE WHEN ago <= 86400000 THEN 'fresh' WHEN ago <= 4 * 86400000 THEN 'stale' ELSE 'expired' END AS age FROM e""",
+    "type_scalars": """WITH p AS (SELECT page_id, CASE WHEN page_id % 11 <> 0 THEN ['text/html', 'Text/CSS', 'application/xml', 'image/svg+xml', 'text/plain', 'image/png'][page_id % 6 + 1] END AS media, ['css', 'html', 'sitemap', 'svg', 'robots', NULL][(page_id // 6) % 6 + 1] AS hint FROM pages),
+      t AS (SELECT *, CASE lower(media) WHEN 'text/css' THEN 'css' WHEN 'text/html' THEN 'html' WHEN 'application/xml' THEN 'sitemap' WHEN 'image/svg+xml' THEN 'svg' WHEN 'text/plain' THEN 'robots' END AS is_a FROM p)
+      SELECT page_id, media, CASE WHEN media IS NULL THEN hint WHEN hint IS NULL THEN CASE WHEN is_a IN ('css', 'html', 'svg') THEN is_a END WHEN hint = is_a THEN hint END AS doc_type,
+        CASE WHEN media IS NOT NULL AND hint IS NOT NULL AND hint IS DISTINCT FROM is_a THEN 'content_type_invalid' END AS error, page_id % 3 <> 0 AS utf8, page_id % 3 <> 2 AS accepted, false AS scheme_ok FROM t""",
+    "name_scalars": """WITH k AS (SELECT page_id, page_id % 5 AS ns, ['p', 'xlink', ''][(page_id // 5) % 3 + 1] AS prefix, page_id % 3 AS p, (page_id // 3) % 3 AS v, ['exact', 'ci', 'token'][(page_id // 7) % 3 + 1] AS match FROM pages)
+      SELECT page_id, CASE ns WHEN 0 THEN 'xlink:n' WHEN 2 THEN CASE prefix WHEN 'p' THEN 'p:n' WHEN 'xlink' THEN 'http://example.com/n:n' ELSE 'n' END WHEN 3 THEN NULL ELSE 'n' END AS qualified,
+        CASE p WHEN 0 THEN v = 0 WHEN 1 THEN v = 1 ELSE v <> 2 END AS matches,
+        CASE p WHEN 0 THEN true WHEN 1 THEN CASE v WHEN 0 THEN false WHEN 1 THEN match = 'ci' ELSE match = 'token' END ELSE CASE v WHEN 1 THEN match = 'ci' ELSE true END END AS value_ok FROM k""",
+    "error_messages": f"""WITH s AS (SELECT page_id, CASE {_STATUS} WHEN 200 THEN '200 OK' WHEN 301 THEN '301 Moved Permanently' WHEN 404 THEN '404 Not Found' ELSE '503 Service Unavailable' END AS shown FROM pages)
+      SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'invalid status ' || shown WHEN 1 THEN 'invalid scheme "http"' WHEN 2 THEN 'element for #x' || page_id || ' not found' WHEN 3 THEN 'content type expected css but got Text/Html' ELSE 'too many redirects' END AS message, shown, NULL::VARCHAR AS nothing FROM s""",
+    "match_site": f"""WITH {_SITES} SELECT page_id, arg_max(site, length(path)) AS site, arg_max(recursive, length(path)) AS recursive
+      FROM (SELECT page_id, coalesce(site, 'default') AS site, coalesce(path, '') AS path, coalesce(recursive, false) AS recursive FROM pages LEFT JOIN sites ON {_HOST.format("url")} = host AND starts_with({_PATH.format("url")}, path)) GROUP BY page_id""",
+    "recursive_urls": f"WITH {_SITES} SELECT page_id, url FROM pages WHERE EXISTS (FROM sites WHERE {_HOST.format('url')} = host AND starts_with({_PATH.format('url')}, path) AND recursive)",
+    "roots_by_host": f"WITH {_SITES} SELECT host, string_agg(path, ',' ORDER BY path) AS roots FROM sites GROUP BY host",
+    "ignored_site_filter": "SELECT page_id, url FROM pages WHERE NOT contains(url, 'casino-win.example.com/') AND NOT contains(url, 'free-bets')",
+    "broken_links": f"WITH {_LINKS} SELECT doc_url, ord, target, 'http_status' AS error_kind, 'invalid status 404 Not Found' AS error, 404 AS status FROM links WHERE {_TARGET_STATUS} = 404",
+    "missing_fragments": "SELECT url AS doc_url, 'x' || (page_id % 4) AS fragment FROM pages WHERE page_id % 4 > 1 AND page_id % 4 <> page_id",
+    "link_targets": f"WITH {_LINKS} SELECT target AS target_nofrag, count(*) AS n FROM links GROUP BY 1",
+    "resolve_redirects": """WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/r/' || page_id AS url FROM pages),
+      u AS (SELECT *, 5 - page_id % 5 AS need, (SELECT max(page_id) FROM pages) - page_id AS have FROM p WHERE page_id % 5 <> 0)
+      SELECT u.url, CASE WHEN need <= 3 AND have >= need THEN p.url END AS final_url, CASE WHEN have < need AND have < 3 THEN have + 1 WHEN need <= 3 THEN need ELSE 3 END::INT AS hops,
+        CASE WHEN have < need AND have < 3 THEN 'redirect_location' WHEN need > 3 THEN 'too_many_redirects' END AS error FROM u LEFT JOIN p ON p.page_id = u.page_id + need""",
+    "cross_origin_hops": f"""SELECT url, {_NOFRAG.format("next")} AS next FROM ({_REDIRECT_TO}) WHERE page_id % 20 = 1 AND next IS NOT NULL AND regexp_extract(url, '^(https?://[^/?#]+)', 1) <> regexp_extract(next, '^(https?://[^/?#]+)', 1)""",
+    "robots_rules": f"""WITH r AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root FROM pages), o AS (SELECT root, root || CASE WHEN starts_with(root, 'https:') THEN ':443' ELSE ':80' END AS origin FROM r)
+      SELECT origin, false AS allow, '/fr/' AS pattern FROM o WHERE length(root) % 4 = 0
+      UNION ALL SELECT origin, false, unnest(['/en/1', '/*.html$']) FROM o WHERE length(root) % 4 <> 0 UNION ALL SELECT origin, true, '/en/1' || (length(root) % 10) FROM o WHERE length(root) % 4 <> 0""",
+    "robots_filter": f"""WITH p AS (SELECT page_id, length(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS n, {_PATH.format("url")} AS path FROM pages)
+      SELECT page_id, CASE WHEN n % 4 = 0 THEN NOT starts_with(path, '/fr/') WHEN ends_with(path, '.html') THEN false WHEN starts_with(path, '/en/1' || (n % 10)) THEN true ELSE NOT starts_with(path, '/en/1') END AS allowed FROM p""",
+    "robots_documents": "SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/robots.txt' AS url FROM pages",
+    "unknown_tags": "SELECT url AS doc_url, 'unknown_tag' AS kind, 'blink' AS name, NULL::VARCHAR AS detail FROM pages WHERE page_id % 6 = 0",
+    "disallowed_attributes": "SELECT url AS doc_url, 'attribute_not_allowed' AS kind, 'foo' AS name, NULL::VARCHAR AS detail FROM pages WHERE page_id % 6 = 2",
+    "invalid_attribute_values": "SELECT url AS doc_url, 'invalid_value' AS kind, 'target' AS name, 'nowhere' AS detail FROM pages WHERE page_id % 6 = 2",
+    "conflicting_attributes": "SELECT url AS doc_url, 'conflicting_attribute' AS kind, 'name' AS name, NULL::VARCHAR AS detail FROM pages WHERE page_id % 6 = 3",
+    "missing_attributes": "SELECT url AS doc_url, 'missing_attribute' AS kind, 'src' AS name, NULL::VARCHAR AS detail FROM pages WHERE page_id % 6 = 1",
+    "disallowed_children": "SELECT url AS doc_url, 'child_not_allowed' AS kind, CASE page_id % 6 WHEN 0 THEN 'blink' WHEN 3 THEN 'meta' ELSE 'p' END AS name, NULL::VARCHAR AS detail FROM pages WHERE page_id % 6 IN (0, 3, 4)",
+    "misplaced_children": "SELECT url AS doc_url, 'misplaced_child' AS kind, unnest(CASE WHEN page_id % 56 = 0 THEN ['body', 'head'] WHEN page_id % 7 = 0 THEN ['head'] ELSE ['body'] END) AS name, NULL::VARCHAR AS detail FROM pages WHERE page_id % 7 = 0 OR page_id % 8 = 0",
+    "missing_children": "SELECT url AS doc_url, 'missing_child' AS kind, 'dd' AS name, NULL::VARCHAR AS detail FROM pages WHERE page_id % 8 = 0",
+    "dedup_attributes": "SELECT url AS doc_url, unnest(['class', 'id']) AS attribute, unnest(['x', 'a']) AS value FROM pages",
+    "best_variant": "WITH s AS (SELECT event_id // 4 AS k, event_id % 4 AS variant, event_id * 7 % 3 AS errors, event_id * 5 % 2 AS conflicts FROM events) SELECT k::VARCHAR AS doc_url, variant FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY errors, conflicts, variant) = 1",
+    "svg_root_errors": "SELECT url AS doc_url, 'root_name' AS kind, 'g' AS detail FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT url, 'root_namespace', 'http://example.com/ns' FROM pages WHERE page_id % 3 = 0",
+    "document_metrics": f"WITH {_METRICS} SELECT * FROM metrics",
+    "run_metrics": f"WITH {_METRICS} SELECT count(*) FILTER (error = 0) AS documents_ok, count(*) FILTER (error > 0) AS documents_failed, sum(success)::BIGINT AS items_ok, sum(error)::BIGINT AS items_failed, bool_or(error > 0) AS failed FROM metrics",
+    "summary_table": f"WITH {_METRICS} SELECT 'documents' AS what, count(*) FILTER (error = 0) AS success, count(*) FILTER (error > 0) AS error, count(*) AS total FROM metrics UNION ALL SELECT 'elements', sum(success)::BIGINT, sum(error)::BIGINT, sum(success + error)::BIGINT FROM metrics",
+    "error_histogram": f"WITH {_RESULTS} SELECT {_HOST.format('doc_url')} AS host, 'http_status' AS error_kind, count(*) AS n FROM results WHERE status <> 200 GROUP BY 1",
+    "css_syntax_errors": "SELECT url AS doc_url, CASE page_id % 5 WHEN 0 THEN 'unexpected }' ELSE 'unclosed block' END AS errors FROM pages WHERE page_id % 5 < 2",
+    "report_json": f"""WITH {_RESULTS}, e AS (SELECT doc_url, ord, '{{"element":{{"name":"a","attributes":[["href","' || raw || '"]]}},"results":[' || CASE status WHEN 200 THEN '{{"response":{{"url":"' || target || '","status":200,"latency":0}}}}' ELSE '{{"error":"invalid status 404 Not Found"}}' END || ']}}' AS j FROM results)
+      SELECT doc_url AS url, '{{"url":"' || doc_url || '","elements":[' || string_agg(j, ',' ORDER BY ord) || ']}}' AS json FROM e GROUP BY doc_url""",
+    "report_lines": f"""WITH {_RESULTS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_url ORDER BY ord) AS k FROM results)
+      SELECT DISTINCT doc_url, 0 AS place, doc_url AS line FROM n UNION ALL SELECT doc_url, (2 * k - 1)::INT, chr(9) || 'a href="' || raw || '"' FROM n
+      UNION ALL SELECT doc_url, (2 * k)::INT, chr(9) || chr(9) || CASE status WHEN 200 THEN '✅ 200 OK ' || target || ' 0 ms' ELSE '❌ invalid status 404 Not Found' END FROM n""",
+    "latest_response": f"WITH {_VERSIONS} SELECT * FROM latest",
+    "write_store": f"WITH {_VERSIONS} SELECT page_id, url, status FROM latest",
+    "cache_lookup": f"""WITH {_VERSIONS}, a AS (SELECT p.page_id, l.status, l.url IS NULL AS gone, datediff('millisecond', fetched_at, TIMESTAMP '2024-01-06') AS age, CASE WHEN p.page_id % 2 = 0 THEN 86400000 ELSE 3600000 END AS max_age FROM pages p LEFT JOIN latest l ON p.url = l.url AND p.page_id % 4 <> 1),
+      l AS (SELECT page_id, CASE WHEN gone THEN 'miss' WHEN status = 503 THEN 'evicted' WHEN age <= max_age THEN 'hit' WHEN age <= max_age + 86400000 THEN 'stale_hit' ELSE 'expired' END AS lookup FROM a)
+      SELECT page_id, lookup, CASE WHEN lookup = 'hit' THEN 'stored' WHEN page_id % 5 <> 0 THEN 'fetched' WHEN lookup = 'stale_hit' THEN 'stored' ELSE 'failed' END AS outcome FROM l""",
+    "retry_outcome": """WITH a AS (SELECT 'u' || (event_id // 10) AS url, (event_id % 10)::INT AS attempt, CASE event_type WHEN 'signup' THEN NULL WHEN 'error' THEN 503 ELSE 200 END AS status FROM events QUALIFY row_number() OVER (PARTITION BY event_id // 10 ORDER BY event_id) <= 5),
+      n AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY attempt) AS i, coalesce(status = 200, false) AS done FROM a)
+      SELECT url, attempt, coalesce(status, -1)::INT AS status, i::INT AS used, done AS settled FROM n QUALIFY row_number() OVER (PARTITION BY url ORDER BY done DESC, CASE WHEN done THEN i ELSE -i END) = 1""",
+    "rate_limit_violations": f"WITH {_LOG} SELECT site, date_trunc('hour', ts) AS window_start, count(*) AS n FROM log GROUP BY 1, 2 HAVING count(*) > 1",
+    "rate_limited_schedule": f"WITH {_LOG} SELECT event_id, site, (row_number() OVER (PARTITION BY site ORDER BY ts, event_id) - 1) // 5 AS slot FROM log",
+    "crawl_depth": f"WITH RECURSIVE {_EDGES}, r AS (SELECT url, 0 AS depth FROM pages WHERE page_id = 1 UNION SELECT dst, depth + 1 FROM r JOIN edges ON url = src WHERE depth < 40) SELECT url, min(depth)::INT AS depth FROM r GROUP BY url",
+    "crawl": f"""WITH RECURSIVE {_SITES}, {_EDGES}, good AS (SELECT url FROM pages WHERE {_STATUS} = 200), wide AS (SELECT url FROM pages WHERE EXISTS (FROM sites WHERE {_HOST.format("url")} = host AND starts_with({_PATH.format("url")}, path) AND recursive)),
+      r AS (SELECT url FROM pages WHERE page_id = 3 UNION SELECT dst FROM r JOIN edges ON r.url = src WHERE dst IN (SELECT url FROM good) AND dst IN (SELECT url FROM wide)) SELECT url FROM r""",
+    "frontier_minus_visited": "SELECT url FROM pages WHERE (page_id % 2 = 0 OR page_id % 3 = 0) AND page_id % 5 <> 0",
+    "distinct_documents": f"SELECT {_HOST.format('url')} AS final_url, min(url) AS url FROM pages GROUP BY 1",
+    "stream_results": f"WITH {_LINKS} SELECT doc_url, ord, target, {_TARGET_STATUS} = 200 AS ok, CASE WHEN {_TARGET_STATUS} <> 200 THEN 'http_status' END AS error_kind FROM links",
+    "stream_dedup": "SELECT url AS final_url, TIMESTAMP '2024-01-01' + to_hours(page_id::INT) AS fetched_at FROM pages",
+    "stream_metrics": f"WITH {_METRICS} SELECT sum(success)::BIGINT AS success, sum(error)::BIGINT AS error FROM metrics",
+    "stream_store": f"WITH {_VERSIONS} SELECT page_id, url, status FROM latest",
+    "stream_rate": f"WITH {_LOG} SELECT site, date_trunc('hour', ts) AS window_start, count(*) AS n FROM log GROUP BY 1, 2 HAVING count(*) > 1",
+}

@@ -157,7 +157,7 @@ def q_resolve_url(spark, d):
 
 @query
 def q_url_parts(spark, d):
-    return inputs.pages(spark, d).select("page_id", urls.url_parts(F.col("url")).alias("p")).select("page_id", "p.*")
+    return inputs.pages(spark, d).select("page_id", urls.url_parts(F.col("url")).alias("p")).select("page_id", "p.scheme", "p.host", F.coalesce("p.port", F.lit(-1)).alias("port"), "p.path", "p.query", "p.fragment", "p.origin")
 
 
 @query
@@ -165,7 +165,7 @@ def q_url_scalars(spark, d):
     u = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("DATA:text/plain,"), "url", "url")).when(F.col("page_id") % 5 == 1, F.lit("mailto:x@y")).otherwise(F.col("url"))
     rows = inputs.pages(spark, d).select("page_id", u.alias("u"))
     u = F.col("u")
-    return rows.select("page_id", urls.strip_fragment(u).alias("nofrag"), urls.fragment_of(u).alias("fragment"), urls.link_class(u).alias("class"), urls.truncate_url(u).alias("short"), check.link_ignored(u, ["feed$", "#top"]).alias("ignored"), text.full_match(urls.fragment_of(u), ["to.", "x"]).alias("full"))
+    return rows.select("page_id", urls.strip_fragment(u).alias("nofrag"), urls.fragment_of(u).alias("fragment"), urls.link_class(u).alias("class"), urls.truncate_url(u).alias("short"), check.link_ignored(u, ["feed$", "#top"]).alias("ignored"), F.coalesce(text.full_match(urls.fragment_of(u), ["to.", "x"]), F.lit(False)).alias("full"))
 
 
 @query
@@ -175,7 +175,7 @@ def q_timing_scalars(spark, d):
     span = F.concat((F.col("event_id") % 90).cast("string"), F.element_at(F.array(*map(F.lit, ("ms", "s", "m", "h", "d", "w", "x"))), F.col("event_id").cast("int") % 7 + 1))
     now = F.lit("2024-01-16").cast("timestamp")
     return e.select(
-        "event_id", timing.duration_ms(span).alias("ms"), timing.latency_ms((F.col("event_id") * 777_777).cast("long")).alias("latency"), timing.retry_backoff(F.lit(100), F.lit(2.0), F.lit(1000), n).alias("delay"),
+        "event_id", F.coalesce(timing.duration_ms(span), F.lit(-1)).alias("ms"), timing.latency_ms((F.col("event_id") * 777_777).cast("long")).alias("latency"), timing.retry_backoff(F.lit(100), F.lit(2.0), F.lit(1000), n).alias("delay"),
         F.size(timing.backoff_schedule(F.lit(100), F.lit(0.0), F.lit(None), n)).alias("retries"), timing.freshness(F.col("ts"), now, F.lit(86_400_000), F.lit(3 * 86_400_000)).alias("age"),
     )
 
@@ -264,11 +264,13 @@ def q_link_targets(spark, d):
 
 @query
 def q_resolve_redirects(spark, d):
-    r = inputs.responses(spark, d)
-    # a chain: every page but each fifth leads to the next one
-    chained = r.join(inputs.pages(spark, d).select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("to")), "page_id", "left")
-    chained = chained.withColumn("status", F.when(F.col("page_id") % 5 != 0, F.lit(302)).otherwise(F.lit(200))).withColumn("headers", F.when(F.col("to").isNotNull(), F.create_map(F.lit("location"), urls.strip_fragment(F.col("to")))).otherwise(F.create_map().cast("map<string,string>")))
-    return redirects.resolve_redirects(chained.withColumn("url", urls.strip_fragment(F.col("url"))), 3)
+    """Chains: /r/k of every page's host leads to the next page's, but for each fifth."""
+    root = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+    p = inputs.pages(spark, d).select("page_id", F.concat(root, F.lit("/r/"), F.col("page_id").cast("string")).alias("url"))
+    chained = p.join(p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("to")), "page_id", "left")
+    headers = F.when(F.col("to").isNotNull(), F.create_map(F.lit("location"), "to")).otherwise(F.create_map().cast("map<string,string>"))
+    chained = chained.select("url", F.when(F.col("page_id") % 5 != 0, 302).otherwise(200).alias("status"), headers.alias("headers"))
+    return redirects.resolve_redirects(chained, 3)
 
 
 @query
@@ -428,7 +430,7 @@ def q_cache_lookup(spark, d):
 
 @query
 def q_retry_outcome(spark, d):
-    return requestlog.retry_outcome(inputs.attempts(spark, d), 4, [503]).select("url", "attempt", "status", "used", "settled")
+    return requestlog.retry_outcome(inputs.attempts(spark, d), 4, [503]).select("url", "attempt", F.coalesce("status", F.lit(-1)).alias("status"), "used", "settled")
 
 
 @query
