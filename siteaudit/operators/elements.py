@@ -21,6 +21,7 @@ CLOSED_BY = {
     "tr": ["tr", "tbody", "tfoot"], "td": ["td", "th", "tr"], "th": ["td", "th", "tr"], "thead": ["tbody", "tfoot"], "tbody": ["tbody", "tfoot"],
     "head": ["body"],
 }
+SCOPES = "button caption html marquee object table td template th svg math".split()
 HTML_NS, SVG_NS = "http://www.w3.org/1999/xhtml", "http://www.w3.org/2000/svg"
 SCHEMA = "doc_url string, ord int, parent_ord int, depth int, name string, namespace string, attributes array<struct<name:string,value:string>>, children array<string>"
 
@@ -39,6 +40,8 @@ class _Tree(HTMLParser):
         if not self.xml:
             while self.open and tag in CLOSED_BY.get(self.rows[self.open[-1]]["name"], ()):
                 self.open.pop()
+            if tag in CLOSED_BY["p"]:
+                self._close_paragraph()
         own = dict(attrs)
         parent = self.rows[self.open[-1]] if self.open else None
         space = own.get("xmlns") or (parent["namespace"] if parent else None if self.xml else HTML_NS)
@@ -51,6 +54,16 @@ class _Tree(HTMLParser):
         if not closed and (self.xml or tag not in VOID):
             self.open.append(len(self.rows) - 1)
 
+    def _close_paragraph(self) -> None:
+        """A block ends an open paragraph, whatever inline elements are still open in it."""
+        for i in range(len(self.open) - 1, -1, -1):
+            name = self.rows[self.open[i]]["name"]
+            if name == "p":
+                del self.open[i:]
+                return
+            if name in SCOPES:
+                return
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs, closed=self.xml or tag in VOID or any(self.rows[o]["namespace"] == SVG_NS for o in self.open))
 
