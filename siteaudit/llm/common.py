@@ -4,44 +4,16 @@ from __future__ import annotations
 
 import math
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siteaudit.sources.scratch import cut, scratch, small  # noqa: F401  the operators' own names for them
+
 #: White space of the contracts: space and the ASCII controls 9 to 13.
 SPACES = "[\\x20\\x09-\\x0D]+"
-#: The largest table, in rows, that is broadcast; beyond it a shuffled join is used.
-BROADCAST_ROWS = 500_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("siteaudit.scratch.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("siteaudit.scratch.dir", base)
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody else uses."""
-    return f"{shared_dir(spark)}/siteaudit-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: its lineage ends there, and lost executors don't bring the work before it back."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit, else df as it is."""
-    return F.broadcast(df) if rows <= limit else df
 
 
 def text_of(col: str | Column) -> Column:
@@ -57,18 +29,6 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 8_00
             yield batch.slice(i, step)
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names for helper columns that no column of df has."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        n = f"__{name}"
-        while n.lower() in taken:
-            n += "_"
-        taken.add(n.lower())
-        out.append(n)
-    return out
-
-
 def words_pattern() -> re.Pattern:
     """Letters and digits of any script, as one word."""
     return re.compile(r"[^\W_]+")

@@ -111,10 +111,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, read from Parquet, without the rows whose text an earlier row has. All columns stay as they are."""
-    gone = cut(exact_groups(docs, id_col, text_col, from_files=True).where(~F.col("kept")).select(F.col("file").alias("__file"), F.col("row").alias("__row")), "gone")
+    gone = cut(exact_groups(docs, id_col, text_col, from_files=True).where(~F.col("kept")).select("file", "row"), "gone")
     n = gone.count()
     if n == 0:
         return docs
-    marked = docs.select("*", F.xxhash64("_metadata.file_path").alias("__own_file"), F.col("_metadata.row_index").alias("__own_row"))
-    left = marked.join(small(gone, n), (F.col("__own_file") == F.col("__file")) & (F.col("__own_row") == F.col("__row")), "left_anti")
-    return left.drop("__own_file", "__own_row")
+    # a row travels as one value, so that no name of its own can clash
+    marked = docs.select(F.struct("*").alias("doc"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return marked.join(small(gone, n), ["file", "row"], "left_anti").select("doc.*")

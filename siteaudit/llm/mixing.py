@@ -136,6 +136,7 @@ def mix_documents(docs: DataFrame, domain: Column, weights: dict[str, Column], s
     """The selected rows of docs with their own columns, once for each epoch; the last one of a leaf is kept whole. No shuffle of texts."""
     rows = token_rows(docs, domain, id_col, text_col, lang_col, source_col)
     plan = cut(plan_mix(rows, share, weights, max_epochs, seed), "mix")
-    worded = docs.where(F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
-    out = _copies(worded, plan, id_col, [domain, F.col(lang_col), F.col(source_col)], seed).where("__copies > 0")
-    return out.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).select(*docs.columns)
+    # a row travels as one value, so that no name of its own can clash
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), domain.alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), text_of(text_col).rlike("[^\\x20\\x09-\\x0D]").alias("worded"))
+    out = _copies(rows.where("worded"), plan, "id", [F.col(k) for k in LEVELS], seed).where("__copies > 0")
+    return out.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).select("doc.*")

@@ -61,7 +61,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
 
     good = labels.where(F.col(label) > 0).select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct()
     good = good.orderBy(F.xxhash64("__id"), "__id").limit(bound).withColumn("__good", F.lit(True))
-    marked = docs.join(F.broadcast(good), F.col(id_col) == F.col("__id"), "left").select(text_of(text_col).alias("text"), F.coalesce("__good", F.lit(False)).alias("good"))
+    texts = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("text"))
+    marked = texts.join(F.broadcast(good), "__id", "left").select("text", F.coalesce("__good", F.lit(False)).alias("good"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sums = Hashes(), np.zeros((2, BUCKETS), np.int64)

@@ -307,7 +307,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     classes = cut(prints.where("id IS NOT NULL").groupBy("content").agg(F.min("id").alias("id"), *[F.min(c).alias(c) for c in ("fp", "fp2", "n")]), "classes")
     items = classes.groupBy("id").agg(F.min_by(F.struct("fp", "fp2", "n"), "content").alias("x")).select("id", "x.fp", "x.fp2", "x.n")
     found = cut(_candidates(items, similarity, first, radius, tile), "candidates")
-    wanted = cut(found.select(F.col("id").alias("__id")).distinct(), "wanted")
+    wanted = cut(found.select("id").distinct(), "wanted")
     n_wanted = wanted.count()
 
     def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,8 +318,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             hashes = [np.unique(np.fromiter(map(xxh64_intdigest, set(shingles(x, words))), np.uint64)).tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.binary())], ["id", "hashes"])
 
-    texts = docs.join(small(wanted, n_wanted), F.col(id_col) == F.col("__id"), "left_semi")
-    sets = texts.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("text")).mapInArrow(to_sets, "id long, hashes binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("text"))
+    texts = texts.join(small(wanted, n_wanted), "id", "left_semi")
+    sets = texts.mapInArrow(to_sets, "id long, hashes binary")
     sets = sets.groupBy("id").agg(F.min("hashes").alias("hashes"))
 
     def verify(key, group):
@@ -341,6 +342,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the rows whose similar_documents group has a smaller id. All columns stay as they are."""
-    gone = similar_documents(docs, id_col=id_col, text_col=text_col, **how).where(F.col("id") != F.col("keep_id")).select(F.col("id").alias("__gone")).distinct()
+    gone = similar_documents(docs, id_col=id_col, text_col=text_col, **how).where(F.col("id") != F.col("keep_id")).select("id").distinct()
     gone = cut(gone, "gone")
-    return docs.join(small(gone, gone.count()), F.col(id_col) == F.col("__gone"), "left_anti")
+    # a row travels as one value, so that no name of its own can clash
+    return docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id")).join(small(gone, gone.count()), "id", "left_anti").select("doc.*")
