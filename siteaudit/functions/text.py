@@ -120,7 +120,7 @@ def qualify_name(namespace: Column, prefix: Column, local: Column) -> Column:
 def status_text(status: Column) -> Column:
     """The status with its reason."""
     reasons = F.create_map(*[F.lit(x) for k, v in REASONS.items() for x in (k, v)])
-    return F.concat_ws(" ", status.cast("string"), F.try_element_at(reasons, status))
+    return F.concat_ws(" ", status.cast("string"), F.try_element_at(reasons, status.cast("int")))
 
 
 def error_message(kind: Column, status: Column, scheme: Column, fragment: Column, expected: Column, actual: Column) -> Column:

@@ -205,9 +205,11 @@ def data_svg_documents(links: DataFrame) -> DataFrame:
     url = strip_fragment(F.col("target"))
     rows = links.where(F.col("target").rlike("(?i)^data:\\s*image/svg\\+xml\\s*[;,]")).select(url.alias("url")).distinct()
     head, data = F.regexp_extract("url", "^data:([^,]*),", 1), F.regexp_extract("url", "(?s)^data:[^,]*,(.*)$", 1)
-    plain = F.try_url_decode(F.replace(data, F.lit("+"), F.lit("%2B")))
-    raw = F.regexp_replace(F.try_url_decode(F.replace(data, F.lit("+"), F.lit("%2B"))), "\\s", "")
-    body = F.when(head.rlike("(?i);\\s*base64\\s*$"), F.try_to_binary(raw, F.lit("base64"))).otherwise(F.try_to_binary(plain, F.lit("utf-8")))
+    # percent signs give bytes, which needn't be UTF-8
+    pieces = F.regexp_extract_all(data, F.lit("(?s)%[0-9A-Fa-f]{2}|[^%]+|%"), F.lit(0))
+    raw = F.unhex(F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^%[0-9A-Fa-f]{2}$"), F.substring(p, 2, 2)).otherwise(F.hex(p))), ""))
+    packed = F.regexp_replace(F.try_validate_utf8(raw.cast("string")), "\\s", "")
+    body = F.when(head.rlike("(?i);\\s*base64\\s*$"), F.try_to_binary(packed, F.lit("base64"))).otherwise(raw)
     rows = rows.select("url", F.when(F.col("url").contains(","), body).alias("raw_body"))
     text = F.try_validate_utf8(F.col("raw_body").cast("string"))
     return rows.select("url", F.lit(200).alias("status"), text.alias("body"), F.when(text.isNull(), F.lit("data_url")).alias("error"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siteaudit.functions import text, timing, urls
 from siteaudit.operators import check, crawl, elements, extract, markup, redirects, report, requestlog, robots, sites, store
-from siteaudit.plans import inputs
+from siteaudit.plans import audit, inputs
 from siteaudit.sources.scratch import cut, scratch
 from siteaudit.sources.tables import write_report_json, write_store
 from siteaudit.streaming import jobs
@@ -38,8 +38,7 @@ def _targets(links: DataFrame) -> DataFrame:
 @query
 def q_audit(spark, d):
     """The flagship: links of all pages, checked, counted by document."""
-    links = _page_links(spark, d)
-    checked = check.check_links(links, _targets(links), inputs.sites(spark, d))
+    checked = audit.link_audit(inputs.pages(spark, d), _targets, inputs.sites(spark, d))
     docs = inputs.pages(spark, d).select(F.col("url").alias("doc_url"))
     return report.document_metrics(checked, docs)
 
@@ -235,7 +234,7 @@ def q_ignored_site_filter(spark, d):
 @query
 def q_check_links(spark, d):
     """Every link of the pages and of the added elements, checked with redirects, robots rules and fragments."""
-    links = extract.resolve_links(extract.html_links(extract.start_tags(inputs.extra_html(spark, d))))
+    links = audit.page_links(inputs.extra_html(spark, d))
     p = inputs.pages(spark, d)
     own = check.checked_targets(inputs.responses(spark, d).withColumn("url", urls.strip_fragment(F.col("url"))))
     others = _targets(links).join(p.select(urls.strip_fragment(F.col("url")).alias("url")).distinct(), "url", "left_anti")
@@ -246,8 +245,8 @@ def q_check_links(spark, d):
 
 @query
 def q_broken_links(spark, d):
-    links = _page_links(spark, d)
-    return check.broken_links(check.check_links(links, _targets(links), inputs.sites(spark, d))).select("doc_url", "ord", "target", "error_kind", "error", "status")
+    checked = audit.link_audit(inputs.pages(spark, d), _targets, inputs.sites(spark, d))
+    return check.broken_links(checked).select("doc_url", "ord", "target", "error_kind", "error", "status")
 
 
 @query
@@ -319,14 +318,13 @@ for _f in (markup.unknown_tags, markup.disallowed_attributes, markup.invalid_att
 
 @query
 def q_split_markup_errors(spark, d):
-    rows = markup.markup_errors(_marked_up(spark, d), markup.html_rules(spark))
-    return markup.split_markup_errors(rows).groupBy("kind", "message").agg(F.count(F.lit(1)).alias("n"))
+    return audit.markup_audit(_marked_up(spark, d), markup.html_rules(spark)).groupBy("kind", "message").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def q_page_markup(spark, d):
     """Markup errors of the pages themselves, by kind."""
-    rows = markup.markup_errors(elements.elements(inputs.pages(spark, d)), markup.html_rules(spark))
+    rows = markup.markup_errors(cut(elements.elements(inputs.pages(spark, d)), "elements"), markup.html_rules(spark))
     return rows.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
