@@ -220,4 +220,5 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([first + s for s in starts], pa.int64()), part.column(2), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = manifest.select("shard", "start")
-    return shards.repartition("shard").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = max(1, shards.count())  # a number of its own: tiny rows stand for much work and must not be put together
+    return shards.repartition(n, "shard").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
