@@ -69,10 +69,10 @@ def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
 
 
 def plan_mix(rows: DataFrame, share: tuple[int, int], weights: dict[str, Column], max_epochs: int, seed: int) -> DataFrame:
-    """rows: id, domain, lang, source, n_tokens. One row for each leaf: full (whole epochs), last_key and last_take.
+    """rows: id, domain, lang, source, n_tokens. One row for each leaf: full (whole epochs), last_key, last_take and last_whole.
 
     A leaf gives full whole epochs, and of the next epoch's order the documents up to last_key, of the last of
-    them last_take tokens. The cut is found in buckets of the order key: sums of buckets first, then only the
+    them last_take tokens (half of it or more: last_whole). The cut is found in buckets of the order key: sums of buckets first, then only the
     bucket with the cut is sorted; no task gets a whole leaf.
     """
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
@@ -91,9 +91,10 @@ def plan_mix(rows: DataFrame, share: tuple[int, int], weights: dict[str, Column]
     units = inside.groupBy(*LEVELS, "rest", "before", "key").agg(F.sum("n_tokens").alias("n"))
     upto = Window.partitionBy(*LEVELS).orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     last = units.withColumn("end", F.col("before") + F.sum("n").over(upto)).where("end >= rest AND end - n < rest")
-    last = last.select(*[F.col(k).alias(f"__{k}") for k in LEVELS], F.col("key").alias("last_key"), (F.col("rest") - F.col("end") + F.col("n")).alias("last_take"))
+    take = F.col("rest") - F.col("end") + F.col("n")
+    last = last.select(*[F.col(k).alias(f"__{k}") for k in LEVELS], F.col("key").alias("last_key"), take.alias("last_take"), (2 * take >= F.col("n")).alias("last_whole"))
     plan = budgets.join(last, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in LEVELS], "left")
-    return plan.select(*LEVELS, "tokens", "budget", "full", "last_key", "last_take")
+    return plan.select(*LEVELS, "tokens", "budget", "full", "last_key", "last_take", "last_whole")
 
 
 def token_rows(docs: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -102,13 +103,14 @@ def token_rows(docs: DataFrame, domain: Column, id_col: str = "doc_id", text_col
     return cut(named, "tokens")
 
 
-def _copies(df: DataFrame, plan: DataFrame, id_col: str, leaf: list[Column], seed: int) -> DataFrame:
-    """df with __copies, the plan's columns as __full, __last_key, __last_take, and __key."""
-    plan = plan.select(*[F.col(k).alias(f"__{k}") for k in LEVELS], *[F.col(c).alias(f"__{c}") for c in ("full", "last_key", "last_take")])
+def _copies(df: DataFrame, plan: DataFrame, id_col: str, leaf: list[Column], seed: int, rounded: bool = False) -> DataFrame:
+    """df with __copies, the plan's columns as __full, __last_key, __last_take, and __key. rounded: a leaf's last document counts only if half of it is taken."""
+    plan = plan.select(*[F.col(k).alias(f"__{k}") for k in LEVELS], *[F.col(c).alias(f"__{c}") for c in ("full", "last_key", "last_take", "last_whole")])
     plan = small(plan, plan.count(), 100_000)
     out = df.join(plan, [c.eqNullSafe(plan[f"__{k}"]) for c, k in zip(leaf, LEVELS)])
     out = out.withColumn("__key", order_key(seed, F.col("__full"), F.col(id_col)))
-    more = F.coalesce(F.col("__key") <= F.col("__last_key"), F.lit(False)).cast("int")
+    last = (F.col("__key") == F.col("__last_key")) & (F.col("__last_whole") if rounded else F.lit(True))
+    more = F.coalesce((F.col("__key") < F.col("__last_key")) | last, F.lit(False)).cast("int")
     return out.withColumn("__copies", (F.col("__full") + more).cast("int"))
 
 
@@ -133,10 +135,10 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], share: tupl
 
 
 def mix_documents(docs: DataFrame, domain: Column, weights: dict[str, Column], share: tuple[int, int] = (6, 10), max_epochs: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The selected rows of docs with their own columns, once for each epoch; the last one of a leaf is kept whole. No shuffle of texts."""
+    """The selected rows of docs with their own columns, once for each epoch; the last one of a leaf is kept whole if half of it or more is taken, else not at all. No shuffle of texts."""
     rows = token_rows(docs, domain, id_col, text_col, lang_col, source_col)
     plan = cut(plan_mix(rows, share, weights, max_epochs, seed), "mix")
     # a row travels as one value, so that no name of its own can clash
     rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), domain.alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), text_of(text_col).rlike("[^\\x20\\x09-\\x0D]").alias("worded"))
-    out = _copies(rows.where("worded"), plan, "id", [F.col(k) for k in LEVELS], seed).where("__copies > 0")
+    out = _copies(rows.where("worded"), plan, "id", [F.col(k) for k in LEVELS], seed, rounded=True).where("__copies > 0")
     return out.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).select("doc.*")
