@@ -49,6 +49,17 @@ def css_syntax_errors(styles: DataFrame, url_col: str = "url", css_col: str = "c
     return rows.select("doc_url", F.explode(F.array_compact(found)).alias("e")).groupBy("doc_url").agg(F.array_sort(F.collect_set("e")).alias("errors"))
 
 
+def svg_syntax_errors(svgs: DataFrame, url_col: str = "url", svg_col: str = "svg") -> DataFrame:
+    """doc_url, errors: distinct messages, sorted, of SVG documents whose tags or comments don't balance."""
+    text = F.regexp_replace(F.regexp_replace(F.col(svg_col), "(?s)<!--.*?-->", ""), "(?s)<!\\[CDATA\\[.*?\\]\\]>", "")
+    rows = svgs.select(F.col(url_col).alias("doc_url"), text.alias("t"))
+    tag = "<[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+    opened = F.size(F.filter(F.regexp_extract_all("t", F.lit(tag), F.lit(0)), lambda x: ~x.endswith("/>")))
+    closed = F.regexp_count("t", F.lit("</[A-Za-z]"))
+    found = F.array(F.when(opened > closed, F.lit("unclosed element")), F.when(closed > opened, F.lit("unexpected end tag")), F.when(F.col("t").contains("<!--"), F.lit("unclosed comment")))
+    return rows.select("doc_url", F.explode(F.array_compact(found)).alias("e")).groupBy("doc_url").agg(F.array_sort(F.collect_set("e")).alias("errors"))
+
+
 def nest_report(results: DataFrame) -> DataFrame:
     """url and elements, in document order: each element's name, attributes and results. A document's rows meet once; two sorts inside it put them in order."""
     result = F.struct("item", "ok", "error", "response")

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteaudit.functions.urls import url_parts
+from siteaudit.sources.scratch import small
+
+#: Hosts whose options are broadcast at most; with more of them URLs and hosts meet in a shuffled join, whose hot keys adaptive execution splits.
+BROADCAST_HOSTS = 50_000
 
 
 def roots_by_host(sites: DataFrame) -> DataFrame:
@@ -16,9 +20,10 @@ def roots_by_host(sites: DataFrame) -> DataFrame:
 
 
 def sites_by_host(sites: DataFrame) -> DataFrame:
-    """host, options: an array of the host's site rows, the longest paths first. Config-sized: to be broadcast."""
+    """host, options: an array of the host's site rows, the longest paths first. Counted, and broadcast if there are few."""
     options = F.struct("path", *[c for c in sites.columns if c not in ("path", "host")])
-    return sites.where("host IS NOT NULL").groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.length("path").alias("n"), "path", options.alias("site"))), asc=False).alias("options"))
+    hosts = sites.where("host IS NOT NULL").groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.length("path").alias("n"), "path", options.alias("site"))), asc=False).alias("options"))
+    return small(hosts, hosts.count(), BROADCAST_HOSTS)
 
 
 def _matching(url_path: Column) -> Column:
@@ -28,21 +33,21 @@ def _matching(url_path: Column) -> Column:
 def match_site(urls: DataFrame, sites: DataFrame, url_col: str = "url") -> DataFrame:
     """urls with site: the options of the longest path prefix on the URL's host, else those of the default site.
 
-    Prefixes are of strings: /foo matches /foobar. A broadcast join of one row for each host: nothing is
-    shuffled, whatever the number of URLs of a host.
+    Prefixes are of strings: /foo matches /foobar. A join of one row for each host, by broadcast unless there are
+    very many: a host with most of the URLs isn't moved to one task.
     """
     default = sites.where("host IS NULL").limit(1)
     options = F.struct("path", *[c for c in sites.columns if c not in ("path", "host")])
     fallback = default.select(F.lit(1).alias("__one"), options.alias("__default"))
     rows = urls.withColumn("__p", url_parts(F.col(url_col))).withColumn("__one", F.lit(1))
-    rows = rows.join(F.broadcast(sites_by_host(sites)), F.col("__p.host") == F.col("host"), "left").join(F.broadcast(fallback), "__one", "left")
+    rows = rows.join(sites_by_host(sites), F.col("__p.host") == F.col("host"), "left").join(F.broadcast(fallback), "__one", "left")
     site = F.coalesce(F.get(_matching(F.col("__p.path")), F.lit(0))["site"], F.col("__default"))
     return rows.select(*urls.columns, site.alias("site"))
 
 
 def recursive_urls(urls: DataFrame, sites: DataFrame, url_col: str = "url") -> DataFrame:
     """Only the URLs with any matching path of their host, not just the longest, that is recursive."""
-    rows = urls.withColumn("__p", url_parts(F.col(url_col))).join(F.broadcast(sites_by_host(sites)), F.col("__p.host") == F.col("host"))
+    rows = urls.withColumn("__p", url_parts(F.col(url_col))).join(sites_by_host(sites), F.col("__p.host") == F.col("host"))
     return rows.where(F.exists(_matching(F.col("__p.path")), lambda o: F.coalesce(o["site"]["recursive"], F.lit(False)))).select(*urls.columns)
 
 

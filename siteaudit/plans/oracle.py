@@ -124,6 +124,7 @@ ORACLE_SQL: dict[str, str] = {
     "summary_table": f"WITH {_METRICS} SELECT 'documents' AS what, count(*) FILTER (error = 0) AS success, count(*) FILTER (error > 0) AS error, count(*) AS total FROM metrics UNION ALL SELECT 'elements', sum(success)::BIGINT, sum(error)::BIGINT, sum(success + error)::BIGINT FROM metrics",
     "error_histogram": f"WITH {_RESULTS} SELECT {_HOST.format('doc_url')} AS host, 'http_status' AS error_kind, count(*) AS n FROM results WHERE status <> 200 GROUP BY 1",
     "css_syntax_errors": "SELECT url AS doc_url, CASE page_id % 5 WHEN 0 THEN 'unexpected }' ELSE 'unclosed block' END AS errors FROM pages WHERE page_id % 5 < 2",
+    "svg_syntax_errors": "SELECT url AS doc_url, CASE page_id % 5 WHEN 0 THEN 'unclosed comment,unclosed element' ELSE 'unexpected end tag' END AS errors FROM pages WHERE page_id % 5 < 2",
     "report_json": f"""WITH {_RESULTS}, e AS (SELECT doc_url, ord, '{{"element":{{"name":"a","attributes":[["href","' || raw || '"]]}},"results":[' || CASE status WHEN 200 THEN '{{"response":{{"url":"' || target || '","status":200,"latency":0}}}}' ELSE '{{"error":"invalid status 404 Not Found"}}' END || ']}}' AS j FROM results)
       SELECT doc_url AS url, '{{"url":"' || doc_url || '","elements":[' || string_agg(j, ',' ORDER BY ord) || ']}}' AS json FROM e GROUP BY doc_url""",
     "report_lines": f"""WITH {_RESULTS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_url ORDER BY ord) AS k FROM results)

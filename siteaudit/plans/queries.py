@@ -377,6 +377,12 @@ def q_css_syntax_errors(spark, d):
     return report.css_syntax_errors(inputs.styles(spark, d)).select("doc_url", F.array_join("errors", ",").alias("errors"))
 
 
+@query
+def q_svg_syntax_errors(spark, d):
+    broken = F.expr("concat(svg, CASE page_id % 5 WHEN 0 THEN '<g><!--' WHEN 1 THEN '</g>' ELSE '<g/><!-- <g> -->' END)")
+    return report.svg_syntax_errors(inputs.svgs(spark, d).select("url", broken.alias("svg"))).select("doc_url", F.array_join("errors", ",").alias("errors"))
+
+
 @query
 def q_report_json(spark, d):
     return report.report_json(report.nest_report(inputs.results(spark, d)))
