@@ -18,6 +18,8 @@ BUCKETS, SAMPLE = 1 << 18, 8192
 MIN_DOCS = 5
 #: Severity grades above 0, and the lift (in nats) from which a word speaks for toxicity when grades are made from labels.
 GRADES, LIFT = 3, 2.0
+#: Penalties on the weights: the first fit chooses words, the second one, over these words only, hardly shrinks them.
+CHOICE, SHRINK = 2e-3, 1e-4
 #: Words whose bucket a worker keeps.
 MEMO = 300_000
 
@@ -70,7 +72,7 @@ def grades_from(toxic, counts) -> tuple:
     return np.where(toxic == 1, 1 + np.searchsorted(edges, hits, side="right"), 0)
 
 
-def fit_ordinal(grades, counts, penalty: float = 2e-3, rounds: int = 300) -> tuple:
+def fit_ordinal(grades, counts, penalty: float = CHOICE, rounds: int = 300) -> tuple:
     """Weights and thresholds by accelerated proximal gradient steps on the mean log-likelihood with an absolute-value penalty on the weights."""
     import numpy as np
 
@@ -114,7 +116,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int =
     """label and text of at most bound labelled documents; of several labels of one document the greatest."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(bound)
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("label", text_of(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), "__id").select("label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE, **cols: str) -> OrdinalModel:
@@ -125,25 +128,39 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
     import numpy as np
 
     def work(batches):
+        from xxhash import xxh3_128_digest
+
         bucket = Buckets()
         for b in slices(batches):
-            found = [Counter(map(bucket.__getitem__, words_of(x))) for x in b.column(1).to_pylist()]
-            lists = [pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["label", "buckets", "counts"])
-
-    got = labelled_sample(docs, labels, label, bound, **cols).mapInArrow(work, "label int, buckets array<int>, counts array<int>").toArrow()
-    # of repeated documents one speaks; sorted, so that the fit doesn't depend on the rows' order
-    seen = sorted({(int(bool(y)), *zip(*sorted(zip(b, c)))) for y, b, c in zip(*(got.column(i).to_pylist() for i in range(3))) if b})
-    toxic = np.array([r[0] for r in seen])
-    if not seen or toxic.all() or not toxic.any():
+            labels = [int(bool(y)) for y in b.column(0).to_pylist()]
+            found = [sorted(Counter(map(bucket.__getitem__, words_of(x))).items()) for x in b.column(1).to_pylist()]
+            keys = [xxh3_128_digest(repr((y, f))) for y, f in zip(labels, found)]
+            lists = [pa.array([[p[k] for p in f] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(keys, pa.binary()), *lists], ["label", "content", "buckets", "counts"])
+
+    got = labelled_sample(docs, labels, label, bound, **cols).mapInArrow(work, "label int, content binary, buckets array<int>, counts array<int>").toArrow().combine_chunks()
+    sizes = got.column("buckets").combine_chunks().value_lengths().to_numpy()
+    # of repeated documents one speaks; in the order of their contents, so that the fit doesn't depend on the rows' order
+    content = np.array(got.column("content").to_pylist() or [b""], dtype="S16")[: len(sizes)]
+    kept = np.unique(content, return_index=True)[1]
+    kept = kept[sizes[kept] > 0]
+    toxic = got.column("label").to_numpy()[kept]
+    if not len(kept) or toxic.all() or not toxic.any():
         return OrdinalModel({}, [700.0])
-    rows = np.repeat(np.arange(len(seen)), [len(r[1]) for r in seen])
-    cols_, values = np.concatenate([r[1] for r in seen]), np.concatenate([r[2] for r in seen]).astype(float)
+    starts = np.cumsum(sizes) - sizes
+    rows = np.repeat(np.arange(len(kept)), sizes[kept])
+    places = np.repeat(starts[kept] - (np.cumsum(sizes[kept]) - sizes[kept]), sizes[kept]) + np.arange(len(rows))
+    cols_, values = (got.column(c).combine_chunks().flatten().to_numpy()[places] for c in ("buckets", "counts"))
+    values = values.astype(np.float64)
     frequent = np.bincount(cols_, minlength=BUCKETS) >= MIN_DOCS
     rows, cols_, values = rows[frequent[cols_]], cols_[frequent[cols_]], values[frequent[cols_]]
     names, cols_ = np.unique(cols_, return_inverse=True)
     counts = (rows, cols_, values, len(names))
-    weights, thresholds = fit_ordinal(grades_from(toxic, counts), counts)
+    grades = grades_from(toxic, counts)
+    chosen = np.flatnonzero(fit_ordinal(grades, counts)[0])
+    own = np.isin(cols_, chosen)
+    names = names[chosen]
+    weights, thresholds = fit_ordinal(grades, (rows[own], np.searchsorted(chosen, cols_[own]), values[own], len(names)), SHRINK)
     return OrdinalModel({int(b): float(w) for b, w in zip(names, weights) if w}, [float(t) for t in thresholds])
 
 
@@ -168,11 +185,11 @@ def rate(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col:
     A text without known words, empty or null, gets the severity of a zero score. Repeated rows give
     repeated rows, an empty table none; other columns of docs play no part. Narrow.
     """
-    rated = docs.select(F.col(id_col), severity(text_col, model).alias("__rated"))
-    return rated.select(id_col, "__rated.expected_severity", "__rated.grade", "__rated.p_toxic", (F.col("__rated.grade") > 0).alias("toxic"))
+    rated = docs.select(F.col(id_col), severity(text_col, model).alias("rated"))
+    return rated.select(id_col, "rated.expected_severity", "rated.grade", "rated.p_toxic", (F.col("rated.grade") > 0).alias("toxic"))
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """docs without its toxic rows. All columns stay as they are."""
-    names = docs.columns
-    return docs.withColumn("__rated", severity(text_col, model)).where(F.col("__rated.grade") == 0).select(*names)
+    # a row travels as one value, so that no name of its own can clash
+    return docs.select(F.struct("*").alias("doc"), severity(text_col, model).alias("rated")).where("rated.grade = 0").select("doc.*")
