@@ -131,18 +131,18 @@ def segment_counts(fp: Column, segments: int = SEGMENTS) -> list[Column]:
     return [F.bit_count(F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit(mask).cast("long"))) for i in range(segments)]
 
 
-def tile_pairs(items: DataFrame, parts: list[Column], offsets: list[tuple[int, ...]], base: int, payload: list[str], tile: int = TILE) -> DataFrame:
+def tile_pairs(items: DataFrame, parts: list[Column], offsets: list[tuple[int, ...]], base: int, payload: list[str], weight: Column) -> DataFrame:
     """Pairs of tiles to compare: a_<payload>, b_<payload> as arrays, a_tile, b_tile, same.
 
-    items with equal parts (small whole numbers under base) share a cell; cells are dealt into tiles of about
-    tile rows by a hash of the first payload column. A cell meets those at the offsets (half of them: see
+    items with equal parts (small whole numbers under base) share a cell; cells are dealt into tiles whose
+    weights add up to about 1 by a hash of the first payload column. A cell meets those at the offsets (half of them: see
     _half). There are as many join keys as tiles, so no task gets more than one tile's pairs per key.
     """
     kept = [F.col(c) for c in payload]
-    celled = items.select(*kept, *[p.cast("long").alias(f"p{i}") for i, p in enumerate(parts)])
+    celled = items.select(*kept, *[p.cast("long").alias(f"p{i}") for i, p in enumerate(parts)], weight.alias("weight"))
     names = [f"p{i}" for i in range(len(parts))]
     celled = cut(celled.withColumn("cell", _encode([F.col(n) for n in names], base)), "cells")
-    counts = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
+    counts = celled.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.sum("weight"))).cast("int").alias("parts"))
     counts = cut(counts, "counts")
     n_cells = counts.count()
     placed = celled.join(small(counts, n_cells), "cell").withColumn("part", F.pmod(F.xxhash64(payload[0]), F.col("parts")).cast("int"))
@@ -173,7 +173,7 @@ def _array(column: pa.Array, i: int):
 def print_links(prints: DataFrame, radius: int, segments: int = SEGMENTS, tile: int = TILE) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) at most radius apart, enough of them to connect what is connected."""
     offsets = _half(o for o in product(range(-radius, radius + 1), repeat=segments) if sum(map(abs, o)) <= radius)
-    pairs = tile_pairs(prints, segment_counts(F.col("fp"), segments), offsets, 64 // segments + 1, ["fp"], tile)
+    pairs = tile_pairs(prints, segment_counts(F.col("fp"), segments), offsets, 64 // segments + 1, ["fp"], F.lit(1 / tile))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -214,8 +214,8 @@ def hex_print(fp: Column) -> Column:
 
 # --- similar texts: fingerprints propose, shingle sets decide ---
 
-#: Rows of a tile here: a pair of tiles holds the work of 64 million comparisons.
-SIMILAR_TILE = 8192
+#: Rows of a tile here, and shingles of all its rows: a pair of tiles is compared, and its sets are verified, in bounded memory.
+SIMILAR_TILE, TILE_HASHES = 8192, 2_000_000
 #: Distances up to which documents are proposed, in the first 64 bits and in all 128. At a similarity of 0.8 they are 10 and 19 on average, with deviations of 3 and 4; of unrelated documents 32 and 64.
 FIRST_RADIUS, SIMILAR_RADIUS = 21, 30
 #: Width of the population classes.
@@ -232,7 +232,7 @@ def _candidates(items: DataFrame, similarity: float, first: int, radius: int, ti
     reach = -(-first // CLASS)
     offsets = _half(product((-1, 0, 1), range(-reach, reach + 1)))
     parts = [size_band(F.col("n"), similarity), F.floor(F.bit_count("fp") / CLASS)]
-    pairs = tile_pairs(items, parts, offsets, 256, ["id", "fp", "fp2", "n"], tile)
+    pairs = tile_pairs(items, parts, offsets, 256, ["id", "fp", "fp2", "n"], F.greatest(F.lit(1 / tile), F.col("n") / TILE_HASHES))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
