@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
 
 
 def wide_fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp and fp2 (128 bits), n (distinct shingles) and content (a hash of the word sequence) of each row, in whole texts; null is empty. Narrow."""
+    """id, fp and fp2 (128 bits), n (distinct shingles) and content (a hash of the word sequence) of each row, in whole texts; null is empty. A shingle counts once, as in the sets that decide. Narrow."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,9 +73,9 @@ def wide_fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_
         for b in slices(batches):
             fps, n, content = [], [], []
             for data in b.column(1).to_pylist():
-                grams = shingles(data, words)
+                grams = list(set(shingles(data, words)))
                 fps.append(majority(grams, xxh3_128_digest, 16))
-                n.append(len(set(grams)))
+                n.append(len(grams))
                 content.append(xxh3_128_digest(b" ".join(data.lower().split())))
             pair = np.frombuffer(b"".join(fps), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(n, pa.int32()), pa.array(content, pa.binary())], ["id", "fp", "fp2", "n", "content"])

@@ -120,6 +120,15 @@ def test_similar_documents(spark, sf_dir):
     assert all(usual[i] == i for i in want if want[i] == i)
 
 
+def test_a_repeated_passage(spark):
+    rng = random.Random(11)
+    base, line = (" ".join("w%d" % rng.randrange(5000) for _ in range(n)) for n in (200, 9))
+    rows = [(i, " ".join([base] + [line] * n)) for i, n in enumerate((1, 10, 20, 200))] + [(9, " ".join([line] * 200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.keep_id for r in simhash.similar_documents(df).collect()}
+    assert got == plain_similar(rows) == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
+
+
 def test_drop_similar_keeps_columns(spark):
     text = " ".join("w%d" % i for i in range(60))
     rows = [(3, text, 1), (4, text + " end", 2), (5, None, 3), (6, "", 4), (None, "lone", 5), (8, text.upper(), 6), (9, "quite another text", 7)]
