@@ -34,13 +34,17 @@ _CHUNK = re.compile(f"[{WHITE}]*[{_LATIN}]+(?=[{WHITE}{_MARKS}]|\\Z)|[{WHITE}]*[
 
 
 class ChunkEncoder:
-    """Ids of whole texts by the tokenizers library, which gets each distinct chunk once as long as the memo has room."""
+    """Ids of whole texts by the tokenizers library, which gets each distinct chunk once as long as the memo has room.
+
+    special_as_text: names of special tokens in a text are text like any other; without it they are what the library takes them for.
+    """
 
     def __init__(self, path: str, special_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = special_as_text
+        if special_as_text:
+            self.tokenizer.encode_special_tokens = True
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.memo: dict[str, bytes] = {}
 
@@ -77,7 +81,7 @@ def encoder(path: str) -> ChunkEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, special_as_text=False)  # the library's own ids
 
 
 class ShardWriter:

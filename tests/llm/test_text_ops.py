@@ -74,6 +74,20 @@ def test_chunks_are_whole_text_ids():
     assert code(texts) == code(texts)
 
 
+def test_special_tokens_are_the_librarys_own(spark):
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(4)
+    plain, parts = Tokenizer.from_file(path), ["<|endoftext|>", "<|endoftext|", "<|", "endoftext", "|>", "a", "É", "1", " ", "  ", "\n", ".", "'s", "漢", "<"]
+    texts = ["<|endoftext|> in a text", "<|endoftext|>", "it<|endoftext|>'s  <|endoftext|>  x"] + ["".join(rng.choice(parts) for _ in range(60)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = scratch(spark, "sequences")
+    got = {r.doc_id: tuple(r) for r in token_file.read_documents(token_file.write_sequences(df, path, folder), folder).collect()}
+    start = 0
+    for i, t in enumerate(texts):
+        ids = [*plain.encode(t, add_special_tokens=False).ids, 2]
+        assert got[i] == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_a_full_memo_still_encodes(monkeypatch):
     monkeypatch.setattr(token_file, "MEMO", 3)
     code, fresh = token_file.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json")), token_file.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
