@@ -172,14 +172,24 @@ def robots_sitemap_links(robots: DataFrame, url_col: str = "url", text_col: str
     return _links(rows, F.lit("sitemap"), "", F.col("raw"), F.lit("sitemap"))
 
 
-def base_url(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """doc_url, base, error. The first base element decides: its href joined to the document's URL, or that URL; a base that can't be parsed is an error."""
+def _with_base(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """doc_url, base, error (see base_url) and html."""
     tag = F.regexp_extract(without_comments(F.col(html_col)), "(?i)<base(?=[\\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", 1)
     href = F.regexp_extract(tag, "(?i)(?:^|\\s)href\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'=<>`]+)", 1)
-    rows = pages.select(F.col(url_col).alias("doc_url"), F.when(href != "", decode_entities(F.regexp_replace(href, "^[\"']|[\"']$", ""))).alias("href"))
+    rows = pages.select(F.col(url_col).alias("doc_url"), F.when(href != "", decode_entities(F.regexp_replace(href, "^[\"']|[\"']$", ""))).alias("href"), F.col(html_col).alias("html"))
     rows = rows.withColumn("joined", resolve_url(F.col("doc_url"), F.col("href")))
     bad = F.col("href").isNotNull() & F.col("joined").isNull()
-    return rows.select("doc_url", F.when(~bad, F.coalesce("joined", "doc_url")).alias("base"), F.when(bad, F.lit("url_parse")).alias("error"))
+    return rows.select("doc_url", F.when(~bad, F.coalesce("joined", "doc_url")).alias("base"), F.when(bad, F.lit("url_parse")).alias("error"), "html")
+
+
+def base_url(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """doc_url, base, error. The first base element decides: its href joined to the document's URL, or that URL; a base that can't be parsed is an error."""
+    return _with_base(pages, url_col, html_col).drop("html")
+
+
+def _resolved(links: DataFrame, base: Column) -> DataFrame:
+    out = links.withColumn("target", resolve_url(base, F.col("raw")))
+    return out.withColumn("target_nofrag", strip_fragment(F.col("target"))).withColumn("fragment", fragment_of(F.col("target")))
 
 
 def resolve_links(links: DataFrame, bases: DataFrame | None = None) -> DataFrame:
@@ -187,8 +197,15 @@ def resolve_links(links: DataFrame, bases: DataFrame | None = None) -> DataFrame
     if bases is not None:
         links = links.join(bases.select("doc_url", "base"), "doc_url", "left")
     base = F.coalesce("base", "doc_url") if bases is not None else F.col("doc_url")
-    out = links.withColumn("target", resolve_url(base, F.col("raw")))
-    return out.withColumn("target_nofrag", strip_fragment(F.col("target"))).withColumn("fragment", fragment_of(F.col("target"))).drop("base")
+    return _resolved(links, base).drop("base")
+
+
+def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Links of HTML pages, resolved to the base of their page. Narrow: the base travels with the page's URL, so it suits streams and repeated URLs too."""
+    based = _with_base(pages, url_col, html_col).select(F.struct("doc_url", "base").alias("page"), "html")
+    links = html_links(start_tags(based, "page", "html")).withColumnRenamed("doc_url", "page")
+    rows = links.select("page.doc_url", *LINK_COLUMNS[1:], F.coalesce("page.base", "page.doc_url").alias("base"))
+    return _resolved(rows, F.col("base")).drop("base")
 
 
 def anchors(tags: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteaudit.operators import extract
 from siteaudit.operators.check import check_links, checked_targets
 from siteaudit.operators.crawl import crawl
-from siteaudit.operators.extract import all_links, anchors, html_links, resolve_links, start_tags
+from siteaudit.operators.extract import all_links, anchors, start_tags
 from siteaudit.operators.markup import markup_errors, split_markup_errors
 from siteaudit.operators.report import document_metrics
 from siteaudit.operators.robots import robots_filter
@@ -17,8 +18,8 @@ from siteaudit.sources.scratch import cut
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Resolved links of HTML pages (url, html), written: bodies are read and parsed once, and only links go further."""
-    return cut(resolve_links(html_links(start_tags(pages))), "links")
+    """Links of HTML pages (url, html), resolved to their page's base, written: bodies are read and parsed once, and only links go further."""
+    return cut(extract.page_links(pages), "links")
 
 
 def link_audit(pages: DataFrame, targets: Callable[[DataFrame], DataFrame], sites: DataFrame, ignored: list[str] | None = None, with_anchors: bool = False) -> DataFrame:

@@ -25,7 +25,7 @@ def query(f: Query) -> Query:
 
 def _page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' own links, resolved."""
-    return extract.resolve_links(extract.html_links(extract.start_tags(inputs.pages(spark, sf_dir))))
+    return extract.page_links(inputs.pages(spark, sf_dir))
 
 
 def _targets(links: DataFrame) -> DataFrame:

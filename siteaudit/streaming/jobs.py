@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteaudit.operators.check import check_links
-from siteaudit.operators.extract import html_links, resolve_links, start_tags
+from siteaudit.operators.extract import page_links
 from siteaudit.operators.store import latest_response
 
 
@@ -19,7 +19,7 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files: int
 
 def stream_results(pages: DataFrame, targets: DataFrame, sites: DataFrame, ignored: list[str] | None = None) -> DataFrame:
     """Checked links of arriving pages (url, html): stateless extraction, then joins with tables of targets and sites."""
-    return check_links(resolve_links(html_links(start_tags(pages))), targets, sites, ignored)
+    return check_links(page_links(pages), targets, sites, ignored)
 
 
 def stream_dedup(documents: DataFrame, delay: str | None = None) -> DataFrame:

@@ -5,9 +5,11 @@ import json
 from pyspark.sql import functions as F
 
 from siteaudit.operators import check, crawl, elements, extract, markup, redirects, report, requestlog, robots, store
-from siteaudit.plans.audit import site_audit
+from siteaudit.plans import queries
+from siteaudit.plans.audit import page_links, site_audit
 from siteaudit.sources.scratch import scratch
 from siteaudit.sources.tables import read_responses, read_sites, write_report_json, write_report_text, write_store
+from siteaudit.streaming import jobs
 
 HTML = {"content-type": "text/html"}
 ROOT = "https://foo.com/"
@@ -36,6 +38,24 @@ def test_linked_pages_and_cycle(spark):
     assert audit(spark, [page('<a href="bar"/>'), page('<a href="/"/>', ROOT + "bar")], known) == ((2, 0, 2, 0), [])
 
 
+BASED = [("/b/", ROOT + "b/x"), ("c/", ROOT + "a/c/x"), ("https://bar.com/d/", "https://bar.com/d/x"), ("https://", ROOT + "a/x"), (None, ROOT + "a/x")]
+
+
+def test_links_go_to_the_base(spark, tmp_path):
+    rows = [(f"{ROOT}a/{i}", ("" if b is None else f'<base target="_top" href="{b}"><base href="/late/">') + '<a href="x">t</a>') for i, (b, _) in enumerate(BASED)]
+    pages, want = spark.createDataFrame(rows, "url string, html string"), sorted((u, t) for (u, _), (_, t) in zip(rows, BASED))
+    assert sorted((r.doc_url, r.target) for r in page_links(pages).collect()) == want
+    twice = spark.createDataFrame(rows + rows, "url string, html string")
+    assert sorted((r.doc_url, r.target) for r in page_links(twice).collect()) == sorted(want + want)
+    path = str(tmp_path / "pages.parquet")
+    pages.write.parquet(path)
+    assert sorted((r.doc_url, r.target) for r in queries.q_resolve_url(spark, str(tmp_path)).collect()) == want
+    targets = spark.createDataFrame([(t, t, 200, "text/html", None, None, True) for _, t in {t: (0, t) for _, t in want}.values()], "url string, final_url string, status int, media string, request_error string, redirect_error string, allowed boolean")
+    out = scratch(spark, "checked")
+    jobs.run(jobs.stream_results(jobs.read_stream(spark, path, pages.schema), targets, read_sites(spark, [])), out, scratch(spark, "state"))
+    assert sorted((r.doc_url, r.target, r.ok) for r in spark.read.parquet(out).collect()) == [(*w, True) for w in want]
+
+
 def test_fragments(spark):
     known = [(ROOT, 200, HTML)]
     assert audit(spark, [page('<a href="#x"/><div id="x"/>')], known) == ((1, 0, 1, 0), [])
