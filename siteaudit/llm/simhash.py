@@ -62,6 +62,13 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text")).mapInArrow(work, f"id {kind}, fp long")
 
 
+def content_of(data: bytes) -> bytes:
+    """Hash of the word sequence."""
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(b" ".join(data.lower().split()))
+
+
 def wide_fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp and fp2 (128 bits), n (distinct shingles) and content (a hash of the word sequence) of each row, in whole texts; null is empty. A shingle counts once, as in the sets that decide. Narrow."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -76,7 +83,7 @@ def wide_fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_
                 grams = list(set(shingles(data, words)))
                 fps.append(majority(grams, xxh3_128_digest, 16))
                 n.append(len(grams))
-                content.append(xxh3_128_digest(b" ".join(data.lower().split())))
+                content.append(content_of(data))
             pair = np.frombuffer(b"".join(fps), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(n, pa.int32()), pa.array(content, pa.binary())], ["id", "fp", "fp2", "n", "content"])
 
@@ -294,20 +301,16 @@ def similar_links(ids, sets: list, similarity: float) -> list[tuple[int, int]]:
     return _forest(ids, ids, rows())
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, first: int = FIRST_RADIUS, radius: int = SIMILAR_RADIUS, tile: int = SIMILAR_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, keep_id of each row: the smallest id of its group of similar documents.
-
-    Similar are documents whose sets of words-word shingles have a Jaccard similarity of similarity or more, as far as
-    their fingerprints differ in at most radius of 128 bits, and first of the first 64; groups are connected components. Documents of the same
-    word sequence are one from the start. Comparing all tiles is quadratic within a band of set sizes; that is
-    the method. Rows with the same id are one document; null ids stay alone, with a null keep_id. Null and
-    empty texts are one group. Other columns play no part. An empty table gives no rows.
-    """
+def _similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, first: int = FIRST_RADIUS, radius: int = SIMILAR_RADIUS, tile: int = SIMILAR_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """similar_documents with the content (see wide_fingerprints) of each row."""
     prints = cut(wide_fingerprints(docs, words, id_col, text_col), "prints")
-    classes = cut(prints.where("id IS NOT NULL").groupBy("content").agg(F.min("id").alias("id"), *[F.min(c).alias(c) for c in ("fp", "fp2", "n")]), "classes")
-    items = classes.groupBy("id").agg(F.min_by(F.struct("fp", "fp2", "n"), "content").alias("x")).select("id", "x.fp", "x.fp2", "x.n")
+    classes = prints.where("id IS NOT NULL").groupBy("content").agg(F.min("id").alias("id"), *[F.min(c).alias(c) for c in ("fp", "fp2", "n")])
+    # an id may have several texts: classes have numbers of their own, which hold once they are written
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    items = classes.select(F.col("node").alias("id"), "fp", "fp2", "n")
     found = cut(_candidates(items, similarity, first, radius, tile), "candidates")
-    wanted = cut(found.select("id").distinct(), "wanted")
+    wanted = classes.join(found.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    wanted = cut(wanted.select("node", "id", "content"), "wanted")
     n_wanted = wanted.count()
 
     def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,12 +318,14 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         from xxhash import xxh64_intdigest
 
         for b in slices(batches):
-            hashes = [np.unique(np.fromiter(map(xxh64_intdigest, set(shingles(x, words))), np.uint64)).tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.binary())], ["id", "hashes"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("text"))
-    texts = texts.join(small(wanted, n_wanted), "id", "left_semi")
-    sets = texts.mapInArrow(to_sets, "id long, hashes binary")
+            hashes = [np.unique(np.fromiter(map(xxh64_intdigest, set(shingles(x, words))), np.uint64)).tobytes() for x in b.column(0).to_pylist()]
+            content = list(map(content_of, b.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), pa.array(hashes, pa.binary())], ["content", "hashes"])
+
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
+    texts = texts.join(small(wanted.select("id"), n_wanted), "id", "left_semi").select("text")
+    sets = texts.mapInArrow(to_sets, "content binary, hashes binary")
+    sets = sets.join(small(wanted.select("content", F.col("node").alias("id")), n_wanted), "content")
     sets = sets.groupBy("id").agg(F.min("hashes").alias("hashes"))
 
     def verify(key, group):
@@ -332,17 +337,38 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
 
     links = found.join(sets, "id").groupBy("pair").applyInPandas(verify, "a long, b long")
-    roots = components(cut(links, "similar"), "a", "b").withColumnRenamed("node", "id")
-    kept = classes.join(roots, "id", "left").select("content", F.coalesce("root", "id").alias("keep_id"))
-    kept = cut(kept, "kept")
-    named = prints.where("id IS NOT NULL").join(kept, "content").select("id", "keep_id")
-    alone = prints.where("id IS NULL").select("id", F.col("id").alias("keep_id"))
+    rooted = cut(classes.join(components(cut(links, "similar"), "a", "b"), "node", "left").select("content", "id", F.coalesce("root", "node").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("id").alias("keep_id"))
+    kept = cut(rooted.join(least, "root").select("content", "keep_id"), "kept")
+    named = prints.where("id IS NOT NULL").join(kept, "content").select("id", "keep_id", "content")
+    alone = prints.where("id IS NULL").select("id", F.col("id").alias("keep_id"), "content")
     return named.unionByName(alone)
 
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, first: int = FIRST_RADIUS, radius: int = SIMILAR_RADIUS, tile: int = SIMILAR_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, keep_id of each row: the smallest id of its group of similar documents.
+
+    Similar are documents whose sets of words-word shingles have a Jaccard similarity of similarity or more, as far as
+    their fingerprints differ in at most radius of 128 bits, and first of the first 64; groups are connected components. Documents of the same
+    word sequence are one from the start. Comparing all tiles is quadratic within a band of set sizes; that is
+    the method. Rows with the same id and different texts are documents of their own; null ids stay alone, with a null keep_id. Null and
+    empty texts are one group. Other columns play no part. An empty table gives no rows.
+    """
+    return _similar_rows(docs, words, similarity, first, radius, tile, id_col, text_col).select("id", "keep_id")
+
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the rows whose similar_documents group has a smaller id. All columns stay as they are."""
-    gone = similar_documents(docs, id_col=id_col, text_col=text_col, **how).where(F.col("id") != F.col("keep_id")).select("id").distinct()
-    gone = cut(gone, "gone")
+    rows = cut(_similar_rows(docs, id_col=id_col, text_col=text_col, **how).where("id IS NOT NULL"), "similar_rows")
+    gone = cut(rows.where("id <> keep_id").select("id", "content").distinct(), "gone")
+    n_gone = gone.count()
     # a row travels as one value, so that no name of its own can clash
-    return docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id")).join(small(gone, gone.count()), "id", "left_anti").select("doc.*")
+    told = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
+    out = told.join(small(gone.select("id"), n_gone), "id", "left_anti").select("doc")
+    # ids with texts of both kinds: only their rows are told apart by their texts
+    mixed = cut(rows.where("id = keep_id").select("id").distinct().join(gone.select("id").distinct(), "id", "left_semi"), "mixed")
+    n_mixed = mixed.count()
+    if n_mixed:
+        content = F.udf(lambda x: content_of(bytes(x)), "binary")
+        both = told.join(small(mixed, n_mixed), "id", "left_semi").withColumn("content", content("text"))
+        out = out.unionByName(both.join(small(gone, n_gone), ["id", "content"], "left_anti").select("doc"))
+    return out.select("doc.*")

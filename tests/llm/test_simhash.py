@@ -135,3 +135,12 @@ def test_drop_similar_keeps_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, __gone int")
     kept = simhash.drop_similar(df.withColumnRenamed("__gone", "n")).collect()
     assert sorted(r.n for r in kept) == [1, 3, 5, 7]
+
+
+def test_repeated_ids_with_other_texts(spark):
+    a, b, c = (" ".join("%s%d" % (x, i) for i in range(60)) for x in "abc")
+    rows = [(3, b, 1), (5, a, 2), (5, b + " end", 3), (5, c, 4), (7, c + " end", 5), (8, a + " end", 6), (8, b, 7), (9, a.upper(), 8), (None, b, 9), (5, a, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    assert sorted(r.n for r in simhash.drop_similar(df).collect()) == [1, 2, 4, 9, 10]
+    got = simhash.similar_documents(df).collect()
+    assert sorted((r.id, r.keep_id) for r in got if r.id) == sorted([(3, 3), (5, 5), (5, 3), (5, 5), (7, 5), (8, 5), (8, 3), (9, 5), (5, 5)])
