@@ -25,72 +25,169 @@ from siteaudit.llm.common import cut, slices, text_of
 
 #: Tokens of a sequence, sequences of a batch.
 LENGTH, BATCH = 2048, 512
-#: Chunks of text whose ids a worker keeps.
-MEMO = 600_000
+#: Words and chunks of text whose ids a worker keeps: at some 250 bytes each up to 250 MB.
+MEMO = 1_000_000
+#: Rows of a slice that is encoded at once.
+SLICE = 2048
+#: Longer ones aren't kept.
+KEPT_CHARS = 64
 # A chunk ends before white space that follows a visible character, or after Latin letters before ASCII punctuation.
 # The tokenizer's own split has an edge at each such place, so chunks can be encoded one by one.
 _LATIN, _MARKS = "a-zA-Z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f", "!-/:-@\\[-`{-~"
 _CHUNK = re.compile(f"[{WHITE}]*[{_LATIN}]+(?=[{WHITE}{_MARKS}]|\\Z)|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_WORD = re.compile(f"([{_LATIN}]+)([{WHITE}{_MARKS}]|\\Z)")
 
 
-class ChunkEncoder:
-    """Ids of whole texts by the tokenizers library, which gets each distinct chunk once as long as the memo has room.
+class WordEncoder:
+    """Ids of whole texts by the tokenizers library, which gets each distinct word once as long as the memo has room.
 
-    special_as_text: names of special tokens in a text are text like any other; without it they are what the library takes them for.
+    Arrow splits a batch of texts at their spaces and numbers its distinct parts; a space that follows a visible
+    character starts a piece of the tokenizer's own split. Texts with other spaces are split by the chunk expression.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        if special_as_text:
-            self.tokenizer.encode_special_tokens = True
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.memo: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        #: Ids of parts that follow a space, the space included; and of what follows another edge.
+        self.spaced: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        # A Latin word is one piece of the usual byte-level split: the library's BPE model takes it without looking for edges.
+        usual = str(pre_tokenizers.ByteLevel(add_prefix_space=False))
+        self.model = self.tokenizer.model if self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer) == usual else None
+        self.signs = byte_signs()
+
+    def _library(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        chunks = [_CHUNK.findall(x) for x in texts]
-        new = list(set().union(*chunks).difference(self.memo))
-        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        own = {c: np.array(e.ids, self.dtype).tobytes() for c, e in zip(new, coded)}
-        if len(self.memo) < MEMO:
-            self.memo.update(own)
-            own = self.memo
-        elif own:
-            own = _Both(own, self.memo)
-        else:
-            own = self.memo
-        return [b"".join(map(own.__getitem__, c)) for c in chunks]
-
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-class _Both(dict):
-    """A dict that looks further in another one."""
-
-    def __init__(self, first: dict, other: dict):
-        super().__init__(first)
-        self.other = other
+    def _latin(self, words: list[str]) -> list[bytes]:
+        """Ids of Latin words, each with or without a space before it."""
+        import numpy as np
 
-    def __missing__(self, key: str) -> bytes:
-        return self.other[key]
+        if self.model is None or not words:
+            return self._library(words)
+        ids, ends = [], [0]
+        for w in "\n".join(words).encode().decode("latin-1").translate(self.signs).split(self.signs[10]):
+            ids += [t.id for t in self.model.tokenize(w)]
+            ends.append(len(ids))
+        raw, size = np.array(ids, self.dtype).tobytes(), int(self.dtype[-1])
+        return [raw[size * x : size * y] for x, y in zip(ends, ends[1:])]
+
+    def _learn(self, keys: Iterable[str], space: str) -> dict[str, bytes]:
+        """Ids of keys, each behind space, from the library."""
+        words, rest = [], []
+        for k in keys:
+            w = _WORD.match(k)
+            (words if w and w.end(1) == len(k) else rest).append(k)
+        own = dict(zip(words, self._latin([space + k for k in words])))
+        own |= zip(rest, self._library([space + k for k in rest]))
+        return own
+
+    def parts(self, keys: list[str]) -> list[bytes | None]:
+        """Ids of each distinct key behind a space; None where the next space, which follows white space, may be no edge."""
+        got = list(map(self.spaced.get, keys))
+        alone, cut_at, heads, tails = [], {}, set(), set()
+        for i in [i for i, ids in enumerate(got) if ids is None]:
+            part = keys[i]
+            if not part or part[-1].isspace():
+                continue
+            w = _WORD.match(part)
+            if w and w.end(1) < len(part):
+                cut_at[i] = w.end(1)
+                heads.add(w[1])
+                tails.add(part[w.end(1) :])
+            else:
+                alone.append(i)
+        known = {h: self.spaced[h] for h in heads if h in self.spaced}
+        ends = self.by_chunk(tails)
+        own = self._learn({keys[i] for i in alone} | (heads - known.keys()), " ")
+        known |= own
+        for i in alone:
+            got[i] = own[keys[i]]
+        for i, at in cut_at.items():
+            got[i] = own[keys[i]] = known[keys[i][:at]] + ends[keys[i][at:]]
+        keep(self.spaced, own, zip(keys, got))
+        return got
+
+    def by_chunk(self, texts: Iterable[str]) -> dict[str, bytes]:
+        """Ids of texts that begin at an edge, chunk by chunk."""
+        chunks = {x: _CHUNK.findall(x) for x in texts}
+        every = set().union(*chunks.values())
+        known = {c: self.bare[c] for c in every if c in self.bare}
+        own = self._learn(every - known.keys(), "")
+        keep(self.bare, own, known.items())
+        known |= own
+        return {x: b"".join(map(known.__getitem__, c)) for x, c in chunks.items()}
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as bytes."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(texts, " ")
+        starts = split.offsets.to_numpy() - split.offsets[0].as_py()
+        flat = split.flatten().dictionary_encode()
+        keys, at = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy().copy()
+        firsts = [keys[i] for i in at[starts[:-1]].tolist()]  # no space comes before these
+        ids = self.parts(keys)
+        odd = np.array([x is None for x in ids])
+        whole = np.logical_or.reduceat(odd[at], starts[:-1]) if len(at) else np.zeros(len(texts), bool)
+        begin = self.by_chunk({f for f, w in zip(firsts, whole) if not w})
+        at[starts[:-1]] = len(keys) + np.arange(len(firsts))
+        ids = [x or b"" for x in ids] + [begin.get(f, b"") for f in firsts]
+        size = int(self.dtype[-1])
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // size)])
+        kind = pa.uint16() if size == 2 else pa.uint32()
+        taken = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), self.dtype), kind)).take(pa.array(at))
+        bounds, values = taken.offsets.to_numpy()[starts], memoryview(taken.values.to_numpy().view(np.uint8))
+        out = [values[size * x : size * y].tobytes() for x, y in zip(bounds, bounds[1:])]
+        if whole.any():
+            rest = np.flatnonzero(whole).tolist()
+            own = [texts[i].as_py() for i in rest]
+            coded = self.by_chunk(set(own))
+            for i, x in zip(rest, own):
+                out[i] = coded[x]
+        return out
+
+
+def keep(memo: dict[str, bytes], own: dict[str, bytes], used: Iterable[tuple[str, bytes | None]]) -> None:
+    """Put own into memo. When it is full it forgets all but what is used now. Long keys aren't kept."""
+    if len(memo) + len(own) > MEMO:
+        memo.clear()
+        memo.update((k, v) for k, v in used if v is not None and len(k) <= KEPT_CHARS)
+    memo.update((k, v) for k, v in own.items() if len(k) <= KEPT_CHARS)
+
+
+def byte_signs() -> dict[int, str]:
+    """The byte-level alphabet: visible Latin-1 characters stand for themselves, the other bytes in turn for the characters from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> WordEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    return ChunkEncoder(path, special_as_text=False)  # the library's own ids
+    return WordEncoder(path)
+
+
+def file_system(folder: str):
+    """pyarrow's file system and path of a folder that is named as Spark names it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
 
 
 class ShardWriter:
     """Writes one shard under a name of its own and moves it into place when it is whole: a task that runs again replaces it."""
 
     def __init__(self, folder: str, shard: int, dtype: str, length: int = LENGTH, batch: int = BATCH):
-        from pyarrow import fs
-
-        self.fs, root = fs.FileSystem.from_uri(folder)
+        self.fs, root = file_system(folder)
         self.fs.create_dir(root, recursive=True)
         self.path, self.own = f"{root}/shard-{shard:06d}", f"{root}/.own-{uuid.uuid4().hex}"
         self.length, self.batch, self.dtype = length, batch, dtype
@@ -136,8 +233,16 @@ class ShardWriter:
         index = pa.table({"doc_id": doc_ids, "start": pa.array(self.starts, pa.int64()), "n_tokens": pa.array(self.counts, pa.int64())})
         with self.fs.open_output_stream(f"{self.own}.index") as sink, pa.ipc.new_file(sink, index.schema) as out:
             out.write_table(index)
-        self.fs.move(f"{self.own}.index", f"{self.path}.index.arrow")
-        self.fs.move(self.own, f"{self.path}.arrow")
+        self._place(f"{self.own}.index", f"{self.path}.index.arrow")
+        self._place(self.own, f"{self.path}.arrow")
+
+    def _place(self, own: str, path: str) -> None:
+        """Move a file; what an earlier run of the task left there goes, as some file systems move onto nothing."""
+        from pyarrow import fs
+
+        if self.fs.get_file_info(path).type != fs.FileType.NotFound:
+            self.fs.delete_file(path)
+        self.fs.move(own, path)
 
 
 class ShardReader:
@@ -146,7 +251,7 @@ class ShardReader:
     def __init__(self, folder: str, shard: int):
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(folder)
+        system, root = file_system(folder)
         path = f"{root}/shard-{shard:06d}"
         opened = (lambda p: pa.memory_map(p)) if isinstance(system, fs.LocalFileSystem) else system.open_input_file
         self.file = pa.ipc.open_file(opened(f"{path}.arrow"))
@@ -182,7 +287,8 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str, end_id: int =
 
     start counts the ids of all shards before. A null or empty text is end_id alone. Rows with the same
     identifier follow each other by text; null identifiers come first. An empty table gives an empty folder and
-    manifest. Other columns of docs are left out. One shuffle, of the texts by ranges of id_col.
+    manifest. Other columns of docs are left out. One shuffle, of the texts by ranges of id_col: encoded ids would
+    be as many bytes, and would have to be written once more, as ranges are sampled in a run of their own.
     """
     kind = docs.schema[id_col].dataType
 
@@ -191,13 +297,13 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str, end_id: int =
 
         code, writer, doc_ids, end = encoder(tokenizer), None, [], b""
         shard = TaskContext.get().partitionId()
-        for b in slices(batches):
+        for b in slices(batches, SLICE):
             if b.num_rows == 0:
                 continue
             if writer is None:
                 writer, end = ShardWriter(folder, shard, code.dtype, length, batch), np.array([end_id], code.dtype).tobytes()
             doc_ids.append(b.column(0))
-            for ids in code(b.column(1).to_pylist()):
+            for ids in code(b.column(1)):
                 writer.add(ids + end)
         if writer is not None:
             writer.close(pa.chunked_array(doc_ids).combine_chunks())
