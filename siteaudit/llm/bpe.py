@@ -18,6 +18,9 @@ SPLIT_CHARS = 50_000
 #: Unicode's White_Space property, which the \s of the split pattern stands for.
 WHITE = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _EDGE = re.compile(f"[^{WHITE}](?=[{WHITE}])")
+#: White space of so many characters is taken out of a text before the library's expression sees it, whose stack such a run can overflow.
+LONG_RUN = 10_000
+_RUN = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
 
 
 @functools.lru_cache(maxsize=4)
@@ -51,14 +54,30 @@ def encode(text: str, enc) -> list[int]:
     """Ids of a whole text."""
     if len(text) <= SPLIT_CHARS:
         return enc.encode_ordinary(text)
-    return [i for piece in safe_pieces(text) for i in enc.encode_ordinary(piece)]
+    return [i for piece in safe_pieces(text) for i in _encode_piece(piece, enc)]
+
+
+def _encode_piece(piece: str, enc) -> list[int]:
+    """Ids of a piece of safe_pieces, which ends with a visible character or with its text.
+
+    A run of white space is one match at the end of a text; before a visible character it is one match but for
+    its last character, which goes with what follows.
+    """
+    ids, at = [], 0
+    for run in _RUN.finditer(piece):
+        end = run.end() if run.end() == len(piece) else run.end() - 1
+        ids += enc.encode_ordinary(piece[at : run.start()])
+        ids += enc._encode_single_piece(piece[run.start() : end])
+        at = end
+    return ids + enc.encode_ordinary(piece[at:])
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode each text and decode its ids: id_col, ids (binary: little-endian unsigned 32-bit), decoded (binary).
 
     One row for each row of docs, repeated rows included; a null text is empty and has no ids, a null
-    identifier stays null. Other columns of docs are left out, so their names can't clash. Narrow: no shuffle.
+    identifier stays null. Texts may be of any length, with runs of any length. An empty table gives no rows. Other
+    columns of docs are left out, so their names can't clash. Narrow: no shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
