@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,10 +26,21 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+def _locators(docs: DataFrame) -> tuple[Column, Column] | None:
+    """Hash of the file's path and the row's number in that file, whatever the columns of docs are named; None if docs doesn't come straight from Parquet files."""
+    try:
+        files = docs.metadataColumn("_metadata")
+        found = F.xxhash64(files["file_path"]).alias("file"), files["row_index"].alias("row")
+        docs.select(*found).schema  # noqa: B018  fails here if there are none
+        return found
+    except AnalysisException:
+        return None
+
+
 def _located(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
-    """id, text, digest and the content locator: hash of the file's path, and the row's number in that file."""
+    """id, text, digest and the content locator (see _locators)."""
     text = normalised(F.col(text_col))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).withColumn("digest", digest(F.col("text")))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), *_locators(docs)).withColumn("digest", digest(F.col("text")))
 
 
 def keyed_state(rows: DataFrame) -> DataFrame:
@@ -62,15 +74,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal as normalised() says. Of equal texts the smallest id stays, of the same id the first
     locator; a null id is the smallest. Null and empty texts are one group. An empty table gives no rows. Other
-    columns of docs play no part. from_files: docs is one Parquet read (perhaps filtered), whose files and row
-    numbers are the locators; else docs is written once and read from there.
+    columns of docs play no part, whatever their names. from_files: docs is one Parquet read (perhaps filtered),
+    whose files and row numbers are the locators; else, or if it isn't, docs is written once and read from there.
 
     A digest only proposes: each hit's full text is compared with the text of the row that stays, and where a
     digest stands for different texts its rows are grouped anew by the full texts.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    if not from_files:
+    if not from_files or _locators(docs) is None:
         docs = cut(docs.select(id_col, text_col), "texts")
     located = _located(docs, id_col, text_col, digest)
     sha = F.sha2(F.col("text").cast("binary"), 256)
@@ -110,11 +122,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, read from Parquet, without the rows whose text an earlier row has. All columns stay as they are."""
+    """docs without the rows whose text an earlier row has. All columns stay as they are, whatever their names.
+
+    Null and empty texts are one group, of which one row stays; of equal texts the smallest id stays, a null id
+    being the smallest, and of rows with the same id and text the first one. An empty table stays empty. A table
+    that doesn't come straight from Parquet files is written first.
+    """
+    if _locators(docs) is None:
+        docs = cut(docs, "docs")
     gone = cut(exact_groups(docs, id_col, text_col, from_files=True).where(~F.col("kept")).select("file", "row"), "gone")
     n = gone.count()
     if n == 0:
         return docs
     # a row travels as one value, so that no name of its own can clash
-    marked = docs.select(F.struct("*").alias("doc"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    marked = docs.select(F.struct("*").alias("doc"), *_locators(docs))
     return marked.join(small(gone, n), ["file", "row"], "left_anti").select("doc.*")
