@@ -113,17 +113,19 @@ def fit_ordinal(grades, counts, penalty: float = CHOICE, rounds: int = 300) -> t
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """label and text of at most bound labelled documents; of several labels of one document the greatest."""
+    """id, label and text of at most bound labelled identifiers; of several labels of one the greatest. A repeated identifier has a row for each of its documents."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(bound)
     texts = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "__id").select("label", "text")
+    return texts.join(F.broadcast(chosen), "__id").select(F.col("__id").alias("id"), "label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE, **cols: str) -> OrdinalModel:
     """Fit on a bounded sample of labelled documents: features are counted on the executors, the fit gets at most bound sparse rows.
 
-    Without labelled documents of both kinds the model calls nothing toxic.
+    Of the documents of one identifier the executors keep one, that of the smallest hash of its features. Null
+    identifiers and labels play no part, null texts are empty and don't count. Without labelled documents of both
+    kinds, as in an empty table, the model calls nothing toxic.
     """
     import numpy as np
 
@@ -132,13 +134,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
 
         bucket = Buckets()
         for b in slices(batches):
-            labels = [int(bool(y)) for y in b.column(0).to_pylist()]
-            found = [sorted(Counter(map(bucket.__getitem__, words_of(x))).items()) for x in b.column(1).to_pylist()]
+            labels = [int(bool(y)) for y in b.column(1).to_pylist()]
+            found = [sorted(Counter(map(bucket.__getitem__, words_of(x))).items()) for x in b.column(2).to_pylist()]
             keys = [xxh3_128_digest(repr((y, f))) for y, f in zip(labels, found)]
             lists = [pa.array([[p[k] for p in f] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(keys, pa.binary()), *lists], ["label", "content", "buckets", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(labels, pa.int32()), pa.array(keys, pa.binary()), *lists], ["id", "label", "content", "buckets", "counts"])
 
-    got = labelled_sample(docs, labels, label, bound, **cols).mapInArrow(work, "label int, content binary, buckets array<int>, counts array<int>").toArrow().combine_chunks()
+    sample = labelled_sample(docs, labels, label, bound, **cols)
+    counted = sample.mapInArrow(work, f"id {sample.schema['id'].dataType.simpleString()}, label int, content binary, buckets array<int>, counts array<int>")
+    single = counted.groupBy("id").agg(F.min("content").alias("content"), F.min_by(F.struct("label", "buckets", "counts"), "content").alias("own"))
+    got = single.select("own.label", "content", "own.buckets", "own.counts").toArrow().combine_chunks()
     sizes = got.column("buckets").combine_chunks().value_lengths().to_numpy()
     # of repeated documents one speaks; in the order of their contents, so that the fit doesn't depend on the rows' order
     content = np.array(got.column("content").to_pylist() or [b""], dtype="S16")[: len(sizes)]
@@ -190,6 +195,6 @@ def rate(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col:
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """docs without its toxic rows. All columns stay as they are."""
+    """docs without its toxic rows. All columns stay as they are; repeated rows stay or go together, null and empty texts stay, an empty table stays empty."""
     # a row travels as one value, so that no name of its own can clash
     return docs.select(F.struct("*").alias("doc"), severity(text_col, model).alias("rated")).where("rated.grade = 0").select("doc.*")
