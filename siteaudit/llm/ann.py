@@ -156,13 +156,16 @@ def learn(sample, parts: int = PARTS, k: int = 20, target: float = TARGET) -> tu
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id, vec of the rows that take part: an identifier, and a vector of finite components that aren't all zero, of the commonest length (the greater one on ties)."""
+    """id, vec of the rows that take part: an identifier, and a vector of finite components that aren't all zero. Shorter vectors get zeros up to the greatest length, which changes no inner product."""
     inf = float("inf")
     good = F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)
     good = good & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)) & F.exists("vec", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(good)
-    sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("vec") == (sizes.n if sizes else 0))
+    sizes = rows.agg(F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most")).first()
+    if sizes.least == sizes.most:
+        return rows
+    zero = F.lit(0).cast(vectors.schema[vec_col].dataType.elementType)
+    return rows.withColumn("vec", F.concat("vec", F.array_repeat(zero, F.lit(sizes.most) - F.size("vec"))))
 
 
 def _packed(df: DataFrame, group: list[str], side: str) -> DataFrame:
@@ -192,7 +195,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = PARTS
     """query_id, rank, vec_id, score: the k nearest found of each query, by inner product in double precision, ties to the smaller vec_id.
 
     is_query is a condition on the column id. Candidates are all usable rows but those with the query's own
-    identifier. Equal vectors are one node of the index with their k + 1 smallest identifiers (no more can be
+    identifier; of vectors of different lengths the shorter one counts as having zeros at its end. Equal vectors are one node of the index with their k + 1 smallest identifiers (no more can be
     in a result), so copies don't fill a part. Fewer candidates than k give fewer rows; an empty table gives none.
     Rows that repeat an identifier and vector count once. Other columns of vectors play no part.
     """
