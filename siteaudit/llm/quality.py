@@ -14,10 +14,8 @@ from siteaudit.llm.common import cut, slices, text_of
 
 #: Hashed unigrams and bigrams; labelled rows of the target at most.
 BUCKETS, SAMPLE = 1 << 14, 8192
-#: A document's mean log ratio counts as that of a text of so many n-grams, so that length alone decides nothing.
-NGRAMS = 64
-#: Of a document without n-grams.
-NOTHING = -1e6
+#: Log weight of a document without n-grams: it comes last.
+NOTHING = float("-inf")
 MEMO = 300_000
 # words, and runs of signs: both tell prose from junk; capitals stay
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -85,7 +83,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
 
 
 def log_weights(docs: DataFrame, model: RatioModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and log_weight of each row, of whole texts. Narrow."""
+    """id_col and log_weight of each row: the log likelihood ratio of its whole text, the sum over all its n-grams.
+
+    A text without n-grams, empty or null, has NOTHING. Repeated rows give repeated rows, an empty table none; a
+    null identifier stays null; other columns play no part. Narrow.
+    """
     kind, ratios = docs.schema[id_col].dataType.simpleString(), model.log_ratio
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +96,7 @@ def log_weights(docs: DataFrame, model: RatioModel, id_col: str = "doc_id", text
         hashes, ratio = Hashes(), np.array(ratios)
         for b in slices(batches):
             found = [ngram_buckets(x, hashes) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(ratio[f].mean()) * NGRAMS if len(f) else NOTHING for f in found], pa.float64())], [id_col, "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(ratio[f].sum()) if len(f) else NOTHING for f in found], pa.float64())], [id_col, "log_weight"])
 
     return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(work, f"`{id_col}` {kind}, log_weight double")
 
