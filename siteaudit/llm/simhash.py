@@ -223,8 +223,9 @@ def hex_print(fp: Column) -> Column:
 
 #: Rows of a tile here, and shingles of all its rows: a pair of tiles is compared, and its sets are verified, in bounded memory.
 SIMILAR_TILE, TILE_HASHES = 8192, 2_000_000
-#: Distances up to which documents are proposed, in the first 64 bits and in all 128. At a similarity of 0.8 they are 10 and 19 on average, with deviations of 3 and 4; of unrelated documents 32 and 64.
-FIRST_RADIUS, SIMILAR_RADIUS = 21, 30
+#: Distances up to which documents are proposed, in the first 64 bits and in all 128. At a similarity of 0.8 they are 10 and 19 on average,
+#: with deviations of 3 and 4, and 12 and 24 for the shortest texts (4 of 5 shingles); of unrelated documents 32 and 64.
+FIRST_RADIUS, SIMILAR_RADIUS = 24, 36
 #: Width of the population classes.
 CLASS = 4
 
