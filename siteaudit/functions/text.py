@@ -11,9 +11,13 @@ SNIFFED = {"text/css": "css", "text/html": "html", "image/svg+xml": "svg"}
 # Canonical prefixes of namespaces; elements of the bare ones keep their local names.
 BARE_NAMESPACES = ["http://www.w3.org/1999/xhtml", "http://www.w3.org/2000/svg", "http://www.w3.org/1998/Math/MathML"]
 PREFIXES = {
+    "http://creativecommons.org/ns#": "cc",
+    "http://purl.org/dc/elements/1.1/": "dc",
+    "http://sodipodi.sourceforge.net/DTD/sodipodi-0.dtd": "sodipodi",
+    "http://www.inkscape.org/namespaces/inkscape": "inkscape",
+    "http://www.w3.org/1999/02/22-rdf-syntax-ns#": "rdf",
     "http://www.w3.org/1999/xlink": "xlink",
     "http://www.w3.org/XML/1998/namespace": "xml",
-    "http://www.w3.org/1999/02/22-rdf-syntax-ns#": "rdf",
 }
 XMLNS = "http://www.w3.org/2000/xmlns/"
 # Reasons that go with statuses in messages.
@@ -135,5 +139,6 @@ def error_message(kind: Column, status: Column, scheme: Column, fragment: Column
         .when(kind == "redirect_location", F.lit("location header not found on redirect"))
         .when(kind == "missing_response", F.lit("no response"))
         .when(kind == "robots_fetch", F.lit("robots.txt not fetched"))
+        .when(kind == "data_url", F.lit("data URL cannot be decoded"))
         .otherwise(kind)
     )

@@ -6,13 +6,17 @@ and body are not inserted and nesting is not repaired beyond that.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteaudit.functions.text import BARE_NAMESPACES, PREFIXES
+
 # Fixed values of the HTML standard: elements without end tags, and which open elements a start tag closes.
 VOID = "area base br col embed hr img input link meta source track wbr".split()
 CLOSED_BY = {
@@ -26,30 +30,53 @@ HTML_NS, SVG_NS = "http://www.w3.org/1999/xhtml", "http://www.w3.org/2000/svg"
 SCHEMA = "doc_url string, ord int, parent_ord int, depth int, name string, namespace string, attributes array<struct<name:string,value:string>>, children array<string>"
 
 
+_XML_ATTRIBUTE = re.compile(r"""([^\s=/<>"']+)\s*=\s*("[^"]*"|'[^']*')""")
+
+
+def qualified(name: str, spaces: dict[str, str], element: bool) -> str:
+    """A name of an XML document as functions.text.qualify_name gives it; spaces: what its prefixes stand for."""
+    prefix, colon, local = name.rpartition(":")
+    space = spaces.get(prefix) if colon or element else None
+    if space in PREFIXES:
+        return f"{PREFIXES[space]}:{local}"
+    if not colon or element and space in BARE_NAMESPACES:
+        return local
+    return f"{space}:{local}" if space and prefix in PREFIXES.values() else name
+
+
 class _Tree(HTMLParser):
     """Rows of one document in document order."""
 
     def __init__(self, xml: bool):
         super().__init__(convert_charrefs=True)
-        self.xml, self.rows, self.open = xml, [], []
+        self.xml, self.rows, self.open, self.spaces = xml, [], [], []
+        self.tags: list[str] = []
         if xml:
             self.CDATA_CONTENT_ELEMENTS = ()
 
     def handle_starttag(self, tag: str, attrs: list, closed: bool = False) -> None:
-        name = self.get_starttag_text()[1:].split(None, 1)[0].rstrip("/>") if self.xml else tag
-        if not self.xml:
+        name, spaces = tag, {}
+        if self.xml:  # names as they are written
+            text = self.get_starttag_text()
+            name = text[1:].split(None, 1)[0].rstrip("/>")
+            attrs = [(k, unescape(v[1:-1])) for k, v in _XML_ATTRIBUTE.findall(text[1 + len(name) :])]
+            spaces = (self.spaces[self.open[-1]] if self.open else {"xml": "http://www.w3.org/XML/1998/namespace"}) | {k[6:]: v for k, v in attrs if k == "xmlns" or k.startswith("xmlns:")}
+        else:
             while self.open and tag in CLOSED_BY.get(self.rows[self.open[-1]]["name"], ()):
                 self.open.pop()
             if tag in CLOSED_BY["p"]:
                 self._close_paragraph()
-        own = dict(attrs)
         parent = self.rows[self.open[-1]] if self.open else None
-        space = own.get("xmlns") or (parent["namespace"] if parent else None if self.xml else HTML_NS)
-        if not self.xml and tag == "svg":
-            space = SVG_NS
+        if self.xml:
+            space, raw = spaces.get(name.rpartition(":")[0]), name
+            name = qualified(name, spaces, element=True)
+        else:
+            space, raw = SVG_NS if tag == "svg" else dict(attrs).get("xmlns") or (parent["namespace"] if parent else HTML_NS), name
         if parent is not None:
             parent["children"].append(name)
-        pairs = [{"name": k, "value": v or ""} for k, v in attrs if k != "xmlns" and not k.startswith("xmlns:")]
+        pairs = [{"name": qualified(k, spaces, element=False) if self.xml else k, "value": v or ""} for k, v in attrs if k != "xmlns" and not k.startswith("xmlns:")]
+        self.spaces.append(spaces)
+        self.tags.append(raw.lower())
         self.rows.append({"ord": len(self.rows), "parent_ord": parent["ord"] if parent else None, "depth": len(self.open), "name": name, "namespace": space, "attributes": pairs, "children": []})
         if not closed and (self.xml or tag not in VOID):
             self.open.append(len(self.rows) - 1)
@@ -69,7 +96,7 @@ class _Tree(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[i]]["name"].lower() == tag:
+            if self.tags[self.open[i]] == tag:
                 del self.open[i:]
                 return
 
@@ -87,25 +114,26 @@ def parse(text: str, xml: bool) -> list[dict]:
     return tree.rows
 
 
-def elements(docs: DataFrame, url_col: str = "url", body_col: str = "html", svg_col: str | None = None) -> DataFrame:
-    """Element rows (SCHEMA) of each document; svg_col says which documents are SVG, read as XML. children: names in order, #text for text that isn't blank. Narrow.
+def elements(docs: DataFrame, url_col: str = "url", body_col: str = "html", svg_col: str | None = None, with_svg: bool = False) -> DataFrame:
+    """Element rows (SCHEMA) of each document; svg_col says which documents are SVG, read as XML. with_svg: rows say it too, as is_svg. children: names in order, #text for text that isn't blank. Narrow.
 
     A null or empty document has no rows. Memory follows one document, as rows are sent on batch by batch.
     """
-    kind = pa.schema([("doc_url", pa.string()), ("ord", pa.int32()), ("parent_ord", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("namespace", pa.string()), ("attributes", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("children", pa.list_(pa.string()))])
+    kind = pa.schema([("doc_url", pa.string()), ("ord", pa.int32()), ("parent_ord", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("namespace", pa.string()), ("attributes", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("children", pa.list_(pa.string())), ("is_svg", pa.bool_())])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[dict] = []
             for url, text, xml in zip(*(b.column(i).to_pylist() for i in range(3))):
-                rows += [r | {"doc_url": url} for r in parse(text or "", xml)]
+                rows += [r | {"doc_url": url, "is_svg": xml} for r in parse(text or "", xml)]
                 if len(rows) >= 5000:
                     yield pa.RecordBatch.from_pylist(rows, kind)
                     rows = []
             yield pa.RecordBatch.from_pylist(rows, kind)
 
     svg = F.coalesce(F.col(svg_col), F.lit(False)) if svg_col else F.lit(False)
-    return docs.select(F.col(url_col), F.col(body_col), svg.alias("__svg")).mapInArrow(work, SCHEMA)
+    rows = docs.select(F.col(url_col), F.col(body_col), svg.alias("__svg")).mapInArrow(work, f"{SCHEMA}, is_svg boolean")
+    return rows if with_svg else rows.drop("is_svg")
 
 
 def svg_root_errors(elements: DataFrame, ignored: list[str] | None = None) -> DataFrame:

@@ -1,21 +1,27 @@
-"""Markup rules as joins with small rule tables.
+"""Markup rules: one join of elements with small rule tables, and one pass over what it gives.
 
 rule_elements(name, variant, content_regex), rule_attributes(element, variant, attribute_set, attribute, required, mode),
 rule_values(element, attribute, match, literal), rule_children(parent, child). Errors are long rows: doc_url, ord,
-kind, name, detail. Rule tables are broadcast: they are schemas, not data.
+kind, name, detail. The tables become one row for each element name, counted and broadcast if there are few.
+
+A variant of an element has sets of attributes and a content expression; the best variant, with its best set, says what
+is wrong with an element. Content expressions are names, groups, sequences, | for a choice, & for parts in any order
+that may mingle, and ? * + after an item; & binds stronger than |, a sequence stronger than &.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteaudit.functions.text import value_matches, wildcard_match
+from siteaudit.functions.urls import let
+from siteaudit.sources.scratch import small
 
 # A compact rule set from the public HTML standard. Users give tables of their own for more.
 _FLOW = "a abbr article aside b blockquote br button code div dl em fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr i img input label main nav ol p pre script section select small span strong svg table textarea ul video #text".split()
@@ -34,244 +40,331 @@ ATTRIBUTES = {
     ("a", 0): "href target rel download", ("img", 0): "src! alt srcset width height loading", ("link", 0): "href! rel! type media", ("script", 0): "src type async defer",
     ("meta", 0): "charset!", ("meta", 1): "name! content!", ("meta", 2): "property! content!", ("meta", 3): "http-equiv! content!", ("style", 0): "media type",
 }
+# The same for SVG, from the public SVG standard.
+_SHAPES = "path rect circle ellipse line polyline polygon text image use a g svg defs symbol style title desc linearGradient radialGradient clipPath mask pattern filter marker script switch foreignObject metadata".split()
+SVG_CHILDREN = {**{n: _SHAPES for n in ("svg", "g", "defs", "symbol", "a", "clipPath", "mask", "pattern", "marker", "switch")}, "text": ["tspan", "textPath", "a", "title", "desc", "#text"], "title": ["#text"], "desc": ["#text"], "style": ["#text"], "linearGradient": ["stop"], "radialGradient": ["stop"]}
+SVG_GLOBAL = "id class style lang xml:lang xml:space transform fill* stroke* clip* mask opacity display visibility font* text-anchor data-* aria-* role".split()
+SVG_ATTRIBUTES = {
+    ("svg", 0): "viewBox width height x y preserveAspectRatio version", ("path", 0): "d! pathLength", ("rect", 0): "x y width height rx ry", ("circle", 0): "cx cy r", ("ellipse", 0): "cx cy rx ry",
+    ("line", 0): "x1 y1 x2 y2", ("polyline", 0): "points!", ("polygon", 0): "points!", ("text", 0): "x y dx dy rotate textLength", ("tspan", 0): "x y dx dy rotate",
+    ("use", 0): "href! x y width height", ("use", 1): "xlink:href! x y width height", ("image", 0): "href! x y width height preserveAspectRatio", ("image", 1): "xlink:href! x y width height preserveAspectRatio",
+    ("a", 0): "href target", ("a", 1): "xlink:href target", ("symbol", 0): "viewBox width height x y preserveAspectRatio refX refY", ("stop", 0): "offset! stop-color stop-opacity",
+    ("linearGradient", 0): "x1 y1 x2 y2 gradientUnits gradientTransform spreadMethod href xlink:href", ("radialGradient", 0): "cx cy r fx fy gradientUnits gradientTransform spreadMethod href xlink:href", ("style", 0): "type media",
+}
 VALUES = {("a", "target"): ["_self", "_blank", "_parent", "_top"], ("img", "loading"): ["lazy", "eager"], ("meta", "charset"): ["utf-8"]}
 
 
-def html_rules(spark: SparkSession) -> dict[str, DataFrame]:
-    """The compact rule set as the four rule tables."""
-    names = sorted({*CHILDREN, *(c for cs in CHILDREN.values() for c in cs), *(e for e, _ in ATTRIBUTES)} - {"#text"})
-    variants = {n: sorted({v for e, v in ATTRIBUTES if e == n} or {0}) for n in names}
-    rows = [(n, v, CONTENT.get(n)) for n in names for v in variants[n]]
-    attributes = [(n, v, 0, a.rstrip("!"), a.endswith("!"), "literal" if (n, a.rstrip("!")) in VALUES else "any") for n in names for v in variants[n] for a in [*GLOBAL_ATTRIBUTES, *ATTRIBUTES.get((n, v), "").split()]]
-    values = [(e, a, "ci", x) for (e, a), xs in VALUES.items() for x in xs]
-    children = [(p, c) for p, cs in CHILDREN.items() for c in cs]
+def _rules(spark: SparkSession, children: dict, content: dict, everywhere: list[str], own: dict, literals: dict) -> dict[str, DataFrame]:
+    """The four rule tables of a rule set in the compact form above."""
+    names = sorted({*children, *(c for cs in children.values() for c in cs), *(e for e, _ in own)} - {"#text"})
+    variants = {n: sorted({v for e, v in own if e == n} or {0}) for n in names}
+    rows = [(n, v, content.get(n)) for n in names for v in variants[n]]
+    attributes = [(n, v, 0, a.rstrip("!"), a.endswith("!"), "literal" if (n, a.rstrip("!")) in literals else "any") for n in names for v in variants[n] for a in [*everywhere, *own.get((n, v), "").split()]]
+    values = [(e, a, "ci", x) for (e, a), xs in literals.items() for x in xs]
     return {
         "elements": spark.createDataFrame(rows, "name string, variant int, content_regex string"),
         "attributes": spark.createDataFrame(attributes, "element string, variant int, attribute_set int, attribute string, required boolean, mode string"),
         "values": spark.createDataFrame(values, "element string, attribute string, match string, literal string"),
-        "children": spark.createDataFrame(children, "parent string, child string"),
+        "children": spark.createDataFrame([(p, c) for p, cs in children.items() for c in cs], "parent string, child string"),
     }
 
 
-def _errors(df: DataFrame, kind: str, name: Column, detail: Column | None = None) -> DataFrame:
-    return df.select("doc_url", "ord", F.lit(kind).alias("kind"), name.alias("name"), (F.lit(None).cast("string") if detail is None else detail).alias("detail"))
+def html_rules(spark: SparkSession) -> dict[str, DataFrame]:
+    """The compact HTML rule set as the four rule tables."""
+    return _rules(spark, CHILDREN, CONTENT, GLOBAL_ATTRIBUTES, ATTRIBUTES, VALUES)
 
 
-def _not_ignored(df: DataFrame, col: str, ignored: list[str] | None) -> DataFrame:
-    return df.where(~F.col(col).rlike("^(?:" + "|".join(ignored) + ")$")) if ignored else df
+def svg_rules(spark: SparkSession) -> dict[str, DataFrame]:
+    """The compact SVG rule set as the four rule tables."""
+    return _rules(spark, SVG_CHILDREN, {}, SVG_GLOBAL, SVG_ATTRIBUTES, {})
 
 
 def dedup_attributes(elements: DataFrame) -> DataFrame:
     """doc_url, ord, name, attribute, value: one row for each attribute; of a repeated name the smallest value."""
-    least = F.array_sort("attributes")
-    first = F.filter(least, lambda a, i: (i == 0) | (F.get(least, i - 1)["name"] != a["name"]))
-    return elements.select("doc_url", "ord", "name", F.explode(first).alias("a")).select("doc_url", "ord", "name", F.col("a.name").alias("attribute"), F.col("a.value").alias("value"))
-
-
-def unknown_tags(elements: DataFrame, rules: dict[str, DataFrame], ignored: list[str] | None = None) -> DataFrame:
-    """Elements whose name is in no rule, exact or by wildcard."""
-    known = rules["elements"].select(F.col("name").alias("__rule")).distinct()
-    plain, wild = known.where("NOT endswith(__rule, '*')"), known.where("endswith(__rule, '*')")
-    rows = _not_ignored(elements, "name", ignored).join(F.broadcast(plain), F.col("name") == F.col("__rule"), "left_anti")
-    if wild.take(1):
-        rows = rows.join(F.broadcast(wild), wildcard_match(F.col("__rule"), F.col("name")), "left_anti")
-    return _errors(rows, "unknown_tag", F.col("name"))
-
-
-def _known(attributes: DataFrame, rules: dict[str, DataFrame]) -> DataFrame:
-    """attributes with known (whether the element has such an attribute in any variant), mode and variants (those that have it)."""
-    rule = rules["attributes"].groupBy(F.col("element").alias("__element")).agg(F.collect_list(F.struct("attribute", "mode", "variant")).alias("__rules"))
-    rows = attributes.join(F.broadcast(rule), F.col("name") == F.col("__element"))
-    fits = F.filter("__rules", lambda r: wildcard_match(r["attribute"], F.col("attribute")))
-    rows = rows.withColumn("__fits", fits)
-    return rows.withColumn("known", F.size("__fits") > 0).withColumn("mode", F.get("__fits", F.lit(0))["mode"]).withColumn("variants", F.array_distinct(F.col("__fits.variant"))).drop("__element", "__rules", "__fits")
-
-
-def disallowed_attributes(elements: DataFrame, rules: dict[str, DataFrame], ignored: list[str] | None = None) -> DataFrame:
-    """Attributes that no variant of their element has."""
-    rows = _known(_not_ignored(dedup_attributes(elements), "attribute", ignored), rules).where("NOT known")
-    return _errors(rows, "attribute_not_allowed", F.col("attribute"))
-
-
-def invalid_attribute_values(elements: DataFrame, rules: dict[str, DataFrame], ignored: list[str] | None = None) -> DataFrame:
-    """Known attributes whose value doesn't match."""
-    literals = rules["values"].groupBy(F.col("element").alias("__e"), F.col("attribute").alias("__a")).agg(F.collect_list(F.struct("match", "literal")).alias("literals"))
-    rows = _known(_not_ignored(dedup_attributes(elements), "attribute", ignored), rules).where("known AND mode <> 'any'")
-    rows = rows.join(F.broadcast(literals), (F.col("name") == F.col("__e")) & (F.col("attribute") == F.col("__a")))
-    return _errors(rows.where(~value_matches(F.col("mode"), F.col("literals"), F.col("value"))), "invalid_value", F.col("attribute"), F.col("value"))
-
+    return elements.select("doc_url", "ord", "name", F.explode(_single(F.col("attributes"))).alias("a")).select("doc_url", "ord", "name", F.col("a.name").alias("attribute"), F.col("a.value").alias("value"))
 
-def best_variant(scores: DataFrame) -> DataFrame:
-    """doc_url, ord, variant with the least (errors, conflicts, requirements), the first on ties."""
-    return scores.groupBy("doc_url", "ord").agg(F.min_by("variant", F.struct("errors", "conflicts", "requirements", "variant")).alias("variant"))
 
+def _single(attributes: Column) -> Column:
+    return let(lambda s: F.filter(s["sorted"], lambda a, i: (i == 0) | (F.get(s["sorted"], i - 1)["name"] != a["name"])), sorted=F.array_sort(attributes))
 
-def chosen_variants(elements: DataFrame, rules: dict[str, DataFrame], ignored: list[str] | None = None) -> DataFrame:
-    """doc_url, ord, name, own (attribute names), variant, conflicts and missing of each element with rules.
-
-    Conflicts are attributes that other variants have but the chosen one hasn't; missing are its required ones.
-    All variants of an element are scored inside one row: nothing is shuffled.
-    """
-    rule = rules["attributes"].groupBy("element", "variant").agg(F.collect_set("attribute").alias("allowed"), F.collect_set(F.when(F.col("required"), F.col("attribute"))).alias("required"))
-    rule = rule.groupBy(F.col("element").alias("__element")).agg(F.array_sort(F.collect_list(F.struct("variant", "allowed", "required"))).alias("__variants"))
-    own = F.array_distinct(F.transform("attributes", lambda a: a["name"]))
-    if ignored:
-        own = F.filter(own, lambda n: ~n.rlike("^(?:" + "|".join(ignored) + ")$"))
-    rows = elements.select("doc_url", "ord", "name", own.alias("own")).join(F.broadcast(rule), F.col("name") == F.col("__element"))
-    has = lambda allowed, n: F.exists(allowed, lambda a: wildcard_match(a, n))
 
-    def scored(v: Column) -> Column:
-        elsewhere = lambda n: F.exists("__variants", lambda w: has(w["allowed"], n))
-        conflicts = F.filter("own", lambda n: ~has(v["allowed"], n) & elsewhere(n))
-        missing = F.array_except(v["required"], F.col("own"))
-        if ignored:
-            missing = F.filter(missing, lambda n: ~n.rlike("^(?:" + "|".join(ignored) + ")$"))
-        return F.struct((F.size(conflicts) + F.size(missing)).alias("errors"), F.size(conflicts).alias("n_conflicts"), F.size(missing).alias("n_missing"), v["variant"].alias("variant"), F.array_sort(conflicts).alias("conflicts"), F.array_sort(missing).alias("missing"))
+# --- content expressions, by derivatives: what may follow after a name ---
 
-    rows = rows.withColumn("best", F.array_min(F.transform("__variants", scored)))
-    return rows.select("doc_url", "ord", "name", "own", "best.variant", "best.conflicts", "best.missing")
+EMPTY, NOTHING = ("empty",), ("nothing",)
 
 
-def conflicting_attributes(elements: DataFrame, rules: dict[str, DataFrame], ignored: list[str] | None = None) -> DataFrame:
-    """Attributes that the element may have, but not in its best variant."""
-    rows = chosen_variants(elements, rules, ignored).select("doc_url", "ord", F.explode("conflicts").alias("attribute"))
-    return _errors(rows, "conflicting_attribute", F.col("attribute"))
+def _choice(parts: Iterable[tuple]) -> tuple:
+    flat = {q for p in parts for q in (p[1] if p[0] == "choice" else (p,))} - {NOTHING}
+    return NOTHING if not flat else flat.pop() if len(flat) == 1 else ("choice", frozenset(flat))
 
 
-def missing_attributes(elements: DataFrame, rules: dict[str, DataFrame], ignored: list[str] | None = None) -> DataFrame:
-    """Required attributes of the best variant that are absent."""
-    rows = chosen_variants(elements, rules, ignored).select("doc_url", "ord", F.explode("missing").alias("attribute"))
-    return _errors(rows, "missing_attribute", F.col("attribute"))
+def _both(kind: str, a: tuple, b: tuple) -> tuple:
+    """A sequence or a mingling of two expressions."""
+    if NOTHING in (a, b):
+        return NOTHING
+    return b if a == EMPTY else a if b == EMPTY else (kind, a, b)
 
 
-def disallowed_children(elements: DataFrame, rules: dict[str, DataFrame], ignored: list[str] | None = None) -> DataFrame:
-    """Children (text is #text) that no rule allows under their parent, once for each parent and name. Parents without rules allow all.
-
-    Element rows carry their children's names, so parents and children needn't be joined.
-    """
-    rule = rules["children"].groupBy(F.col("parent").alias("__parent")).agg(F.collect_set("child").alias("__allowed"))
-    rows = elements.join(F.broadcast(rule), F.col("name") == F.col("__parent"))
-    bad = F.array_sort(F.filter(F.array_distinct("children"), lambda c: ~F.array_contains("__allowed", c)))
-    rows = rows.select("doc_url", "ord", F.explode(bad).alias("child"))
-    return _errors(_not_ignored(rows, "child", ignored), "child_not_allowed", F.col("child"))
-
-
-@functools.lru_cache(maxsize=256)
-def _automaton(regex: str) -> tuple[dict, set]:
-    """A small non-deterministic automaton of a content expression: names, groups, ? * + and |. Edges: state to [(name or None, state)]."""
-    tokens, edges, count = re.findall(r"[\w#:-]+|[()|?*+]", regex), {}, iter(range(1 << 20))
-    add = lambda a, name, b: edges.setdefault(a, []).append((name, b))
+@functools.lru_cache(maxsize=1024)
+def content_of(regex: str) -> tuple:
+    """A content expression, parsed. Signs that don't belong to the language are an error."""
+    tokens = re.findall(r"[\w#:.-]+|[()|&?*+]", regex)
+    if re.sub(r"\s", "", regex) != "".join(tokens):
+        raise ValueError(f"not a content expression: {regex}")
     at = 0
 
-    def choice() -> tuple[int, int]:
+    def parts(sign: str, item, join) -> tuple:
         nonlocal at
-        start, end = next(count), next(count)
-        while True:
-            a, b = sequence()
-            add(start, None, a)
-            add(b, None, end)
-            if at >= len(tokens) or tokens[at] != "|":
-                return start, end
+        out = item()
+        while at < len(tokens) and tokens[at] == sign:
             at += 1
+            out = join(out, item())
+        return out
+
+    def choice() -> tuple:
+        return parts("|", lambda: parts("&", sequence, functools.partial(_both, "mingled")), lambda a, b: _choice([a, b]))
 
-    def sequence() -> tuple[int, int]:
+    def sequence() -> tuple:
         nonlocal at
-        start = now = next(count)
-        while at < len(tokens) and tokens[at] not in "|)":
-            if tokens[at] == "(":
-                at += 1
-                a, b = choice()
+        out = EMPTY
+        while at < len(tokens) and tokens[at] not in "|&)":
+            if tokens[at] in "?*+":
+                raise ValueError(f"nothing to repeat: {regex}")
+            at += 1
+            if tokens[at - 1] == "(":
+                one = choice()
+                if at >= len(tokens):
+                    raise ValueError(f"open group: {regex}")
                 at += 1
             else:
-                a, b = next(count), next(count)
-                add(a, tokens[at], b)
-                at += 1
+                one = ("name", tokens[at - 1])
             if at < len(tokens) and tokens[at] in "?*+":
-                if tokens[at] in "?*":
-                    add(a, None, b)
-                if tokens[at] in "*+":
-                    add(b, None, a)
+                one = {"?": _choice([one, EMPTY]), "*": ("many", one), "+": _both("sequence", one, ("many", one))}[tokens[at]]
                 at += 1
-            add(now, None, a)
-            now = next(count)
-            add(b, None, now)
-        return start, now
-
-    start, end = choice()
-    return edges, {start, -end - 1}
-
-
-def _closure(edges: dict, states: Iterable[int]) -> frozenset[int]:
-    seen, todo = set(states), list(states)
-    while todo:
-        for name, to in edges.get(todo.pop(), ()):
-            if name is None and to not in seen:
-                seen.add(to)
-                todo.append(to)
-    return frozenset(seen)
-
-
-def content_errors(regex: str, children: list[str]) -> tuple[list[str], list[str]]:
-    """(misplaced, missing): children out of order, which are skipped; if none is, the names that begin a shortest way to the end."""
-    edges, ends = _automaton(regex)
-    start, end = max(ends), -min(ends) - 1
-    states, misplaced = _closure(edges, [start]), []
+            out = _both("sequence", out, one)
+        return out
+
+    whole = choice()
+    if at < len(tokens):
+        raise ValueError(f"closed group: {regex}")
+    return whole
+
+
+@functools.lru_cache(maxsize=65536)
+def may_end(e: tuple) -> bool:
+    kind = e[0]
+    if kind == "choice":
+        return any(map(may_end, e[1]))
+    return kind in ("empty", "many") or kind in ("sequence", "mingled") and may_end(e[1]) and may_end(e[2])
+
+
+@functools.lru_cache(maxsize=65536)
+def after(e: tuple, name: str) -> tuple:
+    """What may follow name in e; NOTHING if name can't come."""
+    kind = e[0]
+    if kind == "name":
+        return EMPTY if e[1] == name else NOTHING
+    if kind == "choice":
+        return _choice(after(p, name) for p in e[1])
+    if kind == "many":
+        return _both("sequence", after(e[1], name), e)
+    if kind == "sequence":
+        first = _both("sequence", after(e[1], name), e[2])
+        return _choice([first, after(e[2], name)]) if may_end(e[1]) else first
+    if kind == "mingled":
+        return _choice([_both(kind, after(e[1], name), e[2]), _both(kind, e[1], after(e[2], name))])
+    return NOTHING
+
+
+def names_in(e: tuple) -> set[str]:
+    if e[0] == "name":
+        return {e[1]}
+    return set().union(*map(names_in, e[1] if e[0] == "choice" else e[1:]))
+
+
+def content_errors(regex: str, children: list[str], exempt: Iterable[str] = ()) -> tuple[list[str], list[str]]:
+    """(misplaced, missing): children out of order, which are skipped, exempt ones silently; if none is, the names that begin a shortest way to the end."""
+    e, misplaced = content_of(regex), set()
     for child in children:
-        to = {b for s in states for name, b in edges.get(s, ()) if name == child}
-        if to:
-            states = _closure(edges, to)
-        else:
-            misplaced.append(child)
-    if misplaced or end in states:
-        return sorted(set(misplaced)), []
-    level, seen = {states: set()}, {states}
+        then = after(e, child)
+        if then != NOTHING:
+            e = then
+        elif child not in exempt:
+            misplaced.add(child)
+    if misplaced or may_end(e):
+        return sorted(misplaced), []
+    level, seen, names = {(e, "")}, {e}, sorted(names_in(e))
     while level:
-        below: dict[frozenset, set] = {}
-        for held, firsts in level.items():
-            for s in held:
-                for name, b in edges.get(s, ()):
-                    if name is not None:
-                        below.setdefault(_closure(edges, [b]), set()).update(firsts or {name})
-        done = {n for held, firsts in below.items() if end in held for n in firsts}
-        if done:
+        below = {(then, first or n) for e, first in level for n in names if (then := after(e, n)) != NOTHING}
+        if done := {first for e, first in below if may_end(e)}:
             return [], sorted(done)
-        level = {k: v for k, v in below.items() if k not in seen}
-        seen.update(level)
+        level = {x for x in below if x[0] not in seen}
+        seen |= {e for e, _ in below}
     return [], []
 
 
-def content_model(elements: DataFrame, rules: dict[str, DataFrame]) -> DataFrame:
-    """misplaced_child and missing_child errors of elements with a content expression."""
-    rule = rules["elements"].where("content_regex IS NOT NULL").select(F.col("name").alias("__name"), "content_regex").distinct()
-    rows = elements.join(F.broadcast(rule), F.col("name") == F.col("__name")).select("doc_url", "ord", "content_regex", F.filter("children", lambda c: c != "#text").alias("children"))
+_CONTENT = "array<struct<misplaced:array<string>,missing:array<string>>>"
+
+
+def _content(children: Column, exempt: Column, regexes: Column) -> Column:
+    """misplaced and missing children for each expression of an array; null for no array. The one Python step."""
+    kind = pa.list_(pa.struct([("misplaced", pa.list_(pa.string())), ("missing", pa.list_(pa.string()))]))
+
+    @F.arrow_udf(_CONTENT)
+    def judge(children: pa.Array, exempt: pa.Array, regexes: pa.Array) -> pa.Array:
+        out = []
+        for names, free, all_of in zip(children.to_pylist(), exempt.to_pylist(), regexes.to_pylist()):
+            found = None if all_of is None else [([], []) if r is None else content_errors(r, names, free) for r in all_of]
+            out.append(found and [{"misplaced": m, "missing": x} for m, x in found])
+        return pa.array(out, kind)
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for url, place, regex, children in zip(*(b.column(i).to_pylist() for i in range(4))):
-                misplaced, missing = content_errors(regex, children)
-                out += [(url, place, "misplaced_child", c) for c in misplaced] + [(url, place, "missing_child", c) for c in missing]
-            cols = list(zip(*out)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string()))], ["doc_url", "ord", "kind", "name"])
+    return judge(children, exempt, regexes)
 
-    return rows.mapInArrow(work, "doc_url string, ord int, kind string, name string").withColumn("detail", F.lit(None).cast("string"))
 
+# --- all rules of an element in one row ---
 
-def misplaced_children(elements: DataFrame, rules: dict[str, DataFrame]) -> DataFrame:
-    """Children out of the order of their parent's content expression."""
-    return content_model(elements, rules).where("kind = 'misplaced_child'")
+#: Element names whose rules are broadcast at most.
+BROADCAST_NAMES = 20_000
+#: Names to leave out: regular expressions, or a column of arrays of them.
+Patterns = list[str] | Column | None
 
 
-def missing_children(elements: DataFrame, rules: dict[str, DataFrame]) -> DataFrame:
-    """What a content expression still wants, where nothing is misplaced."""
-    return content_model(elements, rules).where("kind = 'missing_child'")
+def rule_rows(rules: dict[str, DataFrame]) -> DataFrame:
+    """__rule, variants (variant, regex, sets of attributes with their modes and literals), attributes (all names) and allowed children of each element name."""
+    literals = rules["values"].groupBy("element", "attribute").agg(F.array_sort(F.collect_list(F.struct("match", "literal"))).alias("literals"))
+    each = rules["attributes"].join(literals, ["element", "attribute"], "left")
+    sets = each.groupBy("element", "variant", "attribute_set").agg(F.array_sort(F.collect_list(F.struct("attribute", "required", "mode", "literals"))).alias("attributes"))
+    sets = sets.groupBy("element", "variant").agg(F.array_sort(F.collect_list(F.struct("attribute_set", "attributes"))).alias("sets"))
+    variants = rules["elements"].join(sets.withColumnRenamed("element", "name"), ["name", "variant"], "left")
+    no_set = F.array().cast(sets.schema["sets"].dataType)
+    rows = variants.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("variant", F.col("content_regex").alias("regex"), F.coalesce("sets", no_set).alias("sets")))).alias("variants"))
+    rows = rows.withColumn("known", F.array_sort(F.array_distinct(F.flatten(F.flatten(F.transform("variants", lambda v: F.transform(v["sets"], lambda s: F.transform(s["attributes"], lambda a: a["attribute"]))))))))
+    allowed = rules["children"].groupBy(F.col("parent").alias("name")).agg(F.collect_set("child").alias("allowed"))
+    rows = rows.join(allowed, "name", "left").withColumnRenamed("name", "__rule")
+    return small(rows, rules["elements"].count(), BROADCAST_NAMES)
 
 
-def markup_errors(elements: DataFrame, rules: dict[str, DataFrame], ignored_elements: list[str] | None = None, ignored_attributes: list[str] | None = None) -> DataFrame:
-    """All errors of all elements that aren't ignored."""
-    kept = _not_ignored(elements, "name", ignored_elements)
-    parts = [unknown_tags(kept, rules), *[f(kept, rules, ignored_attributes) for f in (disallowed_attributes, invalid_attribute_values, conflicting_attributes, missing_attributes)], disallowed_children(kept, rules, ignored_elements), content_model(kept, rules)]
-    return functools.reduce(DataFrame.unionByName, parts)
+def _ignored(name: Column, patterns: Patterns) -> Column:
+    """Whether a pattern, of a list or of an array column, is all of name."""
+    if isinstance(patterns, Column):
+        joined = F.array_join(patterns, ")|(?:")  # one expression: the content step takes no lambda within a lambda
+        return F.coalesce((F.size(patterns) > 0) & F.regexp_like(name, F.concat(F.lit("^(?:(?:"), joined, F.lit("))$"))), F.lit(False))
+    return name.rlike("^(?:" + "|".join(patterns) + ")$") if patterns else F.lit(False)
+
+
+def _of_set(attributes: Column, name: Column) -> Column:
+    """What a set says of an attribute: the exact name first, then a wildcard; null for none."""
+    exact = F.get(F.filter(attributes, lambda a: a["attribute"] == name), F.lit(0))
+    return F.coalesce(exact, F.get(F.filter(attributes, lambda a: wildcard_match(a["attribute"], name)), F.lit(0)))
+
+
+def _scored_set(row: Column, one: Column) -> Column:
+    """errors, conflicts and requirements of a set, and what they are."""
+
+    def count(s: Column) -> Column:
+        return F.struct((F.size(s["conflicting"]) + F.size(s["invalid"]) + F.size(s["missing"])).alias("errors"), F.size(s["conflicting"]).alias("conflicts"), F.size(s["required"]).alias("requirements"), one["attribute_set"].alias("set"), s["conflicting"].alias("conflicting"), s["invalid"].alias("invalid"), s["missing"].alias("missing"))
+
+    def wrong(a: Column) -> Column:
+        return let(lambda s: s["rule"].isNotNull() & ~F.coalesce(value_matches(s["rule"]["mode"], F.coalesce(s["rule"]["literals"], F.array().cast("array<struct<match:string,literal:string>>")), a["value"]), F.lit(True)), rule=_of_set(one["attributes"], a["name"]))
+
+    required = F.transform(F.filter(one["attributes"], lambda a: a["required"]), lambda a: a["attribute"])
+    return let(
+        count, required=required, missing=F.array_except(required, row["present"]),
+        conflicting=F.transform(F.filter(row["own"], lambda a: _of_set(one["attributes"], a["name"]).isNull()), lambda a: a["name"]),
+        invalid=F.filter(row["own"], wrong),
+    )
+
+
+def _scored_variant(row: Column, variant: Column, content: Column) -> Column:
+    none = F.lit(None)
+    empty = F.struct(F.lit(0).alias("errors"), F.lit(0).alias("conflicts"), F.lit(0).alias("requirements"), none.cast("int").alias("set"), F.array().cast("array<string>").alias("conflicting"), F.array().cast("array<struct<name:string,value:string>>").alias("invalid"), F.array().cast("array<string>").alias("missing"))
+
+    def total(s: Column) -> Column:
+        out_of_place = F.coalesce(F.size(s["content"]["misplaced"]), F.lit(0))
+        lacking = F.when(F.coalesce(F.size(s["content"]["missing"]), F.lit(0)) > 0, 1).otherwise(0)
+        return F.struct((s["best"]["errors"] + out_of_place + lacking).alias("errors"), (s["best"]["conflicts"] + out_of_place).alias("conflicts"), s["best"]["requirements"].alias("requirements"), variant["variant"].alias("variant"), s["best"].alias("set"), s["content"].alias("content"))
+
+    return let(total, best=F.coalesce(F.array_min(F.transform(variant["sets"], lambda one: _scored_set(row, one))), empty), content=content)
+
+
+def chosen_variants(elements: DataFrame, rules: dict[str, DataFrame], ignored_elements: Patterns = None, ignored_attributes: Patterns = None) -> DataFrame:
+    """elements with best (the best variant: errors, conflicts, requirements, variant, set, content), known_tag, unlisted (attributes of no variant) and strange (children of no rule).
+
+    Best is what has the least (errors, conflicts, requirements), the first on ties, for sets of attributes as for
+    variants. An attribute counts as present, but is not judged, if it is ignored; so do ignored children.
+    """
+    rows = rule_rows(rules)
+    wild = rules["elements"].where("endswith(name, '*')").select("name").distinct()
+    out = elements.join(rows, F.col("name") == F.col("__rule"), "left")
+    # names by wildcard are few: they are looked for only where no rule has the very name
+    known = F.col("__rule").isNotNull()
+    for w in [r["name"] for r in wild.limit(1000).collect()]:
+        known = known | wildcard_match(F.lit(w), F.col("name"))
+    listed = lambda n: F.array_contains("known", n) | F.exists("known", lambda k: wildcard_match(k, n))
+    fits = lambda c: F.col("allowed").isNull() | F.array_contains("allowed", c)
+    single, has_rule = _single(F.col("attributes")), F.col("__rule").isNotNull()
+    exempt = F.filter(F.array_distinct("children"), lambda c: _ignored(c, ignored_elements))
+    ordered = F.filter("children", lambda c: (c != "#text") & fits(c))
+    regexes = F.when(F.exists("variants", lambda v: v["regex"].isNotNull()), F.transform("variants", lambda v: v["regex"]))
+    out = out.select(
+        *elements.columns, "variants", known.alias("known_tag"),
+        F.struct(F.when(has_rule, F.filter(single, lambda a: ~_ignored(a["name"], ignored_attributes) & listed(a["name"]))).alias("own"), F.transform(single, lambda a: a["name"]).alias("present")).alias("row"),
+        F.when(has_rule, F.array_sort(F.transform(F.filter(single, lambda a: ~_ignored(a["name"], ignored_attributes) & ~listed(a["name"])), lambda a: a["name"]))).alias("unlisted"),
+        F.when(has_rule, F.array_sort(F.filter(F.array_distinct("children"), lambda c: ~fits(c) & ~_ignored(c, ignored_elements)))).alias("strange"),
+        _content(ordered, exempt, regexes).alias("content"),
+    )
+    scored = F.transform("variants", lambda v, i: _scored_variant(F.col("row"), v, F.get("content", i)))
+    return out.withColumn("best", F.array_min(scored)).drop("variants", "row", "content")
+
+
+KINDS = ["unknown_tag", "attribute_not_allowed", "invalid_value", "conflicting_attribute", "missing_attribute", "child_not_allowed", "misplaced_child", "missing_child"]
+
+
+def markup_errors(elements: DataFrame, rules: dict[str, DataFrame], ignored_elements: Patterns = None, ignored_attributes: Patterns = None) -> DataFrame:
+    """doc_url, ord, kind, name, detail: all errors of all elements that aren't ignored, in one pass. Nothing is shuffled.
+
+    A null detail for all kinds but invalid_value, which has the value. Elements of unknown names have that error only.
+    """
+    kept = elements.where(~_ignored(F.col("name"), ignored_elements))
+    rows = chosen_variants(kept, rules, ignored_elements, ignored_attributes)
+    error = lambda kind, name, detail=None: F.struct(F.lit(kind).alias("kind"), name.alias("name"), (F.lit(None).cast("string") if detail is None else detail).alias("detail"))
+    many = lambda kind, names: F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: error(kind, n))
+    best = F.col("best")
+    free = lambda names, patterns: F.filter(names, lambda n: ~_ignored(n, patterns))
+    found = F.concat(
+        F.when(F.col("known_tag"), F.array().cast("array<struct<kind:string,name:string,detail:string>>")).otherwise(F.array(error("unknown_tag", F.col("name")))),
+        many("attribute_not_allowed", F.col("unlisted")),
+        F.transform(F.coalesce(best["set"]["invalid"], F.array().cast("array<struct<name:string,value:string>>")), lambda a: error("invalid_value", a["name"], a["value"])),
+        many("conflicting_attribute", F.array_sort(best["set"]["conflicting"])),
+        many("missing_attribute", F.array_sort(free(best["set"]["missing"], ignored_attributes))),
+        many("child_not_allowed", F.col("strange")),
+        many("misplaced_child", best["content"]["misplaced"]),
+        many("missing_child", free(best["content"]["missing"], ignored_elements)),
+    )
+    return rows.select("doc_url", "ord", F.explode(found).alias("e")).select("doc_url", "ord", "e.kind", "e.name", "e.detail")
+
+
+def _only(name: str, kind: str, what: str):
+    def operator(elements: DataFrame, rules: dict[str, DataFrame], ignored_elements: Patterns = None, ignored_attributes: Patterns = None) -> DataFrame:
+        return markup_errors(elements, rules, ignored_elements, ignored_attributes).where(F.col("kind") == kind)
+
+    operator.__doc__, operator.__name__ = what, name
+    return operator
+
+
+unknown_tags = _only("unknown_tags", "unknown_tag", "Elements whose name is in no rule, exact or by wildcard.")
+disallowed_attributes = _only("disallowed_attributes", "attribute_not_allowed", "Attributes that no variant of their element has.")
+invalid_attribute_values = _only("invalid_attribute_values", "invalid_value", "Attributes whose value the best variant's set doesn't have.")
+conflicting_attributes = _only("conflicting_attributes", "conflicting_attribute", "Attributes that the element may have, but not in its best variant.")
+missing_attributes = _only("missing_attributes", "missing_attribute", "Required attributes of the best variant that are absent.")
+disallowed_children = _only("disallowed_children", "child_not_allowed", "Children (text is #text) that no rule allows under their parent, once for each parent and name. Parents without rules allow all.")
+misplaced_children = _only("misplaced_children", "misplaced_child", "Children out of the order of the best variant's content expression.")
+missing_children = _only("missing_children", "missing_child", "What the best variant's content expression still wants, where nothing is misplaced.")
+
+
+def best_variant(scores: DataFrame) -> DataFrame:
+    """doc_url, ord, variant with the least (errors, conflicts, requirements), the first on ties, of scores that are rows of a table."""
+    return scores.groupBy("doc_url", "ord").agg(F.min_by("variant", F.struct("errors", "conflicts", "requirements", "variant")).alias("variant"))
 
 
 def split_markup_errors(errors: DataFrame) -> DataFrame:
