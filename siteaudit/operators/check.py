@@ -24,9 +24,17 @@ def link_ignored(target: Column, patterns: list[str]) -> Column:
     return F.coalesce(matches_any(target, patterns), F.lit(False))
 
 
-def checked_targets(responses: DataFrame, max_redirects: int = 16, robots: DataFrame | None = None) -> DataFrame:
-    """url, final_url, status, media, request_error, redirect_error, allowed of every requested URL. robots: url and allowed."""
-    chains = resolve_redirects(responses, max_redirects).select(F.col("url").alias("__from"), F.col("final_url").alias("__to"), F.col("error").alias("redirect_error"))
+def checked_targets(responses: DataFrame, max_redirects: int = 16, robots: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
+    """url, final_url, status, media, request_error, redirect_error, allowed of every requested URL.
+
+    robots: url and allowed, and perhaps robots_error, which fails the URL before its redirects. sites: options
+    whose max_redirects of the requested URL's site holds within max_redirects.
+    """
+    chains = resolve_redirects(responses, max_redirects)
+    if sites is not None:
+        chains = match_site(chains, sites).withColumn("__over", F.coalesce(F.col("hops") > F.col("site.max_redirects"), F.lit(False)))
+        chains = chains.withColumn("final_url", F.when(~F.col("__over"), F.col("final_url"))).withColumn("error", F.when(F.col("__over"), F.lit("too_many_redirects")).otherwise(F.col("error")))
+    chains = chains.select(F.col("url").alias("__from"), F.col("final_url").alias("__to"), F.col("error").alias("redirect_error"))
     first = responses.select("url", "status", media_type(F.col("headers")).alias("media"), "request_error")
     ended = first.select(F.col("url").alias("__final"), F.col("status").alias("__status"), F.col("media").alias("__media"), F.col("request_error").alias("__failed"))
     # redirects are few: only they are joined a second time
@@ -36,8 +44,11 @@ def checked_targets(responses: DataFrame, max_redirects: int = 16, robots: DataF
     out = straight.unionByName(moved)
     if robots is None:
         return out.withColumn("allowed", F.lit(True))
-    blocked = robots.where("NOT allowed").select(F.col("url").alias("__blocked")).distinct()
-    return out.join(blocked, F.col("url") == F.col("__blocked"), "left").withColumn("allowed", F.col("__blocked").isNull()).drop("__blocked")
+    error = F.col("robots_error") if "robots_error" in robots.columns else F.lit(None).cast("string")
+    marked = robots.select(F.col("url").alias("__robots"), F.col("allowed"), error.alias("__error")).where("NOT allowed OR __error IS NOT NULL")
+    marked = marked.groupBy("__robots").agg(F.min("allowed").alias("allowed"), F.min("__error").alias("__error"))
+    out = out.join(marked, F.col("url") == F.col("__robots"), "left")
+    return out.select(*[c for c in out.columns if c not in ("redirect_error", "allowed", "__robots", "__error")], F.coalesce("__error", "redirect_error").alias("redirect_error"), (F.col("__error").isNotNull() | F.coalesce("allowed", F.lit(True))).alias("allowed"))
 
 
 def check_links(links: DataFrame, targets: DataFrame, sites: DataFrame, ignored: list[str] | None = None, anchors: DataFrame | None = None) -> DataFrame:
@@ -45,25 +56,28 @@ def check_links(links: DataFrame, targets: DataFrame, sites: DataFrame, ignored:
 
     Order: URL, class, ignore rules, scheme, robots (blocked is ok), redirects, status, type, fragment. links are
     resolved link rows; targets come from checked_targets, anchors (doc_url, anchor) from extract.anchors.
-    A link without a response has the error missing_response.
+    A link without a response has the error missing_response. data: links are ok, unless targets hold what they
+    hold (see audit.data_svgs): then their type and fragment are checked, by the options of the linking document's site.
     """
     listed = F.col("element").isin(*LISTED)
     on = targets.select(F.col("url").alias("__url"), "final_url", "status", "media", "request_error", "redirect_error", "allowed")
-    rows = match_site(links, sites, "target").join(on, F.col("target_nofrag") == F.col("__url"), "left")
     kind = link_class(F.col("target"))
+    rows = match_site(links.withColumn("__of", F.when(kind == "data", F.col("doc_url")).otherwise(F.col("target"))), sites, "__of")
+    rows = rows.join(on, F.col("target_nofrag") == F.col("__url"), "left")
+    held = (kind == "data") & F.col("__url").isNotNull()
     doc = document_type(F.col("media"), F.col("hint"))
     ok, err = F.lit(""), lambda k: F.lit(k)
     verdict = (
         F.when(F.col("target").isNull(), err("url_parse"))
-        .when(~listed & (kind != "document"), ok)
+        .when(~listed & (kind != "document") & ~held, ok)
         .when(link_ignored(F.col("target"), ignored or []), ok)
-        .when(~listed & ~scheme_accepted(F.col("target"), F.col("site.schemes")), err("invalid_scheme"))
+        .when(~listed & ~held & ~scheme_accepted(F.col("target"), F.col("site.schemes")), err("invalid_scheme"))
         .when(F.coalesce(~F.col("allowed"), F.lit(False)), ok)
         .when(F.col("__url").isNull(), err("missing_response"))
         .when(F.col("redirect_error").isNotNull(), F.col("redirect_error"))
         .when(F.col("request_error").isNotNull(), F.col("request_error"))
-        .when(~F.coalesce(status_accepted(F.col("status"), F.col("site.statuses")), F.lit(False)), err("http_status"))
-        .when(doc["error"].isNotNull(), doc["error"])
+        .when(~held & ~F.coalesce(status_accepted(F.col("status"), F.col("site.statuses")), F.lit(False)), err("http_status"))
+        .when(~held & doc["error"].isNotNull(), doc["error"])
         .otherwise(ok)
     )
     rows = rows.withColumn("__verdict", verdict)

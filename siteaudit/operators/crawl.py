@@ -6,24 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteaudit.operators.sites import recursive_urls
-from siteaudit.sources.scratch import cut
+from siteaudit.sources.scratch import BROADCAST_ROWS, cut, scratch, small
 
 
 def crawl_depth(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """url, depth: hops from the nearest root, for every URL that the roots reach. edges: src, dst; roots: url.
 
-    Each round moves only the new frontier: its join with the edges, a distinct, and an anti-join with what has
-    been visited. Written tables keep the plan short and survive lost executors. Cycles end by themselves.
+    Each round writes the URLs of one depth into a folder of its own, so that what has been visited is always one
+    scan and the plan stays short; lost executors cost no earlier round. A frontier that is counted small goes to
+    the edges and to the visited URLs by broadcast: neither of the two big tables is shuffled. Cycles end by themselves.
     """
+    spark, folder = edges.sparkSession, scratch(edges.sparkSession, "visited")
     edges = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct(), "edges")
-    frontier = cut(roots.select("url").where("url IS NOT NULL").distinct().withColumn("depth", F.lit(0)), "frontier")
-    visited, depth = frontier, 0
-    while (max_depth is None or depth < max_depth) and frontier.take(1):
+    at = lambda k: spark.read.schema("url string").parquet(f"{folder}/depth={k}")
+    roots.select("url").where("url IS NOT NULL").distinct().write.parquet(f"{folder}/depth=0")
+    n, depth = at(0).count(), 0
+    while n and (max_depth is None or depth < max_depth):
+        reached = edges.join(small(at(depth), n), F.col("src") == F.col("url"), "left_semi").select(F.col("dst").alias("url")).distinct()
+        reached = cut(reached, "reached")
+        n, visited = reached.count(), spark.read.schema("url string").parquet(folder)
+        if n <= BROADCAST_ROWS:
+            visited = F.broadcast(visited.join(F.broadcast(reached), "url", "left_semi"))
         depth += 1
-        reached = frontier.join(edges, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()
-        frontier = cut(reached.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        visited = visited.unionByName(frontier)
-    return visited
+        reached.join(visited, "url", "left_anti").write.parquet(f"{folder}/depth={depth}")
+        n = at(depth).count()
+    return spark.read.schema("url string, depth int").parquet(folder)
 
 
 def crawl(targets: DataFrame, links: DataFrame, roots: DataFrame, sites: DataFrame) -> DataFrame:

@@ -5,12 +5,12 @@ Link rows: doc_url, ord, element, attribute, item, raw, hint. Nothing here shuff
 
 from __future__ import annotations
 
-from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteaudit.functions.urls import fragment_of, resolve_url, strip_fragment
+from siteaudit.functions.urls import fragment_of, let, resolve_url, strip_fragment
 
 # Elements whose links have rules of their own, properties whose content is a link, link relations that aren't followed, relations that give hints.
 OWN_RULES = ["base", "link", "meta"]
@@ -20,21 +20,43 @@ REL_HINTS = {"sitemap": "sitemap", "stylesheet": "css"}
 ANCHOR_ATTRIBUTES = ["id", "name", "xml:id"]
 
 _TAG = "<([A-Za-z][^\\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-_ATTRIBUTE = "([^\\s\"'<>/=]+)\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'=<>`]+)"
+#: A name, and perhaps a value in quotes or up to white space.
+_ATTRIBUTE = "([^\\s\"'<>/=]+)(?:\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>][^\\s>]*))?"
 #: What comes before a URL of a srcset, the URL without closing commas, and its descriptor up to the next comma.
 _SRCSET = "[\\s,]*([^\\s]*[^\\s,])(?:,+|\\s[^,]*)?"
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+_REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;)"
+# The standard's named references that end in a semicolon, and the numbers 128 to 159, which stand for Windows-1252 characters.
+_NAMED = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+_WINDOWS = {str(i): bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 LINK_COLUMNS = ["doc_url", "ord", "element", "attribute", "item", "raw", "hint"]
 
 
+def _map(pairs: dict[str, str]) -> Column:
+    """A constant map, as one literal."""
+    return F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in pairs.items())), F.lit("\x1e"), F.lit("\x1f"))
+
+
 def decode_entities(text: Column) -> Column:
-    """The five named entities and the decimal quote; ampersands last."""
-    return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), _ENTITIES.items(), text)
+    """Character references by their values: named, decimal and hexadecimal. What is none stays as it is."""
+
+    def numbered(s: Column) -> Column:
+        n = s["n"]
+        sign = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        bad = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        return F.when(bad, F.lit("\ufffd")).otherwise(F.coalesce(F.try_element_at(_map(_WINDOWS), n.cast("string")), sign))
+
+    def one(part: Column) -> Column:
+        name, low = F.regexp_replace(part, "^&|;$", ""), F.lower(F.substring(part, 3, 1))
+        number = F.when(low == "x", F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).otherwise(F.substring(name, F.lit(2), F.length(name))).try_cast("long")
+        return F.when(~part.rlike(f"^{_REFERENCE}$"), part).when(part.startswith("&#"), let(numbered, n=number)).otherwise(F.coalesce(F.try_element_at(_map(_NAMED), name), part))
+
+    parts = lambda t: F.regexp_extract_all(t, F.lit(f"{_REFERENCE}|[^&]+|&"), F.lit(0))
+    return let(lambda s: F.when(s["t"].contains("&"), F.array_join(F.transform(parts(s["t"]), one), "")).otherwise(s["t"]), t=text)
 
 
 def without_comments(html: Column) -> Column:
-    """HTML without comments and without what script and style elements hold; their tags stay."""
-    text = F.regexp_replace(html, "(?s)<!--.*?-->", "")
+    """HTML without comments, an open one included, and without what script and style elements hold; their tags stay."""
+    text = F.regexp_replace(html, "(?s)<!--.*?(?:-->|\\z)", "")
     return F.regexp_replace(text, "(?is)(<(?:script|style)\\b[^>]*>).*?(</(?:script|style)\\s*>)", "$1$2")
 
 
@@ -43,18 +65,25 @@ def attribute(tag: Column, name: str) -> Column:
     return F.get(F.filter(tag, lambda a: a["name"] == name)["value"], F.lit(0))
 
 
+def _tag_strings(html: Column) -> Column:
+    return F.regexp_extract_all(without_comments(html), F.lit(_TAG), F.lit(0))
+
+
+def _tag_name(tag: Column) -> Column:
+    return F.lower(F.regexp_extract(tag, "^<([A-Za-z][^\\s/>]*)", 1))
+
+
+def _tag_attributes(tag: Column) -> Column:
+    """name and value of each attribute; without a value it is empty."""
+    found = F.regexp_extract_all(F.regexp_replace(tag, "^<[A-Za-z][^\\s/>]*|>$", ""), F.lit(_ATTRIBUTE), F.lit(0))
+    value = lambda a: F.regexp_replace(F.regexp_replace(a, "^[^\\s=]+\\s*=?\\s*", ""), "^([\"'])((?s).*)\\1$", "$2")
+    return F.transform(found, lambda a: F.struct(F.lower(F.regexp_extract(a, "^([^\\s=]+)", 1)).alias("name"), decode_entities(value(a)).alias("value")))
+
+
 def start_tags(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """doc_url, ord, name, attributes (an array of name and value) of each start tag in document order. Null documents have none."""
-    tags = F.regexp_extract_all(without_comments(F.col(html_col)), F.lit(_TAG), F.lit(0))
-    rows = pages.select(F.col(url_col).alias("doc_url"), F.posexplode(tags).alias("ord", "tag"))
-    name = F.lower(F.regexp_extract("tag", "^<([A-Za-z][^\\s/>]*)", 1))
-    inner = F.regexp_replace("tag", "^<[A-Za-z][^\\s/>]*|>$", "")
-    found = F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(0))
-    pair = lambda a: F.struct(
-        F.lower(F.regexp_extract(a, "^([^\\s=]+)", 1)).alias("name"),
-        decode_entities(F.regexp_replace(F.regexp_replace(a, "^[^\\s=]+\\s*=\\s*", ""), "^[\"']|[\"']$", "")).alias("value"),
-    )
-    return rows.select("doc_url", "ord", name.alias("name"), F.transform(found, pair).alias("attributes"))
+    rows = pages.select(F.col(url_col).alias("doc_url"), F.posexplode(_tag_strings(F.col(html_col))).alias("ord", "tag"))
+    return rows.select("doc_url", "ord", _tag_name(F.col("tag")).alias("name"), _tag_attributes(F.col("tag")).alias("attributes"))
 
 
 def _links(rows: DataFrame, name: Column, what: str, raw: Column, hint: Column | None = None) -> DataFrame:
@@ -103,30 +132,50 @@ def meta_links(tags: DataFrame) -> DataFrame:
     return _links(rows, F.col("name"), "content", attribute(F.col("attributes"), "content"))
 
 
-def html_links(tags: DataFrame) -> DataFrame:
-    """All links of HTML start tags, in one pass over them: each tag gives an array of its links."""
-    a, name = (lambda n: attribute(F.col("attributes"), n)), F.col("name")
-    link = lambda what, item, raw, hint=None: F.struct(F.lit(what).alias("attribute"), item.alias("item"), raw.alias("raw"), (F.lit(None) if hint is None else hint).cast("string").alias("hint"))
-    zero, plain = F.lit(0), ~name.isin(*OWN_RULES)
-    sets = F.transform(srcset_urls(F.coalesce(a("srcset"), F.lit(""))), lambda u, i: link("srcset", i, u))
-    hint = F.lit(None)
+_LINK = "struct<ord:int,element:string,attribute:string,item:int,raw:string,hint:string>"
+
+
+def _link(ord_: Column, element: Column, what: str, raw: Column, hint: Column | None = None, item: Column | None = None) -> Column:
+    none = F.lit(None)
+    fields = [ord_, element, F.lit(what), F.lit(0) if item is None else item, raw, none if hint is None else hint]
+    names = ["ord", "element", "attribute", "item", "raw", "hint"]
+    return F.struct(*[f.cast("int" if n in ("ord", "item") else "string").alias(n) for f, n in zip(fields, names)])
+
+
+def _rows(docs: DataFrame, links: Column) -> DataFrame:
+    """Link rows of an array of links of each document (doc_url)."""
+    return docs.select("doc_url", F.explode(links).alias("l")).select("doc_url", *[f"l.{c}" for c in LINK_COLUMNS[1:]])
+
+
+def _tag_links(tag: Column) -> Column:
+    """All links of an HTML start tag (ord, name, attributes), as an array."""
+    a, name = (lambda n: attribute(tag["attributes"], n)), tag["name"]
+    link = lambda what, raw, **more: _link(tag["ord"], name, what, raw, **more)
+    sets = F.transform(srcset_urls(F.coalesce(a("srcset"), F.lit(""))), lambda u, i: link("srcset", u, item=i))
+    hint = F.lit(None).cast("string")
     for r, h in REL_HINTS.items():
         hint = F.when(a("rel") == r, F.lit(h)).otherwise(hint)
-    ordinary = F.concat(F.array(link("href", zero, a("href")), link("xlink:href", zero, a("xlink:href")), link("src", zero, a("src"))), sets)
     links = (
-        F.when(plain, ordinary)
-        .when((name == "link") & ~F.coalesce(a("rel").isin(*UNFOLLOWED), F.lit(False)), F.array(link("href", zero, a("href"), hint)))
-        .when((name == "meta") & a("property").isin(*META_PROPERTIES), F.array(link("content", zero, a("content"))))
+        F.when(~name.isin(*OWN_RULES), F.concat(F.array(*[link(x, a(x)) for x in ("href", "xlink:href", "src")]), sets))
+        .when((name == "link") & ~F.coalesce(a("rel").isin(*UNFOLLOWED), F.lit(False)), F.array(link("href", a("href"), hint=hint)))
+        .when((name == "meta") & a("property").isin(*META_PROPERTIES), F.array(link("content", a("content"))))
     )
-    rows = tags.select("doc_url", "ord", name.alias("element"), F.explode(F.filter(links, lambda x: x["raw"].isNotNull())).alias("l"))
-    return rows.select("doc_url", "ord", "element", "l.attribute", "l.item", "l.raw", "l.hint")
+    return F.filter(F.coalesce(links, F.array().cast(f"array<{_LINK}>")), lambda x: x["raw"].isNotNull())
+
+
+def html_links(tags: DataFrame) -> DataFrame:
+    """All links of HTML start tags, in one pass over them: each tag gives an array of its links."""
+    return _rows(tags, _tag_links(F.struct("ord", "name", "attributes")))
+
+
+def _svg_tag_links(tag: Column) -> Column:
+    links = F.array(*[_link(tag["ord"], tag["name"], a, attribute(tag["attributes"], a)) for a in ("href", "xlink:href")])
+    return F.filter(links, lambda x: x["raw"].isNotNull())
 
 
 def svg_links(elements: DataFrame) -> DataFrame:
     """href and xlink:href of any element of SVG documents (element rows)."""
-    kinds = F.array(*[F.struct(F.lit(a).alias("attribute"), attribute(F.col("attributes"), a).alias("raw")) for a in ("href", "xlink:href")])
-    rows = elements.select("doc_url", "ord", F.col("name").alias("element"), F.explode(kinds).alias("k")).where("k.raw IS NOT NULL")
-    return rows.select("doc_url", "ord", "element", F.col("k.attribute").alias("attribute"), F.lit(0).alias("item"), F.col("k.raw").alias("raw"), F.lit(None).cast("string").alias("hint"))
+    return _rows(elements, _svg_tag_links(F.struct("ord", "name", "attributes")))
 
 
 _CSS_IMPORT = "(?i)@import\\s+(?:url\\(\\s*)?[\"']?([^\"'()\\s;]+)[\"']?\\s*\\)?[^;]*;"
@@ -134,57 +183,77 @@ _CSS_URL = "(?i)url\\(\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'()\\s]*))\\s*\\)"
 _CSS_SET = "(?i)image-set\\(((?:[^()\"']|\"[^\"]*\"|'[^']*'|\\([^()]*\\))*)\\)"
 
 
-def css_links(styles: DataFrame, url_col: str = "url", css_col: str = "css") -> DataFrame:
-    """Links of stylesheets: @import in the prelude with the hint css, url() and the strings of image-set() without one.
+def css_array(css: Column) -> Column:
+    """Links of a stylesheet in order: @import in the prelude with the hint css, url() and the strings of image-set() without one.
 
     A byte order mark and comments go; empty and fragment-only URLs are no links.
     """
-    text = F.regexp_replace(F.regexp_replace(F.col(css_col), "^\\ufeff", ""), "(?s)/\\*.*?\\*/", "")
-    prelude = F.regexp_extract("css", "(?is)^((?:\\s*@(?:charset|import|layer)[^;{]*;)*)", 1)
-    rows = styles.select(F.col(url_col).alias("doc_url"), text.alias("css")).withColumn("prelude", prelude)
-    rows = rows.withColumn("body", F.expr("substring(css, length(prelude) + 1)"))
-    imports = F.transform(F.regexp_extract_all("prelude", F.lit(_CSS_IMPORT), F.lit(1)), lambda u: F.struct(F.lit("@import").alias("element"), u.alias("raw"), F.lit("css").alias("hint")))
-    inner = F.transform(F.regexp_extract_all("body", F.lit(_CSS_URL), F.lit(0)), lambda m: F.regexp_replace(F.regexp_replace(m, "(?i)^url\\(\\s*[\"']?", ""), "[\"']?\\s*\\)$", ""))
-    sets = F.flatten(F.transform(F.regexp_extract_all("body", F.lit(_CSS_SET), F.lit(1)), lambda m: F.transform(F.regexp_extract_all(F.regexp_replace(m, _CSS_URL, ""), F.lit("\"[^\"]*\"|'[^']*'"), F.lit(0)), lambda q: F.regexp_replace(q, "^[\"']|[\"']$", ""))))
-    urls = F.transform(F.concat(inner, sets), lambda u: F.struct(F.lit("url").alias("element"), u.alias("raw"), F.lit(None).cast("string").alias("hint")))
-    found = F.filter(F.concat(imports, urls), lambda x: (x["raw"] != "") & ~x["raw"].startswith("#"))
-    out = rows.select("doc_url", F.posexplode(found).alias("ord", "l"))
-    return out.select("doc_url", "ord", "l.element", F.lit("").alias("attribute"), F.lit(0).alias("item"), "l.raw", "l.hint")
+    text = F.regexp_replace(F.regexp_replace(css, "^\\ufeff", ""), "(?s)/\\*.*?(?:\\*/|\\z)", "")
+    prelude = lambda t: F.regexp_extract(t, "(?is)^((?:\\s*@(?:charset|import|layer)[^;{]*;)*)", 1)
 
+    def links(s: Column) -> Column:
+        body = F.substring(s["css"], F.length(s["prelude"]) + 1, F.length(s["css"]))
+        inner = F.transform(F.regexp_extract_all(body, F.lit(_CSS_URL), F.lit(0)), lambda m: F.regexp_replace(F.regexp_replace(m, "(?i)^url\\(\\s*[\"']?", ""), "[\"']?\\s*\\)$", ""))
+        sets = F.flatten(F.transform(F.regexp_extract_all(body, F.lit(_CSS_SET), F.lit(1)), lambda m: F.transform(F.regexp_extract_all(F.regexp_replace(m, _CSS_URL, ""), F.lit("\"[^\"]*\"|'[^']*'"), F.lit(0)), lambda q: F.regexp_replace(q, "^[\"']|[\"']$", ""))))
+        imports = F.transform(F.regexp_extract_all(s["prelude"], F.lit(_CSS_IMPORT), F.lit(1)), lambda u: F.struct(F.lit("@import").alias("element"), u.alias("raw"), F.lit("css").alias("hint")))
+        urls = F.transform(F.concat(inner, sets), lambda u: F.struct(F.lit("url").alias("element"), u.alias("raw"), F.lit(None).cast("string").alias("hint")))
+        found = F.filter(F.concat(imports, urls), lambda x: (x["raw"] != "") & ~x["raw"].startswith("#"))
+        return F.transform(found, lambda x, i: _link(i, x["element"], "", x["raw"], x["hint"]))
 
-def sitemap_links(docs: DataFrame, url_col: str = "url", xml_col: str = "xml") -> DataFrame:
-    """loc directly under url (pages) or sitemap (hint sitemap), by local names; entities and CDATA are decoded, blank ones skipped."""
+    return let(lambda s: let(links, css=s["css"], prelude=prelude(s["css"])), css=text)
+
+
+def css_links(styles: DataFrame, url_col: str = "url", css_col: str = "css") -> DataFrame:
+    """Link rows of stylesheets; see css_array."""
+    return _rows(styles.select(F.col(url_col).alias("doc_url"), F.col(css_col).alias("__css")), css_array(F.col("__css")))
+
+
+def sitemap_array(xml: Column) -> Column:
+    """loc directly under url (pages) or sitemap (hint sitemap), by local names; entities and CDATA are decoded, blank ones skipped. Children with a prefix of another namespace than the block's are left out."""
     tag = "(?:[A-Za-z_][\\w.\\-]*:)?"
-    block = f"(?s)<{tag}(url|sitemap)(?:\\s[^>]*)?>(.*?)</{tag}(?:url|sitemap)\\s*>"
-    child = f"(?s)<{tag}loc(?:\\s[^>]*)?>(.*?)</{tag}loc\\s*>"
-    other = f"(?s)<({tag}(?:image|video|news)(?::[\\w]+)?)(?:\\s[^>]*)?>.*?</\\1\\s*>"
-    rows = docs.select(F.col(url_col).alias("doc_url"), F.posexplode(F.regexp_extract_all(F.regexp_replace(F.col(xml_col), "(?s)<!--.*?-->", ""), F.lit(block), F.lit(0))).alias("ord", "b"))
-    rows = rows.select("doc_url", "ord", F.regexp_extract("b", block, 1).alias("kind"), F.regexp_extract(F.regexp_replace(F.regexp_extract("b", block, 2), other, ""), child, 1).alias("loc"))
-    cdata = F.regexp_extract("loc", "(?s)^\\s*<!\\[CDATA\\[(.*?)\\]\\]>\\s*$", 1)
-    raw = F.trim(F.regexp_replace(F.when(cdata != "", cdata).otherwise(decode_entities(F.col("loc"))), "^\\s+|\\s+$", ""))
-    return _links(rows.withColumn("raw", raw).where("raw <> ''"), F.lit("loc"), "", F.col("raw"), F.when(F.col("kind") == "sitemap", "sitemap"))
+    block = f"(?s)<({tag})(url|sitemap)(?:\\s[^>]*)?>(.*?)</\\1\\2\\s*>"
+    other = "(?s)<([A-Za-z_][\\w.\\-]*(?::[\\w.\\-]+)?)(?:\\s[^>]*)?>\\s*<[A-Za-z_][^>]*>.*?</\\1\\s*>"
 
+    def link(s: Column) -> Column:
+        kind, inner = F.regexp_extract(s["b"], block, 2), F.regexp_replace(F.regexp_extract(s["b"], block, 3), other, "")
+        loc = F.regexp_extract(inner, f"(?s)<{tag}loc(?:\\s[^>]*)?>(.*?)</{tag}loc\\s*>", 1)
+        cdata = F.regexp_extract(loc, "(?s)^\\s*<!\\[CDATA\\[(.*?)\\]\\]>\\s*$", 1)
+        raw = F.regexp_replace(F.when(cdata != "", cdata).otherwise(decode_entities(loc)), "^\\s+|\\s+$", "")
+        return _link(s["i"], F.lit("loc"), "", raw, F.when(kind == "sitemap", "sitemap"))
 
-def robots_sitemap_links(robots: DataFrame, url_col: str = "url", text_col: str = "robots") -> DataFrame:
+    blocks = F.regexp_extract_all(F.regexp_replace(xml, "(?s)<!--.*?-->", ""), F.lit(block), F.lit(0))
+    return F.filter(F.transform(blocks, lambda b, i: let(link, b=b, i=i)), lambda x: x["raw"] != "")
+
+
+def sitemap_links(docs: DataFrame, url_col: str = "url", xml_col: str = "xml") -> DataFrame:
+    """Link rows of sitemaps; see sitemap_array."""
+    return _rows(docs.select(F.col(url_col).alias("doc_url"), F.col(xml_col).alias("__xml")), sitemap_array(F.col("__xml")))
+
+
+def robots_array(text: Column) -> Column:
     """Sitemap lines of robots.txt, in any case, with the hint sitemap."""
-    found = F.regexp_extract_all(F.col(text_col), F.lit("(?im)^[ \\t]*sitemap[ \\t]*:[ \\t]*([^\\s#]+)"), F.lit(1))
-    rows = robots.select(F.col(url_col).alias("doc_url"), F.posexplode(found).alias("ord", "raw"))
-    return _links(rows, F.lit("sitemap"), "", F.col("raw"), F.lit("sitemap"))
+    found = F.regexp_extract_all(text, F.lit("(?im)^[ \\t]*sitemap[ \\t]*:[ \\t]*([^\\s#]+)"), F.lit(1))
+    return F.transform(found, lambda raw, i: _link(i, F.lit("sitemap"), "", raw, F.lit("sitemap")))
+
+
+def robots_sitemap_links(robots: DataFrame, url_col: str = "url", text_col: str = "robots") -> DataFrame:
+    """Link rows of robots.txt; see robots_array."""
+    return _rows(robots.select(F.col(url_col).alias("doc_url"), F.col(text_col).alias("__text")), robots_array(F.col("__text")))
 
 
-def _with_base(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """doc_url, base, error (see base_url) and html."""
-    tag = F.regexp_extract(without_comments(F.col(html_col)), "(?i)<base(?=[\\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", 1)
-    href = F.regexp_extract(tag, "(?i)(?:^|\\s)href\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'=<>`]+)", 1)
-    rows = pages.select(F.col(url_col).alias("doc_url"), F.when(href != "", decode_entities(F.regexp_replace(href, "^[\"']|[\"']$", ""))).alias("href"), F.col(html_col).alias("html"))
-    rows = rows.withColumn("joined", resolve_url(F.col("doc_url"), F.col("href")))
-    bad = F.col("href").isNotNull() & F.col("joined").isNull()
-    return rows.select("doc_url", F.when(~bad, F.coalesce("joined", "doc_url")).alias("base"), F.when(bad, F.lit("url_parse")).alias("error"), "html")
+def _base_of(url: Column, html: Column) -> Column:
+    """Struct of base, error and href: the first base element's href joined to the document's URL, or that URL."""
+    tag = F.regexp_extract(without_comments(html), "(?i)<base(?=[\\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", 1)
+    given = lambda t: F.regexp_extract(t, "(?i)(?:^|\\s)href\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>][^\\s>]*)", 1)
+    href = lambda s: F.when(s["h"] != "", decode_entities(F.regexp_replace(s["h"], "^[\"']|[\"']$", "")))
+    told = lambda s: F.struct(F.coalesce(s["joined"], F.when(s["href"].isNull(), url)).alias("base"), F.when(s["href"].isNotNull() & s["joined"].isNull(), F.lit("url_parse")).alias("error"), s["href"].alias("href"))
+    return let(lambda s: let(told, href=s["href"], joined=resolve_url(url, s["href"])), href=let(href, h=given(tag)))
 
 
 def base_url(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """doc_url, base, error. The first base element decides: its href joined to the document's URL, or that URL; a base that can't be parsed is an error."""
-    return _with_base(pages, url_col, html_col).drop("html")
+    rows = pages.select(F.col(url_col).alias("doc_url"), _base_of(F.col(url_col), F.col(html_col)).alias("b"))
+    return rows.select("doc_url", "b.base", "b.error")
 
 
 def _resolved(links: DataFrame, base: Column) -> DataFrame:
@@ -200,12 +269,36 @@ def resolve_links(links: DataFrame, bases: DataFrame | None = None) -> DataFrame
     return _resolved(links, base).drop("base")
 
 
+def _html_array(html: Column, base: Column, base_href: Column) -> Column:
+    """Links of an HTML document; one whose base can't be parsed has that as its only link."""
+    tags = F.transform(_tag_strings(html), lambda t, i: F.struct(i.alias("ord"), _tag_name(t).alias("name"), _tag_attributes(t).alias("attributes")))
+    failed = F.array(_link(F.lit(0), F.lit("base"), "href", base_href))
+    return F.when(base.isNull(), failed).otherwise(F.flatten(F.transform(tags, _tag_links)))
+
+
+def _svg_array(svg: Column) -> Column:
+    tags = F.transform(_tag_strings(svg), lambda t, i: F.struct(i.alias("ord"), _tag_name(t).alias("name"), _tag_attributes(t).alias("attributes")))
+    return F.flatten(F.transform(tags, _svg_tag_links))
+
+
+def all_links(docs: DataFrame) -> DataFrame:
+    """Links of documents of all kinds, resolved, in one pass over them. docs: url, doc_type, body (text).
+
+    HTML links go to the base of their document; a base that can't be parsed is the document's only link, without a target.
+    """
+    kind, body, none = F.col("doc_type"), F.col("body"), F.array().cast(f"array<{_LINK}>")
+    rows = docs.select(F.col("url").alias("doc_url"), kind, body, F.when(kind == "html", _base_of(F.col("url"), body)).alias("b"))
+    rows = rows.select("doc_url", "doc_type", "body", F.coalesce("b.base", F.when(F.col("b.error").isNull(), F.col("doc_url"))).alias("base"), F.col("b.href").alias("base_href"))
+    links = F.when(kind == "html", _html_array(body, F.col("base"), F.col("base_href")))
+    for k, f in (("svg", _svg_array), ("css", css_array), ("sitemap", sitemap_array), ("robots", robots_array)):
+        links = links.when(kind == k, f(body))
+    rows = rows.select("doc_url", "base", F.explode(F.coalesce(links, none)).alias("l"))
+    return _resolved(rows.select("doc_url", *[f"l.{c}" for c in LINK_COLUMNS[1:]], "base"), F.col("base")).drop("base")
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Links of HTML pages, resolved to the base of their page. Narrow: the base travels with the page's URL, so it suits streams and repeated URLs too."""
-    based = _with_base(pages, url_col, html_col).select(F.struct("doc_url", "base").alias("page"), "html")
-    links = html_links(start_tags(based, "page", "html")).withColumnRenamed("doc_url", "page")
-    rows = links.select("page.doc_url", *LINK_COLUMNS[1:], F.coalesce("page.base", "page.doc_url").alias("base"))
-    return _resolved(rows, F.col("base")).drop("base")
+    return all_links(pages.select(F.col(url_col).alias("url"), F.lit("html").alias("doc_type"), F.col(html_col).alias("body")))
 
 
 def anchors(tags: DataFrame) -> DataFrame:
@@ -235,12 +328,3 @@ def data_svg_documents(links: DataFrame) -> DataFrame:
 def output_element(attributes: Column, shown: Column) -> Column:
     """Attributes for a report: those named in shown, each once, sorted by name."""
     return F.array_sort(F.array_distinct(F.filter(attributes, lambda a: F.array_contains(shown, a["name"]))))
-
-
-def all_links(docs: DataFrame) -> DataFrame:
-    """Links of documents of all kinds, resolved. docs: url, doc_type, body (text)."""
-    of = lambda kind: docs.where(F.col("doc_type") == kind)
-    html = start_tags(of("html"), "url", "body")
-    found = resolve_links(html_links(html), base_url(of("html"), "url", "body"))
-    parts = [svg_links(start_tags(of("svg"), "url", "body")), css_links(of("css"), "url", "body"), sitemap_links(of("sitemap"), "url", "body"), robots_sitemap_links(of("robots"), "url", "body")]
-    return reduce(lambda a, b: a.unionByName(b), [found, *[resolve_links(p.select(*LINK_COLUMNS)) for p in parts]])

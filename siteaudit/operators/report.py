@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteaudit.functions.text import status_text
@@ -29,10 +29,9 @@ def run_metrics(doc_metrics: DataFrame) -> DataFrame:
 
 
 def summary_table(doc_metrics: DataFrame) -> DataFrame:
-    """Rows documents and elements: success, error, total."""
-    run = run_metrics(doc_metrics)
-    row = lambda what, a, b: run.select(F.lit(what).alias("what"), F.col(a).alias("success"), F.col(b).alias("error"), (F.col(a) + F.col(b)).alias("total"))
-    return row("documents", "documents_ok", "documents_failed").unionByName(row("elements", "items_ok", "items_failed"))
+    """Rows documents and elements: success, error, total. One aggregate, whose row is then stacked."""
+    rows = run_metrics(doc_metrics).select(F.stack(F.lit(2), F.lit("documents"), "documents_ok", "documents_failed", F.lit("elements"), "items_ok", "items_failed").alias("what", "success", "error"))
+    return rows.withColumn("total", F.col("success") + F.col("error"))
 
 
 def error_histogram(results: DataFrame, by: list[str]) -> DataFrame:
@@ -40,24 +39,41 @@ def error_histogram(results: DataFrame, by: list[str]) -> DataFrame:
     return results.where(~F.col("ok")).groupBy(*by, "error_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _messages(docs: DataFrame, url_col: str, text: Column, found) -> DataFrame:
+    """doc_url, errors: distinct messages, sorted; found gives them of a text as an array with nulls. Documents without any have no row."""
+    rows = docs.select(F.col(url_col).alias("doc_url"), text.alias("t")).select("doc_url", F.explode(F.array_compact(found(F.col("t")))).alias("e"))
+    return rows.groupBy("doc_url").agg(F.array_sort(F.collect_set("e")).alias("errors"))
+
+
 def css_syntax_errors(styles: DataFrame, url_col: str = "url", css_col: str = "css") -> DataFrame:
-    """doc_url, errors: distinct messages, sorted, of stylesheets with braces or comments that don't balance."""
+    """doc_url, errors: distinct messages, sorted, of stylesheets with braces, in their order, or comments that don't balance."""
     text = F.regexp_replace(F.regexp_replace(F.col(css_col), "(?s)/\\*.*?\\*/", ""), "\"[^\"]*\"|'[^']*'", "")
-    rows = styles.select(F.col(url_col).alias("doc_url"), text.alias("t"))
-    opened, closed = F.regexp_count("t", F.lit("\\{")), F.regexp_count("t", F.lit("\\}"))
-    found = F.array(F.when(opened > closed, F.lit("unclosed block")), F.when(closed > opened, F.lit("unexpected }")), F.when(F.col("t").contains("/*"), F.lit("unclosed comment")))
-    return rows.select("doc_url", F.explode(F.array_compact(found)).alias("e")).groupBy("doc_url").agg(F.array_sort(F.collect_set("e")).alias("errors"))
+
+    def found(t: Column) -> Column:
+        start = F.struct(F.lit(0).alias("open"), F.lit(False).alias("early"))
+        step = lambda s, x: F.when(x == "{", F.struct((s["open"] + 1).alias("open"), s["early"].alias("early"))).when(s["open"] == 0, F.struct(F.lit(0).alias("open"), F.lit(True).alias("early"))).otherwise(F.struct((s["open"] - 1).alias("open"), s["early"].alias("early")))
+        told = lambda s: F.array(F.when(s["open"] > 0, F.lit("unclosed block")), F.when(s["early"], F.lit("unexpected }")), F.when(t.contains("/*"), F.lit("unclosed comment")))
+        return F.aggregate(F.regexp_extract_all(t, F.lit("[{}]"), F.lit(0)), start, step, told)
+
+    return _messages(styles, url_col, text, found)
 
 
 def svg_syntax_errors(svgs: DataFrame, url_col: str = "url", svg_col: str = "svg") -> DataFrame:
-    """doc_url, errors: distinct messages, sorted, of SVG documents whose tags or comments don't balance."""
+    """doc_url, errors: distinct messages, sorted, of SVG documents whose tags, by name and in their order, or comments don't balance."""
     text = F.regexp_replace(F.regexp_replace(F.col(svg_col), "(?s)<!--.*?-->", ""), "(?s)<!\\[CDATA\\[.*?\\]\\]>", "")
-    rows = svgs.select(F.col(url_col).alias("doc_url"), text.alias("t"))
-    tag = "<[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-    opened = F.size(F.filter(F.regexp_extract_all("t", F.lit(tag), F.lit(0)), lambda x: ~x.endswith("/>")))
-    closed = F.regexp_count("t", F.lit("</[A-Za-z]"))
-    found = F.array(F.when(opened > closed, F.lit("unclosed element")), F.when(closed > opened, F.lit("unexpected end tag")), F.when(F.col("t").contains("<!--"), F.lit("unclosed comment")))
-    return rows.select("doc_url", F.explode(F.array_compact(found)).alias("e")).groupBy("doc_url").agg(F.array_sort(F.collect_set("e")).alias("errors"))
+    tag = "</?[A-Za-z_](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+
+    def found(t: Column) -> Column:
+        tags = F.filter(F.regexp_extract_all(t, F.lit(tag), F.lit(0)), lambda x: ~x.endswith("/>"))
+        named = F.transform(tags, lambda x: F.regexp_extract(x, "^<(/?[^\\s/>]+)", 1))
+        start = F.struct(F.array().cast("array<string>").alias("open"), F.lit(False).alias("stray"))
+        inner = lambda s: F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)
+        closes = lambda s, x: F.concat(F.lit("/"), F.coalesce(F.get(s["open"], F.size(s["open"]) - 1), F.lit(""))) == x
+        step = lambda s, x: F.when(~x.startswith("/"), F.struct(F.concat(s["open"], F.array(x)).alias("open"), s["stray"].alias("stray"))).when(closes(s, x), F.struct(inner(s).alias("open"), s["stray"].alias("stray"))).otherwise(F.struct(s["open"].alias("open"), F.lit(True).alias("stray")))
+        told = lambda s: F.array(F.when(F.size(s["open"]) > 0, F.lit("unclosed element")), F.when(s["stray"], F.lit("unexpected end tag")), F.when(t.contains("<!--"), F.lit("unclosed comment")))
+        return F.aggregate(named, start, step, told)
+
+    return _messages(svgs, url_col, text, found)
 
 
 def nest_report(results: DataFrame) -> DataFrame:

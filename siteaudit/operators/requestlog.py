@@ -18,10 +18,17 @@ def retry_outcome(attempts: DataFrame, retry_count: int, retry_statuses: list[in
     return out.select(F.coalesce("first", "last").alias("r"), F.coalesce("n", "tried").alias("used"), F.col("n").isNotNull().alias("settled")).select("r.*", "used", "settled")
 
 
-def rate_limit_violations(log: DataFrame, supply: int, window: str = "1 hour", start: str = "0 seconds") -> DataFrame:
-    """site, window_start, n: fixed windows in which a site has more than supply requests."""
+def rate_limit_violations(log: DataFrame, supply: int | None, window: str = "1 hour", start: str = "0 seconds", overall: int | None = None) -> DataFrame:
+    """site, window_start, n: fixed windows in which a site has more than supply requests; with a null site those in which all sites together have more than overall. None is no limit.
+
+    The log is read once: the overall counts are sums of the sites' counts.
+    """
     counts = log.groupBy("site", F.window("ts", window, startTime=start).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col("n") > supply).select("site", F.col("w.start").alias("window_start"), "n")
+    if overall is not None:
+        counts = counts.rollup("w", "site").agg(F.sum("n").alias("n"), F.grouping("site").alias("all")).where("w IS NOT NULL")
+    limit = F.lit(supply).cast("long")
+    limit = limit if overall is None else F.when(F.col("all") == 1, F.lit(overall).cast("long")).otherwise(limit)
+    return counts.where(F.col("n") > limit).select("site", F.col("w.start").alias("window_start"), "n")
 
 
 def numbered(df: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteaudit.functions.urls import url_parts
+from siteaudit.operators.redirects import resolve_redirects
 from siteaudit.sources.scratch import small
 
 AGENT = "siteaudit"
@@ -27,16 +28,34 @@ def robots_rules(docs: DataFrame, agent: str = AGENT, url_col: str = "url", text
     return rules.select(url_parts(F.col("url"))["origin"].alias("origin"), "place", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"))
 
 
+def robots_bodies(responses: DataFrame, max_redirects: int = 16) -> DataFrame:
+    """url, robots (text), error of each robots.txt among responses (with body), after its redirects.
+
+    One that isn't found (404) has no text and no error. A failed request, a chain that leads nowhere and a body that
+    isn't UTF-8 are the error robots_fetch, which fails all links of the origin.
+    """
+    ends = responses.select("url", F.col("url").alias("final"), F.lit(None).cast("string").alias("failed")).where("NOT (coalesce(status, 0) BETWEEN 300 AND 399)")
+    moved = resolve_redirects(responses.drop("body"), max_redirects).select("url", F.col("final_url").alias("final"), F.col("error").alias("failed"))
+    asked = ends.unionByName(moved).where(url_parts(F.col("url"))["path"] == "/robots.txt")
+    there = responses.select(F.col("url").alias("__url"), "status", "request_error", "body").join(small(asked.select(F.col("final").alias("__url")).distinct(), asked.count()), "__url", "left_semi")
+    rows = asked.join(there, F.col("final") == F.col("__url"), "left")
+    text = F.try_validate_utf8(F.col("body").cast("string"))
+    found = F.coalesce(F.col("status"), F.lit(0)) != 404
+    failed = F.col("failed").isNotNull() | F.col("request_error").isNotNull() | F.col("__url").isNull() | (found & F.col("body").isNotNull() & text.isNull())
+    return rows.select("url", F.when(~failed & found, F.coalesce(text, F.lit(""))).alias("robots"), F.when(failed, F.lit("robots_fetch")).alias("error"))
+
+
 def pattern_regex(pattern: Column) -> Column:
     """A rule's pattern as a regular expression from the start of a path: * is anything, a closing $ the end."""
     quoted = F.regexp_replace(F.regexp_replace(pattern, "\\$$", ""), "([.\\\\+?()\\[\\]{}^$|])", "\\\\$1")
     return F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.when(pattern.endswith("$"), F.lit("$")).otherwise(F.lit("")))
 
 
-def robots_filter(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
+def robots_filter(urls: DataFrame, rules: DataFrame, url_col: str = "url", bodies: DataFrame | None = None) -> DataFrame:
     """urls with allowed: the longest matching pattern decides, allow on ties; the query is not looked at; /robots.txt is always allowed.
 
-    The rules of an origin are one row, so an origin with most of the URLs isn't moved to one task.
+    The rules of an origin are one row, so an origin with most of the URLs isn't moved to one task. With bodies (see
+    robots_bodies) there is also robots_error, the error of the robots.txt of the URL's origin.
     """
     row = F.struct(F.length("pattern").alias("n"), F.col("allow"), pattern_regex(F.col("pattern")).alias("regex"))
     by_origin = rules.groupBy(F.col("origin").alias("__origin")).agg(F.sort_array(F.collect_list(row), asc=False).alias("__rules"))
@@ -44,7 +63,12 @@ def robots_filter(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> Da
     rows = rows.join(small(by_origin, by_origin.count(), 50_000), F.col("__p.origin") == F.col("__origin"), "left")
     path = F.col("__p.path")
     first = F.get(F.filter("__rules", lambda r: F.regexp_like(path, r["regex"])), F.lit(0))
-    return rows.select(*urls.columns, (F.coalesce(first["allow"], F.lit(True)) | (path == "/robots.txt")).alias("allowed"))
+    error = []
+    if bodies is not None:
+        failed = bodies.where("error IS NOT NULL").groupBy(url_parts(F.col("url"))["origin"].alias("__failed")).agg(F.min("error").alias("__error"))
+        rows = rows.join(small(failed, failed.count(), 50_000), F.col("__p.origin") == F.col("__failed"), "left")
+        error = [F.when(path != "/robots.txt", F.col("__error")).alias("robots_error")]
+    return rows.select(*urls.columns, *error, (F.coalesce(first["allow"], F.lit(True)) | (path == "/robots.txt")).alias("allowed"))
 
 
 def robots_documents(urls: DataFrame, url_col: str = "url") -> DataFrame:

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from siteaudit.functions.timing import freshness
 
 
-def latest_response(store: DataFrame) -> DataFrame:
-    """The last row of each URL by fetched_at. Row structs are compared by time, then status, so equal times give the same row again."""
-    rest = [c for c in store.columns if c != "url"]
+def latest_response(store: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The last row of each URL by fetched_at. Row structs are compared by time, then status, so equal times give the same row again.
+
+    A task sends at most one row of each URL, body included. keys: columns with the URL among them that rows are already dealt by.
+    """
+    keys = keys or ["url"]
+    rest = [c for c in store.columns if c not in keys]
     order = F.struct(F.coalesce("fetched_at", F.lit("1970-01-01").cast("timestamp")), F.coalesce("status", F.lit(-1)))
-    return store.groupBy("url").agg(F.max_by(F.struct(*rest), order).alias("r")).select("url", *[F.col(f"r.{c}").alias(c) for c in rest])
+    return store.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 def cache_lookup(requests: DataFrame, store: DataFrame, now_col: str = "now") -> DataFrame:

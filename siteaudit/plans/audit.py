@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +11,14 @@ from pyspark.sql import functions as F
 from siteaudit.operators import extract
 from siteaudit.operators.check import check_links, checked_targets
 from siteaudit.operators.crawl import crawl
-from siteaudit.operators.extract import all_links, anchors, start_tags
+from siteaudit.operators.elements import elements
+from siteaudit.operators.extract import all_links, anchors, data_svg_documents, start_tags
 from siteaudit.operators.markup import markup_errors, split_markup_errors
 from siteaudit.operators.report import document_metrics
-from siteaudit.operators.robots import robots_filter
+from siteaudit.operators.robots import robots_bodies, robots_filter, robots_rules
+from siteaudit.operators.sites import match_site
 from siteaudit.sources.scratch import cut
+from siteaudit.sources.tables import SITE_DEFAULTS
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -28,14 +32,55 @@ def link_audit(pages: DataFrame, targets: Callable[[DataFrame], DataFrame], site
     return check_links(links, targets(links), sites, ignored, anchors(start_tags(pages)) if with_anchors else None)
 
 
-def site_audit(docs: DataFrame, responses: DataFrame, sites: DataFrame, rules: DataFrame | None = None, ignored: list[str] | None = None, max_redirects: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(checked links, metrics by document) of documents of all kinds: url, doc_type and body (text). responses: the responses of all requested URLs; rules: robots rules."""
+def data_svgs(docs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, their links): the SVG documents in data: links of links, and those within them; documents has url, body and error."""
+    kind = "url string, body string, error string"
+    found, inner, fresh = docs.sparkSession.createDataFrame([], kind), links.limit(0), links
+    while True:  # each round finds what the last one's documents hold, which are shorter than they are
+        new = cut(data_svg_documents(fresh).select("url", "body", "error").join(found.select("url"), "url", "left_anti"), "data_svgs")
+        if not new.take(1):
+            return found, inner
+        fresh = cut(all_links(new.where("body IS NOT NULL").select("url", F.lit("svg").alias("doc_type"), "body")), "links")
+        found, inner = found.unionByName(new), inner.unionByName(fresh)
+
+
+def site_audit(docs: DataFrame, responses: DataFrame, sites: DataFrame, rules: DataFrame | None = None, ignored: list[str] | None = None, max_redirects: int | None = None, robots_responses: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(checked links, metrics by document) of documents of all kinds: url, doc_type and body (text), and of the SVG documents in their data: links.
+
+    responses: the responses of all requested URLs. max_redirects: at most so many for all sites, else the greatest
+    of the sites' own. rules: robots rules; or robots_responses: responses of robots.txt files (with body), which
+    give the rules, and whose errors fail the links of their origin.
+    """
     links = cut(all_links(docs), "links")
-    robots = robots_filter(responses.select("url"), rules) if rules is not None else None
-    targets = cut(checked_targets(responses, max_redirects, robots), "targets")
-    tags = start_tags(docs.where("doc_type IN ('html', 'svg')"), "url", "body")
+    inner, more = data_svgs(docs, links)
+    links = links.unionByName(more)
+    if max_redirects is None:
+        max_redirects = sites.agg(F.max("max_redirects")).first()[0] or SITE_DEFAULTS["max_redirects"]
+    robots = None
+    if robots_responses is not None:
+        bodies = cut(robots_bodies(robots_responses, max_redirects), "robots")
+        robots = robots_filter(responses.select("url"), robots_rules(bodies.where("robots IS NOT NULL")), bodies=bodies)
+    elif rules is not None:
+        robots = robots_filter(responses.select("url"), rules)
+    held = inner.select("url", F.col("url").alias("final_url"), F.lit(200).alias("status"), F.lit("image/svg+xml").alias("media"), F.col("error").alias("request_error"), F.lit(None).cast("string").alias("redirect_error"), F.lit(True).alias("allowed"))
+    targets = cut(checked_targets(responses, max_redirects, robots, sites).unionByName(held), "targets")
+    bodies = docs.select("url", "doc_type", "body").unionByName(inner.select("url", F.lit("svg").alias("doc_type"), "body"))
+    tags = start_tags(bodies.where("doc_type IN ('html', 'svg')"), "url", "body")
     checked = cut(check_links(links, targets, sites, ignored, anchors(tags)), "checked")
-    return checked, document_metrics(checked, docs.select(F.col("url").alias("doc_url")))
+    return checked, document_metrics(checked, bodies.where("body IS NOT NULL").select(F.col("url").alias("doc_url")))
+
+
+def site_markup(docs: DataFrame, sites: DataFrame, html: dict[str, DataFrame], svg: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Markup errors of documents (url, doc_type, body) as report items, by the options of their sites: whether HTML and SVG are judged, and which elements and attributes aren't."""
+    known = docs.where("doc_type IN ('html', 'svg')").select("url", "body", (F.col("doc_type") == "svg").alias("is_svg"))
+    rows = match_site(elements(known, "url", "body", "is_svg", with_svg=True), sites, "doc_url")
+    parts = []
+    for kind, rules in (("html", html), ("svg", svg)):
+        if rules is not None:
+            own = rows.where((F.col("is_svg") == (kind == "svg")) & F.col(f"site.validate_{kind}"))
+            own = own.select(*[c for c in rows.columns if c not in ("is_svg", "site")], F.col(f"site.{kind}_ignored_elements").alias("__elements"), F.col(f"site.{kind}_ignored_attributes").alias("__attributes"))
+            parts.append(markup_errors(own, rules, F.col("__elements"), F.col("__attributes")))
+    return split_markup_errors(reduce(DataFrame.unionByName, parts))
 
 
 def reachable(docs: DataFrame, targets: DataFrame, roots: DataFrame, sites: DataFrame) -> DataFrame:
@@ -43,6 +88,6 @@ def reachable(docs: DataFrame, targets: DataFrame, roots: DataFrame, sites: Data
     return crawl(targets, cut(all_links(docs).select("doc_url", "target_nofrag"), "links"), roots, sites)
 
 
-def markup_audit(elements: DataFrame, rules: dict[str, DataFrame], **ignored: list[str]) -> DataFrame:
-    """Markup errors as report items; element rows are written first, as each rule reads them."""
-    return split_markup_errors(markup_errors(cut(elements, "elements"), rules, **ignored))
+def markup_audit(rows: DataFrame, rules: dict[str, DataFrame], **ignored: list[str]) -> DataFrame:
+    """Markup errors as report items."""
+    return split_markup_errors(markup_errors(rows, rules, **ignored))
