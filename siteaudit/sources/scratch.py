@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +15,11 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine (tests) gets a temporary one; on a cluster that is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("siteaudit.scratch.dir", None)
     if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("siteaudit.scratch.dir", base)
     return base.rstrip("/")
@@ -23,7 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody else uses."""
-    return f"{shared_dir(spark)}/siteaudit-{name}-{uuid.uuid4().hex[:12]}"
+    base = spark.conf.get("siteaudit.scratch.run", None) or shared_dir(spark)
+    return f"{base}/siteaudit-{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """What is written to scratch inside goes at the end: results that are still needed must be written elsewhere by then."""
+    own = f"{shared_dir(spark)}/siteaudit-run-{uuid.uuid4().hex[:12]}"
+    spark.conf.set("siteaudit.scratch.run", own)
+    try:
+        yield
+    finally:
+        spark.conf.unset("siteaudit.scratch.run")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

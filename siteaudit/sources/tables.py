@@ -14,7 +14,7 @@ SITES = (
 RESULTS = ("doc_url string, ord int, item int, ok boolean, error_kind string, error string, response struct<url:string,status:int,latency:long>")
 REQUEST_LOG = ("site string, url string, ts timestamp")
 #: Options of a site that says nothing else.
-SITE_DEFAULTS = {"site": "default", "host": None, "path": "/", "recursive": False, "schemes": ["http", "https"], "statuses": [200], "max_redirects": 16, "max_age_ms": 0, "swr_ms": 0, "ignored_fragments": [], "retry_count": 0, "retry_factor": 0.0, "retry_initial_ms": 0, "retry_statuses": []}
+SITE_DEFAULTS = {"site": "default", "host": None, "path": "/", "recursive": False, "schemes": ["http", "https"], "statuses": [200], "max_redirects": 16, "max_age_ms": 0, "swr_ms": 0, "ignored_fragments": [], "retry_count": 0, "retry_factor": 0.0, "retry_initial_ms": 0, "retry_statuses": [], "validate_html": False, "validate_svg": False}
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -32,11 +32,20 @@ def read_sites(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in filled], SITES)
 
 
-def write_store(responses: DataFrame, path: str, buckets: int = 64) -> None:
-    """Persist the latest response of each URL, in folders by a hash of the URL."""
+#: Responses of a bucket of the store, on average.
+BUCKET_ROWS = 50_000
+
+
+def write_store(responses: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Persist the latest response of each URL, in folders by a hash of the URL; without a number of buckets there is one for every BUCKET_ROWS rows.
+
+    Rows are dealt by bucket once: the latest are found in the same partitions, and each folder gets one file.
+    """
     from siteaudit.operators.store import latest_response
 
-    latest_response(responses).withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    buckets = buckets or -(-responses.count() // BUCKET_ROWS) or 1
+    dealt = responses.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
+    latest_response(dealt, ["bucket", "url"]).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def write_report_json(report: DataFrame, path: str) -> None:

@@ -41,15 +41,14 @@ def stream_rate(log: DataFrame, supply: int, window: str = "1 hour", delay: str
 
 
 def stream_store(responses: DataFrame, path: str, checkpoint: str):
-    """Start keeping the latest response of each URL at path: each batch writes a new generation from the last one and itself, so a batch that runs again replaces its own."""
-    schema = responses.schema
+    """Start adding the latest response of each URL of each batch to path, in a folder for each batch; a batch that runs again replaces its own. read_store gives the latest of all."""
+    put = lambda batch, n: latest_response(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+    return responses.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
 
-    def put(batch: DataFrame, n: int) -> None:
-        before = batch.sparkSession.read.schema(schema).parquet(f"{path}/generation={n - 1}") if n else None
-        rows = batch if before is None else batch.unionByName(before)
-        latest_response(rows).write.mode("overwrite").parquet(f"{path}/generation={n}")
 
-    return responses.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The latest response of each URL that stream_store has added so far. No earlier batch is written again; write_store(read_store(...), elsewhere) compacts."""
+    return latest_response(spark.read.schema(schema).parquet(path))
 
 
 def run(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
