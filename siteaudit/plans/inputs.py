@@ -16,6 +16,20 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
+def based_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages; of each eight one has a base of another origin, one a base that can't be parsed."""
+    base = F.expr("""CASE page_id % 8 WHEN 0 THEN '<base href="https://base.example.org/b/">' WHEN 4 THEN '<base href="https://">' ELSE '' END""")
+    return pages(spark, sf_dir).withColumn("html", F.concat(base, "html"))
+
+
+def faulty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a markup fault each at the beginning of their body, by page_id; each fifth has none."""
+    fault = F.expr(
+        """CASE page_id % 5 WHEN 0 THEN '<blink>x</blink>' WHEN 1 THEN '<p><img alt="a"></p>' WHEN 2 THEN '<a href="/" target="nowhere" foo="1">t</a>' WHEN 3 THEN '<ul><p>x</p></ul>' ELSE '' END"""
+    )
+    return pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), fault)))
+
+
 STATUS = "CASE page_id % 20 WHEN 0 THEN 404 WHEN 1 THEN 301 WHEN 2 THEN 503 ELSE 200 END"
 TARGET_STATUS = "CASE length(target) % 7 WHEN 0 THEN 404 ELSE 200 END"
 

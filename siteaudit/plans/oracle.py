@@ -6,14 +6,11 @@ parsing anything.
 
 from __future__ import annotations
 
-_TAG = r"""<[A-Za-z][^\s/>]*(?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
-_ATTRIBUTE = r"""[^\s"''<>/=]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''=<>`]+)"""
-
-#: Start tags of the pages: doc_url, page_id, ord, tag, name.
-_TAGS = rf"""
-clean AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<(?:script|style)\b[^>]*>).*?(</(?:script|style)\s*>)', '\1\2', 'g') AS h FROM pages),
-found AS (SELECT page_id, url AS doc_url, regexp_extract_all(h, '{_TAG}') AS t FROM clean),
-tags AS (SELECT page_id, doc_url, (i - 1)::INT AS ord, t[i] AS tag, lower(regexp_extract(t[i], '^<([A-Za-z][^\s/>]*)', 1)) AS name FROM found, unnest(range(1, len(t) + 1)) r(i))"""
+#: Start tags of the pages, by splitting texts: doc_url, page_id, ord, tag, name.
+_TAGS = r"""
+clean AS (SELECT page_id, url, array_to_string(list_transform(string_split(html, '<!--'), lambda x, i: CASE WHEN i = 1 THEN x WHEN contains(x, '-->') THEN substr(x, strpos(x, '-->') + 3) ELSE '' END), '') AS h FROM pages),
+found AS (SELECT page_id, url AS doc_url, list_filter(string_split(h, '<'), lambda x: regexp_matches(x, '^[A-Za-z]')) AS t FROM clean),
+tags AS (SELECT page_id, doc_url, (i - 1)::INT AS ord, string_split(t[i], '>')[1] AS tag, lower(string_split(string_split(t[i], '>')[1], ' ')[1]) AS name FROM found, unnest(range(1, len(t) + 1)) r(i))"""
 
 _ORIGIN = "regexp_extract(doc_url, '^(https?://[^/?#]+)', 1)"
 #: A path or fragment with what isn't allowed in it in percent signs.
@@ -22,6 +19,11 @@ _ENCODED = "array_to_string(list_transform(string_split({0}, ''), lambda c: CASE
 _LINKS = f"""{_TAGS},
 own AS (SELECT page_id, doc_url, ord, regexp_extract(tag, 'href="([^"]*)"', 1) AS raw FROM tags WHERE name = 'a'),
 links AS (SELECT *, {_ORIGIN} || {_ENCODED.format("raw")} AS target FROM own)"""
+#: The same with the bases that inputs.based_pages adds.
+_BASED = f"""{_TAGS},
+own AS (SELECT page_id, doc_url, (ord + CASE WHEN page_id % 8 = 0 THEN 1 ELSE 0 END)::INT AS ord, regexp_extract(tag, 'href="([^"]*)"', 1) AS raw FROM tags WHERE name = 'a' AND page_id % 8 <> 4),
+links AS (SELECT *, CASE WHEN page_id % 8 = 0 THEN 'https://base.example.org' ELSE {_ORIGIN} END || {_ENCODED.format("raw")} AS target FROM own
+  UNION ALL SELECT page_id, url, 0, 'https://', NULL FROM pages WHERE page_id % 8 = 4)"""
 _HOST = "lower(regexp_extract({0}, '^https?://([^/?#]+)', 1))"
 _PATH = "regexp_extract({0}, '^https?://[^/?#]+([^?#]*)', 1)"
 _STATUS = "CASE page_id % 20 WHEN 0 THEN 404 WHEN 1 THEN 301 WHEN 2 THEN 503 ELSE 200 END"
@@ -46,8 +48,10 @@ _REDIRECT_TO = "SELECT p.page_id, p.url, n.url AS next FROM pages p LEFT JOIN pa
 _WEEKS = "CASE u WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 60000 WHEN 3 THEN 3600000 WHEN 4 THEN 86400000 WHEN 5 THEN 604800000 END"
 
 ORACLE_SQL: dict[str, str] = {
-    "audit": f"WITH {_METRICS} SELECT * FROM metrics",
-    "start_tags": f"WITH {_TAGS} SELECT doc_url, ord, name, len(regexp_extract_all(regexp_replace(tag, '^<[A-Za-z][^\\s/>]*', ''), '{_ATTRIBUTE}'))::INT AS n_attributes FROM tags",
+    "audit": f"""WITH {_BASED}, m AS (SELECT doc_url, count(*) FILTER (ok) AS success, count(*) FILTER (NOT ok) AS error FROM (SELECT doc_url, coalesce({_TARGET_STATUS} = 200 AND target IS NOT NULL, false) AS ok FROM links) GROUP BY doc_url)
+      SELECT url AS doc_url, coalesce(success, 0) AS success, coalesce(error, 0) AS error FROM pages LEFT JOIN m ON url = doc_url""",
+    "start_tags": f"""WITH {_TAGS} SELECT doc_url, ord, name, ((length(tag) - length(replace(tag, '="', ''))) // 2)::INT AS n_attributes, '' AS bare FROM tags
+      UNION ALL SELECT doc_url, len(t)::INT, 'input', 4, 'disabled,checked' FROM found UNION ALL SELECT doc_url, len(t)::INT + 1, 'b', 1, 'hidden' FROM found""",
     "href_links": f"""WITH {_LINKS} SELECT doc_url, 'a' AS element, 'href' AS attribute, raw FROM own
       UNION ALL SELECT url, 'a', 'xlink:href', '#x' || page_id FROM pages UNION ALL SELECT url, 'a', 'href', '#x' || (page_id % 4) FROM pages
       UNION ALL SELECT url, 'a', 'href', 'data:image/svg+xml,%3Csvg%20id=%22d' || (page_id % 7) || '%22/%3E' FROM pages""",
@@ -67,8 +71,8 @@ ORACLE_SQL: dict[str, str] = {
     "base_url": f"""SELECT url AS doc_url, CASE page_id % 4 WHEN 0 THEN {_ORIGIN.replace("doc_url", "url")} || '/b/' WHEN 2 THEN NULL ELSE url END AS base, CASE WHEN page_id % 4 = 2 THEN 'url_parse' END AS error FROM pages""",
     "anchors": "SELECT url AS doc_url, 'x' || page_id AS anchor FROM pages UNION ALL SELECT url, 'n' || (page_id % 3) FROM pages",
     "output_element": "SELECT url AS doc_url, 'src,srcset' AS names FROM pages",
-    "elements": f"""WITH {_TAGS} SELECT doc_url, name, count(*) AS n FROM tags WHERE name IN ('html', 'head', 'body', 'nav', 'ul', 'article', 'a') GROUP BY doc_url, name""",
-    "resolve_url": f"WITH {_LINKS} SELECT doc_url, ord, raw, target FROM links",
+    "elements": f"WITH {_TAGS} SELECT doc_url, name, count(*) AS n FROM tags GROUP BY doc_url, name",
+    "resolve_url": f"WITH {_BASED} SELECT doc_url, ord, raw, target FROM links",
     "url_parts": f"""SELECT page_id, regexp_extract(url, '^(https?):', 1) AS scheme, {_HOST.format("url")} AS host, -1 AS port, {_PATH.format("url")} AS path,
       CASE WHEN contains(url, '?') THEN regexp_extract(url, '\\?([^#]*)', 1) END AS query, CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)$', 1) END AS fragment,
       regexp_extract(url, '^(https?://)', 1) || {_HOST.format("url")} || CASE WHEN starts_with(url, 'https:') THEN ':443' ELSE ':80' END AS origin FROM pages""",
@@ -94,9 +98,10 @@ ORACLE_SQL: dict[str, str] = {
     "recursive_urls": f"WITH {_SITES} SELECT page_id, url FROM pages WHERE EXISTS (FROM sites WHERE {_HOST.format('url')} = host AND starts_with({_PATH.format('url')}, path) AND recursive)",
     "roots_by_host": f"WITH {_SITES} SELECT host, string_agg(path, ',' ORDER BY path) AS roots FROM sites GROUP BY host",
     "ignored_site_filter": "SELECT page_id, url FROM pages WHERE NOT contains(url, 'casino-win.example.com/') AND NOT contains(url, 'free-bets')",
-    "broken_links": f"WITH {_LINKS} SELECT doc_url, ord, target, 'http_status' AS error_kind, 'invalid status 404 Not Found' AS error, 404 AS status FROM links WHERE {_TARGET_STATUS} = 404",
+    "broken_links": f"""WITH {_BASED} SELECT doc_url, ord, target, CASE WHEN target IS NULL THEN 'url_parse' ELSE 'http_status' END AS error_kind, CASE WHEN target IS NULL THEN 'URL cannot be parsed' ELSE 'invalid status 404 Not Found' END AS error,
+      CASE WHEN target IS NOT NULL THEN 404 END AS status FROM links WHERE target IS NULL OR {_TARGET_STATUS} = 404""",
     "missing_fragments": "SELECT url AS doc_url, 'x' || (page_id % 4) AS fragment FROM pages WHERE page_id % 4 > 1 AND page_id % 4 <> page_id",
-    "link_targets": f"WITH {_LINKS} SELECT target AS target_nofrag, count(*) AS n FROM links GROUP BY 1",
+    "link_targets": f"WITH {_BASED} SELECT target AS target_nofrag, count(*) AS n FROM links WHERE target IS NOT NULL GROUP BY 1",
     "resolve_redirects": """WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/r/' || page_id AS url FROM pages),
       u AS (SELECT *, 5 - page_id % 5 AS need, (SELECT max(page_id) FROM pages) - page_id AS have FROM p WHERE page_id % 5 <> 0)
       SELECT u.url, CASE WHEN need <= 3 AND have >= need THEN p.url END AS final_url, CASE WHEN have < need AND have < 3 THEN have + 1 WHEN need <= 3 THEN need ELSE 3 END::INT AS hops,
@@ -138,16 +143,51 @@ ORACLE_SQL: dict[str, str] = {
     "retry_outcome": """WITH a AS (SELECT 'u' || (event_id // 10) AS url, (event_id % 10)::INT AS attempt, CASE event_type WHEN 'signup' THEN NULL WHEN 'error' THEN 503 ELSE 200 END AS status FROM events QUALIFY row_number() OVER (PARTITION BY event_id // 10 ORDER BY event_id) <= 5),
       n AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY attempt) AS i, coalesce(status = 200, false) AS done FROM a)
       SELECT url, attempt, coalesce(status, -1)::INT AS status, i::INT AS used, done AS settled FROM n QUALIFY row_number() OVER (PARTITION BY url ORDER BY done DESC, CASE WHEN done THEN i ELSE -i END) = 1""",
-    "rate_limit_violations": f"WITH {_LOG} SELECT site, date_trunc('hour', ts) AS window_start, count(*) AS n FROM log GROUP BY 1, 2 HAVING count(*) > 1",
+    "rate_limit_violations": f"""WITH {_LOG}, w AS (SELECT site, date_trunc('hour', ts) AS window_start, count(*) AS n FROM log GROUP BY 1, 2)
+      SELECT * FROM w WHERE n > 1 UNION ALL SELECT NULL, window_start, sum(n)::BIGINT FROM w GROUP BY window_start HAVING sum(n) > 15""",
     "rate_limited_schedule": f"WITH {_LOG} SELECT event_id, site, (row_number() OVER (PARTITION BY site ORDER BY ts, event_id) - 1) // 5 AS slot FROM log",
     "crawl_depth": f"WITH RECURSIVE {_EDGES}, r AS (SELECT url, 0 AS depth FROM pages WHERE page_id = 1 UNION SELECT dst, depth + 1 FROM r JOIN edges ON url = src WHERE depth < 40) SELECT url, min(depth)::INT AS depth FROM r GROUP BY url",
     "crawl": f"""WITH RECURSIVE {_SITES}, {_EDGES}, good AS (SELECT url FROM pages WHERE {_STATUS} = 200), wide AS (SELECT url FROM pages WHERE EXISTS (FROM sites WHERE {_HOST.format("url")} = host AND starts_with({_PATH.format("url")}, path) AND recursive)),
       r AS (SELECT url FROM pages WHERE page_id = 3 UNION SELECT dst FROM r JOIN edges ON r.url = src WHERE dst IN (SELECT url FROM good) AND dst IN (SELECT url FROM wide)) SELECT url FROM r""",
-    "frontier_minus_visited": "SELECT url FROM pages WHERE (page_id % 2 = 0 OR page_id % 3 = 0) AND page_id % 5 <> 0",
+    "frontier_minus_visited": f"WITH {_EDGES} SELECT DISTINCT dst AS url FROM edges WHERE dst NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)",
     "distinct_documents": f"SELECT {_HOST.format('url')} AS final_url, min(url) AS url FROM pages GROUP BY 1",
-    "stream_results": f"WITH {_LINKS} SELECT doc_url, ord, target, {_TARGET_STATUS} = 200 AS ok, CASE WHEN {_TARGET_STATUS} <> 200 THEN 'http_status' END AS error_kind FROM links",
+    "stream_results": f"WITH {_BASED} SELECT doc_url, ord, target, target IS NOT NULL AND {_TARGET_STATUS} = 200 AS ok, CASE WHEN target IS NULL THEN 'url_parse' WHEN {_TARGET_STATUS} <> 200 THEN 'http_status' END AS error_kind FROM links",
     "stream_dedup": "SELECT url AS final_url, TIMESTAMP '2024-01-01' + to_hours(page_id::INT) AS fetched_at FROM pages",
     "stream_metrics": f"WITH {_METRICS} SELECT sum(success)::BIGINT AS success, sum(error)::BIGINT AS error FROM metrics",
     "stream_store": f"WITH {_VERSIONS} SELECT page_id, url, status FROM latest",
     "stream_rate": f"WITH {_LOG} SELECT site, date_trunc('hour', ts) AS window_start, count(*) AS n FROM log GROUP BY 1, 2 HAVING count(*) > 1",
+    "read_responses": f"SELECT url, {_STATUS} AS status, 'text/html' AS media, strlen(html)::INT AS n_bytes, page_id AS duration_ms FROM pages",
+    "read_sites": f"""WITH p AS (SELECT page_id, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path FROM pages), e AS (SELECT min(host) AS a, max(host) AS b FROM p),
+      s AS (SELECT page_id, CASE WHEN host = b AND starts_with(path, '/en') THEN 'two' WHEN host = a THEN 'one' ELSE 'default' END AS site FROM p, e)
+      SELECT page_id, site, CASE site WHEN 'one' THEN 3 ELSE 16 END AS max_redirects, CASE site WHEN 'two' THEN 'https' ELSE 'http,https' END AS schemes FROM s""",
+    "all_links": f"""WITH {_TAGS}, p AS (SELECT count(*) AS p, count(*) FILTER (page_id % 2 = 0) AS even, count(DISTINCT regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS roots FROM pages), o AS (SELECT count(*) AS own FROM tags WHERE name = 'a'),
+      k AS (SELECT unnest([('a', 'href', NULL, own + 3 * p), ('a', 'xlink:href', NULL, p), ('link', 'href', 'css', p), ('link', 'href', 'sitemap', p), ('meta', 'content', NULL, p), ('script', 'src', NULL, p), ('img', 'src', NULL, p), ('img', 'srcset', NULL, 3 * p),
+        ('@import', '', 'css', 2 * p), ('url', '', NULL, 3 * p), ('loc', '', NULL, 2 * even), ('loc', '', 'sitemap', p - even), ('use', 'xlink:href', NULL, p), ('sitemap', '', 'sitemap', 2 * roots)]) AS r FROM p, o)
+      SELECT r[1] AS element, r[2] AS attribute, r[3] AS hint, r[4] AS n, r[4] AS n_resolved FROM k""",
+    "check_links": f"""WITH {_LINKS}, last AS (SELECT max(page_id) AS last FROM pages),
+      q0 AS (SELECT page_id, {_ORIGIN.replace("doc_url", "url")} AS root, {_NOFRAG.format("url")} AS own FROM pages),
+      q AS (SELECT *, max(page_id) OVER (PARTITION BY own) AS r FROM q0),
+      q1 AS (SELECT q.*, n.r AS next FROM q LEFT JOIN q n ON n.page_id = q.r + 1),
+      others AS (
+        SELECT page_id, 'href' AS attribute, target, NULL AS hint FROM links UNION ALL SELECT page_id, 'href', root || '/s/' || page_id || '.css', 'css' FROM q UNION ALL SELECT page_id, 'href', root || '/map.xml', 'sitemap' FROM q
+        UNION ALL SELECT page_id, 'src', root || '/x' || (page_id % 5) || '.js', NULL FROM q),
+      asked AS (SELECT attribute, hint, target, length(regexp_extract(target, '^(https?://[^/?#]+)', 1)) AS n, {_PATH.format("target")} AS path, NULL::BIGINT AS k, NULL::BIGINT AS r, NULL::BIGINT AS next, NULL::BIGINT AS fragment FROM others
+        UNION ALL SELECT 'xlink:href', NULL, own, length(root), {_PATH.format("own")}, page_id, r, next, page_id FROM q1 UNION ALL SELECT 'href', NULL, own, length(root), {_PATH.format("own")}, page_id, r, next, page_id % 4 FROM q1),
+      v AS (SELECT attribute, CASE
+        WHEN NOT CASE WHEN n % 4 = 0 THEN NOT starts_with(path, '/fr/') WHEN ends_with(path, '.html') THEN false WHEN starts_with(path, '/en/1' || (n % 10)) THEN true ELSE NOT starts_with(path, '/en/1') END THEN NULL
+        WHEN k IS NULL THEN CASE WHEN {_TARGET_STATUS} = 404 THEN 'http_status' WHEN hint IS NOT NULL THEN 'content_type_invalid' END
+        WHEN r % 20 = 1 AND r = last THEN 'redirect_location' WHEN r % 20 IN (0, 2) OR r % 20 = 1 AND next % 20 < 3 THEN 'http_status'
+        WHEN NOT EXISTS (FROM q a WHERE a.r = CASE r0 % 20 WHEN 1 THEN next ELSE r0 END AND a.page_id = fragment) THEN 'element_not_found' END AS error_kind FROM (SELECT *, r AS r0 FROM asked), last
+        UNION ALL SELECT unnest(['content', 'src', 'srcset', 'srcset', 'srcset', 'href']), NULL FROM pages)
+      SELECT attribute, error_kind IS NULL AS ok, error_kind, count(*) AS n FROM v GROUP BY attribute, error_kind""",
+    "split_markup_errors": """WITH k AS (SELECT page_id % 6 AS k, page_id % 7 = 0 AS seventh, page_id % 8 = 0 AS eighth FROM pages),
+      e AS (SELECT 'unknown_tag' AS kind, 'unknown tag "blink"' AS message FROM k WHERE k = 0 UNION ALL SELECT 'attribute_not_allowed', 'attribute "foo" not allowed' FROM k WHERE k = 2 UNION ALL SELECT 'invalid_value', 'attribute "target" has an invalid value' FROM k WHERE k = 2
+        UNION ALL SELECT 'conflicting_attribute', 'attribute "name" is conflicting' FROM k WHERE k = 3 UNION ALL SELECT 'missing_attribute', 'missing attributes: src' FROM k WHERE k = 1
+        UNION ALL SELECT 'child_not_allowed', 'child "' || CASE k WHEN 0 THEN 'blink' WHEN 3 THEN 'meta' ELSE 'p' END || '" not allowed' FROM k WHERE k IN (0, 3, 4)
+        UNION ALL SELECT 'misplaced_child', 'child "head" misplaced' FROM k WHERE seventh UNION ALL SELECT 'misplaced_child', 'child "body" misplaced' FROM k WHERE eighth UNION ALL SELECT 'missing_child', 'missing children: dd' FROM k WHERE eighth)
+      SELECT kind, message, count(*) AS n FROM e GROUP BY kind, message""",
+    "page_markup": """WITH k AS (SELECT page_id % 5 AS k FROM pages), e AS (SELECT 'unknown_tag' AS kind, 'blink' AS name FROM k WHERE k = 0 UNION ALL SELECT 'child_not_allowed', 'blink' FROM k WHERE k = 0 UNION ALL SELECT 'missing_attribute', 'src' FROM k WHERE k = 1
+      UNION ALL SELECT 'attribute_not_allowed', 'foo' FROM k WHERE k = 2 UNION ALL SELECT 'invalid_value', 'target' FROM k WHERE k = 2 UNION ALL SELECT 'child_not_allowed', 'p' FROM k WHERE k = 3) SELECT kind, name, count(*) AS n FROM e GROUP BY kind, name""",
 }
+ORACLE_SQL["report_json_sink"] = f"SELECT url, length(json)::INT AS n_chars FROM ({ORACLE_SQL['report_json']})"
+ORACLE_SQL["report_text_sink"] = f"SELECT line AS value FROM ({ORACLE_SQL['report_lines']})"

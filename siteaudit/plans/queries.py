@@ -11,7 +11,7 @@ from siteaudit.functions import text, timing, urls
 from siteaudit.operators import check, crawl, elements, extract, markup, redirects, report, requestlog, robots, sites, store
 from siteaudit.plans import audit, inputs
 from siteaudit.sources.scratch import cut, scratch
-from siteaudit.sources.tables import write_report_json, write_store
+from siteaudit.sources.tables import read_responses, read_sites, write_report_json, write_report_text, write_store
 from siteaudit.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,8 @@ def query(f: Query) -> Query:
 
 
 def _page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages' own links, resolved."""
-    return extract.page_links(inputs.pages(spark, sf_dir))
+    """The pages' own links, resolved to their bases."""
+    return extract.page_links(inputs.based_pages(spark, sf_dir))
 
 
 def _targets(links: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def _targets(links: DataFrame) -> DataFrame:
 @query
 def q_audit(spark, d):
     """The flagship: links of all pages, checked, counted by document."""
-    checked = audit.link_audit(inputs.pages(spark, d), _targets, inputs.sites(spark, d))
+    checked = audit.link_audit(inputs.based_pages(spark, d), _targets, inputs.sites(spark, d))
     docs = inputs.pages(spark, d).select(F.col("url").alias("doc_url"))
     return report.document_metrics(checked, docs)
 
@@ -48,7 +48,10 @@ def q_audit(spark, d):
 
 @query
 def q_start_tags(spark, d):
-    return extract.start_tags(inputs.pages(spark, d)).select("doc_url", "ord", "name", F.size("attributes").alias("n_attributes"))
+    """Tags of the pages and of two elements after them, behind comments, one of which is open."""
+    more = F.expr("""concat(html, '<input disabled value=x data-a="1>2" checked><!-- <i>no</i> --><b hidden>t</b>', CASE WHEN page_id % 3 = 0 THEN '<!-- <u>' ELSE '' END)""")
+    tags = extract.start_tags(inputs.pages(spark, d).select("url", more.alias("html")))
+    return tags.select("doc_url", "ord", "name", F.size("attributes").alias("n_attributes"), F.array_join(F.transform(F.filter("attributes", lambda a: a["value"] == ""), lambda a: a["name"]), ",").alias("bare"))
 
 
 @query
@@ -142,8 +145,8 @@ def q_output_element(spark, d):
 
 @query
 def q_elements(spark, d):
-    """Elements of all pages by name and depth."""
-    return elements.elements(inputs.pages(spark, d)).where("name IN ('html', 'head', 'body', 'nav', 'ul', 'article', 'a')").groupBy("doc_url", "name").agg(F.count(F.lit(1)).alias("n"))
+    """Elements of all pages by name."""
+    return elements.elements(inputs.pages(spark, d)).groupBy("doc_url", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- URLs and scalars ---
@@ -235,9 +238,10 @@ def q_ignored_site_filter(spark, d):
 def q_check_links(spark, d):
     """Every link of the pages and of the added elements, checked with redirects, robots rules and fragments."""
     links = audit.page_links(inputs.extra_html(spark, d))
-    p = inputs.pages(spark, d)
-    own = check.checked_targets(inputs.responses(spark, d).withColumn("url", urls.strip_fragment(F.col("url"))))
-    others = _targets(links).join(p.select(urls.strip_fragment(F.col("url")).alias("url")).distinct(), "url", "left_anti")
+    p, rules = inputs.pages(spark, d), robots.robots_rules(inputs.robots(spark, d))
+    responses = store.latest_response(inputs.responses(spark, d).withColumn("url", urls.strip_fragment(F.col("url"))))
+    own = check.checked_targets(responses, robots=robots.robots_filter(responses.select("url"), rules))
+    others = robots.robots_filter(_targets(links).drop("allowed"), rules).join(p.select(urls.strip_fragment(F.col("url")).alias("url")).distinct(), "url", "left_anti")
     anchors = extract.anchors(extract.start_tags(inputs.extra_html(spark, d))).withColumn("doc_url", urls.strip_fragment(F.col("doc_url")))
     checked = check.check_links(links, own.unionByName(others), inputs.sites(spark, d), ["\\.png$"], anchors)
     return checked.groupBy("attribute", "ok", "error_kind").agg(F.count(F.lit(1)).alias("n"))
@@ -245,7 +249,7 @@ def q_check_links(spark, d):
 
 @query
 def q_broken_links(spark, d):
-    checked = audit.link_audit(inputs.pages(spark, d), _targets, inputs.sites(spark, d))
+    checked = audit.link_audit(inputs.based_pages(spark, d), _targets, inputs.sites(spark, d))
     return check.broken_links(checked).select("doc_url", "ord", "target", "error_kind", "error", "status")
 
 
@@ -323,8 +327,8 @@ def q_split_markup_errors(spark, d):
 
 @query
 def q_page_markup(spark, d):
-    """Markup errors of the pages themselves, by kind."""
-    rows = markup.markup_errors(cut(elements.elements(inputs.pages(spark, d)), "elements"), markup.html_rules(spark))
+    """Markup errors of the pages with a fault in each, by kind."""
+    rows = markup.markup_errors(elements.elements(inputs.faulty_pages(spark, d)), markup.html_rules(spark))
     return rows.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -396,6 +400,36 @@ def q_report_json_sink(spark, d):
     return spark.read.text(path).select(F.get_json_object("value", "$.url").alias("url"), F.length("value").alias("n_chars"))
 
 
+@query
+def q_report_text_sink(spark, d):
+    """The text report written and read back, line by line."""
+    path = scratch(spark, "report")
+    write_report_text(report.report_lines(report.nest_report(inputs.results(spark, d))), path)
+    return spark.read.text(path)
+
+
+@query
+def q_read_responses(spark, d):
+    """Responses stored with header names in capitals, read back."""
+    p = inputs.pages(spark, d)
+    stored = p.select("url", F.expr(inputs.STATUS).cast("int").alias("status"), F.create_map(F.lit("CONTENT-Type"), F.lit("text/html")).alias("headers"), F.encode("html", "utf-8").alias("body"), "page_id")
+    stored = stored.select("url", "status", "headers", "body", F.col("page_id").alias("duration_ms"), F.lit(None).cast("timestamp").alias("fetched_at"), F.lit(None).cast("string").alias("request_error"))
+    path = scratch(spark, "responses")
+    stored.write.parquet(path)
+    return read_responses(spark, path).select("url", "status", F.try_element_at("headers", F.lit("content-type")).alias("media"), F.octet_length("body").alias("n_bytes"), "duration_ms")
+
+
+@query
+def q_read_sites(spark, d):
+    """Options of all pages: the first and the last host have sites of their own, all others the default site."""
+    p = inputs.pages(spark, d).select("page_id", "url")
+    host = urls.url_parts(F.col("url"))["host"]
+    ends = p.agg(F.min(host).alias("first"), F.max(host).alias("last")).first()
+    rows = [{"site": "one", "host": ends["first"], "max_redirects": 3}, {"site": "two", "host": ends["last"], "path": "/en", "schemes": ["https"]}]
+    found = sites.match_site(p, read_sites(spark, rows))
+    return found.select("page_id", "site.site", "site.max_redirects", F.array_join("site.schemes", ",").alias("schemes"))
+
+
 @query
 def q_report_lines(spark, d):
     return report.report_lines(report.nest_report(inputs.results(spark, d)))
@@ -439,7 +473,7 @@ def q_retry_outcome(spark, d):
 
 @query
 def q_rate_limit_violations(spark, d):
-    return requestlog.rate_limit_violations(inputs.request_log(spark, d), 1)
+    return requestlog.rate_limit_violations(inputs.request_log(spark, d), 1, overall=15)
 
 
 @query
@@ -465,8 +499,8 @@ def q_crawl(spark, d):
 
 @query
 def q_frontier_minus_visited(spark, d):
-    p = inputs.pages(spark, d)
-    return crawl.frontier_minus_visited(p.where("page_id % 2 = 0").unionByName(p.where("page_id % 3 = 0")), p.where("page_id % 5 = 0"))
+    """Linked pages that aren't among every other page."""
+    return crawl.frontier_minus_visited(inputs.edges(spark, d).select(F.col("dst").alias("url")), inputs.pages(spark, d).where("page_id % 2 = 0"))
 
 
 @query
@@ -484,9 +518,17 @@ def _folder(df: DataFrame, name: str, files: int) -> tuple[DataFrame, str]:
     return df, path
 
 
+def _in_time(df: DataFrame, name: str, by: str, parts: int = 3) -> str:
+    """df as files that arrive in the order of a column."""
+    rows, path = cut(df.repartitionByRange(parts, by).withColumn("__part", F.spark_partition_id()), name), scratch(df.sparkSession, name)
+    for k in range(parts):
+        rows.where(F.col("__part") == k).drop("__part").write.mode("append").parquet(path)
+    return path
+
+
 @query
 def q_stream_results(spark, d):
-    p, path = _folder(inputs.pages(spark, d).select("url", "html"), "arrivals", 3)
+    p, path = _folder(inputs.based_pages(spark, d).select("url", "html"), "arrivals", 3)
     targets = cut(_targets(_page_links(spark, d)), "targets")
     out = scratch(spark, "checked")
     stream = jobs.stream_results(jobs.read_stream(spark, path, p.schema, 1), targets, inputs.sites(spark, d))
@@ -496,10 +538,11 @@ def q_stream_results(spark, d):
 
 @query
 def q_stream_dedup(spark, d):
+    """Every response twice, in the order of time: the state keeps the URLs of an hour."""
     r = inputs.responses(spark, d)
-    twice, path = _folder(r.unionByName(r).select(F.col("url").alias("final_url"), "fetched_at"), "arrivals", 3)
-    out = scratch(spark, "once")
-    jobs.run(jobs.stream_dedup(jobs.read_stream(spark, path, twice.schema, 1)), out, scratch(spark, "state"))
+    twice = r.unionByName(r).select(F.col("url").alias("final_url"), "fetched_at")
+    path, out = _in_time(twice, "arrivals", "fetched_at"), scratch(spark, "once")
+    jobs.run(jobs.stream_dedup(jobs.read_stream(spark, path, twice.schema, 1), "1 hour"), out, scratch(spark, "state"))
     return spark.read.parquet(out)
 
 
@@ -517,13 +560,14 @@ def q_stream_store(spark, d):
     v, path = _folder(_versions(spark, d), "arrivals", 3)
     out = scratch(spark, "store")
     jobs.stream_store(jobs.read_stream(spark, path, v.schema, 1), out, scratch(spark, "state")).awaitTermination()
-    return spark.read.parquet(f"{out}/generation=2").select("page_id", "url", "status")
+    return jobs.read_store(spark, out, v.schema).select("page_id", "url", "status")
 
 
 @query
 def q_stream_rate(spark, d):
-    log, path = _folder(inputs.request_log(spark, d), "arrivals", 3)
-    out = scratch(spark, "rates")
-    jobs.run(jobs.stream_rate(jobs.read_stream(spark, path, log.schema, 1), 1, delay="60 days"), out, scratch(spark, "state"), "update")
+    """The log in the order of time, so that a short delay loses nothing."""
+    log = inputs.request_log(spark, d)
+    path, out = _in_time(log, "arrivals", "ts"), scratch(spark, "rates")
+    jobs.run(jobs.stream_rate(jobs.read_stream(spark, path, log.schema, 1), 1, delay="10 minutes"), out, scratch(spark, "state"), "update")
     last = spark.read.parquet(out).groupBy("site", "window_start").agg(F.max("n").alias("n"))
     return last

@@ -1,13 +1,15 @@
 """Small sites and hand-written rows for the operators."""
 
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from siteaudit.operators import check, crawl, elements, extract, markup, redirects, report, requestlog, robots, store
 from siteaudit.plans import queries
-from siteaudit.plans.audit import page_links, site_audit
-from siteaudit.sources.scratch import scratch
+from siteaudit.plans.audit import page_links, site_audit, site_markup
+from siteaudit.sources.scratch import cleared, scratch
 from siteaudit.sources.tables import read_responses, read_sites, write_report_json, write_report_text, write_store
 from siteaudit.streaming import jobs
 
@@ -38,7 +40,7 @@ def test_linked_pages_and_cycle(spark):
     assert audit(spark, [page('<a href="bar"/>'), page('<a href="/"/>', ROOT + "bar")], known) == ((2, 0, 2, 0), [])
 
 
-BASED = [("/b/", ROOT + "b/x"), ("c/", ROOT + "a/c/x"), ("https://bar.com/d/", "https://bar.com/d/x"), ("https://", ROOT + "a/x"), (None, ROOT + "a/x")]
+BASED = [("/b/", ROOT + "b/x"), ("c/", ROOT + "a/c/x"), ("https://bar.com/d/", "https://bar.com/d/x"), ("https://", None), (None, ROOT + "a/x")]
 
 
 def test_links_go_to_the_base(spark, tmp_path):
@@ -48,12 +50,13 @@ def test_links_go_to_the_base(spark, tmp_path):
     twice = spark.createDataFrame(rows + rows, "url string, html string")
     assert sorted((r.doc_url, r.target) for r in page_links(twice).collect()) == sorted(want + want)
     path = str(tmp_path / "pages.parquet")
-    pages.write.parquet(path)
+    ids = spark.createDataFrame([(u, k) for (u, _), k in zip(rows, (1, 2, 3, 5, 6))], "url string, page_id long")  # to which the query adds no base of its own
+    pages.join(ids, "url").write.parquet(path)
     assert sorted((r.doc_url, r.target) for r in queries.q_resolve_url(spark, str(tmp_path)).collect()) == want
-    targets = spark.createDataFrame([(t, t, 200, "text/html", None, None, True) for _, t in {t: (0, t) for _, t in want}.values()], "url string, final_url string, status int, media string, request_error string, redirect_error string, allowed boolean")
+    targets = spark.createDataFrame([(t, t, 200, "text/html", None, None, True) for t in {t for _, t in want if t}], "url string, final_url string, status int, media string, request_error string, redirect_error string, allowed boolean")
     out = scratch(spark, "checked")
     jobs.run(jobs.stream_results(jobs.read_stream(spark, path, pages.schema), targets, read_sites(spark, [])), out, scratch(spark, "state"))
-    assert sorted((r.doc_url, r.target, r.ok) for r in spark.read.parquet(out).collect()) == [(*w, True) for w in want]
+    assert sorted((r.doc_url, r.target, r.ok) for r in spark.read.parquet(out).collect()) == [(*w, w[1] is not None) for w in want]
 
 
 def test_fragments(spark):
@@ -131,7 +134,140 @@ def test_elements(spark):
     assert rows[3].children == ["p", "p", "ul", "br", "#text", "svg"] and rows[11].namespace == elements.SVG_NS
 
 
+def test_tags_without_values_and_open_comments(spark):
+    html = """<a href id=k><input disabled value=x/y data-a='1>2' checked><a href=/q?a=b&#38;c=&eacute;&#x2f;&#128;&nope;&amp;amp;><!-- <a href="/no">"""
+    tags = extract.start_tags(spark.createDataFrame([("u", html)], "url string, html string")).orderBy("ord").collect()
+    assert [[tuple(a) for a in r.attributes] for r in tags] == [[("href", ""), ("id", "k")], [("disabled", ""), ("value", "x/y"), ("data-a", "1>2"), ("checked", "")], [("href", "/q?a=b&c=é/€&nope;&amp;")]]
+    assert [r.target for r in page_links(spark.createDataFrame([(ROOT + "d?e#f", html)], "url string, html string")).orderBy("ord").collect()] == [ROOT + "d?e", ROOT + "q?a=b&c=%C3%A9/%E2%82%AC&nope;&amp;"]
+    signs = [("&#0;&#xD800;&#x110000;", "\ufffd" * 3), ("&lt;&#x1F600;&NotEqualTilde;", "<\U0001f600\u2242\u0338"), ("a&b &#; &copy=1", "a&b &#; &copy=1"), ("", ""), (None, None)]
+    assert [r[0] for r in spark.createDataFrame([(a,) for a, _ in signs], "t string").select(extract.decode_entities(F.col("t"))).collect()] == [w for _, w in signs]
+
+
+def test_a_bad_base_fails_its_document(spark):
+    assert audit(spark, [page('<base href="https://"><a href="x">t</a>')], [(ROOT + "x", 200, HTML)]) == ((0, 1, 0, 1), ["url_parse"])
+
+
+DATA = "data:image/svg+xml,"
+
+
+def test_links_in_data_svgs(spark):
+    known = [(ROOT + "x", 200, HTML)]
+    inner = DATA + "%3Csvg xmlns='s'%3E%3Ca href='https://foo.com/{}' id='k'/%3E%3C/svg%3E"
+    assert audit(spark, [page(f'<img src="{inner.format("x")}"><img src="{inner.format("x")}">')], known) == ((2, 0, 3, 0), [])
+    assert audit(spark, [page(f'<img src="{inner.format("y")}">')], known) == ((1, 1, 1, 1), ["missing_response"])
+    assert audit(spark, [page(f'<img src="{inner.format("x")}#k"><img src="{inner.format("x")}#n">')], known) == ((1, 1, 2, 1), ["element_not_found"])
+    nested = DATA + "%3Csvg%3E%3Cimage href='data:image/svg+xml,%253Csvg%253E%253Ca href=%2522https://foo.com/y%2522/%253E%253C/svg%253E'/%3E%3C/svg%3E"
+    assert audit(spark, [page(f'<img src="{nested}">')], known) == ((2, 1, 2, 1), ["missing_response"])
+    assert audit(spark, [page('<img src="data:image/svg+xml;base64,***">')], known) == ((0, 1, 0, 1), ["data_url"])
+
+
+def test_site_options(spark):
+    hops = [(ROOT + "a", 301, {"location": "b"}), (ROOT + "b", 302, {"location": "/c"}), (ROOT + "c", 200, HTML)]
+    site = [{"host": "foo.com", "site": "s", "max_redirects": 1}]
+    assert audit(spark, [page('<a href="a"/><a href="b"/>')], hops, site) == ((0, 1, 1, 1), ["too_many_redirects"])
+    docs = spark.createDataFrame([(ROOT, "html", '<blink foo="1"><i bar="2">x</i></blink>'), ("https://bar.com/", "html", "<blink>"), (ROOT + "s", "svg", f'<svg xmlns="{elements.SVG_NS}" viewBox="0 0 1 1"><path/><nope/></svg>')], "url string, doc_type string, body string")
+    options = [{"host": "foo.com", "site": "s", "validate_html": True, "validate_svg": True, "html_ignored_elements": ["bl.*"]}]
+    got = site_markup(docs, read_sites(spark, options), markup.html_rules(spark), markup.svg_rules(spark)).collect()
+    assert sorted((r.doc_url, r.message) for r in got) == [(ROOT, 'attribute "bar" not allowed'), (ROOT + "s", 'child "nope" not allowed'), (ROOT + "s", "missing attributes: d"), (ROOT + "s", 'unknown tag "nope"')]
+
+
+def test_robots_that_fail_or_move(spark):
+    other, rows = "https://bar.com/", "url string, status int, headers map<string,string>, body binary, request_error string"
+    known = responses_of(spark, [(u + p, 200, HTML) for u in (ROOT, other) for p in ("x", "y")])
+    body = spark.createDataFrame([(other, "html", f'<a href="x"/><a href="y"/><a href="{ROOT}x"/>')], "url string, doc_type string, body string")
+
+    def run(*robots_rows):
+        checked, _ = site_audit(body, known, read_sites(spark, []), robots_responses=spark.createDataFrame(robots_rows, rows))
+        return sorted((r.target, r.error_kind) for r in checked.collect() if not r.ok)
+
+    moved = (other + "robots.txt", 301, {"location": ROOT + "r"}, None, None), (ROOT + "r", 200, {}, b"User-agent: *\nDisallow: /y", None)
+    assert run(*moved) == [] and run((other + "robots.txt", 404, {}, b"\xff", None)) == []
+    failed = [(other + "x", "robots_fetch"), (other + "y", "robots_fetch")]
+    for row in ((other + "robots.txt", None, {}, None, "timeout"), (other + "robots.txt", 200, {}, b"\xff", None), (other + "robots.txt", 301, {"location": "gone"}, None, None)):
+        assert run(row) == failed
+
+
+def test_elements_of_svgs_keep_their_names(spark):
+    svg = f'<s:svg xmlns:s="{elements.SVG_NS}" xmlns:x="http://www.w3.org/1999/xlink" xmlns:xlink="other" viewBox="0 0 1 1"><s:linearGradient x:href="#a&amp;b" xlink:href="n"/><own:e xmlns:own="u"/></s:svg>'
+    rows = elements.elements(spark.createDataFrame([("u", svg, True)], "url string, html string, svg boolean"), svg_col="svg").orderBy("ord").collect()
+    assert [(r.name, r.namespace, [tuple(a) for a in r.attributes]) for r in rows] == [("svg", elements.SVG_NS, [("viewBox", "0 0 1 1")]), ("linearGradient", elements.SVG_NS, [("xlink:href", "#a&b"), ("other:href", "n")]), ("own:e", "u", [])]
+    assert rows[0].children == ["linearGradient", "own:e"] and rows[2].parent_ord == 0
+
+
+RULES = {
+    "elements": [("x", 0, "a b"), ("x", 1, "(a & b & c?)"), ("y", 0, None), ("z-*", 0, None)],
+    "attributes": [("x", 0, 0, "p", True), ("x", 1, 0, "q", True), ("y", 0, 0, "p", True), ("y", 0, 0, "r", False), ("y", 0, 1, "q", True), ("y", 0, 1, "s*", True)],
+    "values": [("y", "r", "exact", "1")], "children": [("x", "a"), ("x", "b"), ("x", "c")],
+}
+
+
+def test_best_variants_and_sets(spark):
+    kinds = ["name string, variant int, content_regex string", "element string, variant int, attribute_set int, attribute string, required boolean", "element string, attribute string, match string, literal string", "parent string, child string"]
+    rules = {n: spark.createDataFrame(RULES[n], k) for n, k in zip(RULES, kinds)}
+    rules["attributes"] = rules["attributes"].withColumn("mode", F.expr("CASE attribute WHEN 'r' THEN 'literal' ELSE 'any' END"))
+    cases = [
+        ('<x q="1"><b></b><a></a></x>', []),  # the second variant's content
+        ("<x><a></a><b></b></x>", [("missing_attribute", "p")]),
+        ('<x p="1"><b></b><a></a></x>', [("misplaced_child", "b")]),  # against a conflict and a missing attribute of the second
+        ('<x p="1"><a></a><d></d></x>', [("child_not_allowed", "d"), ("missing_child", "b"), ("unknown_tag", "d")]),
+        ('<y p="1" r="2"></y>', [("invalid_value", "r")]),
+        ('<y q="1" s1="" r="1"></y>', [("conflicting_attribute", "r"), ("missing_attribute", "s*")]),
+        ('<y t="1" p=""></y>', [("attribute_not_allowed", "t")]),
+        ("<z-1></z-1>", []),
+    ]
+    for name in "abc":
+        rules["elements"] = rules["elements"].union(spark.createDataFrame([(name, 0, None)], kinds[0]))
+    rows = elements.elements(spark.createDataFrame([(str(i), h) for i, (h, _) in enumerate(cases)], "url string, html string"))
+    got = markup.markup_errors(rows, rules).collect()
+    assert [sorted((r.kind, r.name) for r in got if r.doc_url == str(i)) for i in range(len(cases))] == [sorted(w) for _, w in cases]
+    none = markup.markup_errors(rows, rules, ["[dxyz].*"]).collect()
+    assert none == []
+
+
+def test_order_in_syntax_errors(spark):
+    css = spark.createDataFrame([("a", "}{"), ("b", "a{b{}}"), ("c", '{"}"')], "url string, css string")
+    assert {r.doc_url: r.errors for r in report.css_syntax_errors(css).collect()} == {"a": ["unclosed block", "unexpected }"], "c": ["unclosed block"]}
+    svg = spark.createDataFrame([("a", "<g></a>"), ("b", "<g><a/><?x?><b>t</b></g>"), ("c", "<a><b></a></b>")], "url string, svg string")
+    assert {r.doc_url: r.errors for r in report.svg_syntax_errors(svg).collect()} == {"a": ["unclosed element", "unexpected end tag"], "c": ["unclosed element", "unexpected end tag"]}
+
+
+def test_overall_rate(spark):
+    log = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("b", 4000)], "site string, s long").select("site", F.timestamp_seconds("s").alias("ts"))
+    got = requestlog.rate_limit_violations(log, 1, overall=2).collect()
+    assert sorted(((r.site or "*"), r.n) for r in got) == [("*", 3), ("a", 2)]
+
+
+def scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan"), plan.count("Exchange")
+
+
+def test_plans_read_once(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    docs = pages.select("url", F.lit("html").alias("doc_type"), F.col("html").alias("body"))
+    assert scans(extract.all_links(docs)) == (1, 0)
+    assert scans(report.summary_table(pages.select(F.col("url").alias("doc_url"), F.lit(1).alias("success"), F.lit(0).alias("error")))) == (1, 1)
+    path = scratch(spark, "elements")
+    elements.elements(pages).write.parquet(path)
+    plan = markup.markup_errors(spark.read.parquet(path), markup.html_rules(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_scratch_is_shared_and_cleared(spark):
+    with cleared(spark):
+        path = scratch(spark, "x")
+        spark.range(3).write.parquet(path)
+        assert spark.read.parquet(path).count() == 3
+    assert not os.path.exists(path.removeprefix("file://")) and "run" not in scratch(spark, "y")
+
+
 def test_content_models():
+    assert markup.content_errors("(a )&(b )", ["b", "a"]) == ([], [])
+    assert markup.content_errors("(a b)& c?", ["a", "c", "b"]) == ([], []) and markup.content_errors("(a b)& c", ["b", "a"]) == (["b"], [])
+    assert markup.content_errors("a & b & c", ["b"]) == ([], ["a", "c"]) and markup.content_errors("(a b)*", ["b", "a"], ["b"]) == ([], ["b"])
+    for wrong in ("a, b", "(a", "a)", "* a"):
+        with pytest.raises(ValueError):
+            markup.content_of(wrong)
     assert markup.content_errors("(head )?(body )?", ["head", "body"]) == ([], [])
     assert markup.content_errors("(head )?(body )?", ["body", "head"]) == (["head"], [])
     assert markup.content_errors("((dt )+(dd )+)*", ["dt", "dd", "dt"]) == ([], ["dd"])
