@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
@@ -37,6 +38,35 @@ def test_toxicity_on_held_out_documents(halves, model):
     assert np.mean([r.expected_severity for r in bad]) > 1.3 > 0.1 > np.mean([r.expected_severity for r in clean])
 
 
+def test_toxicity_query_is_the_model(spark, sf_dir):
+    """Every row by the model's definition, without Spark."""
+    from xxhash import xxh64_intdigest
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    fitted, got = toxicity.train(docs, labels), {r.doc_id: r for r in queries.op1_toxicity(spark, sf_dir).collect()}
+    assert len(got) == docs.count() and fitted.weights
+    for r in docs.collect():
+        counts = {}
+        for w in re.findall(r"[^\W_]+", r.text.lower()):
+            b = xxh64_intdigest(w) % toxicity.BUCKETS
+            counts[b] = counts.get(b, 0) + 1
+        score = sum(fitted.weights.get(b, 0.0) * math.log(1 + n) for b, n in counts.items())
+        above = [1 / (1 + math.exp(t - score)) for t in fitted.thresholds]
+        own = got[r.doc_id]
+        assert abs(own.expected_severity - sum(above)) < 1e-9 and abs(own.p_toxic - above[0]) < 1e-9
+        assert own.grade == sum(score >= t for t in fitted.thresholds) and own.toxic == (own.grade > 0)
+
+
+def test_a_repeated_identifier_is_one_row_of_the_fit(spark):
+    words = ["idiot", "fool", "fine", "good"]
+    rows = [(i, f"{words[i % 4]} {words[i % 2]} {i % 3}") for i in range(60)]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    many = once.unionByName(once.where("doc_id = 4").crossJoin(spark.range(5000)).drop("id"))
+    labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(many, labels, "toxic", 10).select("id").distinct().count() == 10
+    assert toxicity.train(many, labels) == toxicity.train(once, labels)
+
+
 def test_severity_is_ordinal(model):
     assert len(model.thresholds) == toxicity.GRADES and model.thresholds == sorted(model.thresholds)
     above = [model.above(s) for s in (-5.0, 0.0, 2.0, 8.0)]
@@ -91,6 +121,28 @@ def test_quality_counts_everything(spark, sf_dir):
     assert np.allclose(quality.train(docs, labels).log_ratio, p[0] - p[1])
 
 
+def test_quality_query_is_brute_force(spark, sf_dir):
+    """Log weights, keys, ranks and kept rows of all documents, without Spark but for the model."""
+    from xxhash import xxh64_intdigest
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    ratio, known = quality.train(docs, labels).log_ratio, [r.quality for r in labels.collect() if r.quality is not None]
+    want = []
+    for r in docs.collect():
+        tokens = re.findall(r"\w+|[^\w\s]+", r.text or "")
+        h, two = [xxh64_intdigest(t) >> 1 for t in tokens], (1 << 64) - 1
+        buckets = [x % quality.BUCKETS for x in h] + [(((a * 0x9E3779B97F4A7C15 + b) * 0xC2B2AE3D27D4EB4F & two) >> 40) % quality.BUCKETS for a, b in zip(h, h[1:])]
+        weight = sum(ratio[b] for b in buckets) if buckets else quality.NOTHING
+        seed = xxh64_intdigest((11).to_bytes(4, "little"), 42)
+        u = ((xxh64_intdigest(r.doc_id.to_bytes(8, "little"), seed) >> 11) + 0.5) / (1 << 53)
+        want.append((-(weight - math.log(-math.log(u))), r.doc_id, weight))
+    want.sort()
+    k = math.ceil(round(sum(x > 0 for x in known) / len(known) * 1_000_000) * len(want) / 1_000_000)
+    got = sorted(queries.op2_quality(spark, sf_dir).collect(), key=lambda r: r.rank)
+    assert [r.doc_id for r in got] == [i for _, i, _ in want] and [r.kept for r in got] == [n < k for n in range(len(want))]
+    assert np.allclose([r.log_weight for r in got], [w for *_, w in want]) and np.allclose([r.gumbel_key for r in got], [-x for x, *_ in want])
+
+
 def test_quality_of_odd_texts(spark):
     df = spark.createDataFrame(ODD, "doc_id long, text string").withColumn("rank", F.lit(5)).withColumn("good", F.lit(5))
     ratio = quality.train(df, spark.createDataFrame([(4, 1), (4, 1), (None, 1)], "doc_id long, quality int"))
@@ -100,7 +152,8 @@ def test_quality_of_odd_texts(spark):
 
 
 def near_by_force(rows, k=20):
-    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    width = max(len(v) for _, v in rows)
+    ids, x = np.array([r[0] for r in rows]), np.array([list(v) + [0.0] * (width - len(v)) for _, v in rows], np.float64)
     for i in np.flatnonzero(ids % 20 == 0):
         score = np.einsum("ij,j->i", x, x[i])
         others = np.flatnonzero(ids != ids[i])
@@ -124,7 +177,8 @@ def test_recall(spark):
 def test_copies_ties_and_unusable_vectors(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [1.0, 0.0]) for i in range(100)] + [(100 + i, [float(rng.integers(-2, 3)), float(rng.integers(-2, 3)) or 1.0]) for i in range(60)]
-    odd = [(200, None), (220, [0.0, 0.0]), (240, [float("nan"), 1.0]), (260, [float("inf"), 1.0]), (280, [None, 1.0]), (300, []), (320, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
+    rows += [(320, [1.0, 2.0, 3.0]), (321, [-1.0]), (340, [0.0, 0.0, 2.0])]  # other lengths
+    odd = [(200, None), (220, [0.0, 0.0]), (240, [float("nan"), 1.0]), (260, [float("inf"), 1.0]), (280, [None, 1.0]), (300, []), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows + rows[:3] + odd, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
     got = {}
     for r in ann.search(df, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect():

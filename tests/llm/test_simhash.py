@@ -120,6 +120,34 @@ def test_similar_documents(spark, sf_dir):
     assert all(usual[i] == i for i in want if want[i] == i)
 
 
+def test_no_similar_pair_is_missed(spark):
+    """All pairs of sf0.1 at 0.8 or more, found by an index of all shingles, and pairs of short texts at just 0.8."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    rng, least = random.Random(12), 1_000_000
+    for k in range(400):  # 4 of 5 shingles, 12 of 15 and so on
+        words = ["v%d" % rng.randrange(10**9) for _ in range(9 + 5 * (k % 8))]
+        rows += [(least + 2 * k, " ".join(words)), (least + 2 * k + 1, " ".join(words[: len(words) - (len(words) - 4) // 5]))]
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(frozenset(grams(t, 5)), []).append(i)
+    sets = [(s, min(ids)) for s, ids in sets.items()]
+    index, pairs = {}, []
+    for a, (s, _) in enumerate(sets):
+        shared = {}
+        for g in s:
+            for b in index.get(g, ()):
+                shared[b] = shared.get(b, 0) + 1
+            index.setdefault(g, []).append(a)
+        pairs += [(sets[a][1], sets[b][1]) for b, n in shared.items() if n >= 0.8 * (len(s) + len(sets[b][0]) - n) - 1e-9]
+    got = {r.id: r.keep_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    short = [p for p in pairs if min(p) >= least]
+    assert len(short) >= 400 and len(pairs) - len(short) > 40
+    assert all(got[a] == got[b] for a, b in pairs if min(a, b) < least)
+    assert sum(got[a] != got[b] for a, b in short) <= 2
+    root = closure([i for _, i in sets], pairs)
+    assert all(got[i] >= root[i] for i in root)  # nothing else is linked
+
+
 def test_a_repeated_passage(spark):
     rng = random.Random(11)
     base, line = (" ".join("w%d" % rng.randrange(5000) for _ in range(n)) for n in (200, 9))

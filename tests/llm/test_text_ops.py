@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -53,6 +54,48 @@ def test_safe_pieces_change_nothing():
         assert [i for p in pieces for i in tokens_of(p)] == tokens_of(text)
 
 
+def plain_merge(piece, enc):
+    """Ids of one match by merging the pair of least rank, the first of those, until none has a rank."""
+    ranks, parts = enc._mergeable_ranks, [bytes([b]) for b in piece.encode()]
+    while True:
+        found = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+        if found is None:
+            return [ranks[x] for x in parts]
+        parts[found[1] : found[1] + 2] = [parts[found[1]] + parts[found[1] + 1]]
+
+
+RUNS = [" ", "\n", "\t", " \n", "\n\n ", "\u3000", "\xa0 "]
+
+
+def test_long_runs_are_the_librarys(monkeypatch):
+    """Where the library can take them, and by a plain merge."""
+    enc, rng = bpe.encoding(*queries.rank_file()), random.Random(6)
+    monkeypatch.setattr(bpe, "SPLIT_CHARS", 0)
+    monkeypatch.setattr(bpe, "_RUN", re.compile(f"[{bpe.WHITE}]{{3,}}"))
+    for run in RUNS:
+        for n in (1, 2, 3, 7, 50):
+            white = run * n
+            for text in (white, "a" + white, white + "b", "a" + white + "b", "a" + white + ".", f"é{white}漢{white}'s {white}"):
+                assert bpe.encode(text, enc) == enc.encode_ordinary(text)
+            assert enc._encode_single_piece(white) == plain_merge(white, enc)
+    for _ in range(300):
+        text = "".join(rng.choice([*RUNS, "    ", "a", "b.", "'s", "1"]) for _ in range(rng.randrange(40)))
+        assert bpe.encode(text, enc) == enc.encode_ordinary(text)
+
+
+def test_millions_of_spaces_and_lines(spark):
+    enc, n = bpe.encoding(*queries.rank_file()), 3_000_000
+    for sign in (" ", "\n"):
+        long, few = sign * n, sign * 1000  # the same matches around a shorter run
+        for text in ("{}", "a{}", "{}b", "a b {}c d", "a{}b{}\t."):
+            ids, want = bpe.encode(text.format(long, long), enc), enc.encode_ordinary(text.format(few, few))
+            assert enc.decode(ids) == text.format(long, long) and ids[:3] == want[:3] and ids[-3:] == want[-3:]
+    for sign in ("x", ".", "1", "é", "漢"):
+        assert enc.decode(bpe.encode(sign * (n // 3), enc)) == sign * (n // 3)
+    df = spark.createDataFrame([(1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_000_000)], "doc_id long, text string")
+    assert [bytes(r.decoded).decode() for r in bpe.round_trip(df, *queries.rank_file()).orderBy("doc_id").collect()] == ["a" + " " * 1_000_000 + "b", "\n" * 1_000_000]
+
+
 def test_bpe_query(spark, sf_dir):
     got = {r.doc_id: tuple(r) for r in queries.op9_bpe_round_trip(spark, sf_dir).collect()}
     for i, t in docs_of(spark, sf_dir):
@@ -63,15 +106,28 @@ def test_bpe_query(spark, sf_dir):
 # --- token files ---
 
 
-def test_chunks_are_whole_text_ids():
+def coded(code, texts):
+    return [np.frombuffer(x, code.dtype).tolist() for x in code(pa.array(texts, pa.string()))]
+
+
+def test_words_are_whole_text_ids():
     path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(2)
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    texts = [t or "" for _, t in ODD if len(t or "") < 1000] + ["".join(rng.choice(" \n\t 　жaÀb'sé1!.²×_\x1c") for _ in range(300)) for _ in range(60)]
-    code = token_file.ChunkEncoder(path)
-    for x, ids in zip(texts, code(texts)):
-        assert np.frombuffer(ids, "<u2").tolist() == plain.encode(x, add_special_tokens=False).ids
-    assert code(texts) == code(texts)
+    plain, code = Tokenizer.from_file(path), token_file.WordEncoder(path)
+    signs = [*" \n\t 　жaÀb'sé1!.²×_\x1c\x85ªƻ漢", "  ", "word", "don't", "<|endoftext|>", "<|", "endoftext"]
+    texts = [t or "" for _, t in ODD if len(t or "") < 1000] + ["".join(rng.choice(signs) for _ in range(rng.randrange(200))) for _ in range(300)]
+    texts += [" ".join("".join(rng.choice("aéb.,'1") for _ in range(rng.randrange(1, 6))) for _ in range(50)) for _ in range(50)]
+    want = [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    assert coded(code, texts) == want == coded(code, texts) and coded(code, []) == []
+    code.model = None  # another tokenizer than the usual byte-level one
+    code.spaced.clear(), code.bare.clear()
+    assert coded(code, texts) == want
+
+
+def test_long_runs_of_one_sign():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    code, plain = token_file.WordEncoder(path), Tokenizer.from_file(path)
+    for text in ("a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "x" * 300_000, "\t " * 200_000 + "."):
+        assert coded(code, [text]) == [plain.encode(text, add_special_tokens=False).ids]
 
 
 def test_special_tokens_are_the_librarys_own(spark):
@@ -89,10 +145,23 @@ def test_special_tokens_are_the_librarys_own(spark):
 
 
 def test_a_full_memo_still_encodes(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["one two three four", "five one six", "one two", "two, two, one. seven", "one\ntwo"]
+    want = coded(token_file.WordEncoder(path), texts)
     monkeypatch.setattr(token_file, "MEMO", 3)
-    code, fresh = token_file.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json")), token_file.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
-    for text in ("one two three four", "five one six", "one two"):
-        assert code([text]) == fresh([text])
+    code = token_file.WordEncoder(path)
+    assert [coded(code, [t])[0] for t in texts] == want
+
+
+def test_a_shard_written_again(spark):
+    folder = scratch(spark, "sequences")
+    for n in (1, 2):
+        writer = token_file.ShardWriter(folder, 0, "<u2", length=4, batch=2)
+        for k in range(n):
+            writer.add(np.arange(5, dtype="<u2").tobytes())
+        writer.close(pa.array(range(n)))
+    reader = token_file.ShardReader(folder, 0)
+    assert reader.index.num_rows == 2 and reader.tokens(5, 5).tolist() == [0, 1, 2, 3, 4]
 
 
 def test_token_file_query(spark, sf_dir):
@@ -211,6 +280,19 @@ def test_repeated_rows_keep_one(spark):
     assert sorted(r[2] for r in kept) == [3, 4, 6] and len(kept[0]) == 3
 
 
+def test_copies_of_any_table(spark):
+    rows = [(5, "a", 1), (3, "a", 2), (None, None, 3), (7, "", 4), (8, "b", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _metadata int").withColumn("file", F.lit(1)).withColumn("row", F.lit(2)).withColumn("doc", F.lit(3))
+    path = scratch(spark, "docs")
+    df.write.parquet(path)
+    stored = spark.read.parquet(path)
+    for docs in (df, stored, stored.where("doc_id IS NULL OR doc_id > 0"), stored.unionByName(stored.limit(0)), stored.orderBy("doc_id").limit(100)):
+        kept = exact_dedup.drop_copies(docs)
+        assert kept.columns == df.columns and sorted(r["_metadata"] for r in kept.collect()) == [2, 3, 5]
+        assert exact_dedup.exact_groups(docs, from_files=True).where("kept").count() == 3
+    assert exact_dedup.drop_copies(df.where("false")).count() == 0
+
+
 def test_a_stream_goes_on(spark):
     rows, out, state = scratch(spark, "rows"), scratch(spark, "groups"), scratch(spark, "state")
     put = lambda *r: spark.createDataFrame([(i, 1, i, bytes([d])) for i, d in r], "id long, file long, row long, digest binary").write.mode("append").parquet(rows)
