@@ -10,8 +10,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The largest table, in rows, that is broadcast; beyond it a shuffled join is used.
-BROADCAST_ROWS = 500_000
+#: The largest table, in rows and in bytes as its schema suggests, that is broadcast; beyond it a shuffled join is used.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32_000_000
+#: Bytes that a value of a type is taken for; other types count as much as text.
+WIDTHS, WIDE = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "long": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8}, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,5 +54,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit, else df as it is."""
-    return F.broadcast(df) if rows <= limit else df
+    """df with a broadcast hint if its counted rows are within the limit and, by the width of its schema, within BROADCAST_BYTES, else df as it is."""
+    width = sum(WIDTHS.get(f.dataType.typeName(), WIDE) for f in df.schema.fields)
+    return F.broadcast(df) if rows <= limit and rows * width <= BROADCAST_BYTES else df

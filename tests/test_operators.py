@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siteaudit.operators import check, crawl, elements, extract, markup, redirects, report, requestlog, robots, store
 from siteaudit.plans import queries
 from siteaudit.plans.audit import page_links, site_audit, site_markup
-from siteaudit.sources.scratch import cleared, scratch
+from siteaudit.sources.scratch import cleared, scratch, small
 from siteaudit.sources.tables import read_responses, read_sites, write_report_json, write_report_text, write_store
 from siteaudit.streaming import jobs
 
@@ -253,6 +253,12 @@ def test_plans_read_once(spark, sf_dir):
     assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1
 
 
+def test_only_small_tables_are_broadcast(spark):
+    narrow, wide = spark.range(3), spark.range(3).select(*[F.lit("x").alias(f"c{i}") for i in range(10)])
+    hinted = lambda df, rows: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() if (df := small(df, rows)) is not None else None
+    assert hinted(narrow, 500_000) and not hinted(narrow, 500_001) and hinted(wide, 50_000) and not hinted(wide, 51_000)
+
+
 def test_scratch_is_shared_and_cleared(spark):
     with cleared(spark):
         path = scratch(spark, "x")
