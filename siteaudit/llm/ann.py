@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from siteaudit.llm.common import cut, small
 
-#: Distinct vectors that the partition is learned on, those with the smallest hash.
-SAMPLE = 8192
-#: Neighbours in the sample's graph, and parts.
-NEIGHBOURS, PARTS = 12, 64
+#: Distinct vectors that the partition is learned on, those with the smallest hash: at least and at most; and for each part.
+SAMPLE, MOST_SAMPLE, SAMPLE_OF_PART = 8192, 32_768, 32
+#: Neighbours in the sample's graph; parts, at least and at most, and vectors that a part should hold.
+NEIGHBOURS, PARTS, MOST_PARTS, PART_SIZE = 12, 64, 1024, 8192
 #: Share of the true neighbours that held-out sampled queries must find: it sets to how many parts a query goes.
 TARGET = 0.96
 HIDDEN, EPOCHS = 128, 40
@@ -26,6 +26,11 @@ HIDDEN, EPOCHS = 128, 40
 BLOCK, QUERIES = 2048, 512
 
 
+def parts_for(n: int) -> int:
+    """Parts for n distinct vectors: a power of two that follows n within its bounds."""
+    return min(MOST_PARTS, max(PARTS, 1 << max(0, n // PART_SIZE - 1).bit_length()))
+
+
 def neighbour_graph(x, k: int = NEIGHBOURS):
     """Row numbers of the k rows of greatest inner product with each row, itself left out."""
     import numpy as np
@@ -191,13 +196,14 @@ def best_of(near, first, k: int, exact):
     return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = PARTS, sample: int = SAMPLE, target: float = TARGET, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int | None = None, sample: int | None = None, target: float = TARGET, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, by inner product in double precision, ties to the smaller vec_id.
 
     is_query is a condition on the column id. Candidates are all usable rows but those with the query's own
     identifier; of vectors of different lengths the shorter one counts as having zeros at its end. Equal vectors are one node of the index with their k + 1 smallest identifiers (no more can be
     in a result), so copies don't fill a part. Fewer candidates than k give fewer rows; an empty table gives none.
-    Rows that repeat an identifier and vector count once. Other columns of vectors play no part.
+    Rows that repeat an identifier and vector count once. Other columns of vectors play no part. Without a number
+    of parts it follows the number of distinct vectors (parts_for), and the sample follows the parts.
     """
     import numpy as np
 
@@ -209,6 +215,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = PARTS
     # an identifier that comes with several vectors has a node for each
     distinct = cut(distinct.withColumn("vid", F.xxhash64("vid0", "h")).drop("h"), "nodes")
     asked = cut(rows.where(is_query).distinct().join(distinct.select("vec", "vid"), "vec").select(F.col("id").alias("query_id"), "vid"), "asked")
+    parts = parts or parts_for(distinct.count())
+    sample = sample or min(MOST_SAMPLE, max(SAMPLE, SAMPLE_OF_PART * parts))
     chosen = distinct.select("vec", "vid").orderBy("vid").limit(sample).toPandas()
     if chosen.empty:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -135,7 +135,11 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], share: tupl
 
 
 def mix_documents(docs: DataFrame, domain: Column, weights: dict[str, Column], share: tuple[int, int] = (6, 10), max_epochs: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The selected rows of docs with their own columns, once for each epoch; the last one of a leaf is kept whole if half of it or more is taken, else not at all. No shuffle of texts."""
+    """The selected rows of docs with their own columns, once for each epoch; the last one of a leaf is kept whole if half of it or more is taken, else not at all. No shuffle of texts.
+
+    Nulls, repeated identifiers and weights are taken as mix() takes them: rows of one leaf with the same identifier
+    stay or go together. Rows without words, null texts among them, go; an empty table stays empty. All columns stay as they are.
+    """
     rows = token_rows(docs, domain, id_col, text_col, lang_col, source_col)
     plan = cut(plan_mix(rows, share, weights, max_epochs, seed), "mix")
     # a row travels as one value, so that no name of its own can clash

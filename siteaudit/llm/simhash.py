@@ -358,7 +358,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows whose similar_documents group has a smaller id. All columns stay as they are."""
+    """docs without the rows whose similar_documents group has a smaller id. All columns stay as they are; identifiers may be numbers or text.
+
+    Rows with a null id stay. Of null and empty texts the row with the smallest id stays. Rows that repeat an id and
+    its words stay or go together. An empty table stays empty.
+    """
     rows = cut(_similar_rows(docs, id_col=id_col, text_col=text_col, **how).where("id IS NOT NULL"), "similar_rows")
     gone = cut(rows.where("id <> keep_id").select("id", "content").distinct(), "gone")
     n_gone = gone.count()

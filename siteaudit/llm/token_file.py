@@ -318,7 +318,11 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str, end_id: int =
 
 
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start (over the whole folder), n_tokens and ids_crc32 of each document, read from the files; crc32 of the ids as little-endian unsigned 32-bit integers."""
+    """doc_id, start (over the whole folder), n_tokens and ids_crc32 of each document, read from the files; crc32 of the ids as little-endian unsigned 32-bit integers.
+
+    One row for each row that was written, repeated and null identifiers included; identifiers are whole numbers. A
+    document of a null or empty text has its end id alone. The manifest of an empty table gives no rows.
+    """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -151,10 +151,10 @@ def test_quality_of_odd_texts(spark):
     assert quality.resample(df.where("false"), ratio, 0.5).count() == 0
 
 
-def near_by_force(rows, k=20):
+def near_by_force(rows, every=20, k=20):
     width = max(len(v) for _, v in rows)
     ids, x = np.array([r[0] for r in rows]), np.array([list(v) + [0.0] * (width - len(v)) for _, v in rows], np.float64)
-    for i in np.flatnonzero(ids % 20 == 0):
+    for i in np.flatnonzero(ids % every == 0):
         score = np.einsum("ij,j->i", x, x[i])
         others = np.flatnonzero(ids != ids[i])
         best = others[np.lexsort((ids[others], -score[others]))][:k]
@@ -189,6 +189,17 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert ann.search(df.where("false"), F.col("id") == 0).count() == 0
 
 
+def test_parts_follow_the_vectors(spark):
+    assert [ann.parts_for(n) for n in (0, 100, 500_000, 600_000, 2_000_000, 10**12)] == [64, 64, 64, 128, 256, 1024]
+    vectors = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding")
+    rows, got, found, total = [tuple(r) for r in vectors.collect()], {}, 0, 0
+    for r in ann.search(vectors, F.col("id") % 400 == 0, parts=128).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q, best in near_by_force(rows, 400):
+        found, total = found + len(got[q] & {i for i, _ in best}), total + 20
+    assert found >= 0.9 * total
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(4).standard_normal((1200, 8)).astype(np.float32)
     part, count = ann.balanced_parts(ann.neighbour_graph(x), 8)

@@ -165,6 +165,14 @@ def test_drop_similar_keeps_columns(spark):
     assert sorted(r.n for r in kept) == [1, 3, 5, 7]
 
 
+def test_text_identifiers(spark):
+    a, b = (" ".join("%s%d" % (x, i) for i in range(60)) for x in "ab")
+    df = spark.createDataFrame([("x", a), ("c", a + " end"), ("d", b), (None, b), ("e", None), ("f", "")], "doc_id string, text string")
+    assert sorted(r.doc_id or "" for r in simhash.drop_similar(df).collect()) == ["", "c", "d", "e"]
+    got = simhash.near_duplicates(df.where("doc_id IS NOT NULL")).collect()
+    assert {r.id: r.component for r in got if r.id in "def"} == {"d": "d", "e": "e", "f": "e"}
+
+
 def test_repeated_ids_with_other_texts(spark):
     a, b, c = (" ".join("%s%d" % (x, i) for i in range(60)) for x in "abc")
     rows = [(3, b, 1), (5, a, 2), (5, b + " end", 3), (5, c, 4), (7, c + " end", 5), (8, a + " end", 6), (8, b, 7), (9, a.upper(), 8), (None, b, 9), (5, a, 10)]
