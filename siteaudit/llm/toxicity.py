@@ -175,7 +175,7 @@ def severity(text: str | Column, model: OrdinalModel) -> Column:
     @F.arrow_udf("struct<expected_severity:double,grade:int,p_toxic:double>")
     def score(texts: pa.Array) -> pa.Array:
         bucket, weights, out = Buckets(), model.weights, []
-        for x in texts.to_pylist():
+        for x in (x for i in range(0, len(texts), 256) for x in texts.slice(i, 256).to_pylist()):  # a batch may be large
             counts = Counter(b for b in map(bucket.__getitem__, words_of(x)) if b in weights)
             above = model.above(model.score(counts))
             out.append({"expected_severity": sum(above), "grade": sum(p >= 0.5 for p in above), "p_toxic": above[0]})
