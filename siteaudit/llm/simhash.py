@@ -277,29 +277,38 @@ def _candidates(items: DataFrame, similarity: float, first: int, radius: int, ti
 
 
 def similar_links(ids, sets: list, similarity: float) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs of documents whose shingle sets (arrays of distinct hashes) have a Jaccard similarity of similarity or more; empty sets are equal."""
+    """Spanning forest of the pairs of documents whose shingle sets (arrays of distinct hashes) have a Jaccard similarity of similarity or more; empty sets are equal.
+
+    Each group is followed from document to document, and a document is compared with those that are in no group yet:
+    a large group costs one look at its texts, not one for each pair of them.
+    """
     import numpy as np
 
     sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.array([], int)
-    keys, ends = flat[starts] if len(flat) else flat, np.append(starts[1:], len(flat))
-
-    def rows():
-        for i, s in enumerate(sets):
-            if len(s) == 0:
-                js = np.flatnonzero(sizes == 0)
-            else:
-                at = np.searchsorted(keys, s)
-                shared = np.bincount(np.concatenate([owner[starts[x] : ends[x]] for x in at]), minlength=len(sets))
-                js = np.flatnonzero(shared >= similarity * (sizes[i] + sizes - shared) - 1e-9)
-            js = js[js > i]
-            if len(js):
-                yield i, js
-
-    return _forest(ids, ids, rows())
+    hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    free, held, out = np.ones(len(sets), bool), 0, []
+    for first in range(len(sets)):
+        if not free[first]:
+            continue
+        free[first], group = False, [first]
+        for i in group:  # grows as links are found
+            n_free = np.count_nonzero(free)
+            if n_free == 0:
+                break
+            if 2 * n_free <= held or not held:  # forget the shingles of documents that have a group
+                hashes, owner, held = hashes[free[owner]], owner[free[owner]], n_free
+            s = sets[i]
+            begin, end = np.searchsorted(hashes, s, "left"), np.searchsorted(hashes, s, "right")
+            n = end - begin
+            at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], minlength=len(sets))
+            js = np.flatnonzero(free & (shared >= similarity * (len(s) + sizes - shared) - 1e-9)).tolist()
+            free[js] = False
+            out += [(i, j) for j in js]
+            group += js
+    return out
 
 
 def _similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, first: int = FIRST_RADIUS, radius: int = SIMILAR_RADIUS, tile: int = SIMILAR_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,6 +354,7 @@ def _similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, firs
     alone = prints.where("id IS NULL").select("id", F.col("id").alias("keep_id"), "content")
     return named.unionByName(alone)
 
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, first: int = FIRST_RADIUS, radius: int = SIMILAR_RADIUS, tile: int = SIMILAR_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, keep_id of each row: the smallest id of its group of similar documents.
 

@@ -180,3 +180,39 @@ def test_repeated_ids_with_other_texts(spark):
     assert sorted(r.n for r in simhash.drop_similar(df).collect()) == [1, 2, 4, 9, 10]
     got = simhash.similar_documents(df).collect()
     assert sorted((r.id, r.keep_id) for r in got if r.id) == sorted([(3, 3), (5, 5), (5, 3), (5, 5), (7, 5), (8, 5), (8, 3), (9, 5), (5, 5)])
+
+
+def test_similar_links_keep_what_is_connected():
+    """Groups of up to hundreds, pairs that share a passage with them, chains and empty sets, against all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(0, 2**63, n, np.uint64)
+    for _ in range(10):
+        base = fresh(40)
+        sets = [np.unique(np.concatenate([base[k:], fresh(k)])) for k in rng.integers(0, 6, rng.integers(1, 200))]
+        chain = fresh(100)
+        sets += [np.unique(chain[k : k + 40]) for k in range(0, 60, 4)]  # each is similar to the next one only
+        for _ in range(30):
+            own = np.concatenate([base[:15], fresh(25)])
+            sets += [np.unique(own), np.unique(np.concatenate([own[2:], fresh(1)]))]
+        sets += [np.array([], np.uint64)] * int(rng.integers(0, 3))
+        order = rng.permutation(len(sets))
+        sets = [sets[i] for i in order]
+        plain = [set(s.tolist()) for s in sets]
+        alike = lambda x, y: len(x & y) >= 0.8 * len(x | y) - 1e-9
+        every = [(i, j) for i in range(len(sets)) for j in range(i) if alike(plain[i], plain[j])]
+
+        def roots(links):
+            root = list(range(len(sets)))
+            for _ in range(len(sets)):
+                before = list(root)
+                for i, j in links:
+                    root[i] = root[j] = min(root[i], root[j])
+                if root == before:
+                    return root
+
+        found = simhash.similar_links(np.arange(len(sets)), sets, 0.8)
+        assert all(alike(plain[i], plain[j]) for i, j in found)
+        assert roots(found) == roots(every)
+        assert len(found) == len(sets) - len(set(roots(every)))
