@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteaudit.llm import ann, bpe, exact_dedup, mixing, quality, secret_scan, simhash, token_file, toxicity, url_filter
+from siteaudit.llm import ann, bpe, divergence, exact_dedup, merkle, mixing, quality, secret_scan, simhash, substring, token_file, toxicity, url_filter
 from siteaudit.llm.common import scratch
 
 
@@ -163,6 +163,103 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 13-word windows that a document with a smaller identifier has."""
+    kept = substring.drop_repeats(table(spark, sf_dir, "documents"), 13)
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+_OP11_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+placed AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+win AS (SELECT doc_id, i, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS k FROM placed WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+firsts AS (SELECT k, min(doc_id) AS m FROM win WHERE n = 13 GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM win JOIN firsts USING (k) WHERE n = 13 AND m < doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How all sources of a language differ from each other and from it, by their terms."""
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+_OP12_SQL = """
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+words AS (SELECT doc_id, lang, source, unnest(ws) AS term FROM docs),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS total FROM words GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+langs AS (SELECT lang, sum(total)::HUGEINT AS n, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+cells AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sums AS (SELECT lang, source, sum(n)::HUGEINT AS s FROM cells GROUP BY ALL),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+  1 + 1000000000 * (coalesce(c.n, 0) + 2) // (coalesce(s.s, 0) + 2 * l.v) AS p, 1 + 1000000000 * (k.total + 2) // (l.n + 2 * l.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN sums s USING (lang, source) LEFT JOIN cells c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM shares WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INT AS rank FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents; those whose identifier has a CRC-32 divisible by five are tampered with: their text in small letters."""
+    small_letters = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), changed=changed, changes={"text": small_letters}).withColumnRenamed("id", "doc_id")
+
+
+#: Levels that the SQL climbs in a source, and from the sources to the root: enough for 16^5 leaves.
+_SQL_LEVELS = 5
+
+
+def _climb_sql(name: str, leaves: str) -> str:
+    """CTEs name0 (leaves: tree, i, h) to name5: the nodes of each level; a tree of one node stays as it is and lets level alone."""
+    out = [f"{name}0 AS ({leaves})"]
+    for k in range(1, _SQL_LEVELS + 1):
+        below = f"{name}{k - 1}"
+        out.append(f"""{name}{k} AS (SELECT tree, i // 16 AS i, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {below}) GROUP BY tree, i // 16)""")
+    return ",\n".join(out)
+
+
+def _fold_sql(name: str, frm: str, nodes: str) -> str:
+    """CTEs name1 to name5: at each level the hash that a leaf's path has reached (f), its place in it, and the siblings so far (proof)."""
+    out, before = [], frm
+    for k in range(_SQL_LEVELS):
+        own = "list_filter(run, lambda x: x.i <> place)"
+        out.append(f"""{name}{k + 1} AS (SELECT p.* EXCLUDE (f, place, proof), place // 16 AS place,
+  CASE WHEN n > 1 THEN sha256(array_to_string(list_transform(run, lambda x: CASE WHEN x.i = place THEN f ELSE x.h END), '')) ELSE f END AS f,
+  proof || array_to_string(list_transform({own}, lambda x: x.h), '') AS proof
+  FROM {before} p JOIN (SELECT tree, i // 16 AS j, list({{'i': i, 'h': h}} ORDER BY i) AS run, any_value(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {nodes}{k}) GROUP BY tree, i // 16) r ON r.tree = p.tree AND r.j = p.place // 16)""")
+        before = f"{name}{k + 1}"
+    return ",\n".join(out)
+
+
+def _leaf_sql(text: str) -> str:
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    return f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+# CRC-32 bit by bit: a list of the start value, each byte, and eight steps after each
+_CRC_SQL = "xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"
+_OP13_SQL = f"""
+WITH rows AS (SELECT doc_id, coalesce('s' || source, 'n') AS tree, {_leaf_sql("text")} AS leaf,
+  CASE WHEN {_CRC_SQL} % 5 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM rows),
+{_climb_sql("a", "SELECT tree, i, leaf AS h FROM leaves")},
+tops AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS i FROM a{_SQL_LEVELS}),
+{_climb_sql("b", "SELECT 0 AS tree, i, subroot AS h FROM tops")},
+begin AS (SELECT doc_id, leaf, tree, i AS place, coalesce(other, leaf) AS f, '' AS proof FROM leaves),
+{_fold_sql("c", "begin", "a")},
+over AS (SELECT doc_id, leaf, subroot, 0 AS tree, t.i AS place, f, proof FROM c{_SQL_LEVELS} c JOIN tops t ON t.tree = c.tree),
+{_fold_sql("d", "over", "b")}
+SELECT doc_id, leaf, subroot, b.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = b.h AS verified FROM d{_SQL_LEVELS} JOIN b{_SQL_LEVELS} b ON true
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -174,5 +271,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_url_filter": op10_url_filter,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_divergence": op12_divergence,
+    "op13_merkle": op13_merkle,
 }
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": _OP6_SQL, "op8_mixing": _OP8_SQL, "op10_url_filter": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": _OP6_SQL, "op8_mixing": _OP8_SQL, "op10_url_filter": _OP10_SQL, "op11_substring_dedup": _OP11_SQL, "op12_divergence": _OP12_SQL, "op13_merkle": _OP13_SQL}
