@@ -19,9 +19,28 @@ UNFOLLOWED = ["dns-prefetch", "preconnect"]
 REL_HINTS = {"sitemap": "sitemap", "stylesheet": "css"}
 ANCHOR_ATTRIBUTES = ["id", "name", "xml:id"]
 
-_TAG = "<([A-Za-z][^\\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-#: A name, and perhaps a value in quotes or up to white space.
-_ATTRIBUTE = "([^\\s\"'<>/=]+)(?:\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>][^\\s>]*))?"
+# All patterns below give nothing back once they have taken it (++, *+), so that a match is linear and needs no stack, however long
+# a text, a tag or a value is.
+#: An attribute as the standard's tokenizer reads it: quotes count only at the beginning of a value.
+_NAME, _VALUE = "[^\\s/>][^\\s/>=]*+", "\"[^\"]*+\"|'[^']*+'|[^\\s>\"'][^\\s>]*+|(?=>)"
+_ATTRIBUTE = f"{_NAME}(?:\\s*+=\\s*+(?:{_VALUE})|(?!\\s*+=))"
+_TAG = f"<[a-z][^\\s/>]*+(?:[\\s/]++|{_ATTRIBUTE})*+>"
+#: Comments of HTML, which may end at once or with an exclamation mark, and what else is skipped up to the next >.
+_SKIPPED = "<!--(?:-?>|.*?(?:--!?>|\\z))|<(?:[!?]|/(?![a-z>]))[^>]*+>?+|</>"
+# Elements that hold text only, up to their own end tag.
+RAW_TEXT = ["title", "textarea", "style", "xmp", "iframe", "noembed", "noframes", "noscript"]
+#: What a script holds: in a comment, script tags come in pairs that don't end it.
+_PAIRED = "<script[\\s/>](?:[^<\\-]++|-(?!->)|<(?!/script[\\s/>]))*+(?:</script[\\s/>])?+"
+_SCRIPT = f"(?:[^<]++|<(?!!--|/script[\\s/>])|<!--(?:-?>|(?:[^<\\-]++|-(?!->)|<(?!/?script[\\s/>])|{_PAIRED})*+(?:-->)?+))*+"
+#: A comment, an end tag, or a start tag (group 5) with the text that its element holds, if it holds text only; a tag that never ends takes the rest. Empty groups tell which kind of element it is.
+_HTML_TOKEN = (
+    f"(?is){_SKIPPED}|<(?=/){_TAG.removeprefix('<').replace('[a-z]', '/[a-z]', 1)}"
+    f"|(?:(?=<script[\\s/>])()|(?=<({'|'.join(RAW_TEXT)})[\\s/>])()|(?=<plaintext[\\s/>])()|)({_TAG})(?:\\1{_SCRIPT}|\\3.*?(?=</\\2[\\s/>]|\\z)|\\4.*+|(?!\\1|\\3|\\4))"
+    "|</?[a-z].*+"
+)
+#: The same for XML, where no element holds text only: comments, sections of text, instructions, declarations and end tags, or a start tag (group 1).
+_XML_TAG = f"<[^\\s/>!?=\"'<][^\\s/>]*+(?:[\\s/]++|{_ATTRIBUTE})*+>"
+_XML_TOKEN = f"(?s)<!--.*?(?:-->|\\z)|<!\\[CDATA\\[.*?(?:\\]\\]>|\\z)|<\\?.*?(?:\\?>|\\z)|<[!/][^>]*+>?+|({_XML_TAG})"
 #: What comes before a URL of a srcset, the URL without closing commas, and its descriptor up to the next comma.
 _SRCSET = "[\\s,]*([^\\s]*[^\\s,])(?:,+|\\s[^,]*)?"
 _REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;)"
@@ -54,35 +73,46 @@ def decode_entities(text: Column) -> Column:
     return let(lambda s: F.when(s["t"].contains("&"), F.array_join(F.transform(parts(s["t"]), one), "")).otherwise(s["t"]), t=text)
 
 
-def without_comments(html: Column) -> Column:
-    """HTML without comments, an open one included, and without what script and style elements hold; their tags stay."""
-    text = F.regexp_replace(html, "(?s)<!--.*?(?:-->|\\z)", "")
-    return F.regexp_replace(text, "(?is)(<(?:script|style)\\b[^>]*>).*?(</(?:script|style)\\s*>)", "$1$2")
-
-
 def attribute(tag: Column, name: str) -> Column:
     """Value of the first attribute of a name in lower case; null if absent."""
     return F.get(F.filter(tag, lambda a: a["name"] == name)["value"], F.lit(0))
 
 
-def _tag_strings(html: Column) -> Column:
-    return F.regexp_extract_all(without_comments(html), F.lit(_TAG), F.lit(0))
+def tag_strings(html: Column) -> Column:
+    """The start tags of an HTML text, as they are written. What comments and elements of text only hold is none."""
+    return F.filter(F.regexp_extract_all(html, F.lit(_HTML_TOKEN), F.lit(5)), lambda t: t != "")
+
+
+def xml_tag_strings(xml: Column) -> Column:
+    """The start tags of an XML text, as they are written."""
+    return F.filter(F.regexp_extract_all(xml, F.lit(_XML_TOKEN), F.lit(1)), lambda t: t != "")
 
 
 def _tag_name(tag: Column) -> Column:
-    return F.lower(F.regexp_extract(tag, "^<([A-Za-z][^\\s/>]*)", 1))
+    return F.lower(F.regexp_extract(tag, "^<([^\\s/>]*+)", 1))
 
 
 def _tag_attributes(tag: Column) -> Column:
     """name and value of each attribute; without a value it is empty."""
-    found = F.regexp_extract_all(F.regexp_replace(tag, "^<[A-Za-z][^\\s/>]*|>$", ""), F.lit(_ATTRIBUTE), F.lit(0))
-    value = lambda a: F.regexp_replace(F.regexp_replace(a, "^[^\\s=]+\\s*=?\\s*", ""), "^([\"'])((?s).*)\\1$", "$2")
-    return F.transform(found, lambda a: F.struct(F.lower(F.regexp_extract(a, "^([^\\s=]+)", 1)).alias("name"), decode_entities(value(a)).alias("value")))
+    found = F.regexp_extract_all(F.regexp_replace(tag, "^<[^\\s/>]*+", ""), F.lit(_ATTRIBUTE), F.lit(0))
+    value = lambda a: F.regexp_replace(F.regexp_replace(a, f"^{_NAME}\\s*+=?+\\s*+", ""), "(?s)^([\"'])(.*)\\1$", "$2")
+    return F.transform(found, lambda a: F.struct(F.lower(F.regexp_extract(a, f"^({_NAME})", 1)).alias("name"), decode_entities(value(a)).alias("value")))
+
+
+def _tag(text: Column, ord_: Column) -> Column:
+    return F.struct(ord_.alias("ord"), _tag_name(text).alias("name"), _tag_attributes(text).alias("attributes"))
+
 
+def start_tags(pages: DataFrame, url_col: str = "url", html_col: str = "html", xml: Column | None = None) -> DataFrame:
+    """doc_url, ord, name, attributes (an array of name and value) of each start tag in document order. Null documents have none.
 
-def start_tags(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """doc_url, ord, name, attributes (an array of name and value) of each start tag in document order. Null documents have none."""
-    rows = pages.select(F.col(url_col).alias("doc_url"), F.posexplode(_tag_strings(F.col(html_col))).alias("ord", "tag"))
+    What comments, scripts and other elements of text only hold is no tag, and neither is one that the document's end
+    cuts off. xml: which documents are read as XML. In an HTML document, title and style hold text only inside svg too.
+    """
+    found = tag_strings(F.col(html_col))
+    if xml is not None:
+        found = F.when(xml, xml_tag_strings(F.col(html_col))).otherwise(found)
+    rows = pages.select(F.col(url_col).alias("doc_url"), F.posexplode(found).alias("ord", "tag"))
     return rows.select("doc_url", "ord", _tag_name(F.col("tag")).alias("name"), _tag_attributes(F.col("tag")).alias("attributes"))
 
 
@@ -180,7 +210,7 @@ def svg_links(elements: DataFrame) -> DataFrame:
 
 _CSS_IMPORT = "(?i)@import\\s+(?:url\\(\\s*)?[\"']?([^\"'()\\s;]+)[\"']?\\s*\\)?[^;]*;"
 _CSS_URL = "(?i)url\\(\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'()\\s]*))\\s*\\)"
-_CSS_SET = "(?i)image-set\\(((?:[^()\"']|\"[^\"]*\"|'[^']*'|\\([^()]*\\))*)\\)"
+_CSS_SET = "(?i)image-set\\(((?:[^()\"']++|\"[^\"]*+\"|'[^']*+'|\\([^()]*+\\))*+)\\)"
 
 
 def css_array(css: Column) -> Column:
@@ -241,18 +271,16 @@ def robots_sitemap_links(robots: DataFrame, url_col: str = "url", text_col: str
     return _rows(robots.select(F.col(url_col).alias("doc_url"), F.col(text_col).alias("__text")), robots_array(F.col("__text")))
 
 
-def _base_of(url: Column, html: Column) -> Column:
-    """Struct of base, error and href: the first base element's href joined to the document's URL, or that URL."""
-    tag = F.regexp_extract(without_comments(html), "(?i)<base(?=[\\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", 1)
-    given = lambda t: F.regexp_extract(t, "(?i)(?:^|\\s)href\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>][^\\s>]*)", 1)
-    href = lambda s: F.when(s["h"] != "", decode_entities(F.regexp_replace(s["h"], "^[\"']|[\"']$", "")))
+def _base_of(url: Column, tags: Column) -> Column:
+    """Struct of base, error and href: the first base element's href joined to the document's URL, or that URL. tags: see tag_strings."""
+    first = F.get(F.filter(tags, lambda t: t.rlike("(?i)^<base[\\s/>]")), F.lit(0))
     told = lambda s: F.struct(F.coalesce(s["joined"], F.when(s["href"].isNull(), url)).alias("base"), F.when(s["href"].isNotNull() & s["joined"].isNull(), F.lit("url_parse")).alias("error"), s["href"].alias("href"))
-    return let(lambda s: let(told, href=s["href"], joined=resolve_url(url, s["href"])), href=let(href, h=given(tag)))
+    return let(lambda s: let(told, href=s["href"], joined=resolve_url(url, s["href"])), href=attribute(_tag_attributes(first), "href"))
 
 
 def base_url(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """doc_url, base, error. The first base element decides: its href joined to the document's URL, or that URL; a base that can't be parsed is an error."""
-    rows = pages.select(F.col(url_col).alias("doc_url"), _base_of(F.col(url_col), F.col(html_col)).alias("b"))
+    rows = pages.select(F.col(url_col).alias("doc_url"), _base_of(F.col(url_col), tag_strings(F.col(html_col))).alias("b"))
     return rows.select("doc_url", "b.base", "b.error")
 
 
@@ -269,28 +297,46 @@ def resolve_links(links: DataFrame, bases: DataFrame | None = None) -> DataFrame
     return _resolved(links, base).drop("base")
 
 
-def _html_array(html: Column, base: Column, base_href: Column) -> Column:
+def _html_array(tags: Column, base: Column, base_href: Column) -> Column:
     """Links of an HTML document; one whose base can't be parsed has that as its only link."""
-    tags = F.transform(_tag_strings(html), lambda t, i: F.struct(i.alias("ord"), _tag_name(t).alias("name"), _tag_attributes(t).alias("attributes")))
     failed = F.array(_link(F.lit(0), F.lit("base"), "href", base_href))
-    return F.when(base.isNull(), failed).otherwise(F.flatten(F.transform(tags, _tag_links)))
+    return F.when(base.isNull(), failed).otherwise(F.flatten(F.transform(tags, lambda t, i: _tag_links(_tag(t, i)))))
+
+
+def xlink_names(tags: Column) -> Column:
+    """What href of the XLink namespace is called in an XML document: by each prefix that a tag binds to it. Without any declaration of it, xlink:href is."""
+    bound = lambda t: F.regexp_extract_all(t, F.lit("\\sxmlns:([^\\s=/>]++)\\s*+=\\s*+[\"']\\Qhttp://www.w3.org/1999/xlink\\E[\"']"), F.lit(1))
+    named = F.transform(F.array_distinct(F.flatten(F.transform(tags, bound))), lambda p: F.concat(p, F.lit(":href")))
+    other = F.exists(tags, lambda t: t.rlike("\\sxmlns:xlink\\s*+="))
+    return F.when((F.size(named) == 0) & ~other, F.array(F.lit("xlink:href"))).otherwise(named)
+
+
+def _svg_array(tags: Column) -> Column:
+    def links(s: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            row = _tag(t, i)
+            plain = _link(row["ord"], row["name"], "href", attribute(row["attributes"], "href"))
+            linked = F.get(F.filter(row["attributes"], lambda a: F.array_contains(s["names"], a["name"]))["value"], F.lit(0))
+            return F.filter(F.array(plain, _link(row["ord"], row["name"], "xlink:href", linked)), lambda x: x["raw"].isNotNull())
 
+        return F.flatten(F.transform(s["tags"], one))
 
-def _svg_array(svg: Column) -> Column:
-    tags = F.transform(_tag_strings(svg), lambda t, i: F.struct(i.alias("ord"), _tag_name(t).alias("name"), _tag_attributes(t).alias("attributes")))
-    return F.flatten(F.transform(tags, _svg_tag_links))
+    return let(links, tags=tags, names=F.transform(xlink_names(tags), F.lower))
 
 
 def all_links(docs: DataFrame) -> DataFrame:
     """Links of documents of all kinds, resolved, in one pass over them. docs: url, doc_type, body (text).
 
     HTML links go to the base of their document; a base that can't be parsed is the document's only link, without a target.
+    Prefixes of SVG documents stand for the same namespace in all of a document.
     """
     kind, body, none = F.col("doc_type"), F.col("body"), F.array().cast(f"array<{_LINK}>")
-    rows = docs.select(F.col("url").alias("doc_url"), kind, body, F.when(kind == "html", _base_of(F.col("url"), body)).alias("b"))
-    rows = rows.select("doc_url", "doc_type", "body", F.coalesce("b.base", F.when(F.col("b.error").isNull(), F.col("doc_url"))).alias("base"), F.col("b.href").alias("base_href"))
-    links = F.when(kind == "html", _html_array(body, F.col("base"), F.col("base_href")))
-    for k, f in (("svg", _svg_array), ("css", css_array), ("sitemap", sitemap_array), ("robots", robots_array)):
+    tags = F.when(kind == "html", tag_strings(body)).when(kind == "svg", xml_tag_strings(body))
+    rows = docs.select(F.col("url").alias("doc_url"), kind, F.when(~kind.isin("html", "svg"), body).alias("body"), tags.alias("tags"))
+    rows = rows.withColumn("b", F.when(kind == "html", _base_of(F.col("doc_url"), F.col("tags"))))
+    rows = rows.select("doc_url", "doc_type", "body", "tags", F.coalesce("b.base", F.when(F.col("b.error").isNull(), F.col("doc_url"))).alias("base"), F.col("b.href").alias("base_href"))
+    links = F.when(kind == "html", _html_array(F.col("tags"), F.col("base"), F.col("base_href"))).when(kind == "svg", _svg_array(F.col("tags")))
+    for k, f in (("css", css_array), ("sitemap", sitemap_array), ("robots", robots_array)):
         links = links.when(kind == k, f(body))
     rows = rows.select("doc_url", "base", F.explode(F.coalesce(links, none)).alias("l"))
     return _resolved(rows.select("doc_url", *[f"l.{c}" for c in LINK_COLUMNS[1:]], "base"), F.col("base")).drop("base")

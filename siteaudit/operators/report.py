@@ -61,7 +61,7 @@ def css_syntax_errors(styles: DataFrame, url_col: str = "url", css_col: str = "c
 def svg_syntax_errors(svgs: DataFrame, url_col: str = "url", svg_col: str = "svg") -> DataFrame:
     """doc_url, errors: distinct messages, sorted, of SVG documents whose tags, by name and in their order, or comments don't balance."""
     text = F.regexp_replace(F.regexp_replace(F.col(svg_col), "(?s)<!--.*?-->", ""), "(?s)<!\\[CDATA\\[.*?\\]\\]>", "")
-    tag = "</?[A-Za-z_](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+    tag = "</?[A-Za-z_](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 
     def found(t: Column) -> Column:
         tags = F.filter(F.regexp_extract_all(t, F.lit(tag), F.lit(0)), lambda x: ~x.endswith("/>"))
