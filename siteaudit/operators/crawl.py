@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteaudit.operators.sites import recursive_urls
-from siteaudit.sources.scratch import BROADCAST_ROWS, cut, scratch, small
+from siteaudit.sources.scratch import BROADCAST_ROWS, counted, cut, scratch
 
 
 def crawl_depth(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def crawl_depth(edges: DataFrame, roots: DataFrame, max_depth: int | None = None
     roots.select("url").where("url IS NOT NULL").distinct().write.parquet(f"{folder}/depth=0")
     n, depth = at(0).count(), 0
     while n and (max_depth is None or depth < max_depth):
-        reached = edges.join(small(at(depth), n), F.col("src") == F.col("url"), "left_semi").select(F.col("dst").alias("url")).distinct()
+        reached = edges.join(counted(at(depth)), F.col("src") == F.col("url"), "left_semi").select(F.col("dst").alias("url")).distinct()
         reached = cut(reached, "reached")
         n, visited = reached.count(), spark.read.schema("url string").parquet(folder)
         if n <= BROADCAST_ROWS:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from siteaudit.functions.text import value_matches, wildcard_match
 from siteaudit.functions.urls import let
-from siteaudit.sources.scratch import small
+from siteaudit.sources.scratch import counted
 
 # A compact rule set from the public HTML standard. Users give tables of their own for more.
 _FLOW = "a abbr article aside b blockquote br button code div dl em fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr i img input label main nav ol p pre script section select small span strong svg table textarea ul video #text".split()
@@ -98,11 +98,16 @@ def _choice(parts: Iterable[tuple]) -> tuple:
     return NOTHING if not flat else flat.pop() if len(flat) == 1 else ("choice", frozenset(flat))
 
 
-def _both(kind: str, a: tuple, b: tuple) -> tuple:
-    """A sequence or a mingling of two expressions."""
+def _sequence(a: tuple, b: tuple) -> tuple:
     if NOTHING in (a, b):
         return NOTHING
-    return b if a == EMPTY else a if b == EMPTY else (kind, a, b)
+    return b if a == EMPTY else a if b == EMPTY else ("sequence", a, b)
+
+
+def _mingled(parts: Iterable[tuple]) -> tuple:
+    """Parts that may mingle, side by side: a name moves one of them on and leaves the others as they are."""
+    flat = [q for p in parts for q in (p[1] if p[0] == "mingled" else (p,)) if q != EMPTY]
+    return NOTHING if NOTHING in flat else EMPTY if not flat else flat[0] if len(flat) == 1 else ("mingled", tuple(flat))
 
 
 @functools.lru_cache(maxsize=1024)
@@ -122,7 +127,7 @@ def content_of(regex: str) -> tuple:
         return out
 
     def choice() -> tuple:
-        return parts("|", lambda: parts("&", sequence, functools.partial(_both, "mingled")), lambda a, b: _choice([a, b]))
+        return parts("|", lambda: parts("&", sequence, lambda a, b: _mingled([a, b])), lambda a, b: _choice([a, b]))
 
     def sequence() -> tuple:
         nonlocal at
@@ -139,9 +144,9 @@ def content_of(regex: str) -> tuple:
             else:
                 one = ("name", tokens[at - 1])
             if at < len(tokens) and tokens[at] in "?*+":
-                one = {"?": _choice([one, EMPTY]), "*": ("many", one), "+": _both("sequence", one, ("many", one))}[tokens[at]]
+                one = {"?": _choice([one, EMPTY]), "*": ("many", one), "+": _sequence(one, ("many", one))}[tokens[at]]
                 at += 1
-            out = _both("sequence", out, one)
+            out = _sequence(out, one)
         return out
 
     whole = choice()
@@ -155,7 +160,9 @@ def may_end(e: tuple) -> bool:
     kind = e[0]
     if kind == "choice":
         return any(map(may_end, e[1]))
-    return kind in ("empty", "many") or kind in ("sequence", "mingled") and may_end(e[1]) and may_end(e[2])
+    if kind == "mingled":
+        return all(map(may_end, e[1]))
+    return kind in ("empty", "many") or kind == "sequence" and may_end(e[1]) and may_end(e[2])
 
 
 @functools.lru_cache(maxsize=65536)
@@ -167,19 +174,33 @@ def after(e: tuple, name: str) -> tuple:
     if kind == "choice":
         return _choice(after(p, name) for p in e[1])
     if kind == "many":
-        return _both("sequence", after(e[1], name), e)
+        return _sequence(after(e[1], name), e)
     if kind == "sequence":
-        first = _both("sequence", after(e[1], name), e[2])
+        first = _sequence(after(e[1], name), e[2])
         return _choice([first, after(e[2], name)]) if may_end(e[1]) else first
-    if kind == "mingled":
-        return _choice([_both(kind, after(e[1], name), e[2]), _both(kind, e[1], after(e[2], name))])
+    if kind == "mingled":  # usually one part knows the name
+        moved = [(i, then) for i, p in enumerate(e[1]) if (then := after(p, name)) != NOTHING]
+        return _choice(_mingled([*e[1][:i], then, *e[1][i + 1 :]]) for i, then in moved)
     return NOTHING
 
 
-def names_in(e: tuple) -> set[str]:
-    if e[0] == "name":
-        return {e[1]}
-    return set().union(*map(names_in, e[1] if e[0] == "choice" else e[1:]))
+@functools.lru_cache(maxsize=65536)
+def completion(e: tuple) -> tuple[float, frozenset[str]]:
+    """How many names a shortest way to the end has, and the names that begin one. A whole's way is made of its parts' ways, so nothing is searched."""
+    kind = e[0]
+    if kind == "name":
+        return 1, frozenset([e[1]])
+    if kind == "choice":
+        ways = [completion(p) for p in e[1]]
+        least = min(n for n, _ in ways)
+        return least, frozenset().union(*(names for n, names in ways if n == least))
+    if kind == "sequence":
+        (a, first), (b, then) = completion(e[1]), completion(e[2])
+        return a + b, first if a else then
+    if kind == "mingled":
+        ways = [completion(p) for p in e[1]]
+        return sum(n for n, _ in ways), frozenset().union(*(names for _, names in ways))
+    return (float("inf") if e == NOTHING else 0), frozenset()
 
 
 def content_errors(regex: str, children: list[str], exempt: Iterable[str] = ()) -> tuple[list[str], list[str]]:
@@ -193,14 +214,7 @@ def content_errors(regex: str, children: list[str], exempt: Iterable[str] = ())
             misplaced.add(child)
     if misplaced or may_end(e):
         return sorted(misplaced), []
-    level, seen, names = {(e, "")}, {e}, sorted(names_in(e))
-    while level:
-        below = {(then, first or n) for e, first in level for n in names if (then := after(e, n)) != NOTHING}
-        if done := {first for e, first in below if may_end(e)}:
-            return [], sorted(done)
-        level = {x for x in below if x[0] not in seen}
-        seen |= {e for e, _ in below}
-    return [], []
+    return [], sorted(completion(e)[1])
 
 
 _CONTENT = "array<struct<misplaced:array<string>,missing:array<string>>>"
@@ -241,7 +255,7 @@ def rule_rows(rules: dict[str, DataFrame]) -> DataFrame:
     rows = rows.withColumn("known", F.array_sort(F.array_distinct(F.flatten(F.flatten(F.transform("variants", lambda v: F.transform(v["sets"], lambda s: F.transform(s["attributes"], lambda a: a["attribute"]))))))))
     allowed = rules["children"].groupBy(F.col("parent").alias("name")).agg(F.collect_set("child").alias("allowed"))
     rows = rows.join(allowed, "name", "left").withColumnRenamed("name", "__rule")
-    return small(rows, rules["elements"].count(), BROADCAST_NAMES)
+    return counted(rows, BROADCAST_NAMES)
 
 
 def _ignored(name: Column, patterns: Patterns) -> Column:
@@ -294,12 +308,10 @@ def chosen_variants(elements: DataFrame, rules: dict[str, DataFrame], ignored_el
     variants. An attribute counts as present, but is not judged, if it is ignored; so do ignored children.
     """
     rows = rule_rows(rules)
-    wild = rules["elements"].where("endswith(name, '*')").select("name").distinct()
-    out = elements.join(rows, F.col("name") == F.col("__rule"), "left")
-    # names by wildcard are few: they are looked for only where no rule has the very name
-    known = F.col("__rule").isNotNull()
-    for w in [r["name"] for r in wild.limit(1000).collect()]:
-        known = known | wildcard_match(F.lit(w), F.col("name"))
+    # all wildcards are one array of one row, which is looked through only where no rule has the very name
+    wild = rules["elements"].where("endswith(name, '*')").agg(F.array_sort(F.collect_set("name")).alias("__wild")).withColumn("__one", F.lit(1))
+    out = elements.join(rows, F.col("name") == F.col("__rule"), "left").withColumn("__one", F.lit(1)).join(F.broadcast(wild), "__one", "left").drop("__one")
+    known = F.col("__rule").isNotNull() | F.exists("__wild", lambda w: wildcard_match(w, F.col("name")))
     listed = lambda n: F.array_contains("known", n) | F.exists("known", lambda k: wildcard_match(k, n))
     fits = lambda c: F.col("allowed").isNull() | F.array_contains("allowed", c)
     single, has_rule = _single(F.col("attributes")), F.col("__rule").isNotNull()

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteaudit.functions.urls import url_parts
+from siteaudit.functions.urls import let, url_parts
 from siteaudit.operators.redirects import resolve_redirects
-from siteaudit.sources.scratch import small
+from siteaudit.sources.scratch import counted
 
 AGENT = "siteaudit"
+#: Origins whose rules are broadcast at most.
+BROADCAST_ORIGINS = 50_000
 
 
 def robots_rules(docs: DataFrame, agent: str = AGENT, url_col: str = "url", text_col: str = "robots") -> DataFrame:
@@ -37,7 +39,7 @@ def robots_bodies(responses: DataFrame, max_redirects: int = 16) -> DataFrame:
     ends = responses.select("url", F.col("url").alias("final"), F.lit(None).cast("string").alias("failed")).where("NOT (coalesce(status, 0) BETWEEN 300 AND 399)")
     moved = resolve_redirects(responses.drop("body"), max_redirects).select("url", F.col("final_url").alias("final"), F.col("error").alias("failed"))
     asked = ends.unionByName(moved).where(url_parts(F.col("url"))["path"] == "/robots.txt")
-    there = responses.select(F.col("url").alias("__url"), "status", "request_error", "body").join(small(asked.select(F.col("final").alias("__url")).distinct(), asked.count()), "__url", "left_semi")
+    there = responses.select(F.col("url").alias("__url"), "status", "request_error", "body").join(counted(asked.select(F.col("final").alias("__url")).distinct()), "__url", "left_semi")
     rows = asked.join(there, F.col("final") == F.col("__url"), "left")
     text = F.try_validate_utf8(F.col("body").cast("string"))
     found = F.coalesce(F.col("status"), F.lit(0)) != 404
@@ -45,10 +47,28 @@ def robots_bodies(responses: DataFrame, max_redirects: int = 16) -> DataFrame:
     return rows.select("url", F.when(~failed & found, F.coalesce(text, F.lit(""))).alias("robots"), F.when(failed, F.lit("robots_fetch")).alias("error"))
 
 
-def pattern_regex(pattern: Column) -> Column:
-    """A rule's pattern as a regular expression from the start of a path: * is anything, a closing $ the end."""
-    quoted = F.regexp_replace(F.regexp_replace(pattern, "\\$$", ""), "([.\\\\+?()\\[\\]{}^$|])", "\\\\$1")
-    return F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.when(pattern.endswith("$"), F.lit("$")).otherwise(F.lit("")))
+def glob(pattern: Column) -> Column:
+    """A rule's pattern as a struct: the texts between its stars, and whether it ends with the path (a closing $)."""
+    body = F.regexp_replace(pattern, "\\$$", "")
+    return F.struct(F.split(body, "\\*", -1).alias("parts"), pattern.endswith("$").alias("closed"))
+
+
+def glob_matches(path: Column, rule: Column) -> Column:
+    """Whether a path matches a glob from its beginning. Each part is looked for once, from where the one before it ends, so a pattern of many stars takes no longer than its parts; the last part of a closed pattern must lie at the end."""
+    parts, closed = rule["parts"], rule["closed"]
+    first, last = F.get(parts, F.lit(0)), F.get(parts, F.size(parts) - 1)
+    # 0 stands for no match, else it is the place after what has matched
+    start = F.when(F.startswith(path, first), F.length(first) + 1).otherwise(0)
+    inner = F.filter(parts, lambda p, i: (i > 0) & (p != "") & ~(closed & (i == F.size(parts) - 1)))
+
+    def step(at: Column, part: Column) -> Column:
+        return F.when(at == 0, 0).otherwise(let(lambda s: F.when(s["found"] == 0, 0).otherwise(s["found"] + F.length(part)), found=F.call_function("locate", part, path, at)))
+
+    def ends(at: Column) -> Column:
+        alone = F.size(parts) == 1
+        return (at > 0) & F.when(~closed, F.lit(True)).when(alone, path == first).otherwise(F.endswith(path, last) & (F.length(path) - F.length(last) + 1 >= at))
+
+    return F.aggregate(inner, start, step, ends)
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame, url_col: str = "url", bodies: DataFrame | None = None) -> DataFrame:
@@ -57,16 +77,16 @@ def robots_filter(urls: DataFrame, rules: DataFrame, url_col: str = "url", bodie
     The rules of an origin are one row, so an origin with most of the URLs isn't moved to one task. With bodies (see
     robots_bodies) there is also robots_error, the error of the robots.txt of the URL's origin.
     """
-    row = F.struct(F.length("pattern").alias("n"), F.col("allow"), pattern_regex(F.col("pattern")).alias("regex"))
+    row = F.struct(F.length("pattern").alias("n"), F.col("allow"), glob(F.col("pattern")).alias("glob"))
     by_origin = rules.groupBy(F.col("origin").alias("__origin")).agg(F.sort_array(F.collect_list(row), asc=False).alias("__rules"))
     rows = urls.withColumn("__p", url_parts(F.col(url_col)))
-    rows = rows.join(small(by_origin, by_origin.count(), 50_000), F.col("__p.origin") == F.col("__origin"), "left")
+    rows = rows.join(counted(by_origin, BROADCAST_ORIGINS), F.col("__p.origin") == F.col("__origin"), "left")
     path = F.col("__p.path")
-    first = F.get(F.filter("__rules", lambda r: F.regexp_like(path, r["regex"])), F.lit(0))
+    first = F.get(F.filter("__rules", lambda r: glob_matches(path, r["glob"])), F.lit(0))
     error = []
     if bodies is not None:
         failed = bodies.where("error IS NOT NULL").groupBy(url_parts(F.col("url"))["origin"].alias("__failed")).agg(F.min("error").alias("__error"))
-        rows = rows.join(small(failed, failed.count(), 50_000), F.col("__p.origin") == F.col("__failed"), "left")
+        rows = rows.join(counted(failed, BROADCAST_ORIGINS), F.col("__p.origin") == F.col("__failed"), "left")
         error = [F.when(path != "/robots.txt", F.col("__error")).alias("robots_error")]
     return rows.select(*urls.columns, *error, (F.coalesce(first["allow"], F.lit(True)) | (path == "/robots.txt")).alias("allowed"))
 

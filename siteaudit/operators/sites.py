@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteaudit.functions.urls import url_parts
-from siteaudit.sources.scratch import small
+from siteaudit.sources.scratch import counted
 
 #: Hosts whose options are broadcast at most; with more of them URLs and hosts meet in a shuffled join, whose hot keys adaptive execution splits.
 BROADCAST_HOSTS = 50_000
@@ -23,7 +23,7 @@ def sites_by_host(sites: DataFrame) -> DataFrame:
     """host, options: an array of the host's site rows, the longest paths first. Counted, and broadcast if there are few."""
     options = F.struct("path", *[c for c in sites.columns if c not in ("path", "host")])
     hosts = sites.where("host IS NOT NULL").groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.length("path").alias("n"), "path", options.alias("site"))), asc=False).alias("options"))
-    return small(hosts, hosts.count(), BROADCAST_HOSTS)
+    return counted(hosts, BROADCAST_HOSTS)
 
 
 def _matching(url_path: Column) -> Column:

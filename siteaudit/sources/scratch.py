@@ -57,3 +57,9 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the limit and, by the width of its schema, within BROADCAST_BYTES, else df as it is."""
     width = sum(WIDTHS.get(f.dataType.typeName(), WIDE) for f in df.schema.fields)
     return F.broadcast(df) if rows <= limit and rows * width <= BROADCAST_BYTES else df
+
+
+def counted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has limit rows or fewer and its values, written as JSON, take BROADCAST_BYTES or fewer, else df as it is. One aggregate says both, so texts and arrays count by their real length."""
+    told = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return F.broadcast(df) if told["rows"] <= limit and (told["bytes"] or 0) <= BROADCAST_BYTES else df
