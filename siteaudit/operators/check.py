@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from siteaudit.functions.text import document_type, error_message, full_match_column, matches_any, media_type, scheme_accepted, status_accepted
 from siteaudit.functions.urls import link_class
+from siteaudit.operators.bloom import may_meet
 from siteaudit.operators.redirects import resolve_redirects
 from siteaudit.operators.sites import match_site
+from siteaudit.sources.scratch import cut
 
 #: Link elements that need no class and scheme check: their targets must be absolute anyway.
 LISTED = ["loc", "sitemap"]
@@ -82,30 +84,33 @@ def check_links(links: DataFrame, targets: DataFrame, sites: DataFrame, ignored:
     )
     rows = rows.withColumn("__verdict", verdict)
     if anchors is not None:
-        rows = _with_fragments(rows, anchors)
+        rows = _with_fragments(rows, anchors, links.columns)
     scheme = F.lower(F.regexp_extract("target", "^([A-Za-z][A-Za-z0-9+.\\-]*):", 1))
     failed = F.col("__verdict") != ""
     message = error_message(F.col("__verdict"), F.col("status"), scheme, F.col("fragment"), F.col("hint"), F.col("media"))
     return rows.select(*links.columns, (~failed).alias("ok"), F.when(failed, F.col("__verdict")).alias("error_kind"), F.when(failed, message).alias("error"), "final_url", "status")
 
 
-def _with_fragments(rows: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Verdicts with element_not_found: only links with a fragment meet the anchors, and only anchors that are asked for are kept."""
+def _with_fragments(rows: DataFrame, anchors: DataFrame, columns: list[str]) -> DataFrame:
+    """Verdicts with element_not_found. The rows are written once and split; only links that ask for a fragment are shuffled, and of the anchors those that may be asked for."""
     asks = (F.col("__verdict") == "") & F.col("fragment").isNotNull() & F.col("final_url").isNotNull() & F.lower(F.coalesce("media", F.lit("text/html"))).isin("text/html", "image/svg+xml")
     asks = asks & F.coalesce(F.col("allowed"), F.lit(True)) & ~full_match_column(F.col("fragment"), F.col("site.ignored_fragments"))
-    rows = rows.withColumn("__asks", F.coalesce(asks, F.lit(False)))
-    there = anchors.select(F.col("doc_url").alias("__doc"), F.col("anchor").alias("__anchor")).distinct()
-    asking = rows.where("__asks").join(there, (F.col("final_url") == F.col("__doc")) & (F.col("fragment") == F.col("__anchor")), "left")
+    rows = cut(rows.select(*columns, "final_url", "status", "media", "__verdict", F.coalesce(asks, F.lit(False)).alias("__asks")), "verdicts")
+    asking = rows.where("__asks")
+    there = anchors.select(F.col("doc_url").alias("__doc"), F.col("anchor").alias("__anchor"))
+    there = may_meet(there, ["__doc", "__anchor"], asking.select("final_url", "fragment").distinct(), ["final_url", "fragment"]).distinct()
+    asking = asking.join(there, (F.col("final_url") == F.col("__doc")) & (F.col("fragment") == F.col("__anchor")), "left")
     asking = asking.withColumn("__verdict", F.when(F.col("__doc").isNull(), F.lit("element_not_found")).otherwise(F.col("__verdict"))).drop("__doc", "__anchor")
     return rows.where("NOT __asks").unionByName(asking).drop("__asks")
 
 
 def missing_fragments(links: DataFrame, anchors: DataFrame, ignored: list[str] | None = None) -> DataFrame:
-    """Links (final_url, fragment) whose fragment no element of the document carries. Fragments are compared as they are written; ignored patterns match the whole of one."""
+    """Links (final_url, fragment) whose fragment no element of the document carries. Fragments are compared as they are written; ignored patterns match the whole of one. Of the anchors only those that may be asked for are shuffled."""
     from siteaudit.functions.text import full_match
 
     asked = links.where(F.col("fragment").isNotNull() & ~full_match(F.col("fragment"), ignored or []))
     there = anchors.select(F.col("doc_url").alias("__doc"), F.col("anchor").alias("__anchor"))
+    there = may_meet(there, ["__doc", "__anchor"], asked.select("final_url", "fragment").distinct(), ["final_url", "fragment"])
     return asked.join(there, (F.col("final_url") == F.col("__doc")) & (F.col("fragment") == F.col("__anchor")), "left_anti")
 
 

@@ -92,7 +92,7 @@ def _tag_name(tag: Column) -> Column:
     return F.lower(F.regexp_extract(tag, "^<([^\\s/>]*+)", 1))
 
 
-def _tag_attributes(tag: Column) -> Column:
+def tag_values(tag: Column) -> Column:
     """name and value of each attribute; without a value it is empty."""
     found = F.regexp_extract_all(F.regexp_replace(tag, "^<[^\\s/>]*+", ""), F.lit(_ATTRIBUTE), F.lit(0))
     value = lambda a: F.regexp_replace(F.regexp_replace(a, f"^{_NAME}\\s*+=?+\\s*+", ""), "(?s)^([\"'])(.*)\\1$", "$2")
@@ -100,7 +100,7 @@ def _tag_attributes(tag: Column) -> Column:
 
 
 def _tag(text: Column, ord_: Column) -> Column:
-    return F.struct(ord_.alias("ord"), _tag_name(text).alias("name"), _tag_attributes(text).alias("attributes"))
+    return F.struct(ord_.alias("ord"), _tag_name(text).alias("name"), tag_values(text).alias("attributes"))
 
 
 def start_tags(pages: DataFrame, url_col: str = "url", html_col: str = "html", xml: Column | None = None) -> DataFrame:
@@ -113,7 +113,7 @@ def start_tags(pages: DataFrame, url_col: str = "url", html_col: str = "html", x
     if xml is not None:
         found = F.when(xml, xml_tag_strings(F.col(html_col))).otherwise(found)
     rows = pages.select(F.col(url_col).alias("doc_url"), F.posexplode(found).alias("ord", "tag"))
-    return rows.select("doc_url", "ord", _tag_name(F.col("tag")).alias("name"), _tag_attributes(F.col("tag")).alias("attributes"))
+    return rows.select("doc_url", "ord", _tag_name(F.col("tag")).alias("name"), tag_values(F.col("tag")).alias("attributes"))
 
 
 def _links(rows: DataFrame, name: Column, what: str, raw: Column, hint: Column | None = None) -> DataFrame:
@@ -275,7 +275,7 @@ def _base_of(url: Column, tags: Column) -> Column:
     """Struct of base, error and href: the first base element's href joined to the document's URL, or that URL. tags: see tag_strings."""
     first = F.get(F.filter(tags, lambda t: t.rlike("(?i)^<base[\\s/>]")), F.lit(0))
     told = lambda s: F.struct(F.coalesce(s["joined"], F.when(s["href"].isNull(), url)).alias("base"), F.when(s["href"].isNotNull() & s["joined"].isNull(), F.lit("url_parse")).alias("error"), s["href"].alias("href"))
-    return let(lambda s: let(told, href=s["href"], joined=resolve_url(url, s["href"])), href=attribute(_tag_attributes(first), "href"))
+    return let(lambda s: let(told, href=s["href"], joined=resolve_url(url, s["href"])), href=attribute(tag_values(first), "href"))
 
 
 def base_url(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -347,10 +347,15 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return all_links(pages.select(F.col(url_col).alias("url"), F.lit("html").alias("doc_type"), F.col(html_col).alias("body")))
 
 
-def anchors(tags: DataFrame) -> DataFrame:
-    """doc_url, anchor: every distinct id, name and xml:id of a document."""
+def anchor_rows(tags: DataFrame) -> DataFrame:
+    """doc_url, anchor: every id, name and xml:id of a document, as often as it is there. Narrow."""
     names = F.filter("attributes", lambda a: a["name"].isin(*ANCHOR_ATTRIBUTES))
-    return tags.select("doc_url", F.explode(F.transform(names, lambda a: a["value"])).alias("anchor")).distinct()
+    return tags.select("doc_url", F.explode(F.transform(names, lambda a: a["value"])).alias("anchor"))
+
+
+def anchors(tags: DataFrame) -> DataFrame:
+    """anchor_rows, each once."""
+    return anchor_rows(tags).distinct()
 
 
 def data_svg_documents(links: DataFrame) -> DataFrame:

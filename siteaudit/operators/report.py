@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteaudit.functions.text import status_text
-from siteaudit.functions.urls import truncate_url
+from siteaudit.functions.urls import let, truncate_url
 
 
 def document_metrics(results: DataFrame, documents: DataFrame | None = None) -> DataFrame:
@@ -39,15 +39,18 @@ def error_histogram(results: DataFrame, by: list[str]) -> DataFrame:
     return results.where(~F.col("ok")).groupBy(*by, "error_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _messages(docs: DataFrame, url_col: str, text: Column, found) -> DataFrame:
-    """doc_url, errors: distinct messages, sorted; found gives them of a text as an array with nulls. Documents without any have no row."""
-    rows = docs.select(F.col(url_col).alias("doc_url"), text.alias("t")).select("doc_url", F.explode(F.array_compact(found(F.col("t")))).alias("e"))
-    return rows.groupBy("doc_url").agg(F.array_sort(F.collect_set("e")).alias("errors"))
+def _messages(docs: DataFrame, url_col: str, found: Column) -> DataFrame:
+    """doc_url, errors of documents that have any."""
+    return docs.select(F.col(url_col).alias("doc_url"), found.alias("errors")).where(F.size("errors") > 0)
 
 
-def css_syntax_errors(styles: DataFrame, url_col: str = "url", css_col: str = "css") -> DataFrame:
-    """doc_url, errors: distinct messages, sorted, of stylesheets with braces, in their order, or comments that don't balance."""
-    text = F.regexp_replace(F.regexp_replace(F.col(css_col), "(?s)/\\*.*?\\*/", ""), "\"[^\"]*\"|'[^']*'", "")
+def _sorted(messages: Column) -> Column:
+    return F.array_sort(F.array_compact(messages))
+
+
+def css_faults(css: Column) -> Column:
+    """Messages, sorted, of a stylesheet with braces, in their order, or comments that don't balance."""
+    text = F.regexp_replace(F.regexp_replace(css, "(?s)/\\*.*?\\*/", ""), "\"[^\"]*+\"|'[^']*+'", "")
 
     def found(t: Column) -> Column:
         start = F.struct(F.lit(0).alias("open"), F.lit(False).alias("early"))
@@ -55,17 +58,22 @@ def css_syntax_errors(styles: DataFrame, url_col: str = "url", css_col: str = "c
         told = lambda s: F.array(F.when(s["open"] > 0, F.lit("unclosed block")), F.when(s["early"], F.lit("unexpected }")), F.when(t.contains("/*"), F.lit("unclosed comment")))
         return F.aggregate(F.regexp_extract_all(t, F.lit("[{}]"), F.lit(0)), start, step, told)
 
-    return _messages(styles, url_col, text, found)
+    return let(lambda s: _sorted(found(s["t"])), t=text)
 
 
-def svg_syntax_errors(svgs: DataFrame, url_col: str = "url", svg_col: str = "svg") -> DataFrame:
-    """doc_url, errors: distinct messages, sorted, of SVG documents whose tags, by name and in their order, or comments don't balance."""
-    text = F.regexp_replace(F.regexp_replace(F.col(svg_col), "(?s)<!--.*?-->", ""), "(?s)<!\\[CDATA\\[.*?\\]\\]>", "")
+def css_syntax_errors(styles: DataFrame, url_col: str = "url", css_col: str = "css") -> DataFrame:
+    """doc_url, errors of stylesheets with faults; see css_faults."""
+    return _messages(styles, url_col, css_faults(F.col(css_col)))
+
+
+def svg_faults(svg: Column) -> Column:
+    """Messages, sorted, of an XML text whose tags, by name and in their order, or comments don't balance."""
+    text = F.regexp_replace(F.regexp_replace(svg, "(?s)<!--.*?-->", ""), "(?s)<!\\[CDATA\\[.*?\\]\\]>", "")
     tag = "</?[A-Za-z_](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 
     def found(t: Column) -> Column:
         tags = F.filter(F.regexp_extract_all(t, F.lit(tag), F.lit(0)), lambda x: ~x.endswith("/>"))
-        named = F.transform(tags, lambda x: F.regexp_extract(x, "^<(/?[^\\s/>]+)", 1))
+        named = F.transform(tags, lambda x: F.regexp_extract(x, "^<(/?[^\\s/>]++)", 1))
         start = F.struct(F.array().cast("array<string>").alias("open"), F.lit(False).alias("stray"))
         inner = lambda s: F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)
         closes = lambda s, x: F.concat(F.lit("/"), F.coalesce(F.get(s["open"], F.size(s["open"]) - 1), F.lit(""))) == x
@@ -73,7 +81,12 @@ def svg_syntax_errors(svgs: DataFrame, url_col: str = "url", svg_col: str = "svg
         told = lambda s: F.array(F.when(F.size(s["open"]) > 0, F.lit("unclosed element")), F.when(s["stray"], F.lit("unexpected end tag")), F.when(t.contains("<!--"), F.lit("unclosed comment")))
         return F.aggregate(named, start, step, told)
 
-    return _messages(svgs, url_col, text, found)
+    return let(lambda s: _sorted(found(s["t"])), t=text)
+
+
+def svg_syntax_errors(svgs: DataFrame, url_col: str = "url", svg_col: str = "svg") -> DataFrame:
+    """doc_url, errors of SVG documents with faults; see svg_faults."""
+    return _messages(svgs, url_col, svg_faults(F.col(svg_col)))
 
 
 def nest_report(results: DataFrame) -> DataFrame:

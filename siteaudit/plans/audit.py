@@ -12,7 +12,8 @@ from siteaudit.operators import extract
 from siteaudit.operators.check import check_links, checked_targets
 from siteaudit.operators.crawl import crawl
 from siteaudit.operators.elements import elements
-from siteaudit.operators.extract import all_links, anchors, data_svg_documents, start_tags
+from siteaudit.operators.extract import all_links, anchor_rows, data_svg_documents, start_tags
+from siteaudit.operators.faults import document_faults
 from siteaudit.operators.markup import markup_errors, split_markup_errors
 from siteaudit.operators.report import document_metrics
 from siteaudit.operators.robots import robots_bodies, robots_filter, robots_rules
@@ -29,7 +30,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 def link_audit(pages: DataFrame, targets: Callable[[DataFrame], DataFrame], sites: DataFrame, ignored: list[str] | None = None, with_anchors: bool = False) -> DataFrame:
     """Links of pages, checked. targets gives the checked targets of a link table."""
     links = page_links(pages)
-    return check_links(links, targets(links), sites, ignored, anchors(start_tags(pages)) if with_anchors else None)
+    return check_links(links, targets(links), sites, ignored, anchor_rows(start_tags(pages)) if with_anchors else None)
 
 
 def data_svgs(docs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,7 +49,8 @@ def site_audit(docs: DataFrame, responses: DataFrame, sites: DataFrame, rules: D
     """(checked links, metrics by document) of documents of all kinds: url, doc_type and body (text), and of the SVG documents in their data: links.
 
     responses: the responses of all requested URLs. max_redirects: at most so many for all sites, else the greatest
-    of the sites' own. rules: robots rules; or robots_responses: responses of robots.txt files (with body), which
+    of the sites' own. Faults of documents (see operators.faults) are items of the element #document before their links;
+    a document without a body has failed. Data: SVGs go by the options of the default site. rules: robots rules; or robots_responses: responses of robots.txt files (with body), which
     give the rules, and whose errors fail the links of their origin.
     """
     links = cut(all_links(docs), "links")
@@ -65,20 +67,27 @@ def site_audit(docs: DataFrame, responses: DataFrame, sites: DataFrame, rules: D
     held = inner.select("url", F.col("url").alias("final_url"), F.lit(200).alias("status"), F.lit("image/svg+xml").alias("media"), F.col("error").alias("request_error"), F.lit(None).cast("string").alias("redirect_error"), F.lit(True).alias("allowed"))
     targets = cut(checked_targets(responses, max_redirects, robots, sites).unionByName(held), "targets")
     bodies = docs.select("url", "doc_type", "body").unionByName(inner.select("url", F.lit("svg").alias("doc_type"), "body"))
-    tags = start_tags(bodies.where("doc_type IN ('html', 'svg')"), "url", "body")
-    checked = cut(check_links(links, targets, sites, ignored, anchors(tags)), "checked")
-    return checked, document_metrics(checked, bodies.where("body IS NOT NULL").select(F.col("url").alias("doc_url")))
+    tags = start_tags(bodies.where("doc_type IN ('html', 'svg')"), "url", "body", F.col("doc_type") == "svg")
+    checked = check_links(links, targets, sites, ignored, anchor_rows(tags))
+    # what can't be read in a data: link fails that link, not a document
+    faults = document_faults(docs.unionByName(inner.where("body IS NOT NULL").select("url", F.lit("svg").alias("doc_type"), "body"), allowMissingColumns=True), sites)
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in checked.schema.fields if f.name not in ("doc_url", "ord", "element", "attribute", "item", "ok", "error_kind", "error")]
+    faults = faults.select("doc_url", F.lit(-1).alias("ord"), "element", F.lit("").alias("attribute"), "item", F.lit(False).alias("ok"), "error_kind", "error", *rest)
+    checked = cut(checked.unionByName(faults), "checked")
+    return checked, document_metrics(checked, docs.select(F.col("url").alias("doc_url")).unionByName(inner.where("body IS NOT NULL").select(F.col("url").alias("doc_url"))))
 
 
 def site_markup(docs: DataFrame, sites: DataFrame, html: dict[str, DataFrame], svg: dict[str, DataFrame] | None = None) -> DataFrame:
     """Markup errors of documents (url, doc_type, body) as report items, by the options of their sites: whether HTML and SVG are judged, and which elements and attributes aren't."""
     known = docs.where("doc_type IN ('html', 'svg')").select("url", "body", (F.col("doc_type") == "svg").alias("is_svg"))
-    rows = match_site(elements(known, "url", "body", "is_svg", with_svg=True), sites, "doc_url")
+    known = match_site(known, sites)
     parts = []
     for kind, rules in (("html", html), ("svg", svg)):
         if rules is not None:
-            own = rows.where((F.col("is_svg") == (kind == "svg")) & F.col(f"site.validate_{kind}"))
-            own = own.select(*[c for c in rows.columns if c not in ("is_svg", "site")], F.col(f"site.{kind}_ignored_elements").alias("__elements"), F.col(f"site.{kind}_ignored_attributes").alias("__attributes"))
+            # documents that aren't judged aren't parsed; elements get no more of their site than what they need, by broadcast
+            own = known.where((F.col("is_svg") == (kind == "svg")) & F.col(f"site.validate_{kind}")).drop("site")
+            own = match_site(elements(own, "url", "body", "is_svg"), sites.select("host", "path", f"{kind}_ignored_elements", f"{kind}_ignored_attributes"), "doc_url")
+            own = own.select(*[c for c in own.columns if c != "site"], F.col(f"site.{kind}_ignored_elements").alias("__elements"), F.col(f"site.{kind}_ignored_attributes").alias("__attributes"))
             parts.append(markup_errors(own, rules, F.col("__elements"), F.col("__attributes")))
     return split_markup_errors(reduce(DataFrame.unionByName, parts))
 

@@ -75,22 +75,26 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to.join(p.select(F.col("page_id").alias("to"), F.col("url").alias("dst")), "to").select(F.col("url").alias("src"), "dst")
 
 
+CSS_TEXT = (
+    """concat('\\ufeff/* url(no.png) */ @charset "utf-8"; @import "a', page_id, '.css"; @import url(b.css) screen; p { background: url(\\'c', page_id % 9, '.png\\') } ',
+        'q { background: image-set("d.png" 1x, url(e.png) 2x) } r { fill: url(#f); mask: url("") } ', CASE page_id % 5 WHEN 0 THEN '}' WHEN 1 THEN 's {' ELSE '' END)"""
+)
+
+
 def styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """url, page_id, css."""
-    css = F.expr(
-        """concat('\\ufeff/* url(no.png) */ @charset "utf-8"; @import "a', page_id, '.css"; @import url(b.css) screen; p { background: url(\\'c', page_id % 9, '.png\\') } ',
-        'q { background: image-set("d.png" 1x, url(e.png) 2x) } r { fill: url(#f); mask: url("") } ', CASE page_id % 5 WHEN 0 THEN '}' WHEN 1 THEN 's {' ELSE '' END)"""
-    )
-    return pages(spark, sf_dir).select("page_id", "url", css.alias("css"))
+    return pages(spark, sf_dir).select("page_id", "url", F.expr(CSS_TEXT).alias("css"))
+
+
+SITEMAP_TEXT = (
+    """CASE WHEN page_id % 2 = 0 THEN concat('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><!-- <url><loc>no</loc></url> --><url><loc> https://example.com/', page_id, '?a=1&amp;b=2 </loc><image:image><image:loc>https://example.com/no.png</image:loc></image:image></url><s:url><s:loc><![CDATA[https://example.com/c', page_id, ']]></s:loc></s:url><url><loc></loc></url></urlset>')
+        ELSE concat('<sitemapindex><sitemap><loc>https://example.com/m', page_id, '.xml</loc><lastmod>2024</lastmod></sitemap></sitemapindex>') END"""
+)
 
 
 def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """url, page_id, xml: a sitemap for even pages, an index for odd ones."""
-    xml = F.expr(
-        """CASE WHEN page_id % 2 = 0 THEN concat('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><!-- <url><loc>no</loc></url> --><url><loc> https://example.com/', page_id, '?a=1&amp;b=2 </loc><image:image><image:loc>https://example.com/no.png</image:loc></image:image></url><s:url><s:loc><![CDATA[https://example.com/c', page_id, ']]></s:loc></s:url><url><loc></loc></url></urlset>')
-        ELSE concat('<sitemapindex><sitemap><loc>https://example.com/m', page_id, '.xml</loc><lastmod>2024</lastmod></sitemap></sitemapindex>') END"""
-    )
-    return pages(spark, sf_dir).select("page_id", "url", xml.alias("xml"))
+    return pages(spark, sf_dir).select("page_id", "url", F.expr(SITEMAP_TEXT).alias("xml"))
 
 
 def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,13 +107,15 @@ def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return root.select(F.concat("root", F.lit("/robots.txt")).alias("url"), "root", text.alias("robots"))
 
 
+SVG_TEXT = (
+    """concat('<', CASE page_id % 4 WHEN 0 THEN 'g' ELSE 'svg' END, ' xmlns="', CASE page_id % 3 WHEN 0 THEN 'http://example.com/ns' ELSE 'http://www.w3.org/2000/svg' END, '" xmlns:xlink="http://www.w3.org/1999/xlink"><use xlink:href="#a', page_id, '"/><a href="/svg/', page_id, '"><text id="a', page_id, '">t</text></a></',
+        CASE page_id % 4 WHEN 0 THEN 'g' ELSE 'svg' END, '>')"""
+)
+
+
 def svgs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """url, page_id, svg: every fourth has another root, every third another namespace."""
-    text = F.expr(
-        """concat('<', CASE page_id % 4 WHEN 0 THEN 'g' ELSE 'svg' END, ' xmlns="', CASE page_id % 3 WHEN 0 THEN 'http://example.com/ns' ELSE 'http://www.w3.org/2000/svg' END, '" xmlns:xlink="http://www.w3.org/1999/xlink"><use xlink:href="#a', page_id, '"/><a href="/svg/', page_id, '"><text id="a', page_id, '">t</text></a></',
-        CASE page_id % 4 WHEN 0 THEN 'g' ELSE 'svg' END, '>')"""
-    )
-    return pages(spark, sf_dir).select("page_id", "url", text.alias("svg"))
+    return pages(spark, sf_dir).select("page_id", "url", F.expr(SVG_TEXT).alias("svg"))
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,3 +141,23 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(status != 200, F.lit("http_status")).alias("error_kind"), F.when(status != 200, F.lit("invalid status 404 Not Found")).alias("error"),
         F.when(status == 200, F.struct(F.col("target_nofrag").alias("url"), status.alias("status"), F.lit(0).cast("long").alias("latency"))).alias("response"),
     )
+
+
+def tricky_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and, after their own text, tags beside what is none: in a script, in comments of all ends, in elements of text only, and cut off by the end."""
+    more = F.expr(
+        """concat(html, '<script>var s = "<!--"; <u></script><input disabled value=x data-a="1>2" checked><!--><i title="<!-- y" lang=it\\'s>q</i><!-- <u> --!><textarea><u></textarea><title><u></title><b hidden>t</b></><p/>',
+        CASE page_id % 3 WHEN 0 THEN '<!-- <u>' WHEN 1 THEN '<noscript><u>' ELSE '<u title="><u>' END)"""
+    )
+    return pages(spark, sf_dir).withColumn("html", more)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url, doc_type, body (bytes): a document of some kind for each page, on the page's host; each sixth can't be read. HTML is the page's own text and more."""
+    root = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+    kind = F.expr("CASE page_id DIV 7 % 6 WHEN 0 THEN 'html' WHEN 1 THEN 'css' WHEN 2 THEN 'svg' WHEN 3 THEN 'sitemap' WHEN 4 THEN 'robots' ELSE CASE page_id % 2 WHEN 0 THEN 'css' ELSE 'sitemap' END END")
+    html = F.concat("html", F.expr("""concat('<script>"<!--"</script><a href="/d/', page_id + 1, '">n</a><title><a href="/no"></title><a href="#t" id="t">t</a><a href="#none">u</a>')"""))
+    text = F.when(F.col("doc_type") == "html", html).when(F.col("doc_type") == "css", F.expr(CSS_TEXT)).when(F.col("doc_type") == "svg", F.expr(SVG_TEXT)).when(F.col("doc_type") == "sitemap", F.expr(SITEMAP_TEXT)).otherwise(F.concat(F.lit("Sitemap: "), root, F.lit("/map.xml\n")))
+    body = F.encode(text, "utf-8")
+    body = F.when(F.expr("page_id DIV 7 % 6 = 5"), F.concat(body, F.unhex(F.lit("FF")))).otherwise(body)
+    return pages(spark, sf_dir).withColumn("doc_type", kind).select(F.concat(root, F.lit("/d/"), F.col("page_id").cast("string")).alias("url"), "doc_type", body.alias("body"))

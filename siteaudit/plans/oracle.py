@@ -47,11 +47,29 @@ _LOG = "log AS (SELECT user_id::VARCHAR AS site, '/' || event_type AS url, ts, e
 _REDIRECT_TO = "SELECT p.page_id, p.url, n.url AS next FROM pages p LEFT JOIN pages n ON n.page_id = p.page_id + 1"
 _WEEKS = "CASE u WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 60000 WHEN 3 THEN 3600000 WHEN 4 THEN 86400000 WHEN 5 THEN 604800000 END"
 
+#: The links (l) of inputs.documents (d), and the faults of its documents (f).
+_DOCS = f"""{_LINKS}, d AS (SELECT page_id, page_id // 7 % 6 AS k, root, root || '/d/' || page_id AS doc_url FROM (SELECT page_id, {_ORIGIN.replace("doc_url", "url")} AS root FROM pages)),
+l AS (
+  SELECT d.doc_url, 'a' AS element, 'href' AS attribute, raw, NULL AS hint, target FROM links JOIN d USING (page_id) WHERE k = 0
+  UNION ALL SELECT doc_url, 'a', 'href', unnest(['/d/' || (page_id + 1), '#t', '#none']), NULL, unnest([root || '/d/' || (page_id + 1), doc_url || '#t', doc_url || '#none']) FROM d WHERE k = 0
+  UNION ALL SELECT doc_url, '@import', '', x, 'css', root || '/d/' || x FROM (SELECT *, unnest(['a' || page_id || '.css', 'b.css']) AS x FROM d WHERE k = 1)
+  UNION ALL SELECT doc_url, 'url', '', x, NULL, root || '/d/' || x FROM (SELECT *, unnest(['c' || (page_id % 9) || '.png', 'd.png', 'e.png']) AS x FROM d WHERE k = 1)
+  UNION ALL SELECT doc_url, unnest(['use', 'a']), unnest(['xlink:href', 'href']), unnest(['#a' || page_id, '/svg/' || page_id]), NULL, unnest([doc_url || '#a' || page_id, root || '/svg/' || page_id]) FROM d WHERE k = 2
+  UNION ALL SELECT doc_url, 'loc', '', x, NULL, x FROM (SELECT *, unnest(['https://example.com/' || page_id || '?a=1&b=2', 'https://example.com/c' || page_id]) AS x FROM d WHERE k = 3 AND page_id % 2 = 0)
+  UNION ALL SELECT doc_url, 'loc', '', x, 'sitemap', x FROM (SELECT *, 'https://example.com/m' || page_id || '.xml' AS x FROM d WHERE k = 3 AND page_id % 2 = 1)
+  UNION ALL SELECT doc_url, 'sitemap', '', root || '/map.xml', 'sitemap', root || '/map.xml' FROM d WHERE k = 4),
+f AS (
+  SELECT doc_url, 'unreadable' AS kind, 'document cannot be read' AS message FROM d WHERE k = 5
+  UNION ALL SELECT doc_url, 'css_syntax', 'invalid CSS: ' || CASE page_id % 5 WHEN 0 THEN 'unexpected }}' ELSE 'unclosed block' END FROM d WHERE k = 1 AND page_id % 5 < 2
+  UNION ALL SELECT doc_url, 'invalid_namespace', 'namespace expected http://www.w3.org/2000/svg but got http://example.com/ns' FROM d WHERE k = 2 AND page_id % 3 = 0
+  UNION ALL SELECT doc_url, 'invalid_root_element', 'root element expected svg but got g' FROM d WHERE k = 2 AND page_id % 4 = 0)"""
+
 ORACLE_SQL: dict[str, str] = {
     "audit": f"""WITH {_BASED}, m AS (SELECT doc_url, count(*) FILTER (ok) AS success, count(*) FILTER (NOT ok) AS error FROM (SELECT doc_url, coalesce({_TARGET_STATUS} = 200 AND target IS NOT NULL, false) AS ok FROM links) GROUP BY doc_url)
       SELECT url AS doc_url, coalesce(success, 0) AS success, coalesce(error, 0) AS error FROM pages LEFT JOIN m ON url = doc_url""",
     "start_tags": f"""WITH {_TAGS} SELECT doc_url, ord, name, ((length(tag) - length(replace(tag, '="', ''))) // 2)::INT AS n_attributes, '' AS bare FROM tags
-      UNION ALL SELECT doc_url, len(t)::INT, 'input', 4, 'disabled,checked' FROM found UNION ALL SELECT doc_url, len(t)::INT + 1, 'b', 1, 'hidden' FROM found""",
+      UNION ALL SELECT doc_url, len(t)::INT + k, n, a, b FROM found, (VALUES (0, 'script', 0, ''), (1, 'input', 4, 'disabled,checked'), (2, 'i', 2, ''), (3, 'textarea', 0, ''), (4, 'title', 0, ''), (5, 'b', 1, 'hidden'), (6, 'p', 0, '')) v(k, n, a, b)
+      UNION ALL SELECT doc_url, len(t)::INT + 7, 'noscript', 0, '' FROM found WHERE page_id % 3 = 1""",
     "href_links": f"""WITH {_LINKS} SELECT doc_url, 'a' AS element, 'href' AS attribute, raw FROM own
       UNION ALL SELECT url, 'a', 'xlink:href', '#x' || page_id FROM pages UNION ALL SELECT url, 'a', 'href', '#x' || (page_id % 4) FROM pages
       UNION ALL SELECT url, 'a', 'href', 'data:image/svg+xml,%3Csvg%20id=%22d' || (page_id % 7) || '%22/%3E' FROM pages""",
@@ -160,10 +178,13 @@ ORACLE_SQL: dict[str, str] = {
     "read_sites": f"""WITH p AS (SELECT page_id, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path FROM pages), e AS (SELECT min(host) AS a, max(host) AS b FROM p),
       s AS (SELECT page_id, CASE WHEN host = b AND starts_with(path, '/en') THEN 'two' WHEN host = a THEN 'one' ELSE 'default' END AS site FROM p, e)
       SELECT page_id, site, CASE site WHEN 'one' THEN 3 ELSE 16 END AS max_redirects, CASE site WHEN 'two' THEN 'https' ELSE 'http,https' END AS schemes FROM s""",
-    "all_links": f"""WITH {_TAGS}, p AS (SELECT count(*) AS p, count(*) FILTER (page_id % 2 = 0) AS even, count(DISTINCT regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS roots FROM pages), o AS (SELECT count(*) AS own FROM tags WHERE name = 'a'),
-      k AS (SELECT unnest([('a', 'href', NULL, own + 3 * p), ('a', 'xlink:href', NULL, p), ('link', 'href', 'css', p), ('link', 'href', 'sitemap', p), ('meta', 'content', NULL, p), ('script', 'src', NULL, p), ('img', 'src', NULL, p), ('img', 'srcset', NULL, 3 * p),
-        ('@import', '', 'css', 2 * p), ('url', '', NULL, 3 * p), ('loc', '', NULL, 2 * even), ('loc', '', 'sitemap', p - even), ('use', 'xlink:href', NULL, p), ('sitemap', '', 'sitemap', 2 * roots)]) AS r FROM p, o)
-      SELECT r[1] AS element, r[2] AS attribute, r[3] AS hint, r[4] AS n, r[4] AS n_resolved FROM k""",
+    "all_links": f"WITH {_DOCS} SELECT doc_url, element, attribute, raw, hint, target FROM l",
+    "site_audit": f"""WITH {_DOCS}, v AS (SELECT *, {_NOFRAG.format("target")} AS page FROM l),
+      w AS (SELECT doc_url, element, attribute, raw, target, CASE WHEN length(page) % 11 = 0 THEN 'missing_response' WHEN length(page) % 7 = 0 THEN 'http_status' WHEN hint IS NOT NULL THEN 'content_type_invalid' WHEN ends_with(target, '#none') THEN 'element_not_found' END AS e, hint FROM v)
+      SELECT doc_url, element, attribute, raw, target, e IS NULL AS ok, e AS error_kind, CASE e WHEN 'missing_response' THEN 'no response' WHEN 'http_status' THEN 'invalid status 404 Not Found' WHEN 'content_type_invalid' THEN 'content type expected ' || hint || ' but got text/html' WHEN 'element_not_found' THEN 'element for #none not found' END AS error FROM w
+      UNION ALL SELECT doc_url, '#document', '', NULL, NULL, false, kind, message FROM f""",
+    "site_metrics": f"""WITH {_DOCS}, i AS (SELECT doc_url, hint IS NULL AND NOT ends_with(target, '#none') AS ok FROM l UNION ALL SELECT doc_url, false FROM f)
+      SELECT d.doc_url, count(*) FILTER (ok) AS success, count(*) FILTER (NOT ok) AS error FROM d LEFT JOIN i ON i.doc_url = d.doc_url GROUP BY d.doc_url""",
     "check_links": f"""WITH {_LINKS}, last AS (SELECT max(page_id) AS last FROM pages),
       q0 AS (SELECT page_id, {_ORIGIN.replace("doc_url", "url")} AS root, {_NOFRAG.format("url")} AS own FROM pages),
       q AS (SELECT *, max(page_id) OVER (PARTITION BY own) AS r FROM q0),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteaudit.functions import text, timing, urls
-from siteaudit.operators import check, crawl, elements, extract, markup, redirects, report, requestlog, robots, sites, store
+from siteaudit.operators import check, crawl, elements, extract, faults, markup, redirects, report, requestlog, robots, sites, store
 from siteaudit.plans import audit, inputs
 from siteaudit.sources.scratch import cut, scratch
 from siteaudit.sources.tables import read_responses, read_sites, write_report_json, write_report_text, write_store
@@ -48,9 +48,8 @@ def q_audit(spark, d):
 
 @query
 def q_start_tags(spark, d):
-    """Tags of the pages and of two elements after them, behind comments, one of which is open."""
-    more = F.expr("""concat(html, '<input disabled value=x data-a="1>2" checked><!-- <i>no</i> --><b hidden>t</b>', CASE WHEN page_id % 3 = 0 THEN '<!-- <u>' ELSE '' END)""")
-    tags = extract.start_tags(inputs.pages(spark, d).select("url", more.alias("html")))
+    """Tags of the pages, and of more text after theirs that holds tags beside what is none."""
+    tags = extract.start_tags(inputs.tricky_pages(spark, d))
     return tags.select("doc_url", "ord", "name", F.size("attributes").alias("n_attributes"), F.array_join(F.transform(F.filter("attributes", lambda a: a["value"] == ""), lambda a: a["name"]), ",").alias("bare"))
 
 
@@ -114,14 +113,34 @@ def q_data_svg_documents(spark, d):
 
 @query
 def q_all_links(spark, d):
-    """Links of documents of all kinds, counted by what they are."""
-    kinds = [(inputs.extra_html, "html", "html"), (inputs.styles, "css", "css"), (inputs.sitemaps, "xml", "sitemap"), (inputs.svgs, "svg", "svg")]
-    docs = [f(spark, d).select("url", F.lit(k).alias("doc_type"), F.col(c).alias("body")) for f, c, k in kinds]
-    docs.append(inputs.robots(spark, d).select("url", F.lit("robots").alias("doc_type"), F.col("robots").alias("body")))
-    both = docs[0]
-    for x in docs[1:]:
-        both = both.unionByName(x)
-    return extract.all_links(both).groupBy("element", "attribute", "hint").agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("n_resolved"))
+    """Links of documents of all kinds, row by row."""
+    links = extract.all_links(faults.readable(inputs.documents(spark, d)))
+    return links.select("doc_url", "element", "attribute", "raw", "hint", "target")
+
+
+def _validated(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.sites(spark, d).withColumns({"validate_svg": F.lit(True), "max_redirects": F.lit(16)})
+
+
+@query
+def q_site_audit(spark, d):
+    """The whole audit of documents of all kinds: every link and every fault of a document, with its error."""
+    docs = faults.readable(inputs.documents(spark, d))
+    asked = extract.all_links(docs).select(F.col("target_nofrag").alias("target")).distinct()
+    responses = asked.select(F.col("target").alias("url"), F.expr(inputs.TARGET_STATUS).cast("int").alias("status"), F.create_map(F.lit("content-type"), F.lit("text/html")).alias("headers"), F.lit(None).cast("string").alias("request_error"))
+    responses = responses.where("length(url) % 11 <> 0")
+    checked, _ = audit.site_audit(docs, responses, _validated(spark, d))
+    return checked.select("doc_url", "element", "attribute", "raw", "target", "ok", "error_kind", "error")
+
+
+@query
+def q_site_metrics(spark, d):
+    """Items of the same audit by document; one that can't be read has failed."""
+    docs = faults.readable(inputs.documents(spark, d))
+    responses = extract.all_links(docs).select(F.col("target_nofrag").alias("url")).distinct()
+    responses = responses.select("url", F.lit(200).alias("status"), F.create_map(F.lit("content-type"), F.lit("text/html")).alias("headers"), F.lit(None).cast("string").alias("request_error"))
+    _, metrics = audit.site_audit(docs, responses, _validated(spark, d))
+    return metrics
 
 
 @query
@@ -242,7 +261,7 @@ def q_check_links(spark, d):
     responses = store.latest_response(inputs.responses(spark, d).withColumn("url", urls.strip_fragment(F.col("url"))))
     own = check.checked_targets(responses, robots=robots.robots_filter(responses.select("url"), rules))
     others = robots.robots_filter(_targets(links).drop("allowed"), rules).join(p.select(urls.strip_fragment(F.col("url")).alias("url")).distinct(), "url", "left_anti")
-    anchors = extract.anchors(extract.start_tags(inputs.extra_html(spark, d))).withColumn("doc_url", urls.strip_fragment(F.col("doc_url")))
+    anchors = extract.anchor_rows(extract.start_tags(inputs.extra_html(spark, d))).withColumn("doc_url", urls.strip_fragment(F.col("doc_url")))
     checked = check.check_links(links, own.unionByName(others), inputs.sites(spark, d), ["\\.png$"], anchors)
     return checked.groupBy("attribute", "ok", "error_kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -257,7 +276,7 @@ def q_broken_links(spark, d):
 def q_missing_fragments(spark, d):
     links = extract.resolve_links(extract.href_links(extract.start_tags(inputs.extra_html(spark, d))))
     links = links.where("raw LIKE '#%'").withColumn("final_url", F.col("doc_url"))
-    return check.missing_fragments(links, extract.anchors(extract.start_tags(inputs.extra_html(spark, d))), ["x[01]"]).select("doc_url", "fragment")
+    return check.missing_fragments(links, extract.anchor_rows(extract.start_tags(inputs.extra_html(spark, d))), ["x[01]"]).select("doc_url", "fragment")
 
 
 @query
