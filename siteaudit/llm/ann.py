@@ -17,8 +17,8 @@ from siteaudit.llm.common import cut, small
 
 #: Distinct vectors that the partition is learned on, those with the smallest hash: at least and at most; and for each part.
 SAMPLE, MOST_SAMPLE, SAMPLE_OF_PART = 8192, 32_768, 32
-#: Neighbours in the sample's graph; parts, at least and at most, and vectors that a part should hold.
-NEIGHBOURS, PARTS, MOST_PARTS, PART_SIZE = 12, 64, 1024, 8192
+#: Neighbours in the sample's graph; parts of a usual table and at most, and vectors that a part should hold: at least, and where there are more parts than usual.
+NEIGHBOURS, PARTS, MOST_PARTS, LEAST_SIZE, PART_SIZE = 12, 64, 1024, 48, 8192
 #: Share of the true neighbours that held-out sampled queries must find: it sets to how many parts a query goes.
 TARGET = 0.96
 HIDDEN, EPOCHS = 128, 40
@@ -27,8 +27,9 @@ BLOCK, QUERIES = 2048, 512
 
 
 def parts_for(n: int) -> int:
-    """Parts for n distinct vectors: a power of two that follows n within its bounds."""
-    return min(MOST_PARTS, max(PARTS, 1 << max(0, n // PART_SIZE - 1).bit_length()))
+    """Parts for n distinct vectors, a power of two: of LEAST_SIZE vectors or more in small tables, PARTS in others until these hold PART_SIZE, then more of that size. Beyond MOST_PARTS of them parts grow."""
+    few = 1 << max(0, (n // LEAST_SIZE).bit_length() - 1)
+    return min(few, PARTS) if few <= PARTS else min(MOST_PARTS, max(PARTS, 1 << max(0, n // PART_SIZE - 1).bit_length()))
 
 
 def neighbour_graph(x, k: int = NEIGHBOURS):
@@ -137,18 +138,18 @@ def train_router(x, part, graph, count: int, seed: int = 4) -> Router:
 
 
 def learn(sample, parts: int = PARTS, k: int = 20, target: float = TARGET) -> tuple[Router, int, int]:
-    """(router, parts, probes) of a bounded sample, a matrix in random order. A small sample is one part.
+    """(router, parts, probes) of a bounded sample, a matrix in random order. Fewer than two vectors for each of twice as many parts are one part.
 
-    The last eighth of the sample takes no part in the training: its neighbours in the whole sample say how
-    many parts a query must go to.
+    The last eighth of the sample (a quarter of one below 4096) takes no part in the training: its neighbours in the
+    whole sample say how many parts a query must go to.
     """
     import numpy as np
 
     x = np.asarray(sample, np.float32)
-    if len(x) < 16 * parts:
+    if parts < 2 or len(x) < 4 * parts:
         dim = x.shape[1] if x.ndim == 2 else 1
         return Router(1.0, np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32)), 1, 1
-    seen = x[: -(len(x) // 8)]
+    seen = x[: -(len(x) // (8 if len(x) >= 4096 else 4))]
     graph = neighbour_graph(seen)
     part, count = balanced_parts(graph, parts)
     router = train_router(seen, part, graph, count)

@@ -189,15 +189,37 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert ann.search(df.where("false"), F.col("id") == 0).count() == 0
 
 
-def test_parts_follow_the_vectors(spark):
-    assert [ann.parts_for(n) for n in (0, 100, 500_000, 600_000, 2_000_000, 10**12)] == [64, 64, 64, 128, 256, 1024]
-    vectors = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding")
-    rows, got, found, total = [tuple(r) for r in vectors.collect()], {}, 0, 0
-    for r in ann.search(vectors, F.col("id") % 400 == 0, parts=128).collect():
+def recall(spark, rows, every, **how):
+    df, got, found, total = spark.createDataFrame(rows, "vec_id long, embedding array<float>"), {}, 0, 0
+    for r in ann.search(df, F.col("id") % every == 0, **how).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
-    for q, best in near_by_force(rows, 400):
-        found, total = found + len(got[q] & {i for i, _ in best}), total + 20
-    assert found >= 0.9 * total
+    for q, best in near_by_force(rows, every):
+        found, total = found + len(got[q] & {i for i, _ in best}), total + len(best)
+    return found / total
+
+
+def clustered(n, dim, clusters, seed=8):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((clusters, dim))[rng.integers(0, clusters, n)] + 0.6 * rng.standard_normal((n, dim))
+    return [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())]
+
+
+def test_parts_follow_the_vectors():
+    assert [ann.parts_for(n) for n in (0, 40, 100, 500, 3_000, 3_100, 500_000, 600_000, 2_000_000, 10**12)] == [1, 1, 2, 8, 32, 64, 64, 128, 256, 1024]
+
+
+@pytest.mark.parametrize("parts", [128, 256])
+def test_recall_of_many_parts(spark, parts):
+    assert recall(spark, clustered(9_000, 16, 300), 200, parts=parts) >= 0.9
+
+
+def test_small_tables_have_parts_too(spark):
+    rows = clustered(500, 32, 12)
+    assert recall(spark, rows, 5) >= 0.9
+    router, count, probes = ann.learn(np.array([v for _, v in rows], np.float32), ann.parts_for(500))
+    assert count == 8 and probes < 8
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    assert ann.parts_for(len(docs)) >= 8 and recall(spark, docs, 5) >= 0.9
 
 
 def test_parts_are_balanced():
