@@ -37,6 +37,12 @@ def _locators(docs: DataFrame) -> tuple[Column, Column] | None:
         return None
 
 
+def _located_once(docs: DataFrame) -> bool:
+    """Whether docs comes straight from Parquet files and has each row of them once at most: a join, an explode or a union may repeat rows. Reads no column of the files."""
+    found = _locators(docs)
+    return found is not None and not docs.select(*found).groupBy("file", "row").count().where("count > 1").take(1)
+
+
 def _located(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     """id, text, digest and the content locator (see _locators)."""
     text = normalised(F.col(text_col))
@@ -75,15 +81,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal as normalised() says. Of equal texts the smallest id stays, of the same id the first
     locator; a null id is the smallest. Null and empty texts are one group. An empty table gives no rows. Other
     columns of docs play no part, whatever their names. from_files: docs is one Parquet read (perhaps filtered),
-    whose files and row numbers are the locators; else, or if it isn't, docs is written once and read from there.
+    whose files and row numbers are the locators; else, or if it isn't, or if it has a row of a file more than once, docs
+    is written once and read from there.
 
     A digest only proposes: each hit's full text is compared with the text of the row that stays, and where a
     digest stands for different texts its rows are grouped anew by the full texts.
     """
+    if not from_files or not _located_once(docs):
+        docs = cut(docs.select(id_col, text_col), "texts")
+    return _groups(docs, id_col, text_col, digest)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, digest=sha256) -> DataFrame:
+    """exact_groups of a table whose rows have locators of their own."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    if not from_files or _locators(docs) is None:
-        docs = cut(docs.select(id_col, text_col), "texts")
     located = _located(docs, id_col, text_col, digest)
     sha = F.sha2(F.col("text").cast("binary"), 256)
     rows_path, groups_path = scratch(spark, "digests"), scratch(spark, "groups")
@@ -126,11 +138,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null and empty texts are one group, of which one row stays; of equal texts the smallest id stays, a null id
     being the smallest, and of rows with the same id and text the first one. An empty table stays empty. A table
-    that doesn't come straight from Parquet files is written first.
+    that doesn't come straight from Parquet files, or repeats rows of them, is written first.
     """
-    if _locators(docs) is None:
+    if not _located_once(docs):
         docs = cut(docs, "docs")
-    gone = cut(exact_groups(docs, id_col, text_col, from_files=True).where(~F.col("kept")).select("file", "row"), "gone")
+    gone = cut(_groups(docs, id_col, text_col).where(~F.col("kept")).select("file", "row"), "gone")
     n = gone.count()
     if n == 0:
         return docs

@@ -383,7 +383,11 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mixed = cut(rows.where("id = keep_id").select("id").distinct().join(gone.select("id").distinct(), "id", "left_semi"), "mixed")
     n_mixed = mixed.count()
     if n_mixed:
-        content = F.udf(lambda x: content_of(bytes(x)), "binary")
+
+        @F.arrow_udf("binary")
+        def content(texts: pa.Array) -> pa.Array:
+            return pa.array([content_of(x) for x in texts.to_pylist()], pa.binary())
+
         both = told.join(small(mixed, n_mixed), "id", "left_semi").withColumn("content", content("text"))
         out = out.unionByName(both.join(small(gone, n_gone), ["id", "content"], "left_anti").select("doc"))
     return out.select("doc.*")

@@ -380,3 +380,25 @@ def test_bloom_blocks_pass_all_listed(spark):
     listed = spark.range(3000).select(F.concat(F.lit("http://h/"), F.col("id").cast("string")).alias("url"))
     assert url_filter.filter_urls(some, listed, []).where("verdict = 'block'").count() == 0
     assert url_filter.filter_urls(listed.withColumn("page_id", F.lit(1)), listed, []).where("verdict = 'allow'").count() == 0
+
+
+def test_reads_that_repeat_rows(spark):
+    """Locators of files aren't those of rows where a read is exploded, joined, united with itself or sampled with replacement."""
+    path = scratch(spark, "lists")
+    spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"]), (3, ["d"])], "doc_id long, texts array<string>").coalesce(1).write.parquet(path)
+    read = spark.read.parquet(path)
+    exploded = read.select("doc_id", F.explode("texts").alias("text"))
+    other = spark.createDataFrame([("x",), ("y",)], "text string")
+    flat = read.select("doc_id", F.col("texts")[0].alias("text"))
+    cases = {
+        "explode": (exploded, [(1, "a"), (1, "b"), (2, "c"), (3, "d")]),
+        "join": (read.select("doc_id").crossJoin(other), [(1, "x"), (1, "y")]),
+        "union": (flat.unionByName(flat), [(1, "a"), (2, "b"), (3, "d")]),
+        "filter": (flat.where("doc_id > 1"), [(2, "b"), (3, "d")]),
+    }
+    for name, (docs, want) in cases.items():
+        assert sorted(tuple(r) for r in exact_dedup.drop_copies(docs).collect()) == want, name
+        groups = exact_dedup.exact_groups(docs, from_files=True)
+        assert groups.count() == docs.count() and groups.where("kept").count() == len(want), name
+    many = flat.sample(True, 5.0, 1)
+    assert sorted(tuple(r) for r in exact_dedup.drop_copies(many).collect()) == sorted({tuple(r) for r in many.collect()})
