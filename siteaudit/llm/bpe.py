@@ -19,7 +19,7 @@ SPLIT_CHARS = 50_000
 WHITE = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _EDGE = re.compile(f"[^{WHITE}](?=[{WHITE}])")
 #: White space of so many characters is taken out of a text before the library's expression sees it, whose stack such a run can overflow.
-LONG_RUN = 10_000
+LONG_RUN = 500
 _RUN = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
 
 
