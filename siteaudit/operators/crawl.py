@@ -2,27 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteaudit.operators.sites import recursive_urls
 from siteaudit.sources.scratch import BROADCAST_ROWS, counted, cut, scratch
 
 
+#: Folders of edges at most, and edges that each should hold.
+BUCKETS, BUCKET_EDGES = 4096, 500_000
+
+
+def _bucket(url: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
+
+
+def _by_source(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges written into folders by a hash of their source, and the number of folders. A source with very many edges is in several files of its folder."""
+    spark, path = edges.sparkSession, scratch(edges.sparkSession, "edges")
+    edges = cut(edges, "edges")
+    buckets = max(1, min(BUCKETS, edges.count() // BUCKET_EDGES))
+    if buckets == 1:
+        return edges.withColumn("bucket", F.lit(0)), 1
+    dealt = edges.withColumn("bucket", _bucket("src", buckets)).repartition(F.col("bucket"), F.pmod(F.xxhash64("dst"), F.lit(4)))
+    dealt.write.partitionBy("bucket").parquet(path)
+    return spark.read.schema("src string, dst string, bucket int").parquet(path), buckets
+
+
 def crawl_depth(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """url, depth: hops from the nearest root, for every URL that the roots reach. edges: src, dst; roots: url.
 
     Each round writes the URLs of one depth into a folder of its own, so that what has been visited is always one
     scan and the plan stays short; lost executors cost no earlier round. A frontier that is counted small goes to
-    the edges and to the visited URLs by broadcast: neither of the two big tables is shuffled. Cycles end by themselves.
+    the edges and to the visited URLs by broadcast: neither of the two big tables is shuffled, and of the edges only those
+    folders are read that may hold the frontier's. Cycles end by themselves.
     """
     spark, folder = edges.sparkSession, scratch(edges.sparkSession, "visited")
-    edges = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct(), "edges")
+    edges, buckets = _by_source(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct())
     at = lambda k: spark.read.schema("url string").parquet(f"{folder}/depth={k}")
     roots.select("url").where("url IS NOT NULL").distinct().write.parquet(f"{folder}/depth=0")
     n, depth = at(0).count(), 0
     while n and (max_depth is None or depth < max_depth):
-        reached = edges.join(counted(at(depth)), F.col("src") == F.col("url"), "left_semi").select(F.col("dst").alias("url")).distinct()
+        frontier = at(depth).withColumn("bucket", _bucket("url", buckets))
+        asked = [r["bucket"] for r in frontier.select("bucket").distinct().collect()] if buckets > 1 else [0]  # at most BUCKETS numbers
+        out = edges.where(F.col("bucket").isin(asked))
+        reached = out.join(counted(frontier.select("url")), F.col("src") == F.col("url"), "left_semi").select(F.col("dst").alias("url")).distinct()
         reached = cut(reached, "reached")
         n, visited = reached.count(), spark.read.schema("url string").parquet(folder)
         if n <= BROADCAST_ROWS:

@@ -31,18 +31,55 @@ def rate_limit_violations(log: DataFrame, supply: int | None, window: str = "1 h
     return counts.where(F.col("n") > limit).select("site", F.col("w.start").alias("window_start"), "n")
 
 
-def numbered(df: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
-    """df with the number from 0 of each row within its key. Ranges of (key, order) are numbered apart and then shifted, so one key may fill many tasks."""
+def numbered(df: DataFrame, key: str, order: list[Column], name: str, with_range: bool = False) -> DataFrame:
+    """df with the number from 0 of each row within its key. Ranges of (key, order) are numbered apart and then shifted, so one key may fill many tasks. with_range: the number of a row's range stays, as __range."""
     placed = df.repartitionByRange(F.col(key), *order).sortWithinPartitions(F.col(key), *order).withColumn("__at", F.monotonically_increasing_id())
     placed = cut(placed.withColumn("__range", F.shiftright("__at", 33)), "ranges")
     firsts = placed.groupBy("__range", F.col(key).alias("__key")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     firsts = cut(firsts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumnRenamed("__range", "__r"), "firsts")
     rows = placed.join(small(firsts, firsts.count()), (F.col("__range") == F.col("__r")) & F.col(key).eqNullSafe(F.col("__key")))
-    return rows.withColumn(name, F.col("__before") + F.col("__at") - F.col("__first")).drop("__at", "__range", "__r", "__key", "__first", "__n", "__before")
+    rows = rows.withColumn(name, F.col("__before") + F.col("__at") - F.col("__first")).drop("__at", "__r", "__key", "__first", "__n", "__before")
+    return rows if with_range else rows.drop("__range")
 
 
-def rate_limited_schedule(requests: DataFrame, supply: int, order: list[str]) -> DataFrame:
-    """requests, all ready at once, with slot: the number of the window in which each is sent, first come first served in its site."""
-    rows = numbered(requests, "site", [F.col(c) for c in order], "__i")
-    return rows.withColumn("slot", F.call_function("div", F.col("__i"), F.lit(supply))).drop("__i")
+def _slots(rows: DataFrame, key: str, order: list[Column], window: Column, supply: int, name: str) -> DataFrame:
+    """rows with the number of the window in which a limit of supply requests a window lets each go, first come first served in its key. window: that in which a row comes.
+
+    With tokens numbered through, a window's first being its number times the supply, the i-th row takes the token
+    i + max(window supply - j) over all rows j up to it: what earlier windows have left over expires. The maximum is taken within
+    ranges, then over the ranges before.
+    """
+    if not supply:
+        return rows.withColumn(name, window)
+    placed = numbered(rows.withColumn("__window", window), key, order, "__i", with_range=True)
+    placed = cut(placed.withColumn("__free", F.col("__window") * supply - F.col("__i")), "placed")
+    tops = placed.groupBy("__range", F.col(key).alias("__key")).agg(F.max("__free").alias("__top"))
+    before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = cut(tops.withColumn("__before", F.max("__top").over(before)).drop("__top").withColumnRenamed("__range", "__r"), "tops")
+    inside = F.max("__free").over(Window.partitionBy(key, "__range").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0))
+    out = placed.withColumn("__inside", inside).join(small(tops, tops.count()), (F.col("__range") == F.col("__r")) & F.col(key).eqNullSafe(F.col("__key")))
+    token = F.col("__i") + F.greatest("__inside", "__before")
+    return out.withColumn(name, F.call_function("div", token, F.lit(supply))).select(*rows.columns, name)
+
+
+def rate_limited_schedule(requests: DataFrame, supply: int, order: list[str], arrives: str | None = None, window: int = 3600, overall: tuple[int, int] | None = None) -> DataFrame:
+    """requests with slot: the number of the window of their site in which each is sent, first come first served.
+
+    Without arrives all are ready at once, in the given order; else arrives is the column of the time at which each comes,
+    windows take window seconds from the epoch, and a request comes before those of later times. overall: a supply
+    and a window in seconds of all sites together, which a request meets when its site lets it go; then there is overall_slot too.
+    """
+    if arrives is None:
+        rows = numbered(requests, "site", [F.col(c) for c in order], "__i")
+        return rows.withColumn("slot", F.call_function("div", F.col("__i"), F.lit(supply))).drop("__i")
+    micros = F.unix_micros(arrives)
+    at = lambda seconds: F.call_function("div", micros, F.lit(seconds * 1_000_000).cast("long"))
+    first = [F.col(arrives), *[F.col(c) for c in order if c != arrives]]
+    rows = _slots(requests, "site", first, at(window), supply, "slot")
+    if overall is None:
+        return rows
+    supply_of_all, window_of_all = overall
+    rows = cut(rows.withColumn("__sent", F.greatest(micros, F.col("slot") * window * 1_000_000)).withColumn("__all", F.lit(1)), "sent")
+    of_all = F.call_function("div", F.col("__sent"), F.lit(window_of_all * 1_000_000).cast("long"))
+    return _slots(rows, "__all", [F.col("__sent"), *first], of_all, supply_of_all, "overall_slot").drop("__sent", "__all")

@@ -164,6 +164,12 @@ ORACLE_SQL: dict[str, str] = {
     "rate_limit_violations": f"""WITH {_LOG}, w AS (SELECT site, date_trunc('hour', ts) AS window_start, count(*) AS n FROM log GROUP BY 1, 2)
       SELECT * FROM w WHERE n > 1 UNION ALL SELECT NULL, window_start, sum(n)::BIGINT FROM w GROUP BY window_start HAVING sum(n) > 15""",
     "rate_limited_schedule": f"WITH {_LOG} SELECT event_id, site, (row_number() OVER (PARTITION BY site ORDER BY ts, event_id) - 1) // 5 AS slot FROM log",
+    "rate_limited_arrivals": f"""WITH {_LOG}, l AS (SELECT event_id, site, ts, row_number() OVER (PARTITION BY site ORDER BY ts, event_id) - 1 AS i, epoch_us(ts) // 21600000000 AS a FROM log),
+      s AS (SELECT *, i + max(a - i) OVER (PARTITION BY site ORDER BY i ROWS UNBOUNDED PRECEDING) AS slot FROM l), r AS (SELECT *, greatest(epoch_us(ts), slot * 21600000000) AS sent FROM s),
+      o AS (SELECT *, row_number() OVER (ORDER BY sent, ts, event_id) - 1 AS j, sent // 3600000000 AS b FROM r)
+      SELECT event_id, site, slot, (j + max(b * 15 - j) OVER (ORDER BY j ROWS UNBOUNDED PRECEDING)) // 15 AS overall_slot FROM o""",
+    "latest_bodies": f"""WITH {_VERSIONS}, b AS (SELECT page_id, l.url, status, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') || html AS body FROM latest l JOIN pages USING (page_id))
+      SELECT page_id, url, status, strlen(body)::INT AS n_bytes, sha256(body) AS digest FROM b""",
     "crawl_depth": f"WITH RECURSIVE {_EDGES}, r AS (SELECT url, 0 AS depth FROM pages WHERE page_id = 1 UNION SELECT dst, depth + 1 FROM r JOIN edges ON url = src WHERE depth < 40) SELECT url, min(depth)::INT AS depth FROM r GROUP BY url",
     "crawl": f"""WITH RECURSIVE {_SITES}, {_EDGES}, good AS (SELECT url FROM pages WHERE {_STATUS} = 200), wide AS (SELECT url FROM pages WHERE EXISTS (FROM sites WHERE {_HOST.format("url")} = host AND starts_with({_PATH.format("url")}, path) AND recursive)),
       r AS (SELECT url FROM pages WHERE page_id = 3 UNION SELECT dst FROM r JOIN edges ON r.url = src WHERE dst IN (SELECT url FROM good) AND dst IN (SELECT url FROM wide)) SELECT url FROM r""",

@@ -500,6 +500,21 @@ def q_rate_limited_schedule(spark, d):
     return requestlog.rate_limited_schedule(inputs.request_log(spark, d), 5, ["ts", "event_id"]).select("event_id", "site", "slot")
 
 
+@query
+def q_rate_limited_arrivals(spark, d):
+    """Requests at the times of the events: one for each site in six hours, fifteen for all sites in an hour."""
+    out = requestlog.rate_limited_schedule(inputs.request_log(spark, d), 1, ["event_id"], "ts", 6 * 3600, (15, 3600))
+    return out.select("event_id", "site", "slot", "overall_slot")
+
+
+@query
+def q_latest_bodies(spark, d):
+    """The latest of two versions of every page, whose bodies differ."""
+    bodies = inputs.pages(spark, d).select("url", "html")
+    v = _versions(spark, d).join(bodies, "url").withColumn("body", F.encode(F.concat(F.col("fetched_at").cast("string"), "html"), "utf-8")).drop("html")
+    return store.latest_response(v).select("page_id", "url", "status", F.octet_length("body").alias("n_bytes"), F.sha2("body", 256).alias("digest"))
+
+
 # --- graph ---
 
 

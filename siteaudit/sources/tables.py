@@ -39,13 +39,27 @@ BUCKET_ROWS = 50_000
 def write_store(responses: DataFrame, path: str, buckets: int | None = None) -> None:
     """Persist the latest response of each URL, in folders by a hash of the URL; without a number of buckets there is one for every BUCKET_ROWS rows.
 
-    Rows are dealt by bucket once: the latest are found in the same partitions, and each folder gets one file.
+    Rows with bodies are dealt by bucket when only the latest are left, others once before: the latest are found in the same partitions. Each folder gets one file.
     """
     from siteaudit.operators.store import latest_response
 
     buckets = buckets or -(-responses.count() // BUCKET_ROWS) or 1
-    dealt = responses.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
-    latest_response(dealt, ["bucket", "url"]).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    bucket = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+    if "body" in responses.columns:
+        last = latest_response(responses).withColumn("bucket", bucket).repartition(buckets, "bucket")
+    else:
+        last = latest_response(responses.withColumn("bucket", bucket).repartition(buckets, "bucket"), ["bucket", "url"])
+    last.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def write_store_table(responses: DataFrame, name: str, path: str, buckets: int | None = None) -> DataFrame:
+    """The latest response of each URL as a table of the catalog, dealt and sorted by url into buckets (one for every BUCKET_ROWS rows): joins on url read it as it lies."""
+    from siteaudit.operators.store import latest_response
+
+    last = latest_response(responses)
+    buckets = buckets or -(-responses.count() // BUCKET_ROWS) or 1
+    last.repartition(buckets, "url").write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, "url").sortBy("url").saveAsTable(name)
+    return responses.sparkSession.table(name)
 
 
 def write_report_json(report: DataFrame, path: str) -> None:
