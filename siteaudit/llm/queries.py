@@ -165,8 +165,8 @@ FROM ruled
 
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of 13-word windows that a document with a smaller identifier has."""
-    kept = substring.drop_repeats(table(spark, sf_dir, "documents"), 13)
-    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    kept = substring.drop_repeats(table(spark, sf_dir, "documents"), 13, shown=lambda text: F.sha2(text.cast("binary"), 256))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 _OP11_SQL = """

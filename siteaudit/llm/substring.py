@@ -1,7 +1,7 @@
 """Substring dedup by a count-min prefilter and an exact grouping of what it lets through (operator 11).
 
 Documents lie in chunks of bounded size, in a table with a bucket for each chunk's number, so that the three passes over the
-texts move no text. A window travels as an offset of one or two bytes in the first pass, as a bit in its answer, and as its
+texts move no text. A window travels as two offsets of some eleven bits each in the first pass, as two bits in its answer, and as its
 128-bit hash only if both rows of the sketch say that another chunk may hold it.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,20 +17,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteaudit.llm.common import cut, scratch, slices
 from siteaudit.llm.words import VISIBLE, Words, words
 
 #: Bytes of text in a chunk, but for one text that is longer.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 #: Spark's bound on the buckets of a table; several chunks share a bucket beyond it.
 MOST_BUCKETS = 100_000
 #: Counters of a sketch row for each byte of text: about four for each window of European text.
 COUNTERS = 0.6
-#: Counters of a part of a row that is merged in one group: 2^16 to 2^25, so that parts stay large as rows grow.
-LEAST_PART, MOST_PART, PARTS = 16, 25, 14
+#: Counters of a part of a row that is merged in one group: 2^16 to 2^24, 2^9 parts where that leaves the choice.
+LEAST_PART, MOST_PART, PARTS = 16, 24, 9
 
 
 def row_bits(n_bytes: int) -> int:
@@ -42,28 +42,33 @@ def part_bits(bits: int) -> int:
     return min(bits, max(LEAST_PART, min(MOST_PART, bits - PARTS)))
 
 
-# --- offsets in ascending order as their differences ---
+#: Windows that are hashed at once.
+BLOCK = 16_384
 
 
-def pack_offsets(offsets: np.ndarray, unit: type = np.uint8) -> bytes:
-    """Differences in units; the greatest value of a unit adds itself and goes on."""
-    top = np.iinfo(unit).max
+# --- offsets in ascending order: their differences, low bits as they are, the others as so many zeros before a one ---
+
+
+def pack_offsets(offsets: np.ndarray, low: type = np.uint8) -> bytes:
+    bits = np.dtype(low).itemsize * 8
     steps = np.diff(offsets, prepend=0)
-    more, rest = np.divmod(steps, top)
-    out = np.full(len(steps) + int(more.sum()), top, unit)
-    out[np.cumsum(more + 1) - 1] = rest
-    return out.tobytes()
+    ones = np.cumsum((steps >> bits) + 1) - 1
+    high = np.zeros(int(ones[-1]) + 1 if len(ones) else 0, np.uint8)
+    high[ones] = 1
+    return steps.astype(low).tobytes() + np.packbits(high).tobytes()
 
 
-def unpack_offsets(data: bytes, unit: type = np.uint8) -> np.ndarray:
-    steps = np.frombuffer(data, unit)
-    return np.cumsum(steps, dtype=np.int64)[steps < np.iinfo(unit).max]
+def unpack_offsets(data: bytes | memoryview, n: int, low: type = np.uint8) -> np.ndarray:
+    split = n * np.dtype(low).itemsize
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=split)))[:n]
+    high = np.diff(ones, prepend=-1) - 1
+    return np.cumsum((high << (8 * np.dtype(low).itemsize)) + np.frombuffer(data, low, n))
 
 
-def unit_for(bits: int, windows: int) -> type:
-    """The unit that suits the mean difference of a chunk's offsets."""
+def low_for(bits: int, windows: float) -> type:
+    """The low bits that suit the mean difference of a chunk's offsets."""
     mean = 2.0**bits / max(1, windows)
-    return np.uint8 if mean < 300 else np.uint16 if mean < 80_000 else np.uint32
+    return np.uint8 if mean < 2_000 else np.uint16 if mean < 500_000 else np.uint32
 
 
 # --- the windows of a chunk ---
@@ -96,12 +101,13 @@ def _hashes(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     codes = coded.indices.to_numpy(zero_copy_only=False)
     n = max(0, len(codes) - size + 1)
     factors = np.random.default_rng(13).integers(0, 2**63, (2, size), np.uint64) * np.uint64(2) + np.uint64(1)
-    out = []
+    out = np.zeros((2, n), np.uint64)
     for k in (0, 1):
-        own, total = pairs[:, k][codes], np.zeros(n, np.uint64)
-        for j in range(size):
-            total += own[j : j + n] * factors[k, j]
-        out.append(total)
+        own = np.ascontiguousarray(pairs[:, k])[codes]
+        for i in range(0, n, BLOCK):  # a block stays in the processor's cache
+            total = out[k, i : i + BLOCK]
+            for j in range(size):
+                total += own[i + j : i + j + len(total)] * factors[k, j]
     return out[0], out[1]
 
 
@@ -133,7 +139,7 @@ def _cells(w: Windows, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray
     shift = np.uint64(64 - bits)
     yield 0, (w.h1[first] >> shift).astype(np.int64), None
     second = (w.h2[first] >> shift).astype(np.int64)
-    place = np.argsort(second, kind="stable")
+    place = np.argsort(second)
     yield 1, second[place], place
 
 
@@ -158,40 +164,37 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, st
     buckets = max(1, min(MOST_BUCKETS, max(math.ceil(n_bytes / CHUNK_BYTES), rows.rdd.getNumPartitions())))
     name = f"siteaudit_chunks_{uuid.uuid4().hex[:12]}"
     written = rows.mapInArrow(number, schema).write.format("parquet").bucketBy(buckets, "chunk")
-    written.option("path", scratch(spark, "chunks")).saveAsTable(name)
+    written.option("compression", "zstd").option("path", scratch(spark, "chunks")).saveAsTable(name)
     return spark.table(name), name, n_bytes
 
 
 def _sketches(chunks: DataFrame, size: int, bits: int) -> DataFrame:
     """Each chunk's own sketch: a row for each part of it that isn't empty, with the counters that its distinct windows raise by one."""
-    part, unit = part_bits(bits), unit_for(bits, CHUNK_BYTES * COUNTERS / 4)
+    part, low = part_bits(bits), low_for(bits, CHUNK_BYTES * COUNTERS / 4)
 
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
-        out = {"row": [], "part": [], "offsets": []}
+        out = {"row": [], "part": [], "n": [], "offsets": []}
         for row, cells, _ in _cells(windows_of(table, size), bits):
             parts, starts = np.unique(cells >> part, return_index=True)
             for p, own in zip(parts.tolist(), np.split(cells, starts[1:]) if len(starts) else []):
-                out["row"].append(row)
-                out["part"].append(p)
-                out["offsets"].append(pack_offsets(own - (p << part), unit))
-        n = len(out["row"])
-        return pa.table({"chunk": pa.array([key[0].as_py()] * n, pa.int64()), "row": pa.array(out["row"], pa.int32()), "part": pa.array(out["part"], pa.int64()), "offsets": pa.array(out["offsets"], pa.binary())})
+                for k, v in zip(out, (row, p, len(own), pack_offsets(own - (p << part), low))):
+                    out[k].append(v)
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(out["row"]), pa.int64())} | {k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
 
-    return chunks.groupBy("chunk").applyInArrow(sketch, "chunk long, row int, part long, offsets binary")
+    return chunks.groupBy("chunk").applyInArrow(sketch, "chunk long, row int, part long, n int, offsets binary")
 
 
 def _estimates(sketches: DataFrame, bits: int) -> DataFrame:
     """The merged sketch's answer to each chunk: a bit for each of its offsets, whether the counter is above one. A group is one part of a row, with a set number of counters."""
-    part, unit = part_bits(bits), unit_for(bits, CHUNK_BYTES * COUNTERS / 4)
+    part, low = part_bits(bits), low_for(bits, CHUNK_BYTES * COUNTERS / 4)
 
     def merge(table: pa.Table) -> pa.Table:
-        pieces = [unpack_offsets(x.as_buffer(), unit) for x in table["offsets"]]
-        counts = np.zeros(1 << part, np.uint8)
-        for own in pieces:  # a counter stays at 2, which is all that is asked
-            cells, n = np.unique(own, return_counts=True)
-            counts[cells] = np.minimum(counts[cells] + np.minimum(n, 2), 2)
-        flags = [np.packbits(counts[own] > 1).tobytes() for own in pieces]
-        return pa.table({"chunk": table["chunk"], "row": table["row"], "part": table["part"], "n": pa.array([len(own) for own in pieces], pa.int32()), "flags": pa.array(flags, pa.binary())})
+        sizes = table["n"].to_pylist()
+        cells = np.concatenate([unpack_offsets(x.as_buffer(), n, low) for x, n in zip(table["offsets"], sizes)])
+        often = np.split(np.bincount(cells, minlength=1 << part)[cells] > 1, np.cumsum(sizes)[:-1])
+        flags = pa.array([np.packbits(x).tobytes() for x in often], pa.binary())
+        return table.select(["chunk", "row", "part", "n"]).append_column("flags", flags)
 
     return sketches.groupBy("row", "part").applyInArrow(merge, "chunk long, row int, part long, n int, flags binary")
 
@@ -228,6 +231,7 @@ def _repeated(candidates: DataFrame) -> DataFrame:
 
 
 def _kept(chunks: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
+    """id, n_words, n_removed, kept of all rows: windows that a chunk repeats itself are found anew, those of other chunks come as numbers."""
     id_type = chunks.schema["id"].dataType.simpleString()
 
     def keep(docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -252,8 +256,8 @@ def _kept(chunks: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
     return chunks.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(keep, f"id {id_type}, n_words long, n_removed long, kept string")
 
 
-def drop_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, n_removed and kept (the other words, joined by one space) of each row of docs.
+def drop_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", shown: Callable[[Column], Column] | None = None) -> DataFrame:
+    """id, n_words, n_removed and kept (the other words, joined by one space) of each row of docs. shown: what is written of kept, else all of it.
 
     Words are what lies between white space (space and the controls 9 to 13), unchanged. A word goes if it is in a
     window of size consecutive words that also begins in a row with a smaller id; windows are those of the input.
@@ -270,6 +274,7 @@ def drop_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_c
         bits = row_bits(n_bytes)
         answers = cut(_estimates(_sketches(chunks, size, bits), bits), "estimates")
         repeated = cut(_repeated(_candidates(chunks, answers, size, bits)), "repeated")
-        return cut(_kept(chunks, repeated, size), "kept")
+        kept = _kept(chunks, repeated, size)
+        return cut(kept.withColumn("kept", shown(F.col("kept"))) if shown else kept, "kept")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")

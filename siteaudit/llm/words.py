@@ -46,6 +46,6 @@ def words(texts: pa.Array | pa.ChunkedArray, inside: np.ndarray, lower: bool = F
     packed = data[held]
     if lower:
         packed = LOWER[packed]
-    ends = np.append((np.cumsum(held) - 1)[at], len(packed)).astype(np.int64)
+    ends = np.append(np.cumsum(held, dtype=np.int32 if len(held) < 2**31 else np.int64)[at].astype(np.int64) - 1, len(packed))
     values = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(packed))
     return Words(values, np.searchsorted(at, bounds))

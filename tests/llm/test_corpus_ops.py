@@ -87,11 +87,11 @@ def test_texts_do_not_move(spark, sf_dir, monkeypatch):
 
 def test_offsets_come_back():
     rng = np.random.default_rng(1)
-    for unit in (np.uint8, np.uint16, np.uint32):
+    for low in (np.uint8, np.uint16, np.uint32):
         for top in (1, 300, 100_000, 1 << 25):
             x = np.sort(rng.integers(0, top, 500))
-            assert substring.unpack_offsets(substring.pack_offsets(x, unit), unit).tolist() == x.tolist()
-    assert substring.unpack_offsets(substring.pack_offsets(np.array([], np.int64))).tolist() == []
+            assert substring.unpack_offsets(substring.pack_offsets(x, low), 500, low).tolist() == x.tolist()
+    assert substring.unpack_offsets(substring.pack_offsets(np.array([], np.int64)), 0).tolist() == []
 
 
 def test_words_by_bytes():
