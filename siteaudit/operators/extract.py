@@ -43,9 +43,10 @@ _XML_TAG = f"<[^\\s/>!?=\"'<][^\\s/>]*+(?:[\\s/]++|{_ATTRIBUTE})*+>"
 _XML_TOKEN = f"(?s)<!--.*?(?:-->|\\z)|<!\\[CDATA\\[.*?(?:\\]\\]>|\\z)|<\\?.*?(?:\\?>|\\z)|<[!/][^>]*+>?+|({_XML_TAG})"
 #: What comes before a URL of a srcset, the URL without closing commas, and its descriptor up to the next comma.
 _SRCSET = "[\\s,]*([^\\s]*[^\\s,])(?:,+|\\s[^,]*)?"
-_REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;)"
-# The standard's named references that end in a semicolon, and the numbers 128 to 159, which stand for Windows-1252 characters.
-_NAMED = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+#: Numbers, or a whole run of letters and digits; without a semicolon it must not stand before an equals sign.
+_REFERENCE = "&(?:#[0-9]++;?|#[xX][0-9A-Fa-f]++;?|[A-Za-z][A-Za-z0-9]*+(?:;|(?!=)))"
+# The standard's named references, with their semicolon where it belongs to them, and the numbers 128 to 159, which stand for Windows-1252 characters.
+_NAMED = dict(html5)
 _WINDOWS = {str(i): bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 LINK_COLUMNS = ["doc_url", "ord", "element", "attribute", "item", "raw", "hint"]
 
@@ -56,7 +57,7 @@ def _map(pairs: dict[str, str]) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """Character references by their values: named, decimal and hexadecimal. What is none stays as it is."""
+    """Character references of an attribute's value: named (the old names without a semicolon too), decimal and hexadecimal. What is none stays as it is."""
 
     def numbered(s: Column) -> Column:
         n = s["n"]
@@ -65,8 +66,9 @@ def decode_entities(text: Column) -> Column:
         return F.when(bad, F.lit("\ufffd")).otherwise(F.coalesce(F.try_element_at(_map(_WINDOWS), n.cast("string")), sign))
 
     def one(part: Column) -> Column:
-        name, low = F.regexp_replace(part, "^&|;$", ""), F.lower(F.substring(part, 3, 1))
-        number = F.when(low == "x", F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).otherwise(F.substring(name, F.lit(2), F.length(name))).try_cast("long")
+        name, low = F.regexp_replace(part, "^&", ""), F.lower(F.substring(part, 3, 1))
+        digits = F.regexp_replace(name, "^#[xX]?|;$", "")
+        number = F.when(low == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
         return F.when(~part.rlike(f"^{_REFERENCE}$"), part).when(part.startswith("&#"), let(numbered, n=number)).otherwise(F.coalesce(F.try_element_at(_map(_NAMED), name), part))
 
     parts = lambda t: F.regexp_extract_all(t, F.lit(f"{_REFERENCE}|[^&]+|&"), F.lit(0))

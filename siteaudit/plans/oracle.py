@@ -104,7 +104,7 @@ ORACLE_SQL: dict[str, str] = {
     "type_scalars": """WITH p AS (SELECT page_id, CASE WHEN page_id % 11 <> 0 THEN ['text/html', 'Text/CSS', 'application/xml', 'image/svg+xml', 'text/plain', 'image/png'][page_id % 6 + 1] END AS media, ['css', 'html', 'sitemap', 'svg', 'robots', NULL][(page_id // 6) % 6 + 1] AS hint FROM pages),
       t AS (SELECT *, CASE lower(media) WHEN 'text/css' THEN 'css' WHEN 'text/html' THEN 'html' WHEN 'application/xml' THEN 'sitemap' WHEN 'image/svg+xml' THEN 'svg' WHEN 'text/plain' THEN 'robots' END AS is_a FROM p)
       SELECT page_id, media, CASE WHEN media IS NULL THEN hint WHEN hint IS NULL THEN CASE WHEN is_a IN ('css', 'html', 'svg') THEN is_a END WHEN hint = is_a THEN hint END AS doc_type,
-        CASE WHEN media IS NOT NULL AND hint IS NOT NULL AND hint IS DISTINCT FROM is_a THEN 'content_type_invalid' END AS error, page_id % 3 <> 0 AS utf8, page_id % 3 <> 2 AS accepted, false AS scheme_ok FROM t""",
+        CASE WHEN media IS NOT NULL AND hint IS NOT NULL AND hint IS DISTINCT FROM is_a THEN 'content_type_invalid' END AS error, page_id % 3 <> 0 AS utf8, page_id % 3 <> 2 AS accepted, page_id % 2 = 0 AS scheme_ok FROM t""",
     "name_scalars": """WITH k AS (SELECT page_id, page_id % 5 AS ns, ['p', 'xlink', ''][(page_id // 5) % 3 + 1] AS prefix, page_id % 3 AS p, (page_id // 3) % 3 AS v, ['exact', 'ci', 'token'][(page_id // 7) % 3 + 1] AS match FROM pages)
       SELECT page_id, CASE ns WHEN 0 THEN 'xlink:n' WHEN 2 THEN CASE prefix WHEN 'p' THEN 'p:n' WHEN 'xlink' THEN 'http://example.com/n:n' ELSE 'n' END WHEN 3 THEN NULL ELSE 'n' END AS qualified,
         CASE p WHEN 0 THEN v = 0 WHEN 1 THEN v = 1 ELSE v <> 2 END AS matches,
@@ -207,14 +207,14 @@ ORACLE_SQL: dict[str, str] = {
         WHEN NOT EXISTS (FROM q a WHERE a.r = CASE r0 % 20 WHEN 1 THEN next ELSE r0 END AND a.page_id = fragment) THEN 'element_not_found' END AS error_kind FROM (SELECT *, r AS r0 FROM asked), last
         UNION ALL SELECT unnest(['content', 'src', 'srcset', 'srcset', 'srcset', 'href']), NULL FROM pages)
       SELECT attribute, error_kind IS NULL AS ok, error_kind, count(*) AS n FROM v GROUP BY attribute, error_kind""",
-    "split_markup_errors": """WITH k AS (SELECT page_id % 6 AS k, page_id % 7 = 0 AS seventh, page_id % 8 = 0 AS eighth FROM pages),
-      e AS (SELECT 'unknown_tag' AS kind, 'unknown tag "blink"' AS message FROM k WHERE k = 0 UNION ALL SELECT 'attribute_not_allowed', 'attribute "foo" not allowed' FROM k WHERE k = 2 UNION ALL SELECT 'invalid_value', 'attribute "target" has an invalid value' FROM k WHERE k = 2
-        UNION ALL SELECT 'conflicting_attribute', 'attribute "name" is conflicting' FROM k WHERE k = 3 UNION ALL SELECT 'missing_attribute', 'missing attributes: src' FROM k WHERE k = 1
-        UNION ALL SELECT 'child_not_allowed', 'child "' || CASE k WHEN 0 THEN 'blink' WHEN 3 THEN 'meta' ELSE 'p' END || '" not allowed' FROM k WHERE k IN (0, 3, 4)
-        UNION ALL SELECT 'misplaced_child', 'child "head" misplaced' FROM k WHERE seventh UNION ALL SELECT 'misplaced_child', 'child "body" misplaced' FROM k WHERE eighth UNION ALL SELECT 'missing_child', 'missing children: dd' FROM k WHERE eighth)
-      SELECT kind, message, count(*) AS n FROM e GROUP BY kind, message""",
-    "page_markup": """WITH k AS (SELECT page_id % 5 AS k FROM pages), e AS (SELECT 'unknown_tag' AS kind, 'blink' AS name FROM k WHERE k = 0 UNION ALL SELECT 'child_not_allowed', 'blink' FROM k WHERE k = 0 UNION ALL SELECT 'missing_attribute', 'src' FROM k WHERE k = 1
-      UNION ALL SELECT 'attribute_not_allowed', 'foo' FROM k WHERE k = 2 UNION ALL SELECT 'invalid_value', 'target' FROM k WHERE k = 2 UNION ALL SELECT 'child_not_allowed', 'p' FROM k WHERE k = 3) SELECT kind, name, count(*) AS n FROM e GROUP BY kind, name""",
+    "split_markup_errors": """WITH k AS (SELECT url, page_id % 6 AS k, page_id % 7 = 0 AS seventh, page_id % 8 = 0 AS eighth FROM pages),
+      e AS (SELECT url AS doc_url, 'unknown_tag' AS kind, 'unknown tag "blink"' AS message FROM k WHERE k = 0 UNION ALL SELECT url, 'attribute_not_allowed', 'attribute "foo" not allowed' FROM k WHERE k = 2 UNION ALL SELECT url, 'invalid_value', 'attribute "target" has an invalid value' FROM k WHERE k = 2
+        UNION ALL SELECT url, 'conflicting_attribute', 'attribute "name" is conflicting' FROM k WHERE k = 3 UNION ALL SELECT url, 'missing_attribute', 'missing attributes: src' FROM k WHERE k = 1
+        UNION ALL SELECT url, 'child_not_allowed', 'child "' || CASE k WHEN 0 THEN 'blink' WHEN 3 THEN 'meta' ELSE 'p' END || '" not allowed' FROM k WHERE k IN (0, 3, 4)
+        UNION ALL SELECT url, 'misplaced_child', 'child "head" misplaced' FROM k WHERE seventh UNION ALL SELECT url, 'misplaced_child', 'child "body" misplaced' FROM k WHERE eighth UNION ALL SELECT url, 'missing_child', 'missing children: dd' FROM k WHERE eighth)
+      SELECT doc_url, kind, message FROM e""",
+    "page_markup": """WITH k AS (SELECT url, page_id % 5 AS k FROM pages), e AS (SELECT url AS doc_url, 'unknown_tag' AS kind, 'blink' AS name FROM k WHERE k = 0 UNION ALL SELECT url, 'child_not_allowed', 'blink' FROM k WHERE k = 0 UNION ALL SELECT url, 'missing_attribute', 'src' FROM k WHERE k = 1
+      UNION ALL SELECT url, 'attribute_not_allowed', 'foo' FROM k WHERE k = 2 UNION ALL SELECT url, 'invalid_value', 'target' FROM k WHERE k = 2 UNION ALL SELECT url, 'child_not_allowed', 'p' FROM k WHERE k = 3) SELECT doc_url, kind, name FROM e""",
 }
 ORACLE_SQL["report_json_sink"] = f"SELECT url, length(json)::INT AS n_chars FROM ({ORACLE_SQL['report_json']})"
 ORACLE_SQL["report_text_sink"] = f"SELECT line AS value FROM ({ORACLE_SQL['report_lines']})"

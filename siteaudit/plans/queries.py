@@ -209,7 +209,7 @@ def q_type_scalars(spark, d):
     p = p.withColumn("headers", F.when(F.col("page_id") % 11 == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("content-type"), "ct")))
     p = p.withColumn("media", text.media_type(F.col("headers"))).withColumn("t", text.document_type(F.col("media"), F.col("hint")))
     bad = F.when(F.col("page_id") % 3 == 0, F.concat("body", F.unhex(F.lit("FF")))).otherwise(F.col("body"))
-    return p.select("page_id", "media", "t.doc_type", "t.error", text.utf8_valid(bad).alias("utf8"), text.status_accepted(F.col("page_id").cast("int") % 3 + 200, F.array(F.lit(200), F.lit(201))).alias("accepted"), text.scheme_accepted(F.lit("http://x"), F.array(F.lit("https"))).alias("scheme_ok"))
+    return p.select("page_id", "media", "t.doc_type", "t.error", text.utf8_valid(bad).alias("utf8"), text.status_accepted(F.col("page_id").cast("int") % 3 + 200, F.array(F.lit(200), F.lit(201))).alias("accepted"), text.scheme_accepted(F.when(F.col("page_id") % 2 == 0, "HTTPS://x").otherwise("http://x"), F.array(F.lit("https"))).alias("scheme_ok"))
 
 
 @query
@@ -320,9 +320,9 @@ def q_robots_documents(spark, d):
 
 
 def _marked_up(spark: SparkSession, d: str) -> DataFrame:
-    """Element rows of small documents with one fault each, by page_id."""
+    """Element rows of the pages, each with a second html element after its own that has a fault, by page_id."""
     html = F.expr(
-        """concat('<html><head><title>t</title></head><body>', CASE page_id % 6 WHEN 0 THEN '<blink>x</blink>' WHEN 1 THEN '<p><img alt="a">' WHEN 2 THEN '<a href="/" target="nowhere" foo="1">t</a>'
+        """concat(html, '</html><html><head><title>t</title></head><body>', CASE page_id % 6 WHEN 0 THEN '<blink>x</blink>' WHEN 1 THEN '<p><img alt="a">' WHEN 2 THEN '<a href="/" target="nowhere" foo="1">t</a>'
         WHEN 3 THEN '<div data-x="1"><meta charset="UTF-8" name="n"></div>' WHEN 4 THEN '<ul><p>x</p><li>y<li>z</ul>' ELSE '<p>fine<p>too' END, '</body>', CASE WHEN page_id % 7 = 0 THEN '<head></head>' ELSE '' END, CASE WHEN page_id % 8 = 0 THEN '<body><dl><dt>a</dl></body>' ELSE '' END, '</html>')"""
     )
     return elements.elements(inputs.pages(spark, d).select("url", html.alias("html")))
@@ -341,20 +341,19 @@ for _f in (markup.unknown_tags, markup.disallowed_attributes, markup.invalid_att
 
 @query
 def q_split_markup_errors(spark, d):
-    return audit.markup_audit(_marked_up(spark, d), markup.html_rules(spark)).groupBy("kind", "message").agg(F.count(F.lit(1)).alias("n"))
+    return audit.markup_audit(_marked_up(spark, d), markup.html_rules(spark)).select("doc_url", "kind", "message")
 
 
 @query
 def q_page_markup(spark, d):
-    """Markup errors of the pages with a fault in each, by kind."""
-    rows = markup.markup_errors(elements.elements(inputs.faulty_pages(spark, d)), markup.html_rules(spark))
-    return rows.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
+    """Markup errors of the pages with a fault in each."""
+    return markup.markup_errors(elements.elements(inputs.faulty_pages(spark, d)), markup.html_rules(spark)).select("doc_url", "kind", "name")
 
 
 @query
 def q_dedup_attributes(spark, d):
-    rows = elements.elements(inputs.pages(spark, d).select("url", F.concat(F.lit('<p id="b" class="x" id="a">'), F.col("page_id").cast("string")).alias("html")))
-    return markup.dedup_attributes(rows).select("doc_url", "attribute", "value")
+    rows = elements.elements(inputs.pages(spark, d).select("url", F.concat(F.lit('<p id="b" class="x" id="a">'), "html").alias("html")))
+    return markup.dedup_attributes(rows).where("ord = 0").select("doc_url", "attribute", "value")
 
 
 @query
