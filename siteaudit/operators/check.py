@@ -61,11 +61,20 @@ def check_links(links: DataFrame, targets: DataFrame, sites: DataFrame, ignored:
     A link without a response has the error missing_response. data: links are ok, unless targets hold what they
     hold (see audit.data_svgs): then their type and fragment are checked, by the options of the linking document's site.
     """
-    listed = F.col("element").isin(*LISTED)
     on = targets.select(F.col("url").alias("__url"), "final_url", "status", "media", "request_error", "redirect_error", "allowed")
-    kind = link_class(F.col("target"))
-    rows = match_site(links.withColumn("__of", F.when(kind == "data", F.col("doc_url")).otherwise(F.col("target"))), sites, "__of")
-    rows = rows.join(on, F.col("target_nofrag") == F.col("__url"), "left")
+    rows = with_site(links, sites).join(on, F.col("target_nofrag") == F.col("__url"), "left")
+    return judged(rows, links.columns, ignored, anchors)
+
+
+def with_site(links: DataFrame, sites: DataFrame) -> DataFrame:
+    """links with site: that of their target, or of their document for data: links."""
+    of = F.when(link_class(F.col("target")) == "data", F.col("doc_url")).otherwise(F.col("target"))
+    return match_site(links.withColumn("__of", of), sites, "__of")
+
+
+def judged(rows: DataFrame, columns: list[str], ignored: list[str] | None = None, anchors: DataFrame | None = None) -> DataFrame:
+    """columns of rows with ok, error_kind, error, final_url and status. rows: links with their site and what is known of their target (__url is null for nothing)."""
+    listed, kind = F.col("element").isin(*LISTED), link_class(F.col("target"))
     held = (kind == "data") & F.col("__url").isNotNull()
     doc = document_type(F.col("media"), F.col("hint"))
     ok, err = F.lit(""), lambda k: F.lit(k)
@@ -84,11 +93,11 @@ def check_links(links: DataFrame, targets: DataFrame, sites: DataFrame, ignored:
     )
     rows = rows.withColumn("__verdict", verdict)
     if anchors is not None:
-        rows = _with_fragments(rows, anchors, links.columns)
+        rows = _with_fragments(rows, anchors, columns)
     scheme = F.lower(F.regexp_extract("target", "^([A-Za-z][A-Za-z0-9+.\\-]*):", 1))
     failed = F.col("__verdict") != ""
     message = error_message(F.col("__verdict"), F.col("status"), scheme, F.col("fragment"), F.col("hint"), F.col("media"))
-    return rows.select(*links.columns, (~failed).alias("ok"), F.when(failed, F.col("__verdict")).alias("error_kind"), F.when(failed, message).alias("error"), "final_url", "status")
+    return rows.select(*columns, (~failed).alias("ok"), F.when(failed, F.col("__verdict")).alias("error_kind"), F.when(failed, message).alias("error"), "final_url", "status")
 
 
 def _with_fragments(rows: DataFrame, anchors: DataFrame, columns: list[str]) -> DataFrame:

@@ -326,27 +326,28 @@ def _svg_array(tags: Column) -> Column:
     return let(links, tags=tags, names=F.transform(xlink_names(tags), F.lower))
 
 
-def all_links(docs: DataFrame) -> DataFrame:
+def all_links(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Links of documents of all kinds, resolved, in one pass over them. docs: url, doc_type, body (text).
 
     HTML links go to the base of their document; a base that can't be parsed is the document's only link, without a target.
-    Prefixes of SVG documents stand for the same namespace in all of a document.
+    Prefixes of SVG documents stand for the same namespace in all of a document. keep: columns of docs that links have too.
     """
+    kept = [F.col(c) for c in keep or []]
     kind, body, none = F.col("doc_type"), F.col("body"), F.array().cast(f"array<{_LINK}>")
     tags = F.when(kind == "html", tag_strings(body)).when(kind == "svg", xml_tag_strings(body))
-    rows = docs.select(F.col("url").alias("doc_url"), kind, F.when(~kind.isin("html", "svg"), body).alias("body"), tags.alias("tags"))
+    rows = docs.select(F.col("url").alias("doc_url"), kind, F.when(~kind.isin("html", "svg"), body).alias("body"), tags.alias("tags"), *kept)
     rows = rows.withColumn("b", F.when(kind == "html", _base_of(F.col("doc_url"), F.col("tags"))))
-    rows = rows.select("doc_url", "doc_type", "body", "tags", F.coalesce("b.base", F.when(F.col("b.error").isNull(), F.col("doc_url"))).alias("base"), F.col("b.href").alias("base_href"))
+    rows = rows.select("doc_url", "doc_type", "body", "tags", F.coalesce("b.base", F.when(F.col("b.error").isNull(), F.col("doc_url"))).alias("base"), F.col("b.href").alias("base_href"), *kept)
     links = F.when(kind == "html", _html_array(F.col("tags"), F.col("base"), F.col("base_href"))).when(kind == "svg", _svg_array(F.col("tags")))
     for k, f in (("css", css_array), ("sitemap", sitemap_array), ("robots", robots_array)):
         links = links.when(kind == k, f(body))
-    rows = rows.select("doc_url", "base", F.explode(F.coalesce(links, none)).alias("l"))
-    return _resolved(rows.select("doc_url", *[f"l.{c}" for c in LINK_COLUMNS[1:]], "base"), F.col("base")).drop("base")
+    rows = rows.select("doc_url", "base", F.explode(F.coalesce(links, none)).alias("l"), *kept)
+    return _resolved(rows.select("doc_url", *[f"l.{c}" for c in LINK_COLUMNS[1:]], "base", *kept), F.col("base")).drop("base")
 
 
-def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Links of HTML pages, resolved to the base of their page. Narrow: the base travels with the page's URL, so it suits streams and repeated URLs too."""
-    return all_links(pages.select(F.col(url_col).alias("url"), F.lit("html").alias("doc_type"), F.col(html_col).alias("body")))
+    return all_links(pages.select(F.col(url_col).alias("url"), F.lit("html").alias("doc_type"), F.col(html_col).alias("body"), *(keep or [])), keep)
 
 
 def anchor_rows(tags: DataFrame) -> DataFrame:

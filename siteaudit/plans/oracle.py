@@ -176,6 +176,8 @@ ORACLE_SQL: dict[str, str] = {
     "frontier_minus_visited": f"WITH {_EDGES} SELECT DISTINCT dst AS url FROM edges WHERE dst NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)",
     "distinct_documents": f"SELECT {_HOST.format('url')} AS final_url, min(url) AS url FROM pages GROUP BY 1",
     "stream_results": f"WITH {_BASED} SELECT doc_url, ord, target, target IS NOT NULL AND {_TARGET_STATUS} = 200 AS ok, CASE WHEN target IS NULL THEN 'url_parse' WHEN {_TARGET_STATUS} <> 200 THEN 'http_status' END AS error_kind FROM links",
+    "stream_awaited": f"""WITH {_BASED}, k AS (SELECT doc_url, ord, target, CASE WHEN target IS NULL THEN 'url_parse' WHEN length(target) % 11 = 0 THEN 'missing_response' WHEN {_TARGET_STATUS} <> 200 THEN 'http_status' END AS error_kind FROM links)
+      SELECT doc_url, ord, target, error_kind IS NULL AS ok, error_kind FROM k""",
     "stream_dedup": "SELECT url AS final_url, TIMESTAMP '2024-01-01' + to_hours(page_id::INT) AS fetched_at FROM pages",
     "stream_metrics": f"WITH {_METRICS} SELECT sum(success)::BIGINT AS success, sum(error)::BIGINT AS error FROM metrics",
     "stream_store": f"WITH {_VERSIONS} SELECT page_id, url, status FROM latest",

@@ -569,6 +569,23 @@ def q_stream_results(spark, d):
     return spark.read.parquet(out)
 
 
+@query
+def q_stream_awaited(spark, d):
+    """Pages in the order of time, and the responses of their links' targets (each eleventh has none) in another; two last rows of years later let all waiting end."""
+    at = F.timestamp_add("HOUR", F.col("page_id").cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    late = F.lit("2034-01-01").cast("timestamp").alias("fetched_at")
+    p = inputs.based_pages(spark, d).select("url", "html", at.alias("fetched_at"))
+    p = p.unionByName(spark.range(1).select(F.lit("https://last.example.org/").alias("url"), F.lit("").alias("html"), late))
+    asked = check.link_targets(_page_links(spark, d)).select(F.col("target_nofrag").alias("target"))
+    r = asked.where("length(target) % 11 <> 0").select(F.col("target").alias("url"), F.expr(inputs.TARGET_STATUS).cast("int").alias("status"), F.timestamp_add("HOUR", F.length("target"), F.lit("2024-01-01").cast("timestamp")).alias("fetched_at"))
+    r = r.unionByName(spark.range(1).select(F.lit("https://last.example.org/").alias("url"), F.lit(200).alias("status"), late))
+    r = r.select("*", F.create_map(F.lit("content-type"), F.lit("text/html")).alias("headers"), F.lit(None).cast("string").alias("request_error"))
+    pages, answers, out = _in_time(p, "arrivals", "fetched_at"), _in_time(r, "answers", "fetched_at"), scratch(spark, "checked")
+    stream = jobs.stream_awaited(jobs.read_stream(spark, pages, p.schema, 1), jobs.read_stream(spark, answers, r.schema, 1), inputs.sites(spark, d), "1500 DAYS")
+    jobs.run(stream.select("doc_url", "ord", "target", "ok", "error_kind"), out, scratch(spark, "state"))
+    return spark.read.parquet(out)
+
+
 @query
 def q_stream_dedup(spark, d):
     """Every response twice, in the order of time: the state keeps the URLs of an hour."""

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteaudit.operators.check import check_links
+from siteaudit.functions.text import media_type
+from siteaudit.operators.check import check_links, judged, with_site
 from siteaudit.operators.extract import page_links
 from siteaudit.operators.store import latest_response
 
@@ -22,6 +23,23 @@ def stream_results(pages: DataFrame, targets: DataFrame, sites: DataFrame, ignor
     return check_links(page_links(pages), targets, sites, ignored)
 
 
+def stream_awaited(pages: DataFrame, responses: DataFrame, sites: DataFrame, wait: str, delay: str = "10 minutes", ignored: list[str] | None = None) -> DataFrame:
+    """Checked links of arriving pages (url, html, fetched_at) whose targets' responses (url, status, headers, request_error, fetched_at) arrive too, before or after them.
+
+    A link meets the responses of its target within wait of its page. One that has none is judged when the watermarks of both
+    streams (delay behind their latest times) have passed that, as missing_response; until then both sides are state, after it
+    they are dropped. A URL with several responses in that time gives its links a row for each. Links have linked_at.
+    """
+    # pages without links move time on too
+    links = page_links(pages.withWatermark("fetched_at", delay), keep=["fetched_at"]).withColumnRenamed("fetched_at", "linked_at")
+    rows = with_site(links, sites)
+    media, none = media_type(F.col("headers")), F.lit(None).cast("string")
+    answers = responses.select(F.col("url").alias("__url"), F.col("url").alias("final_url"), "status", media.alias("media"), "request_error", none.alias("redirect_error"), F.lit(True).alias("allowed"), F.col("fetched_at").alias("answered_at"))
+    near = (F.col("answered_at") >= F.col("linked_at") - F.expr(f"INTERVAL {wait}")) & (F.col("answered_at") <= F.col("linked_at") + F.expr(f"INTERVAL {wait}"))
+    met = rows.join(answers.withWatermark("answered_at", delay), (F.col("target_nofrag") == F.col("__url")) & near, "leftOuter")
+    return judged(met, links.columns, ignored)
+
+
 def stream_dedup(documents: DataFrame, delay: str | None = None) -> DataFrame:
     """Each final_url once; with a delay (of the column fetched_at) the state forgets URLs after it."""
     if delay is None:
