@@ -210,29 +210,77 @@ def svg_links(elements: DataFrame) -> DataFrame:
     return _rows(elements, _svg_tag_links(F.struct("ord", "name", "attributes")))
 
 
-_CSS_IMPORT = "(?i)@import\\s+(?:url\\(\\s*)?[\"']?([^\"'()\\s;]+)[\"']?\\s*\\)?[^;]*;"
-_CSS_URL = "(?i)url\\(\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'()\\s]*))\\s*\\)"
-_CSS_SET = "(?i)image-set\\(((?:[^()\"']++|\"[^\"]*+\"|'[^']*+'|\\([^()]*+\\))*+)\\)"
+_CSS_ESCAPE = "\\\\(?:[0-9a-f]{1,6}+\\s?+|.)"
+_CSS_COMMENT = "/\\*.*?(?:\\*/|\\z)"
+_CSS_STRING = f"(?:\"(?:[^\"\\\\\\n]++|{_CSS_ESCAPE})*+\"?+|'(?:[^'\\\\\\n]++|{_CSS_ESCAPE})*+'?+)"
+_CSS_URL = f"url\\((?:\\s*+{_CSS_STRING}[^()]*+|\\s*+(?:[^\"'()\\\\\\s]++|{_CSS_ESCAPE})*+\\s*+)\\)?+"
+_CSS_INNER = f"\\((?:[^()\"']++|{_CSS_STRING}|\\((?:[^()\"']++|{_CSS_STRING})*+\\))*+\\)"
+_CSS_IN_SET = f"{_CSS_COMMENT}|{_CSS_STRING}|{_CSS_URL}|{_CSS_INNER}"
+_CSS_SET = f"(?:-webkit-)?image-set\\((?:{_CSS_IN_SET}|[^()\"'])*+\\)?+"
+#: Tokens of CSS: comments, imports up to their URL, image sets as a whole, strings, URLs, names (of functions with their parenthesis), at-keywords and signs.
+CSS_TOKEN = f"(?is){_CSS_COMMENT}|@import(?:\\s++|{_CSS_COMMENT})*+(?:{_CSS_STRING}|{_CSS_URL})|{_CSS_STRING}|{_CSS_SET}|{_CSS_URL}|@[\\w\\-]++|(?:[\\w\\-]|[^\\x00-\\x7f]|{_CSS_ESCAPE})++\\(?+|[{{}}]"
+# At-rules that may stand before an import.
+BEFORE_IMPORT = ["@charset", "@layer", "@import"]
+
+
+def css_text(css: Column) -> Column:
+    """A stylesheet without its byte order mark."""
+    return F.regexp_replace(css, "^\\ufeff", "")
+
+
+def css_tokens(css: Column) -> Column:
+    """The imports, image sets, URLs, at-keywords and braces of a stylesheet in order."""
+    found = F.regexp_extract_all(css_text(css), F.lit(CSS_TOKEN), F.lit(0))
+    return F.filter(found, lambda t: t.rlike("^(?:[@{}]|(?i)url\\(|(?i)(?:-webkit-)?image-set\\()"))
+
+
+def at_keyword(token: Column) -> Column:
+    """The at-keyword that a token begins with, in lower case; empty for another token."""
+    return F.lower(F.regexp_extract(token, "^(@[\\w\\-]++)", 1))
+
+
+def _css_value(token: Column) -> Column:
+    """What a string or url() says: escapes are the characters that they stand for, an escaped line end is nothing."""
+    bare = F.regexp_replace(token, "(?is)^url\\(\\s*+|\\s*+\\)$", "")
+    string = F.regexp_extract(bare, f"(?is)^{_CSS_STRING}", 0)
+    inner = F.when(string != "", F.regexp_replace(string, "(?s)^([\"'])(.*?)\\1?$", "$2")).otherwise(bare)
+    sign = lambda n: F.decode(F.unhex(F.lpad(F.hex(F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit(0xFFFD)).otherwise(n)), 8, "0")), "UTF-32")
+
+    def plain(part: Column) -> Column:
+        number = F.conv(F.regexp_extract(part, "^.([0-9A-Fa-f]+)", 1), 16, 10).cast("long")
+        return F.when(~part.startswith("\\"), part).when(part.rlike("^.[0-9A-Fa-f]"), sign(number)).otherwise(F.regexp_replace(part, "(?s)^.\\n?", ""))
+
+    def decoded(s: Column) -> Column:
+        parts = F.regexp_extract_all(s["t"], F.lit("(?s)\\\\[0-9A-Fa-f]{1,6}\\s?|\\\\.|[^\\\\]++|\\\\"), F.lit(0))
+        return F.when(s["t"].contains("\\"), F.array_join(F.transform(parts, plain), "")).otherwise(s["t"])
+
+    return let(decoded, t=inner)
 
 
 def css_array(css: Column) -> Column:
-    """Links of a stylesheet in order: @import in the prelude with the hint css, url() and the strings of image-set() without one.
+    """Links of a stylesheet in order: @import in the prelude with the hint css; url() and the strings of image-set() without one.
 
-    A byte order mark and comments go; empty and fragment-only URLs are no links.
+    A byte order mark and comments go; empty and fragment-only URLs are no links. An image-set with more than two levels of
+    parentheses in it is read up to the third.
     """
-    text = F.regexp_replace(F.regexp_replace(css, "^\\ufeff", ""), "(?s)/\\*.*?(?:\\*/|\\z)", "")
-    prelude = lambda t: F.regexp_extract(t, "(?is)^((?:\\s*@(?:charset|import|layer)[^;{]*;)*)", 1)
+    one = lambda element, token: F.array(F.struct(F.lit(element).alias("element"), token.alias("token")))
+    none = F.array().cast("array<struct<element:string,token:string>>")
 
     def links(s: Column) -> Column:
-        body = F.substring(s["css"], F.length(s["prelude"]) + 1, F.length(s["css"]))
-        inner = F.transform(F.regexp_extract_all(body, F.lit(_CSS_URL), F.lit(0)), lambda m: F.regexp_replace(F.regexp_replace(m, "(?i)^url\\(\\s*[\"']?", ""), "[\"']?\\s*\\)$", ""))
-        sets = F.flatten(F.transform(F.regexp_extract_all(body, F.lit(_CSS_SET), F.lit(1)), lambda m: F.transform(F.regexp_extract_all(F.regexp_replace(m, _CSS_URL, ""), F.lit("\"[^\"]*\"|'[^']*'"), F.lit(0)), lambda q: F.regexp_replace(q, "^[\"']|[\"']$", ""))))
-        imports = F.transform(F.regexp_extract_all(s["prelude"], F.lit(_CSS_IMPORT), F.lit(1)), lambda u: F.struct(F.lit("@import").alias("element"), u.alias("raw"), F.lit("css").alias("hint")))
-        urls = F.transform(F.concat(inner, sets), lambda u: F.struct(F.lit("url").alias("element"), u.alias("raw"), F.lit(None).cast("string").alias("hint")))
-        found = F.filter(F.concat(imports, urls), lambda x: (x["raw"] != "") & ~x["raw"].startswith("#"))
-        return F.transform(found, lambda x, i: _link(i, x["element"], "", x["raw"], x["hint"]))
-
-    return let(lambda s: let(links, css=s["css"], prelude=prelude(s["css"])), css=text)
+        # what comes before the first block and the first other at-rule
+        early = F.get(F.filter(F.transform(s["tokens"], lambda t, i: F.when((t == "{") | (t.startswith("@") & ~at_keyword(t).isin(*BEFORE_IMPORT)), i)), lambda i: i.isNotNull()), F.lit(0))
+        inside = lambda t: F.filter(F.regexp_extract_all(F.regexp_replace(t, "(?i)^(?:-webkit-)?image-set\\(", ""), F.lit(f"(?is){_CSS_IN_SET}"), F.lit(0)), lambda x: x.rlike("^(?:[\"']|(?i)url\\()"))
+        found = lambda t, i: (
+            F.when(t.rlike("(?is)^@import.*[\"')]$") & (i < F.coalesce(early, F.size(s["tokens"]))), one("@import", F.regexp_replace(t, f"(?is)^@import(?:\\s++|{_CSS_COMMENT})*+", "")))
+            .when(t.rlike("(?i)^url\\("), one("url", t))
+            .when(t.rlike("(?i)image-set\\("), F.transform(inside(t), lambda x: F.struct(F.lit("url").alias("element"), x.alias("token"))))
+            .otherwise(none)
+        )
+        raw = F.transform(F.flatten(F.transform(s["tokens"], found)), lambda x: F.struct(x["element"].alias("element"), _css_value(x["token"]).alias("raw")))
+        kept = F.filter(raw, lambda x: (x["raw"] != "") & ~x["raw"].startswith("#"))
+        return F.transform(kept, lambda x, i: _link(i, x["element"], "", x["raw"], F.when(x["element"] == "@import", F.lit("css"))))
+
+    return let(links, tokens=css_tokens(css))
 
 
 def css_links(styles: DataFrame, url_col: str = "url", css_col: str = "css") -> DataFrame:

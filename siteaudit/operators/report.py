@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteaudit.functions.text import status_text
 from siteaudit.functions.urls import let, truncate_url
+from siteaudit.operators.extract import BEFORE_IMPORT, at_keyword, css_tokens
 
 
 def document_metrics(results: DataFrame, documents: DataFrame | None = None) -> DataFrame:
@@ -48,17 +49,31 @@ def _sorted(messages: Column) -> Column:
     return F.array_sort(F.array_compact(messages))
 
 
-def css_faults(css: Column) -> Column:
-    """Messages, sorted, of a stylesheet with braces, in their order, or comments that don't balance."""
-    text = F.regexp_replace(F.regexp_replace(css, "(?s)/\\*.*?\\*/", ""), "\"[^\"]*+\"|'[^']*+'", "")
+# At-rules of CSS, without prefixes of makers; and what is said of an import that comes too late.
+AT_RULES = "charset color-profile container counter-style custom-media document font-face font-feature-values font-palette-values import keyframes layer media namespace nest page position-try property scope starting-style supports view-transition viewport".split()
+LATE_IMPORT = "@import rules must precede all rules aside from @charset and @layer statements"
 
-    def found(t: Column) -> Column:
-        start = F.struct(F.lit(0).alias("open"), F.lit(False).alias("early"))
-        step = lambda s, x: F.when(x == "{", F.struct((s["open"] + 1).alias("open"), s["early"].alias("early"))).when(s["open"] == 0, F.struct(F.lit(0).alias("open"), F.lit(True).alias("early"))).otherwise(F.struct((s["open"] - 1).alias("open"), s["early"].alias("early")))
-        told = lambda s: F.array(F.when(s["open"] > 0, F.lit("unclosed block")), F.when(s["early"], F.lit("unexpected }")), F.when(t.contains("/*"), F.lit("unclosed comment")))
-        return F.aggregate(F.regexp_extract_all(t, F.lit("[{}]"), F.lit(0)), start, step, told)
 
-    return let(lambda s: _sorted(found(s["t"])), t=text)
+def css_faults(css: Column) -> Column:
+    """Messages, sorted, of a stylesheet: closing braces without an open block, unknown at-rules, imports after other rules. What is open at the end is closed by it, which is no fault."""
+    start = F.struct(F.lit(0).alias("open"), F.lit(True).alias("prelude"), F.array().cast("array<string>").alias("told"))
+    fixed = lambda t: F.regexp_replace(t, "^@(?:-[a-z]+-)?", "")
+
+    def step(s: Column, t: Column) -> Column:
+        new = lambda open_=None, prelude=None, told=None: F.struct((s["open"] if open_ is None else open_).alias("open"), (s["prelude"] if prelude is None else prelude).alias("prelude"), (s["told"] if told is None else F.array_union(s["told"], F.array(told))).alias("told"))
+        low = at_keyword(t)
+        return (
+            F.when(t == "{", new(s["open"] + 1, F.lit(False)))
+            .when((t == "}") & (s["open"] > 0), new(s["open"] - 1))
+            .when(t == "}", new(told=F.lit("unexpected }")))
+            .when((low == "@import") & ~s["prelude"], new(told=F.lit(LATE_IMPORT)))
+            .when(low.isin(*BEFORE_IMPORT), s)
+            .when(t.startswith("@") & (s["open"] == 0) & ~fixed(low).isin(*AT_RULES), new(prelude=F.lit(False), told=F.concat(F.lit("Unknown at rule: "), t)))
+            .when(t.startswith("@"), new(prelude=F.lit(False)))
+            .otherwise(s)
+        )
+
+    return F.aggregate(css_tokens(css), start, step, lambda s: F.array_sort(s["told"]))
 
 
 def css_syntax_errors(styles: DataFrame, url_col: str = "url", css_col: str = "css") -> DataFrame:

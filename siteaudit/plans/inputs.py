@@ -77,7 +77,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CSS_TEXT = (
     """concat('\\ufeff/* url(no.png) */ @charset "utf-8"; @import "a', page_id, '.css"; @import url(b.css) screen; p { background: url(\\'c', page_id % 9, '.png\\') } ',
-        'q { background: image-set("d.png" 1x, url(e.png) 2x) } r { fill: url(#f); mask: url("") } ', CASE page_id % 5 WHEN 0 THEN '}' WHEN 1 THEN 's {' ELSE '' END)"""
+        'q { background: image-set("d.png" 1x, url(e.png) 2x) } r { fill: url(#f); mask: url("") } t { content: "url(no.png) /*"; src: url(f\\\\)', page_id, '\\\\26 .png) } ',
+        CASE page_id % 5 WHEN 0 THEN '}' WHEN 1 THEN concat('@un', page_id % 3, ' x; s {') WHEN 2 THEN '@import "late.css";' ELSE '' END)"""
 )
 
 

@@ -53,14 +53,14 @@ l AS (
   SELECT d.doc_url, 'a' AS element, 'href' AS attribute, raw, NULL AS hint, target FROM links JOIN d USING (page_id) WHERE k = 0
   UNION ALL SELECT doc_url, 'a', 'href', unnest(['/d/' || (page_id + 1), '#t', '#none']), NULL, unnest([root || '/d/' || (page_id + 1), doc_url || '#t', doc_url || '#none']) FROM d WHERE k = 0
   UNION ALL SELECT doc_url, '@import', '', x, 'css', root || '/d/' || x FROM (SELECT *, unnest(['a' || page_id || '.css', 'b.css']) AS x FROM d WHERE k = 1)
-  UNION ALL SELECT doc_url, 'url', '', x, NULL, root || '/d/' || x FROM (SELECT *, unnest(['c' || (page_id % 9) || '.png', 'd.png', 'e.png']) AS x FROM d WHERE k = 1)
+  UNION ALL SELECT doc_url, 'url', '', x, NULL, root || '/d/' || x FROM (SELECT *, unnest(['c' || (page_id % 9) || '.png', 'd.png', 'e.png', 'f)' || page_id || '&.png']) AS x FROM d WHERE k = 1)
   UNION ALL SELECT doc_url, unnest(['use', 'a']), unnest(['xlink:href', 'href']), unnest(['#a' || page_id, '/svg/' || page_id]), NULL, unnest([doc_url || '#a' || page_id, root || '/svg/' || page_id]) FROM d WHERE k = 2
   UNION ALL SELECT doc_url, 'loc', '', x, NULL, x FROM (SELECT *, unnest(['https://example.com/' || page_id || '?a=1&b=2', 'https://example.com/c' || page_id]) AS x FROM d WHERE k = 3 AND page_id % 2 = 0)
   UNION ALL SELECT doc_url, 'loc', '', x, 'sitemap', x FROM (SELECT *, 'https://example.com/m' || page_id || '.xml' AS x FROM d WHERE k = 3 AND page_id % 2 = 1)
   UNION ALL SELECT doc_url, 'sitemap', '', root || '/map.xml', 'sitemap', root || '/map.xml' FROM d WHERE k = 4),
 f AS (
   SELECT doc_url, 'unreadable' AS kind, 'document cannot be read' AS message FROM d WHERE k = 5
-  UNION ALL SELECT doc_url, 'css_syntax', 'invalid CSS: ' || CASE page_id % 5 WHEN 0 THEN 'unexpected }}' ELSE 'unclosed block' END FROM d WHERE k = 1 AND page_id % 5 < 2
+  UNION ALL SELECT doc_url, 'css_syntax', 'invalid CSS: ' || CASE page_id % 5 WHEN 0 THEN 'unexpected }}' WHEN 1 THEN 'Unknown at rule: @un' || (page_id % 3) ELSE '@import rules must precede all rules aside from @charset and @layer statements' END FROM d WHERE k = 1 AND page_id % 5 < 3
   UNION ALL SELECT doc_url, 'invalid_namespace', 'namespace expected http://www.w3.org/2000/svg but got http://example.com/ns' FROM d WHERE k = 2 AND page_id % 3 = 0
   UNION ALL SELECT doc_url, 'invalid_root_element', 'root element expected svg but got g' FROM d WHERE k = 2 AND page_id % 4 = 0)"""
 
@@ -81,7 +81,7 @@ ORACLE_SQL: dict[str, str] = {
       SELECT url AS doc_url, attribute, (k + CASE attribute WHEN 'href' THEN coalesce(n, 0) ELSE 0 END)::BIGINT AS n FROM pages LEFT JOIN n ON url = doc_url, (VALUES ('href', 4), ('xlink:href', 1), ('src', 2), ('srcset', 3), ('content', 1)) v(attribute, k)""",
     "svg_links": "SELECT url AS doc_url, 1 AS ord, 'use' AS element, 'xlink:href' AS attribute, '#a' || page_id AS raw FROM pages UNION ALL SELECT url, 2, 'a', 'href', '/svg/' || page_id FROM pages",
     "css_links": """SELECT url AS doc_url, '@import' AS element, 'a' || page_id || '.css' AS raw, 'css' AS hint FROM pages UNION ALL SELECT url, '@import', 'b.css', 'css' FROM pages
-      UNION ALL SELECT url, 'url', 'c' || (page_id % 9) || '.png', NULL FROM pages UNION ALL SELECT url, 'url', unnest(['d.png', 'e.png']), NULL FROM pages""",
+      UNION ALL SELECT url, 'url', 'c' || (page_id % 9) || '.png', NULL FROM pages UNION ALL SELECT url, 'url', unnest(['d.png', 'e.png', 'f)' || page_id || '&.png']), NULL FROM pages""",
     "sitemap_links": """SELECT url AS doc_url, 'https://example.com/' || page_id || '?a=1&b=2' AS raw, NULL::VARCHAR AS hint FROM pages WHERE page_id % 2 = 0
       UNION ALL SELECT url, 'https://example.com/c' || page_id, NULL FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 'https://example.com/m' || page_id || '.xml', 'sitemap' FROM pages WHERE page_id % 2 = 1""",
     "robots_sitemap_links": "WITH r AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root FROM pages) SELECT root || '/robots.txt' AS doc_url, root || unnest(['/map.xml', '/news.xml']) AS raw, 'sitemap' AS hint FROM r",
@@ -146,7 +146,7 @@ ORACLE_SQL: dict[str, str] = {
     "run_metrics": f"WITH {_METRICS} SELECT count(*) FILTER (error = 0) AS documents_ok, count(*) FILTER (error > 0) AS documents_failed, sum(success)::BIGINT AS items_ok, sum(error)::BIGINT AS items_failed, bool_or(error > 0) AS failed FROM metrics",
     "summary_table": f"WITH {_METRICS} SELECT 'documents' AS what, count(*) FILTER (error = 0) AS success, count(*) FILTER (error > 0) AS error, count(*) AS total FROM metrics UNION ALL SELECT 'elements', sum(success)::BIGINT, sum(error)::BIGINT, sum(success + error)::BIGINT FROM metrics",
     "error_histogram": f"WITH {_RESULTS} SELECT {_HOST.format('doc_url')} AS host, 'http_status' AS error_kind, count(*) AS n FROM results WHERE status <> 200 GROUP BY 1",
-    "css_syntax_errors": "SELECT url AS doc_url, CASE page_id % 5 WHEN 0 THEN 'unexpected }' ELSE 'unclosed block' END AS errors FROM pages WHERE page_id % 5 < 2",
+    "css_syntax_errors": """SELECT url AS doc_url, CASE page_id % 5 WHEN 0 THEN 'unexpected }' WHEN 1 THEN 'Unknown at rule: @un' || (page_id % 3) ELSE '@import rules must precede all rules aside from @charset and @layer statements' END AS errors FROM pages WHERE page_id % 5 < 3""",
     "svg_syntax_errors": "SELECT url AS doc_url, CASE page_id % 5 WHEN 0 THEN 'unclosed comment,unclosed element' ELSE 'unexpected end tag' END AS errors FROM pages WHERE page_id % 5 < 2",
     "report_json": f"""WITH {_RESULTS}, e AS (SELECT doc_url, ord, '{{"element":{{"name":"a","attributes":[["href","' || raw || '"]]}},"results":[' || CASE status WHEN 200 THEN '{{"response":{{"url":"' || target || '","status":200,"latency":0}}}}' ELSE '{{"error":"invalid status 404 Not Found"}}' END || ']}}' AS j FROM results)
       SELECT doc_url AS url, '{{"url":"' || doc_url || '","elements":[' || string_agg(j, ',' ORDER BY ord) || ']}}' AS json FROM e GROUP BY doc_url""",
