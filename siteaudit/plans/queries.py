@@ -609,7 +609,8 @@ def q_stream_metrics(spark, d):
 def q_stream_store(spark, d):
     v, path = _folder(_versions(spark, d), "arrivals", 3)
     out = scratch(spark, "store")
-    jobs.stream_store(jobs.read_stream(spark, path, v.schema, 1), out, scratch(spark, "state")).awaitTermination()
+    jobs.stream_store(jobs.read_stream(spark, path, v.schema, 1), out, scratch(spark, "state"), 4).awaitTermination()
+    jobs.compact_store(spark, out, v.schema, 4)
     return jobs.read_store(spark, out, v.schema).select("page_id", "url", "status")
 
 

@@ -58,15 +58,60 @@ def stream_rate(log: DataFrame, supply: int, window: str = "1 hour", delay: str
     return counts.where(F.col("n") > supply).select("site", F.col("w.start").alias("window_start"), "n")
 
 
-def stream_store(responses: DataFrame, path: str, checkpoint: str):
-    """Start adding the latest response of each URL of each batch to path, in a folder for each batch; a batch that runs again replaces its own. read_store gives the latest of all."""
-    put = lambda batch, n: latest_response(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+def _with_bucket(responses: DataFrame, buckets: int) -> DataFrame:
+    return responses.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int"))
+
+
+def stream_store(responses: DataFrame, path: str, checkpoint: str, buckets: int = 16):
+    """Start adding the latest response of each URL of each batch to path, in a folder for each batch with one for each bucket of URLs; a batch that runs again replaces its own.
+
+    read_store gives the latest of all, compact_store merges batches. All runs on one path have the same number of buckets.
+    """
+
+    def put(batch: DataFrame, n: int) -> None:
+        _with_bucket(latest_response(batch), buckets).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={n}")
+
     return responses.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
 
 
+def _folders(spark: SparkSession, path: str) -> tuple[dict[int, list[str]], list[int], int]:
+    """(bucket to the folders that hold its responses: its newest merged one and those of later batches; the later batches; the last batch that is merged) of a store. Folders without a mark of success don't count."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda p: [x.getPath().getName() for x in fs.listStatus(of(p))] if fs.exists(of(p)) else []
+    found = [(kind, int(n)) for kind, _, n in (x.partition("=") for x in names(path)) if n.isdigit() and fs.exists(of(f"{path}/{kind}={n}/_SUCCESS"))]
+    bases = sorted(n for kind, n in found if kind == "base")
+    done = bases[-1] if bases else -1
+    later = sorted(n for kind, n in found if kind == "batch" and n > done)
+    inside = lambda folder: {int(b): f"{path}/{folder}/bucket={b}" for _, eq, b in (x.partition("=") for x in names(f"{path}/{folder}")) if eq}
+    newest: dict[int, list[str]] = {}
+    for n in bases:
+        newest |= {b: [f] for b, f in inside(f"base={n}").items()}
+    for n in later:
+        for b, f in inside(f"batch={n}").items():
+            newest.setdefault(b, []).append(f)
+    return newest, later, done
+
+
 def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The latest response of each URL that stream_store has added so far. No earlier batch is written again; write_store(read_store(...), elsewhere) compacts."""
-    return latest_response(spark.read.schema(schema).parquet(path))
+    """The latest response of each URL that stream_store has added so far. Read are the merged folders and the batches after the last merge, however many there were before."""
+    folders = [f for fs in _folders(spark, path)[0].values() for f in fs]
+    return latest_response(spark.read.schema(schema).parquet(*folders)) if folders else spark.createDataFrame([], schema)
+
+
+def compact_store(spark: SparkSession, path: str, schema: T.StructType, buckets: int = 16) -> int | None:
+    """Merge the batches since the last merge; the number of the last one, or None if there are none. Only buckets with new rows are written again, into a folder of their own that counts once it is whole.
+
+    Earlier folders stay for those who still read them; batches up to that number are not read any more.
+    """
+    newest, later, _ = _folders(spark, path)
+    if not later:
+        return None
+    touched = [f for fs in newest.values() if any("/batch=" in f for f in fs) for f in fs]
+    if touched:
+        rows = _with_bucket(latest_response(spark.read.schema(schema).parquet(*touched)), buckets)
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/base={later[-1]}")
+    return later[-1]
 
 
 def run(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

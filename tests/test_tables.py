@@ -132,3 +132,28 @@ def test_bloom_loses_none(spark):
     got = bloom.may_meet(rows, ["b", "n"], keys, ["a", "id"])
     assert got.join(keys, (F.col("a") == F.col("b")) & (F.col("id") == F.col("n"))).count() == 2000 and got.count() < 2000 + 600
     assert bloom.may_meet(rows, ["b", "n"], keys.limit(0), ["a", "id"]).count() == 0
+
+
+def test_streamed_store_is_merged_by_bucket(spark):
+    from siteaudit.streaming import jobs
+
+    def rows(batch):
+        return spark.createDataFrame(batch, "url string, h int, status int").select("url", F.timestamp_seconds("h").alias("fetched_at"), "status", F.col("url").cast("binary").alias("body"))
+
+    arrivals, path, state = scratch(spark, "arrivals"), scratch(spark, "store"), scratch(spark, "state")
+    batches = [[(f"u{i}", 1, 200) for i in range(40)], [("u1", 3, 500), ("u2", 0, 404)], [("u1", 2, 301)]]
+    schema, latest = rows(batches[0]).schema, {}
+    assert jobs.read_store(spark, path, schema).count() == 0 and jobs.compact_store(spark, path, schema, 8) is None
+    for n, batch in enumerate([*batches, [("u3", 9, 999)]]):
+        rows(batch).coalesce(1).write.mode("append").parquet(arrivals)
+        jobs.stream_store(jobs.read_stream(spark, arrivals, schema, 1), path, state, 8).awaitTermination()
+        for url, h, status in batch:
+            latest[url] = max(latest.get(url, (-1, 0)), (h, status))
+        if n in (1, 3):
+            assert jobs.compact_store(spark, path, schema, 8) == n and jobs.compact_store(spark, path, schema, 8) is None
+        got = jobs.read_store(spark, path, schema)
+        assert {r.url: r.status for r in got.collect()} == {u: s for u, (_, s) in latest.items()}
+    newest, later, done = jobs._folders(spark, path)
+    folders = [f for fs in newest.values() for f in fs]
+    assert later == [] and done == 3 and not any("/batch=" in f for f in folders)
+    assert sum("/base=3/" in f for f in folders) <= 2 and sum("/base=1/" in f for f in folders) >= 5  # only what is new was written again
