@@ -128,7 +128,8 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], share: tupl
 
     Null domains, languages and sources are nodes of their own; a missing or non-positive weight counts as 1.
     Documents without words are never selected; an empty table gives no rows. Rows of one leaf with the
-    same identifier stand or fall together and are cut at the same length. Other columns of docs play no part.
+    same identifier stand or fall together and are cut at the same length. Other columns of docs play no part. Budgets
+    are dealt in one task for each parent: domains, and a node's children, are taken to be tens or thousands, not millions.
     """
     rows = token_rows(docs, domain, **cols)
     return selected(rows, cut(plan_mix(rows, share, weights, max_epochs, seed), "mix"), seed)

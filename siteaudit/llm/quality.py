@@ -53,7 +53,9 @@ class RatioModel:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", smooth: float = 1.0) -> RatioModel:
     """The raw model counts all documents, the target at most bound labelled good ones, in one pass over the texts.
 
-    Each task sums its documents and gives a row for each bucket; the driver gets BUCKETS sums.
+    Each task sums its documents and gives a row for each bucket; the driver gets BUCKETS sums. Null and empty texts count
+    nothing, null labels and identifiers label nothing; a repeated label counts once, repeated documents each. Without any
+    document or good label all ratios are those of the smoothing alone. Other columns play no part.
     """
     import numpy as np
 
