@@ -350,7 +350,7 @@ def resolve_links(links: DataFrame, bases: DataFrame | None = None) -> DataFrame
 def _html_array(tags: Column, base: Column, base_href: Column) -> Column:
     """Links of an HTML document; one whose base can't be parsed has that as its only link."""
     failed = F.array(_link(F.lit(0), F.lit("base"), "href", base_href))
-    return F.when(base.isNull(), failed).otherwise(F.flatten(F.transform(tags, lambda t, i: _tag_links(_tag(t, i)))))
+    return F.when(base.isNull(), failed).otherwise(F.flatten(F.transform(F.transform(tags, _tag), _tag_links)))
 
 
 def xlink_names(tags: Column) -> Column:
@@ -363,13 +363,12 @@ def xlink_names(tags: Column) -> Column:
 
 def _svg_array(tags: Column) -> Column:
     def links(s: Column) -> Column:
-        def one(t: Column, i: Column) -> Column:
-            row = _tag(t, i)
+        def one(row: Column) -> Column:
             plain = _link(row["ord"], row["name"], "href", attribute(row["attributes"], "href"))
             linked = F.get(F.filter(row["attributes"], lambda a: F.array_contains(s["names"], a["name"]))["value"], F.lit(0))
             return F.filter(F.array(plain, _link(row["ord"], row["name"], "xlink:href", linked)), lambda x: x["raw"].isNotNull())
 
-        return F.flatten(F.transform(s["tags"], one))
+        return F.flatten(F.transform(F.transform(s["tags"], _tag), one))
 
     return let(links, tags=tags, names=F.transform(xlink_names(tags), F.lower))
 
