@@ -24,7 +24,7 @@ LEAST_DOCS = 10
 #: What a probability of one is, and what is added to each count.
 SCALE, PRIOR = 1_000_000_000, 2
 #: Distinct rows in one tree.
-TREE_ROWS = 50_000
+TREE_ROWS = 20_000
 
 
 def _name(col: str) -> Column:
@@ -40,7 +40,7 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     rows = docs.select(_name(lang_col).alias("lang"), _name(source_col).alias("source"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, rows=4096):
+        for batch in slices(batches, rows=4096, chars=4_000_000):
             pairs = pa.StructArray.from_arrays([batch["lang"], batch["source"]], ["lang", "source"])
             names = list(dict.fromkeys((x["lang"], x["source"]) for x in pairs.to_pylist()))
             place = {x: i for i, x in enumerate(names)}
