@@ -24,7 +24,7 @@ def let(body: Callable[[Column], Column], **values: Column) -> Column:
 
 
 def url_parts(url: Column) -> Column:
-    """Struct of scheme, host, port, path, query, fragment and origin of an absolute URL; query and fragment are null if absent, origin is null without a host."""
+    """Struct of scheme, host, port, path, query, fragment and origin of an absolute URL; query and fragment are null if absent, origin is null without a host, port too if it is no number of nine digits or fewer."""
     return F.when(url.isNotNull(), let(lambda s: _parts(s["url"]), url=url))
 
 
@@ -40,7 +40,7 @@ def _parts(url: Column) -> Column:
     fragment = F.when(has("#"), F.regexp_extract(url, "#((?s).*)$", 1))
     real_port = F.when(port != "", port).otherwise(default_port(scheme))
     origin = F.when(host != "", F.concat(scheme, F.lit("://"), host, F.lit(":"), F.coalesce(real_port, F.lit(""))))
-    return F.struct(scheme.alias("scheme"), host.alias("host"), F.when(port != "", port.cast("int")).alias("port"), path.alias("path"), query.alias("query"), fragment.alias("fragment"), origin.alias("origin"))
+    return F.struct(scheme.alias("scheme"), host.alias("host"), F.when(port.rlike("^0*[0-9]{1,9}$"), port.cast("int")).alias("port"), path.alias("path"), query.alias("query"), fragment.alias("fragment"), origin.alias("origin"))
 
 
 def default_port(scheme: Column) -> Column:
@@ -97,7 +97,7 @@ def _authority(scheme: Column, text: Column) -> Column:
     def work(s: Column) -> Column:
         shown = F.when((s["port"] == "") | F.coalesce(s["port"] == default_port(s["scheme"]), F.lit(False)), F.lit("")).otherwise(F.concat(F.lit(":"), s["port"]))
         bad = (s["host"] == "") | (s["host"].rlike("[\\x00-\\x20\"#%/:<>?@\\\\^`{|}]") & ~s["host"].rlike("^\\[[0-9a-f:.]+\\]$"))
-        bad = bad | (F.length(s["port"]) > 5) | (F.coalesce(s["port"].try_cast("int"), F.lit(0)) > 65535)
+        bad = bad | (F.length(s["port"]) > 5) | (F.lpad(s["port"], 5, "0") > "65535")
         return F.when(~bad, F.concat(s["user"], s["host"], shown))
 
     def split(s: Column) -> Column:

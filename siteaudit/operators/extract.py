@@ -32,15 +32,15 @@ RAW_TEXT = ["title", "textarea", "style", "xmp", "iframe", "noembed", "noframes"
 #: What a script holds: in a comment, script tags come in pairs that don't end it.
 _PAIRED = "<script[\\s/>](?:[^<\\-]++|-(?!->)|<(?!/script[\\s/>]))*+(?:</script[\\s/>])?+"
 _SCRIPT = f"(?:[^<]++|<(?!!--|/script[\\s/>])|<!--(?:-?>|(?:[^<\\-]++|-(?!->)|<(?!/?script[\\s/>])|{_PAIRED})*+(?:-->)?+))*+"
-#: A comment, an end tag, or a start tag (group 5) with the text that its element holds, if it holds text only; a tag that never ends takes the rest. Empty groups tell which kind of element it is.
+#: Tried only where there is a <: a comment, an end tag, or a start tag (group 5) with the text that its element holds, if it holds text only; a tag that never ends takes the rest. Empty groups tell which kind of element it is.
 _HTML_TOKEN = (
-    f"(?is){_SKIPPED}|<(?=/){_TAG.removeprefix('<').replace('[a-z]', '/[a-z]', 1)}"
+    f"(?is)(?=<)(?:{_SKIPPED}|<(?=/){_TAG.removeprefix('<').replace('[a-z]', '/[a-z]', 1)}"
     f"|(?:(?=<script[\\s/>])()|(?=<({'|'.join(RAW_TEXT)})[\\s/>])()|(?=<plaintext[\\s/>])()|)({_TAG})(?:\\1{_SCRIPT}|\\3.*?(?=</\\2[\\s/>]|\\z)|\\4.*+|(?!\\1|\\3|\\4))"
-    "|</?[a-z].*+"
+    "|</?[a-z].*+)"
 )
 #: The same for XML, where no element holds text only: comments, sections of text, instructions, declarations and end tags, or a start tag (group 1).
 _XML_TAG = f"<[^\\s/>!?=\"'<][^\\s/>]*+(?:[\\s/]++|{_ATTRIBUTE})*+>"
-_XML_TOKEN = f"(?s)<!--.*?(?:-->|\\z)|<!\\[CDATA\\[.*?(?:\\]\\]>|\\z)|<\\?.*?(?:\\?>|\\z)|<[!/][^>]*+>?+|({_XML_TAG})"
+_XML_TOKEN = f"(?s)(?=<)(?:<!--.*?(?:-->|\\z)|<!\\[CDATA\\[.*?(?:\\]\\]>|\\z)|<\\?.*?(?:\\?>|\\z)|<[!/][^>]*+>?+|({_XML_TAG}))"
 #: What comes before a URL of a srcset, the URL without closing commas, and its descriptor up to the next comma.
 _SRCSET = "[\\s,]*([^\\s]*[^\\s,])(?:,+|\\s[^,]*)?"
 #: Numbers, or a whole run of letters and digits; without a semicolon it must not stand before an equals sign.
@@ -94,19 +94,28 @@ def _tag_name(tag: Column) -> Column:
     return F.lower(F.regexp_extract(tag, "^<([^\\s/>]*+)", 1))
 
 
-def tag_values(tag: Column) -> Column:
-    """name and value of each attribute; without a value it is empty."""
+def tag_values(tag: Column, kept: str | None = None) -> Column:
+    """name and value of each attribute, or of those alone that a pattern finds as they are written; without a value it is empty."""
     found = F.regexp_extract_all(F.regexp_replace(tag, "^<[^\\s/>]*+", ""), F.lit(_ATTRIBUTE), F.lit(0))
+    if kept is not None:
+        found = F.filter(found, lambda a: a.rlike(kept))
     value = lambda a: F.regexp_replace(F.regexp_replace(a, f"^{_NAME}\\s*+=?+\\s*+", ""), "(?s)^([\"'])(.*)\\1$", "$2")
     return F.transform(found, lambda a: F.struct(F.lower(F.regexp_extract(a, f"^({_NAME})", 1)).alias("name"), decode_entities(value(a)).alias("value")))
 
 
-def _tag(text: Column, ord_: Column) -> Column:
-    return F.struct(ord_.alias("ord"), _tag_name(text).alias("name"), tag_values(text).alias("attributes"))
+#: What a tag holds that has a link, and the attributes that its links are made of.
+_MAY_LINK, _LINKING = "(?i)href|src|content", "(?i)^(?:href|xlink:href|src|srcset|rel|property|content)(?![^\\s=])"
+_MAY_LINK_SVG = "(?i)href"
 
 
-def start_tags(pages: DataFrame, url_col: str = "url", html_col: str = "html", xml: Column | None = None) -> DataFrame:
-    """doc_url, ord, name, attributes (an array of name and value) of each start tag in document order. Null documents have none.
+def _linking_tags(tags: Column, may: str, kept: str) -> Column:
+    """ord, name and attributes of the tags that may hold a link; all others are left as they are written."""
+    numbered = F.transform(tags, lambda t, i: F.struct(i.alias("ord"), t.alias("tag")))
+    return F.transform(F.filter(numbered, lambda x: x["tag"].rlike(may)), lambda x: F.struct(x["ord"].alias("ord"), _tag_name(x["tag"]).alias("name"), tag_values(x["tag"], kept).alias("attributes")))
+
+
+def start_tags(pages: DataFrame, url_col: str = "url", html_col: str = "html", xml: Column | None = None, kept: str | None = None) -> DataFrame:
+    """doc_url, ord, name, attributes (an array of name and value; see tag_values for kept) of each start tag in document order. Null documents have none.
 
     What comments, scripts and other elements of text only hold is no tag, and neither is one that the document's end
     cuts off. xml: which documents are read as XML. In an HTML document, title and style hold text only inside svg too.
@@ -115,7 +124,7 @@ def start_tags(pages: DataFrame, url_col: str = "url", html_col: str = "html", x
     if xml is not None:
         found = F.when(xml, xml_tag_strings(F.col(html_col))).otherwise(found)
     rows = pages.select(F.col(url_col).alias("doc_url"), F.posexplode(found).alias("ord", "tag"))
-    return rows.select("doc_url", "ord", _tag_name(F.col("tag")).alias("name"), tag_values(F.col("tag")).alias("attributes"))
+    return rows.select("doc_url", "ord", _tag_name(F.col("tag")).alias("name"), tag_values(F.col("tag"), kept).alias("attributes"))
 
 
 def _links(rows: DataFrame, name: Column, what: str, raw: Column, hint: Column | None = None) -> DataFrame:
@@ -350,7 +359,7 @@ def resolve_links(links: DataFrame, bases: DataFrame | None = None) -> DataFrame
 def _html_array(tags: Column, base: Column, base_href: Column) -> Column:
     """Links of an HTML document; one whose base can't be parsed has that as its only link."""
     failed = F.array(_link(F.lit(0), F.lit("base"), "href", base_href))
-    return F.when(base.isNull(), failed).otherwise(F.flatten(F.transform(F.transform(tags, _tag), _tag_links)))
+    return F.when(base.isNull(), failed).otherwise(F.flatten(F.transform(_linking_tags(tags, _MAY_LINK, _LINKING), _tag_links)))
 
 
 def xlink_names(tags: Column) -> Column:
@@ -368,7 +377,7 @@ def _svg_array(tags: Column) -> Column:
             linked = F.get(F.filter(row["attributes"], lambda a: F.array_contains(s["names"], a["name"]))["value"], F.lit(0))
             return F.filter(F.array(plain, _link(row["ord"], row["name"], "xlink:href", linked)), lambda x: x["raw"].isNotNull())
 
-        return F.flatten(F.transform(F.transform(s["tags"], _tag), one))
+        return F.flatten(F.transform(_linking_tags(s["tags"], _MAY_LINK_SVG, _MAY_LINK_SVG), one))
 
     return let(links, tags=tags, names=F.transform(xlink_names(tags), F.lower))
 
@@ -403,6 +412,11 @@ def anchor_rows(tags: DataFrame) -> DataFrame:
     return tags.select("doc_url", F.explode(F.transform(names, lambda a: a["value"])).alias("anchor"))
 
 
+def document_anchors(docs: DataFrame, url_col: str = "url", body_col: str = "html", xml: Column | None = None) -> DataFrame:
+    """anchor_rows of documents, of whose attributes no others are read."""
+    return anchor_rows(start_tags(docs, url_col, body_col, xml, f"(?i)^(?:{'|'.join(ANCHOR_ATTRIBUTES)})(?![^\\s=])"))
+
+
 def anchors(tags: DataFrame) -> DataFrame:
     """anchor_rows, each once."""
     return anchor_rows(tags).distinct()

@@ -12,7 +12,7 @@ from siteaudit.operators import extract
 from siteaudit.operators.check import check_links, checked_targets
 from siteaudit.operators.crawl import crawl
 from siteaudit.operators.elements import elements
-from siteaudit.operators.extract import all_links, anchor_rows, data_svg_documents, start_tags
+from siteaudit.operators.extract import all_links, data_svg_documents, document_anchors
 from siteaudit.operators.faults import document_faults
 from siteaudit.operators.markup import markup_errors, split_markup_errors
 from siteaudit.operators.report import document_metrics
@@ -30,7 +30,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 def link_audit(pages: DataFrame, targets: Callable[[DataFrame], DataFrame], sites: DataFrame, ignored: list[str] | None = None, with_anchors: bool = False) -> DataFrame:
     """Links of pages, checked. targets gives the checked targets of a link table."""
     links = page_links(pages)
-    return check_links(links, targets(links), sites, ignored, anchor_rows(start_tags(pages)) if with_anchors else None)
+    return check_links(links, targets(links), sites, ignored, document_anchors(pages) if with_anchors else None)
 
 
 def data_svgs(docs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -67,8 +67,8 @@ def site_audit(docs: DataFrame, responses: DataFrame, sites: DataFrame, rules: D
     held = inner.select("url", F.col("url").alias("final_url"), F.lit(200).alias("status"), F.lit("image/svg+xml").alias("media"), F.col("error").alias("request_error"), F.lit(None).cast("string").alias("redirect_error"), F.lit(True).alias("allowed"))
     targets = cut(checked_targets(responses, max_redirects, robots, sites).unionByName(held), "targets")
     bodies = docs.select("url", "doc_type", "body").unionByName(inner.select("url", F.lit("svg").alias("doc_type"), "body"))
-    tags = start_tags(bodies.where("doc_type IN ('html', 'svg')"), "url", "body", F.col("doc_type") == "svg")
-    checked = check_links(links, targets, sites, ignored, anchor_rows(tags))
+    anchors = document_anchors(bodies.where("doc_type IN ('html', 'svg')"), "url", "body", F.col("doc_type") == "svg")
+    checked = check_links(links, targets, sites, ignored, anchors)
     # what can't be read in a data: link fails that link, not a document
     faults = document_faults(docs.unionByName(inner.where("body IS NOT NULL").select("url", F.lit("svg").alias("doc_type"), "body"), allowMissingColumns=True), sites)
     rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in checked.schema.fields if f.name not in ("doc_url", "ord", "element", "attribute", "item", "ok", "error_kind", "error")]

@@ -261,7 +261,7 @@ def q_check_links(spark, d):
     responses = store.latest_response(inputs.responses(spark, d).withColumn("url", urls.strip_fragment(F.col("url"))))
     own = check.checked_targets(responses, robots=robots.robots_filter(responses.select("url"), rules))
     others = robots.robots_filter(_targets(links).drop("allowed"), rules).join(p.select(urls.strip_fragment(F.col("url")).alias("url")).distinct(), "url", "left_anti")
-    anchors = extract.anchor_rows(extract.start_tags(inputs.extra_html(spark, d))).withColumn("doc_url", urls.strip_fragment(F.col("doc_url")))
+    anchors = extract.document_anchors(inputs.extra_html(spark, d)).withColumn("doc_url", urls.strip_fragment(F.col("doc_url")))
     checked = check.check_links(links, own.unionByName(others), inputs.sites(spark, d), ["\\.png$"], anchors)
     return checked.groupBy("attribute", "ok", "error_kind").agg(F.count(F.lit(1)).alias("n"))
 

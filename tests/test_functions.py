@@ -10,7 +10,7 @@ JOINS = [
     ("https://foo.com/a/b/", "../é/./z", "https://foo.com/a/%C3%A9/z"), ("https://foo.com/", "https:/p", "https://foo.com/p"), ("http://foo.com/", "https:/p.com/q", "https://p.com/q"),
     ("https://foo.com/x?y", "#f", "https://foo.com/x?y#f"), ("https://foo.com/x?y#k", "", "https://foo.com/x?y"), ("https://foo.com/x?y", "?z='1'", "https://foo.com/x?z=%271%27"),
     ("https://foo.com/", "//BAR.com:443/k", "https://bar.com/k"), ("https://foo.com/", "mailto:a b@c", "mailto:a b@c"), ("https://foo.com/", "https://", None), ("https://foo.com/", "http://a b/", None),
-    ("https://foo.com/a/b", "..\\q", "https://foo.com/q"), ("https://foo.com/", "https://x.com:99999/", None), ("https://foo.com/a/b/c", "../..", "https://foo.com/"), ("https://f.com/a", "x#", "https://f.com/x#"),
+    ("https://foo.com/a/b", "..\\q", "https://foo.com/q"), ("https://foo.com/", "https://x.com:99999/", None), ("https://foo.com/", "http://x.com:65536/", None), ("https://foo.com/", "http://x.com:65535", "http://x.com:65535/"), ("https://foo.com/", "http://x.com:00000000081/", "http://x.com:81/"), ("https://foo.com/", "http://x.com:99999999999/", None), ("https://foo.com/a/b/c", "../..", "https://foo.com/"), ("https://f.com/a", "x#", "https://f.com/x#"),
     ("https://f.com/a", "/𝄞", "https://f.com/%F0%9D%84%9E"), (None, "https://a.b", "https://a.b/"), (None, "x", None), ("data:x,y", "#q", "data:x,y#q"), ("https://foo.com/", "  /t  ", "https://foo.com/t"),
     ("https://u:p@foo.com:8080/a", "b", "https://u:p@foo.com:8080/b"), ("https://foo.com/a", None, None),
 ]
@@ -30,6 +30,8 @@ def test_url_parts(spark):
     p = value(spark, urls.url_parts(F.lit("HTTPS://u@Foo.com:8443/a/b?c=d#e#f")))
     assert (p.scheme, p.host, p.port, p.path, p.query, p.fragment, p.origin) == ("https", "foo.com", 8443, "/a/b", "c=d", "e#f", "https://foo.com:8443")
     assert value(spark, urls.url_parts(F.lit(None).cast("string"))) is None
+    for port, want in (("99999999999", None), ("0000000000080", 80), ("", None), ("65536", 65536)):
+        assert value(spark, urls.url_parts(F.lit(f"http://h:{port}/"))["port"]) == want
 
 
 @pytest.mark.parametrize(("url", "want"), [("data:x", "data"), ("HTTP://x", "document"), ("mailto:x", "other"), (None, None)])
