@@ -13,10 +13,13 @@ from siteaudit.operators.extract import BEFORE_IMPORT, at_keyword, css_tokens
 def document_metrics(results: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """doc_url, success, error. With documents (doc_url), those without items count 0 and 0."""
     counted = results.groupBy("doc_url").agg(F.count_if(F.col("ok")).alias("success"), F.count_if(~F.col("ok")).alias("error"))
-    if documents is None:
-        return counted
-    all_docs = documents.select("doc_url").distinct()
-    return all_docs.join(counted, "doc_url", "left").select("doc_url", F.coalesce("success", F.lit(0)).cast("long").alias("success"), F.coalesce("error", F.lit(0)).cast("long").alias("error"))
+    return counted if documents is None else listed_metrics(documents.select("doc_url").distinct(), counted)
+
+
+def listed_metrics(documents: DataFrame, doc_metrics: DataFrame) -> DataFrame:
+    """doc_metrics of each row of documents (doc_url): a URL that is listed twice has two rows. Those without items count 0 and 0."""
+    rows = documents.select("doc_url").join(doc_metrics, "doc_url", "left")
+    return rows.select("doc_url", F.coalesce("success", F.lit(0)).cast("long").alias("success"), F.coalesce("error", F.lit(0)).cast("long").alias("error"))
 
 
 def run_metrics(doc_metrics: DataFrame) -> DataFrame:

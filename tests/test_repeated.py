@@ -31,3 +31,7 @@ def check(spark, path, name):
 
 def test_anchors(spark, repeated):
     check(spark, repeated, "anchors")
+
+
+def test_audit(spark, repeated):
+    check(spark, repeated, "audit")
