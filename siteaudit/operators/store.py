@@ -30,22 +30,22 @@ def _by_row(store: DataFrame) -> list | None:
 
 
 def latest_response(store: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The last row of each URL by fetched_at, then status, so equal times give the same row again.
+    """The last row of each URL, or of each value of keys (with the URL among them), by fetched_at, then status, so equal times give the same row again.
 
     Bodies don't take part in that: the last rows are found by time, status and place in their file, and bodies are read for
     those alone. A store that isn't read from files is written first. Without a body, rows are compared whole, and a task
-    sends at most one of each URL. keys: columns with the URL among them that rows are already dealt by.
+    sends at most one of each URL. Rows that are already dealt by some of the keys aren't moved again.
     """
-    if not keys and not store.isStreaming and any(c in store.columns for c in WIDE):
+    keys = keys or ["url"]
+    if not store.isStreaming and any(c in store.columns for c in WIDE):
         places = _by_row(store)
         if places is None:
             store = cut(store, "responses")
             places = _by_row(store)
-        narrow = store.select("url", F.struct(*_order()).alias("o"), *places)
-        last = narrow.groupBy("url").agg(F.max_by(F.struct("__file", "__row"), F.struct("o", "__file", "__row")).alias("at"))
+        narrow = store.select(*keys, F.struct(*_order()).alias("o"), *places)
+        last = narrow.groupBy(*keys).agg(F.max_by(F.struct("__file", "__row"), F.struct("o", "__file", "__row")).alias("at"))
         last = cut(last.select("at.__file", "at.__row"), "latest")
         return store.select(F.struct("*").alias("r"), *places).join(counted(last), ["__file", "__row"], "left_semi").select("r.*")
-    keys = keys or ["url"]
     rest = [c for c in store.columns if c not in keys]
     return store.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*_order())).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 

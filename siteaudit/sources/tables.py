@@ -36,8 +36,8 @@ def read_sites(spark: SparkSession, rows: list[dict]) -> DataFrame:
 BUCKET_ROWS = 50_000
 
 
-def write_store(responses: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Persist the latest response of each URL, in folders by a hash of the URL; without a number of buckets there is one for every BUCKET_ROWS rows.
+def write_store(responses: DataFrame, path: str, buckets: int | None = None, keys: list[str] | None = None) -> None:
+    """Persist the latest response of each URL (or of each value of keys, see latest_response), in folders by a hash of the URL; without a number of buckets there is one for every BUCKET_ROWS rows.
 
     Rows with bodies are dealt by bucket when only the latest are left, others once before: the latest are found in the same partitions. Each folder gets one file.
     """
@@ -46,9 +46,9 @@ def write_store(responses: DataFrame, path: str, buckets: int | None = None) ->
     buckets = buckets or -(-responses.count() // BUCKET_ROWS) or 1
     bucket = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
     if "body" in responses.columns:
-        last = latest_response(responses).withColumn("bucket", bucket).repartition(buckets, "bucket")
+        last = latest_response(responses, keys).withColumn("bucket", bucket).repartition(buckets, "bucket")
     else:
-        last = latest_response(responses.withColumn("bucket", bucket).repartition(buckets, "bucket"), ["bucket", "url"])
+        last = latest_response(responses.withColumn("bucket", bucket).repartition(buckets, "bucket"), ["bucket", *(keys or ["url"])])
     last.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 

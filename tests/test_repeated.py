@@ -35,3 +35,15 @@ def test_anchors(spark, repeated):
 
 def test_audit(spark, repeated):
     check(spark, repeated, "audit")
+
+
+def test_latest_response(spark, repeated):
+    check(spark, repeated, "latest_response")
+
+
+def test_write_store(spark, repeated):
+    check(spark, repeated, "write_store")
+
+
+def test_stream_store(spark, repeated):
+    check(spark, repeated, "stream_store")
