@@ -47,3 +47,7 @@ def test_write_store(spark, repeated):
 
 def test_stream_store(spark, repeated):
     check(spark, repeated, "stream_store")
+
+
+def test_cache_lookup(spark, repeated):
+    check(spark, repeated, "cache_lookup")
