@@ -51,3 +51,11 @@ def test_stream_store(spark, repeated):
 
 def test_cache_lookup(spark, repeated):
     check(spark, repeated, "cache_lookup")
+
+
+def test_document_metrics(spark, repeated):
+    check(spark, repeated, "document_metrics")
+
+
+def test_stream_metrics(spark, repeated):
+    check(spark, repeated, "stream_metrics")
