@@ -63,3 +63,7 @@ def test_stream_metrics(spark, repeated):
 
 def test_html_links(spark, repeated):
     check(spark, repeated, "html_links")
+
+
+def test_latest_bodies(spark, repeated):
+    check(spark, repeated, "latest_bodies")
