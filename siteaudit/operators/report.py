@@ -107,11 +107,14 @@ def svg_syntax_errors(svgs: DataFrame, url_col: str = "url", svg_col: str = "svg
     return _messages(svgs, url_col, svg_faults(F.col(svg_col)))
 
 
-def nest_report(results: DataFrame) -> DataFrame:
-    """url and elements, in document order: each element's name, attributes and results. A document's rows meet once; two sorts inside it put them in order."""
-    result = F.struct("item", "ok", "error", "response")
-    rows = results.groupBy("doc_url", "ord").agg(F.first("element").alias("element"), F.first("attributes").alias("attributes"), F.array_sort(F.collect_list(result)).alias("results"))
-    element = F.struct("ord", "element", "attributes", "results")
+def nest_report(results: DataFrame, documents: list[str] | None = None) -> DataFrame:
+    """url and elements, in document order: each element's name, attributes and results. A document's rows meet once; two sorts inside it put them in order.
+
+    documents: columns that tell documents of one URL apart. Their elements stay apart; at one place of the order they come by these columns.
+    """
+    result, own = F.struct("item", "ok", "error", "response"), documents or []
+    rows = results.groupBy("doc_url", "ord", *own).agg(F.first("element").alias("element"), F.first("attributes").alias("attributes"), F.array_sort(F.collect_list(result)).alias("results"))
+    element = F.struct("ord", *own, "element", "attributes", "results")
     return rows.groupBy("doc_url").agg(F.array_sort(F.collect_list(element)).alias("elements")).withColumnRenamed("doc_url", "url")
 
 

@@ -1,5 +1,7 @@
 """Queries against their SQL where several pages have one URL, at times also the same elements."""
 
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +69,12 @@ def test_html_links(spark, repeated):
 
 def test_latest_bodies(spark, repeated):
     check(spark, repeated, "latest_bodies")
+
+
+def test_report_json(spark, repeated):
+    """Every element is there; where two have one place the SQL leaves their order open, so it isn't compared."""
+    parts = lambda rows: sorted((r[0], sorted(json.loads(r[1])["elements"], key=json.dumps)) for r in rows)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{repeated}/pages.parquet/*.parquet'")
+    got = entry.queries()["report_json"](spark, repeated).select("url", "json").collect()
+    assert parts(got) == parts(db.execute(SQL["report_json"]).fetchall())
