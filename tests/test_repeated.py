@@ -78,3 +78,7 @@ def test_report_json(spark, repeated):
     db.execute(f"CREATE VIEW pages AS SELECT * FROM '{repeated}/pages.parquet/*.parquet'")
     got = entry.queries()["report_json"](spark, repeated).select("url", "json").collect()
     assert parts(got) == parts(db.execute(SQL["report_json"]).fetchall())
+
+
+def test_report_json_sink(spark, repeated):
+    check(spark, repeated, "report_json_sink")
