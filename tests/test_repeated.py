@@ -92,3 +92,7 @@ def test_report_lines(spark, repeated):
     want = db.execute(f"SELECT doc_url, place, line FROM ({SQL['report_lines']})").fetchall()
     assert sorted((u, x) for u, _, x in got) == sorted((u, x) for u, _, x in want)
     assert sorted((u, k) for u, k, _ in got) == sorted((u, k) for u, k, _ in want)
+
+
+def test_report_text_sink(spark, repeated):
+    check(spark, repeated, "report_text_sink")
