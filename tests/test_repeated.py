@@ -96,3 +96,11 @@ def test_report_lines(spark, repeated):
 
 def test_report_text_sink(spark, repeated):
     check(spark, repeated, "report_text_sink")
+
+
+def test_run_metrics(spark, repeated):
+    check(spark, repeated, "run_metrics")
+
+
+def test_summary_table(spark, repeated):
+    check(spark, repeated, "summary_table")
