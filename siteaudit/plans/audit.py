@@ -14,7 +14,7 @@ from siteaudit.operators.crawl import crawl
 from siteaudit.operators.elements import elements
 from siteaudit.operators.extract import all_links, data_svg_documents, document_anchors
 from siteaudit.operators.faults import document_faults
-from siteaudit.operators.markup import markup_errors, split_markup_errors
+from siteaudit.operators.markup import split_markup_errors
 from siteaudit.operators.report import document_metrics
 from siteaudit.operators.robots import robots_bodies, robots_filter, robots_rules
 from siteaudit.operators.sites import match_site
@@ -88,8 +88,8 @@ def site_markup(docs: DataFrame, sites: DataFrame, html: dict[str, DataFrame], s
             own = known.where((F.col("is_svg") == (kind == "svg")) & F.col(f"site.validate_{kind}")).drop("site")
             own = match_site(elements(own, "url", "body", "is_svg"), sites.select("host", "path", f"{kind}_ignored_elements", f"{kind}_ignored_attributes"), "doc_url")
             own = own.select(*[c for c in own.columns if c != "site"], F.col(f"site.{kind}_ignored_elements").alias("__elements"), F.col(f"site.{kind}_ignored_attributes").alias("__attributes"))
-            parts.append(markup_errors(own, rules, F.col("__elements"), F.col("__attributes")))
-    return split_markup_errors(reduce(DataFrame.unionByName, parts))
+            parts.append(split_markup_errors(own, rules, F.col("__elements"), F.col("__attributes")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def reachable(docs: DataFrame, targets: DataFrame, roots: DataFrame, sites: DataFrame) -> DataFrame:
@@ -99,4 +99,4 @@ def reachable(docs: DataFrame, targets: DataFrame, roots: DataFrame, sites: Data
 
 def markup_audit(rows: DataFrame, rules: dict[str, DataFrame], **ignored: list[str]) -> DataFrame:
     """Markup errors as report items."""
-    return split_markup_errors(markup_errors(rows, rules, **ignored))
+    return split_markup_errors(rows, rules, **ignored)

@@ -104,3 +104,7 @@ def test_run_metrics(spark, repeated):
 
 def test_summary_table(spark, repeated):
     check(spark, repeated, "summary_table")
+
+
+def test_split_markup_errors(spark, repeated):
+    check(spark, repeated, "split_markup_errors")
