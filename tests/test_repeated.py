@@ -108,3 +108,7 @@ def test_summary_table(spark, repeated):
 
 def test_split_markup_errors(spark, repeated):
     check(spark, repeated, "split_markup_errors")
+
+
+def test_stream_dedup(spark, repeated):
+    check(spark, repeated, "stream_dedup")
