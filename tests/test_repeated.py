@@ -3,10 +3,12 @@
 import json
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from siteaudit.operators import elements
 from tests.test_queries import SQL, rows_of
 
 
@@ -112,3 +114,10 @@ def test_split_markup_errors(spark, repeated):
 
 def test_stream_dedup(spark, repeated):
     check(spark, repeated, "stream_dedup")
+
+
+def test_element_rows_are_sent_on_by_the_thousand():
+    docs = pa.RecordBatch.from_pydict({"url": ["a", "b", "c"], "html": ["<i>" * 2500, None, "<b>" * 700], "svg": [False] * 3})
+    sent = list(elements._element_rows([docs]))
+    assert max(b.num_rows for b in sent) == elements.ROWS
+    assert [(r["doc_url"], r["ord"]) for b in sent for r in b.to_pylist()] == [("a", i) for i in range(2500)] + [("c", i) for i in range(700)]
