@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from siteaudit.operators import elements
+from siteaudit.operators import crawl, elements
 from tests.test_queries import SQL, rows_of
 
 
@@ -121,3 +121,20 @@ def test_element_rows_are_sent_on_by_the_thousand():
     sent = list(elements._element_rows([docs]))
     assert max(b.num_rows for b in sent) == elements.ROWS
     assert [(r["doc_url"], r["ord"]) for b in sent for r in b.to_pylist()] == [("a", i) for i in range(2500)] + [("c", i) for i in range(700)]
+
+
+def test_crawl_goes_several_hops_a_round(spark, monkeypatch):
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(30)] + [("n29", "n3"), ("n5", "n17"), ("n17", "a"), ("a", "n20"), ("x", "n1")]
+    roots, depths = ["n0", "a"], {"n0": 0, "a": 0}
+    for url in roots:  # grows while it is read
+        for dst in sorted(d for s, d in pairs if s == url and d not in depths):
+            depths[dst] = depths[url] + 1
+            roots.append(dst)
+    rounds, cut = [], crawl.cut
+    monkeypatch.setattr(crawl, "cut", lambda x, name: (rounds.append(name), cut(x, name))[1])
+    edges, start = spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([("n0",), ("a",)], "url string")
+    assert {r.url: r.depth for r in crawl.crawl_depth(edges, start).collect()} == depths
+    assert rounds.count("reached") <= 1 + max(depths.values()) // crawl.HOPS
+    assert {r.url: r.depth for r in crawl.crawl_depth(edges, start, 10).collect()} == {u: k for u, k in depths.items() if k <= 10}
+    monkeypatch.setattr(crawl, "HOPS_ROWS", 0)
+    assert {r.url: r.depth for r in crawl.crawl_depth(edges, start).collect()} == depths
