@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from siteaudit.operators import crawl, elements
+from siteaudit.plans import queries
 from tests.test_queries import SQL, rows_of
 
 
@@ -138,3 +139,9 @@ def test_crawl_goes_several_hops_a_round(spark, monkeypatch):
     assert {r.url: r.depth for r in crawl.crawl_depth(edges, start, 10).collect()} == {u: k for u, k in depths.items() if k <= 10}
     monkeypatch.setattr(crawl, "HOPS_ROWS", 0)
     assert {r.url: r.depth for r in crawl.crawl_depth(edges, start).collect()} == depths
+
+
+def test_a_batch_of_a_stream_has_a_file_for_each_core(spark):
+    df, path, files = queries._folder(spark.range(1000).repartition(1), "arrivals", 3)
+    assert files == spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(path).count() == 1000 and len(spark.read.parquet(path).inputFiles()) == 3 * files
