@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from siteaudit.operators import crawl, elements
-from siteaudit.plans import queries
+from siteaudit.plans import audit, queries
 from tests.test_queries import SQL, rows_of
 
 
@@ -145,3 +145,11 @@ def test_a_batch_of_a_stream_has_a_file_for_each_core(spark):
     df, path, files = queries._folder(spark.range(1000).repartition(1), "arrivals", 3)
     assert files == spark.sparkContext.defaultParallelism
     assert spark.read.parquet(path).count() == 1000 and len(spark.read.parquet(path).inputFiles()) == 3 * files
+
+
+@pytest.mark.parametrize("name", ["site_audit", "site_metrics"])
+def test_responses_of_a_site_audit_do_not_read_the_documents(spark, sf_dir, monkeypatch, name):
+    plans, site_audit = [], audit.site_audit
+    monkeypatch.setattr(audit, "site_audit", lambda docs, responses, *rest: (plans.append(responses.inputFiles()), site_audit(docs, responses, *rest))[1])
+    entry.queries()[name](spark, sf_dir)
+    assert plans and not any("pages.parquet" in f for f in plans[0])
