@@ -34,7 +34,12 @@ def run_metrics(doc_metrics: DataFrame) -> DataFrame:
 
 def summary_table(doc_metrics: DataFrame) -> DataFrame:
     """Rows documents and elements: success, error, total. One aggregate, whose row is then stacked."""
-    rows = run_metrics(doc_metrics).select(F.stack(F.lit(2), F.lit("documents"), "documents_ok", "documents_failed", F.lit("elements"), "items_ok", "items_failed").alias("what", "success", "error"))
+    return summary_rows(run_metrics(doc_metrics))
+
+
+def summary_rows(run: DataFrame) -> DataFrame:
+    """summary_table of the row of run_metrics."""
+    rows = run.select(F.stack(F.lit(2), F.lit("documents"), "documents_ok", "documents_failed", F.lit("elements"), "items_ok", "items_failed").alias("what", "success", "error"))
     return rows.withColumn("total", F.col("success") + F.col("error"))
 
 

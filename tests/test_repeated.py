@@ -109,6 +109,13 @@ def test_summary_table(spark, repeated):
     check(spark, repeated, "summary_table")
 
 
+@pytest.mark.parametrize("name", ["run_metrics", "summary_table", "stream_metrics"])
+@pytest.mark.parametrize("rows", [[], [(0, None, None), (1, "https://a.example.com/", None)], [(k, "https://a.example.com/", f'<a href="/{"p" * k}">x</a>') for k in range(9)]], ids=["no_page", "no_link", "one_url"])
+def test_totals_of_odd_pages(spark, tmp_path, rows, name):
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    check(spark, str(tmp_path), name)
+
+
 def test_split_markup_errors(spark, repeated):
     check(spark, repeated, "split_markup_errors")
 
